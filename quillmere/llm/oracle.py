@@ -21,8 +21,8 @@ s as (select source, cast(sum(size) as bigint) as source_size, row_number() over
 w as (select *, case turn % 3 when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end as w, source_size * 2.0::double as cap from s),
 f as (select *, (sum(source_size) over () * 1.5::double - coalesce(sum(cap) over before, 0)) / (sum(w) over () - coalesce(sum(w) over before, 0)) as fill
       from w window before as (order by cap / w, source nulls last rows between unbounded preceding and 1 preceding)),
-o as (select *, cap <= w * fill as clamped, first(fill) filter (where cap > w * fill)
-      over (order by cap / w, source nulls last rows between unbounded preceding and unbounded following) as level from f),
+c as (select *, cap <= w * fill as clamped from f),
+o as (select *, first_value(case when not clamped then fill end) over (order by clamped, cap / w, source nulls last) as level from c),
 t as (select source, source_size, case when clamped or level is null then cap else least(cap, w * level) end as target from o),
 p as (select *, case when source_size > 0 then cast(floor(target / source_size) as bigint) else 0 end as times from t),
 q as (select *, cast(floor(target + 0.5) as bigint) - times * source_size as rest from p),

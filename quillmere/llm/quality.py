@@ -102,12 +102,11 @@ class TextBlock:
         breaks = np.flatnonzero(self.data == 10)
         starts = np.unique(np.concatenate([self.offsets[:-1], breaks + 1]))
         starts = starts[starts < len(self.data)]
-        ends = np.unique(np.concatenate([self.offsets[1:], breaks]))
-        ends = ends[np.searchsorted(ends, starts)]
+        doc = np.searchsorted(self.offsets, starts, "right") - 1
+        ends = np.minimum(self.offsets[doc + 1], np.append(breaks, len(self.data))[np.searchsorted(breaks, starts)])
         wordy = np.concatenate([[0], np.cumsum(self.get("words").inside)])
         some = wordy[ends] > wordy[starts]
-        starts, ends = starts[some], ends[some]
-        doc = np.searchsorted(self.offsets, starts, "right") - 1
+        starts, ends, doc = starts[some], ends[some], doc[some]
         _, _, owner = self._distinct(doc, self.get("hasher")(starts, ends))
         lines = np.bincount(doc, minlength=n)
         return np.stack([lines, lines - np.bincount(owner, minlength=n)], 1)
