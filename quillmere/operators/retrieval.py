@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Query vectors that tasks hold at once; more are worked off in blocks.
 QUERY_BLOCK = 1024
@@ -43,6 +44,7 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6
     go to the lower id.
     """
     spark, out = vectors.sparkSession, None
+    query_kind = to_arrow_type(queries.schema["query_id"].dataType)
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
     for ids, block in _query_blocks(queries):
         shared = spark.sparkContext.broadcast((ids, block))
@@ -56,9 +58,8 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6
                 scores = np.round(_unit(_matrix(batch.column(1))) @ block.T, digits)
                 order = np.argsort(np.array(own), kind="stable")
                 top = order[np.argsort(-scores[order], axis=0, kind="stable")[:k]]
-                yield pa.RecordBatch.from_pydict(
-                    {"query_id": [q for _ in range(len(top)) for q in ids], "id": [own[i] for i in top.ravel().tolist()], "score": np.take_along_axis(scores, top, 0).ravel()}
-                )
+                asked = pa.array([q for _ in range(len(top)) for q in ids], query_kind)
+                yield pa.RecordBatch.from_arrays([asked, batch.column(0).take(pa.array(top.ravel())), pa.array(np.take_along_axis(scores, top, 0).ravel())], names=["query_id", "id", "score"])
 
         part = vectors.select("id", "vector").mapInArrow(best, schema)
         out = part if out is None else out.unionByName(part)
@@ -86,7 +87,8 @@ def similar_pairs(vectors: DataFrame, threshold: float, digits: int = 6) -> Data
                 keep = [(own[x], ids[y], float(scores[x, y])) for x, y in zip(i.tolist(), j.tolist(), strict=True) if own[x] < ids[y]]
                 if keep:
                     a, b, s = zip(*keep, strict=True)
-                    yield pa.RecordBatch.from_pydict({"a": list(a), "b": list(b), "score": list(s)})
+                    same = batch.column(0).type
+                    yield pa.RecordBatch.from_arrays([pa.array(a, same), pa.array(b, same), pa.array(s)], names=["a", "b", "score"])
 
         part = vectors.select("id", "vector").mapInArrow(near, f"a {kind}, b {kind}, score double")
         out = part if out is None else out.unionByName(part)
