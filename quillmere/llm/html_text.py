@@ -102,6 +102,8 @@ def parse_blocks(html: str) -> list[Block]:
     parser.feed(html)
     parser.close()
     parser.flush()
+    if parser.blocks and html.endswith("<") and parser.blocks[-1].text == "<":  # a page cut off inside a tag
+        parser.blocks.pop()
     return parser.blocks
 
 

@@ -36,6 +36,8 @@ class Settings:
     dimensions: int = 32
     rounds: int = 4
     shards: int = 12
+    #: Distinct trigrams in one shard, on average; more of them make more shards.
+    shard_trigrams: int = 500_000
     noise: int = 50
     minibatch: int = 4096
     rate: float = 0.15
@@ -237,6 +239,7 @@ def train_shard(model: LogBilinear, codes: np.ndarray, n: np.ndarray, unigram: n
 def train(trigrams: DataFrame, unigram: np.ndarray, settings: Settings) -> LogBilinear:
     """Rounds of training by shard and averaging, over the whole table of counts."""
     model = LogBilinear.fresh(unigram, settings.dimensions, settings.seed)
+    count = max(settings.shards, -(-trigrams.count() // settings.shard_trigrams))
     for turn in range(settings.rounds):
         packed, shape = model.packed(), model
 
@@ -249,7 +252,7 @@ def train(trigrams: DataFrame, unigram: np.ndarray, settings: Settings) -> LogBi
             trained = train_shard(shape.unpacked(packed), codes[order], n[order], unigram, settings, settings.seed * 1000 + turn)
             yield pa.RecordBatch.from_arrays([pa.array([trained.packed()], pa.binary()), pa.array([float(n.sum())])], names=["model", "weight"])
 
-        shards = arrow_map(trigrams.repartition(settings.shards, "code"), run, "model binary, weight double").toArrow()
+        shards = arrow_map(trigrams.repartition(count, "code"), run, "model binary, weight double").toArrow()
         if not shards.num_rows:
             break
         weights = np.array(shards["weight"].to_pylist())

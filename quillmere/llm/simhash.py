@@ -131,7 +131,7 @@ def _views(data: np.ndarray, offsets: np.ndarray, shingle_words: int, view_bits:
     return out_views, out_sketch
 
 
-def sketch_tolerance(similarity: float, bits: int, deviations: float = 1.5) -> int:
+def sketch_tolerance(similarity: float, bits: int, deviations: float = 1.25) -> int:
     """Differing sketch bits that a pair of this Jaccard similarity is allowed.
 
     Equal-sized sets of Jaccard similarity J have cosine 2J/(1+J); a bit then
@@ -150,15 +150,16 @@ def keep_one_of_similar(
     view_bits: int = 40,
     views: int = 5,
     radius: int = 2,
-    sketch_words: int = 8,
+    sketch_words: int = 16,
 ) -> DataFrame:
     """``docs`` without all but one document of each group of near copies.
 
     Texts with equal lower-cased word sequences are one node. Candidates meet by
     ball hashing of ``views`` short SimHash fingerprints of the set of words,
-    each ``view_bits`` long; at a variant every node is paired with one pivot and
-    with its neighbour, so a bucket costs its size, not its square, and any bucket
-    of up to three nodes is paired wholly. A pair is a link if SimHash sketches of
+    each ``view_bits`` long; at a variant every node is paired with the first, the
+    last and the one before it in one order of all nodes, so a bucket costs its
+    size, not its square, the same few nodes lead all buckets of a large group,
+    and any bucket of up to four nodes is paired wholly. A pair is a link if SimHash sketches of
     their five-word shingle sets (64 bits per sketch word) agree as a Jaccard
     similarity of ``similarity`` does. The row with the least id of each linked
     group stays. Null and empty texts are equal to one another. Of repeated rows
@@ -197,12 +198,10 @@ def keep_one_of_similar(
     nodes = materialise(rows.groupBy("node").agg(F.min("id").alias("least_id"), F.first("views").alias("views"), F.first("sketch").alias("sketch")), "nodes")
     placed = nodes.select("node", F.posexplode("views").alias("view", "short"))
     met = ball_variants(placed, "short", view_bits, radius).select("node", (F.col("variant") + F.shiftleft(F.col("view").cast("long"), view_bits)).alias("variant"))
-    order = Window.partitionBy("variant").orderBy(F.xxhash64("variant", "node"), "node")
+    order = Window.partitionBy("variant").orderBy(F.xxhash64("node"), "node")
     paired = (
-        met.withColumn("pivot", F.first("node").over(order))
-        .withColumn("before", F.lag("node").over(order))
-        .where("before is not null")
-        .select("node", F.explode(F.array("pivot", "before")).alias("other"))
+        met.withColumns({"first": F.first("node").over(order), "before": F.lag("node").over(order), "last": F.last("node").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+        .select("node", F.explode(F.array_distinct(F.filter(F.array("first", "before", "last"), lambda o: o != F.col("node")))).alias("other"))
         .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
         .distinct()
     )
