@@ -11,18 +11,20 @@ from ..sources.tables import CHUNKS_SQL, FILES_SQL, chunks, files, read
 from .relations import _items_sql, items
 from .retrieval import _hits_sql, hits
 
-_n = F.count(F.lit(1))
+
+def _n():
+    return F.count(F.lit(1))
 
 
 @query("a01_chunks_per_file", f"with {CHUNKS_SQL} select doc_id, count(*) as n from chunks group by doc_id")
 def chunks_per_file(spark, sf_dir):
-    return chunks(spark, sf_dir).groupBy("doc_id").agg(_n.alias("n"))
+    return chunks(spark, sf_dir).groupBy("doc_id").agg(_n().alias("n"))
 
 
 @query("a02_file_distribution", f"with {_hits_sql()} select query_id, coalesce(case when file_key <> 3 then 'file_' || file_key end, 'Unknown') as file_name, count(*) as n from hits group by all")
 def file_distribution(spark, sf_dir):
     name = F.coalesce(F.when(F.col("file_key") != 3, F.concat(F.lit("file_"), F.col("file_key").cast("string"))), F.lit("Unknown"))
-    return hits(spark, sf_dir).groupBy("query_id", name.alias("file_name")).agg(_n.alias("n"))
+    return hits(spark, sf_dir).groupBy("query_id", name.alias("file_name")).agg(_n().alias("n"))
 
 
 @query("a03_files_per_folder", "select source as folder_id, count(doc_id) as n from documents group by source")
@@ -34,14 +36,14 @@ def files_per_folder(spark, sf_dir):
 def type_distribution(spark, sf_dir):
     m = F.col("mime_type")
     kind = F.when(m.startswith("text/"), "text").when(m.startswith("image/"), "image").otherwise("other")
-    counted = files(spark, sf_dir).groupBy("folder_id", kind.alias("kind")).agg(_n.alias("n"))
+    counted = files(spark, sf_dir).groupBy("folder_id", kind.alias("kind")).agg(_n().alias("n"))
     return counted.groupBy("folder_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kind", "n"))), lambda x: F.concat(x["kind"], F.lit("="), x["n"].cast("string"))), ",").alias("types"))
 
 
 @query("a05_entity_counts", "with e as (select source, unnest(regexp_extract_all(text, '[A-Z][a-z]{5,}')) as entity from documents), c as (select source, entity, count(*) as n from e group by all having count(*) >= 2) select * from (select source, entity, n, row_number() over (partition by source order by n desc, entity) as place from c) where place <= 10")
 def entity_counts(spark, sf_dir):
     e = read(spark, sf_dir, "documents").select("source", F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{5,}"), F.lit(0))).alias("entity"))
-    c = e.groupBy("source", "entity").agg(_n.alias("n")).where("n >= 2")
+    c = e.groupBy("source", "entity").agg(_n().alias("n")).where("n >= 2")
     return c.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy(F.col("n").desc(), "entity"))).where("place <= 10")
 
 
@@ -49,13 +51,13 @@ def entity_counts(spark, sf_dir):
 def key_terms(spark, sf_dir):
     """Most frequent capitalised terms, ties by first appearance."""
     e = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{2,}"), F.lit(0))).alias("pos", "term"))
-    c = e.where(~F.col("term").isin("The", "And", "This")).groupBy("doc_id", "term").agg(_n.alias("n"), F.min("pos").alias("first"))
+    c = e.where(~F.col("term").isin("The", "And", "This")).groupBy("doc_id", "term").agg(_n().alias("n"), F.min("pos").alias("first"))
     return c.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("n").desc(), "first"))).where("r <= 5").select("doc_id", "term", "n")
 
 
 @query("a07_shared_themes", f"with {_items_sql()}, c as (select folder, item, count(distinct id) as files from items group by all having count(distinct id) >= 2) select folder, item, files from (select *, row_number() over (partition by folder order by files desc, item) as r from c) where r <= 10")
 def shared_themes(spark, sf_dir):
-    c = items(spark, sf_dir).groupBy("folder", "item").agg(_n.alias("files")).where("files >= 2")
+    c = items(spark, sf_dir).groupBy("folder", "item").agg(_n().alias("files")).where("files >= 2")
     return c.withColumn("r", F.row_number().over(Window.partitionBy("folder").orderBy(F.col("files").desc(), "item"))).where("r <= 10").drop("r")
 
 
@@ -63,25 +65,25 @@ def shared_themes(spark, sf_dir):
 def file_summaries(spark, sf_dir):
     topics = F.array_join(F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{12,}"), F.lit(0)))), 1, 5), ",")
     k = read(spark, sf_dir, "documents").select("doc_id", topics.alias("topics"))
-    return chunks(spark, sf_dir).groupBy("doc_id").agg(_n.alias("n_chunks"), F.sum(F.length("content")).alias("chars")).join(k, "doc_id")
+    return chunks(spark, sf_dir).groupBy("doc_id").agg(_n().alias("n_chunks"), F.sum(F.length("content")).alias("chars")).join(k, "doc_id")
 
 
 @query("a09_folder_insights", f"with {FILES_SQL} select folder_id, count(*) as files, count(distinct mime_type) as types, cast(sum(size) as bigint) as bytes, max(size) as largest from files group by folder_id")
 def folder_insights(spark, sf_dir):
-    return files(spark, sf_dir).groupBy("folder_id").agg(_n.alias("files"), F.count_distinct("mime_type").alias("types"), F.sum("size").alias("bytes"), F.max("size").alias("largest"))
+    return files(spark, sf_dir).groupBy("folder_id").agg(_n().alias("files"), F.count_distinct("mime_type").alias("types"), F.sum("size").alias("bytes"), F.max("size").alias("largest"))
 
 
 @query("a10_graph_statistics", "with e as (select l_orderkey as src, l_partkey as dst, l_returnflag as relation from lineitem) select (select count(*) from (select src as id from e union select dst from e)) as nodes, count(*) as edges, count(distinct relation) as relations from e")
 def graph_statistics(spark, sf_dir):
     e = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_returnflag").alias("relation"))
-    nodes = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct().agg(_n.alias("nodes"))
-    return nodes.crossJoin(e.agg(_n.alias("edges"), F.count_distinct("relation").alias("relations")))  # two single rows
+    nodes = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct().agg(_n().alias("nodes"))
+    return nodes.crossJoin(e.agg(_n().alias("edges"), F.count_distinct("relation").alias("relations")))  # two single rows
 
 
 @query("a11_capabilities", f"with {FILES_SQL}, c as (select folder_id, count(*) filter (where mime_type = 'application/pdf') as p, count(*) filter (where mime_type like 'audio/%') as a, count(*) filter (where mime_type like 'image/%') as i, count(*) as n from files group by folder_id) select folder_id, concat_ws(',', case when p > 0 then 'search_pdf' end, case when a > 3 then 'transcribe' end, case when i > 0 then 'ocr' end, case when n > 40 then 'summarise' end) as abilities from c")
 def capabilities(spark, sf_dir):
     m = F.col("mime_type")
-    c = files(spark, sf_dir).groupBy("folder_id").agg(F.count_if(m == "application/pdf").alias("p"), F.count_if(m.startswith("audio/")).alias("a"), F.count_if(m.startswith("image/")).alias("i"), _n.alias("n"))
+    c = files(spark, sf_dir).groupBy("folder_id").agg(F.count_if(m == "application/pdf").alias("p"), F.count_if(m.startswith("audio/")).alias("a"), F.count_if(m.startswith("image/")).alias("i"), _n().alias("n"))
     rules = F.array_compact(F.array(F.when(F.col("p") > 0, "search_pdf"), F.when(F.col("a") > 3, "transcribe"), F.when(F.col("i") > 0, "ocr"), F.when(F.col("n") > 40, "summarise")))
     return c.select("folder_id", F.array_join(rules, ",").alias("abilities"))
 
@@ -101,20 +103,20 @@ def quality_assessment(spark, sf_dir):
 @query("a13_cache_statistics", "select user_id, count(*) filter (where value > 50) as hits, count(*) filter (where not value > 50) as misses, round(100.0 * count(*) filter (where value > 50) / count(*), 2)::double as hit_rate from events group by user_id")
 def cache_statistics(spark, sf_dir):
     hit = F.col("value") > 50
-    return read(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(hit).alias("hits"), F.count_if(~hit).alias("misses"), F.round(100.0 * F.count_if(hit) / _n, 2).alias("hit_rate"))
+    return read(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(hit).alias("hits"), F.count_if(~hit).alias("misses"), F.round(100.0 * F.count_if(hit) / _n(), 2).alias("hit_rate"))
 
 
 @query("a14_debug_metrics", f"with {_hits_sql()} select query_id, count(*) as n, round(avg(case when rank % 4 <> 0 then score end), 6) as mean_score, (select array_to_string(list_transform(list_slice(embedding, 1, 5), lambda x: cast(round(cast(x as double) * 1000) as bigint)), ',') from embeddings where vec_id = query_id) as preview from hits group by query_id")
 def debug_metrics(spark, sf_dir):
     preview = F.array_join(F.transform(F.slice("embedding", 1, 5), lambda x: F.round(x.cast("double") * 1000).cast("long").cast("string")), ",")
     v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), preview.alias("preview"))
-    return hits(spark, sf_dir).groupBy("query_id").agg(_n.alias("n"), F.round(F.avg(F.when(F.col("rank") % 4 != 0, F.col("score"))), 6).alias("mean_score")).join(v, "query_id")
+    return hits(spark, sf_dir).groupBy("query_id").agg(_n().alias("n"), F.round(F.avg(F.when(F.col("rank") % 4 != 0, F.col("score"))), 6).alias("mean_score")).join(v, "query_id")
 
 
 @query("a15_elements_by_type", "with t as (select page_id, unnest(regexp_extract_all(html, '<(p|h1|li|article|footer)[ >]', 1)) as element from pages) select element, count(*) as n, count(distinct page_id) as pages from t group by element")
 def elements_by_type(spark, sf_dir):
     t = read(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<(p|h1|li|article|footer)[ >]"), F.lit(1))).alias("element"))
-    return t.groupBy("element").agg(_n.alias("n"), F.count_distinct("page_id").alias("pages"))
+    return t.groupBy("element").agg(_n().alias("n"), F.count_distinct("page_id").alias("pages"))
 
 
 @query("a16_context_by_file", f"with {_hits_sql()}, f as (select query_id, file_key, min(rank) as first, string_agg(id, ' ' order by rank) as ids from hits group by all) select query_id, string_agg(n || ':' || file_key || ':' || ids, '|' order by n) as context from (select *, row_number() over (partition by query_id order by first) as n from f) group by query_id")
@@ -137,12 +139,12 @@ def citation_rollup(spark, sf_dir):
 def classifier_accuracy(spark, sf_dir):
     joined = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
     right = (F.when(F.length("text") > 1500, 1).otherwise(0) == F.col("quality")).cast("int")
-    return joined.select(right.alias("right")).agg(_n.alias("total"), F.sum("right").alias("correct"), (F.avg("right") >= 0.8).alias("passed"))
+    return joined.select(right.alias("right")).agg(_n().alias("total"), F.sum("right").alias("correct"), (F.avg("right") >= 0.8).alias("passed"))
 
 
 @query("a21_folder_progress", "with c as (select o_custkey, count(*) as n, max(o_orderstatus) as status from orders group by o_custkey) select o_custkey, round(case status when 'F' then 1 when 'O' then least(0.9, n / greatest(2 * n, 1)) when 'P' then 0.5 else 0 end, 6)::double as progress from c")
 def folder_progress(spark, sf_dir):
-    c = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(_n.alias("n"), F.max("o_orderstatus").alias("status"))
+    c = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(_n().alias("n"), F.max("o_orderstatus").alias("status"))
     s = F.col("status")
     progress = F.when(s == "F", 1.0).when(s == "O", F.least(F.lit(0.9), F.col("n") / F.greatest(2 * F.col("n"), F.lit(1)))).when(s == "P", 0.5).otherwise(0.0)
     return c.select("o_custkey", F.round(progress, 6).alias("progress"))
@@ -150,7 +152,7 @@ def folder_progress(spark, sf_dir):
 
 @query("a22_rollup", "select coalesce(lang, '*') as lang, coalesce(source, '*') as source, count(*) as n, cast(sum(n_chars) as bigint) as chars from documents group by rollup (lang, source)")
 def rollup(spark, sf_dir):
-    return read(spark, sf_dir, "documents").rollup("lang", "source").agg(_n.alias("n"), F.sum("n_chars").alias("chars")).select(F.coalesce("lang", F.lit("*")).alias("lang"), F.coalesce("source", F.lit("*")).alias("source"), "n", "chars")
+    return read(spark, sf_dir, "documents").rollup("lang", "source").agg(_n().alias("n"), F.sum("n_chars").alias("chars")).select(F.coalesce("lang", F.lit("*")).alias("lang"), F.coalesce("source", F.lit("*")).alias("source"), "n", "chars")
 
 
 _CTX = "partition by doc_id order by chunk_index"
@@ -174,7 +176,7 @@ def section_window(spark, sf_dir):
 def chunk_numbers(spark, sf_dir):
     c = chunks(spark, sf_dir).withColumn("section", F.floor(F.col("chunk_index") / 3))
     doc, part = Window.partitionBy("doc_id"), Window.partitionBy("doc_id", "section")
-    return c.select("chunk_id", (F.row_number().over(doc.orderBy("chunk_index")) - 1).alias("idx"), _n.over(doc).alias("total"), (F.row_number().over(part.orderBy("chunk_index")) - 1).alias("idx_in_section"), _n.over(part).alias("section_total"))
+    return c.select("chunk_id", (F.row_number().over(doc.orderBy("chunk_index")) - 1).alias("idx"), _n().over(doc).alias("total"), (F.row_number().over(part.orderBy("chunk_index")) - 1).alias("idx_in_section"), _n().over(part).alias("section_total"))
 
 
 @query("w11_window_memory", "select conv_id, turn, role from (select *, row_number() over (partition by conv_id order by turn desc) as r from conversations) where r <= 4")
@@ -201,7 +203,7 @@ def token_budget(spark, sf_dir):
 def chunk_sampling(spark, sf_dir):
     n, i = F.col("n"), F.col("chunk_index")
     part = lambda a, b: F.floor(n * a / b)
-    p = chunks(spark, sf_dir).withColumn("n", _n.over(Window.partitionBy("doc_id")))
+    p = chunks(spark, sf_dir).withColumn("n", _n().over(Window.partitionBy("doc_id")))
     few = (i == 0) | (i == 1) | (i == n - 1)
     chosen = (n <= 5) | ((n <= 10) & (few | (i == part(1, 2)) | (i == part(1, 2) + 1))) | ((n > 10) & (few | (i == part(1, 4)) | (i == part(1, 2)) | (i == part(3, 4))))
     s = p.where(chosen).withColumn("r", F.row_number().over(Window.partitionBy("doc_id", F.left("content", F.lit(100))).orderBy("chunk_index")))
@@ -219,7 +221,7 @@ def rate_window(spark, sf_dir):
 
 @query("k25_conversation_list", "select conv_id, max(turn) as last_turn, count(*) as messages from conversations group by conv_id order by last_turn desc, conv_id")
 def conversation_list(spark, sf_dir):
-    return read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last_turn"), _n.alias("messages")).orderBy(F.col("last_turn").desc(), "conv_id")
+    return read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last_turn"), _n().alias("messages")).orderBy(F.col("last_turn").desc(), "conv_id")
 
 
 @query("k26_message_list", "select conv_id, turn, role from (select *, row_number() over (partition by conv_id order by turn) as r from conversations) where r <= 3")
@@ -250,7 +252,7 @@ def top_chunks(spark, sf_dir):
 
 @query("x06_progress_counter", "select event_id, round(row_number() over (partition by user_id order by ts, event_id) / count(*) over (partition by user_id), 6)::double as progress from events")
 def progress_counter(spark, sf_dir):
-    done = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) / _n.over(Window.partitionBy("user_id"))
+    done = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) / _n().over(Window.partitionBy("user_id"))
     return read(spark, sf_dir, "events").select("event_id", F.round(done, 6).alias("progress"))
 
 
@@ -258,7 +260,7 @@ def progress_counter(spark, sf_dir):
 def idle_sessions(spark, sf_dir):
     """Sessions that an hour without events ends."""
     e = read(spark, sf_dir, "events")
-    return e.groupBy("user_id", F.session_window("ts", "1 hour").alias("s")).agg(_n.alias("events")).select("user_id", F.col("s.start").cast("timestamp_ntz").alias("started"), "events")
+    return e.groupBy("user_id", F.session_window("ts", "1 hour").alias("s")).agg(_n().alias("events")).select("user_id", F.col("s.start").cast("timestamp_ntz").alias("started"), "events")
 
 
 @query("x13_state_reducers", "select conv_id, string_agg(role, ',' order by turn) as appended, array_to_string(list_sort(list_distinct(list(role))), ',') as united, max_by(text, turn) as replaced from conversations group by conv_id")
@@ -272,4 +274,4 @@ def state_reducers(spark, sf_dir):
 @query("x14_tumbling_windows", "select event_type, time_bucket(interval 1 day, ts, timestamp '1970-01-01') as day, count(*) as n, round(sum(value), 4) as total from events group by all")
 def tumbling_windows(spark, sf_dir):
     e = read(spark, sf_dir, "events")
-    return e.groupBy("event_type", F.window("ts", "1 day").alias("w")).agg(_n.alias("n"), F.round(F.sum("value"), 4).alias("total")).select("event_type", F.col("w.start").cast("timestamp_ntz").alias("day"), "n", "total")
+    return e.groupBy("event_type", F.window("ts", "1 day").alias("w")).agg(_n().alias("n"), F.round(F.sum("value"), 4).alias("total")).select("event_type", F.col("w.start").cast("timestamp_ntz").alias("day"), "n", "total")
