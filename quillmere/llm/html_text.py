@@ -28,7 +28,7 @@ BLOCK = frozenset("address article aside blockquote body br center dd details di
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 # Words in class, id and role that hint at what a part of a page is.
 HINT_AGAINST = frozenset(
-    "nav navbar navigation menu menubar topbar header masthead footer foot bottom sidebar side aside rail ad ads advert advertisement adsense banner promo promotion sponsor sponsored cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login register form search breadcrumb breadcrumbs share sharing social follow related recommended recommendations more trending popular comment comments reply replies discussion disqus respond widget toolbar pagination pager tags tag categories copyright legal disclaimer skip contentinfo complementary".split()
+    "nav navbar navigation menu menubar topbar header masthead footer foot bottom sidebar side aside rail ad ads advert advertisement adsense banner promo promotion sponsor sponsored cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login register form search breadcrumb breadcrumbs share sharing social follow related recommended recommendations more trending popular comment comments reply replies discussion disqus respond widget toolbar pagination pager tags tag categories copyright legal disclaimer skip contentinfo complementary byline bio author meta cta".split()
 )
 HINT_FOR = frozenset("article content contents post posts entry main story body text page maincontent articlebody blog news".split())
 
@@ -107,24 +107,34 @@ def parse_blocks(html: str) -> list[Block]:
     return parser.blocks
 
 
+@lru_cache(maxsize=4096)
+def hint(word: str) -> str | None:
+    """What a class word speaks for; compounds as 'commentlist' count by their first or last part."""
+    if word in HINT_AGAINST:
+        return "against"
+    if word in HINT_FOR:
+        return "for"
+    for hints, kind in ((HINT_AGAINST, "against"), (HINT_FOR, "for")):
+        if any(len(h) >= 4 and (word.startswith(h) or word.endswith(h)) for h in hints):
+            return kind
+    return None
+
+
 @lru_cache(maxsize=4096)
 def _place_features(ancestors: tuple) -> tuple[str, ...]:
     out = set()
     nearest = None
     for tag, words in ancestors:
         out.add(f"in {tag}")
-        for w in words:
-            out.add(f"word {w}")
-            if w in HINT_AGAINST:
-                out.add("hint against")
-                nearest = "against"
-            elif w in HINT_FOR:
-                out.add("hint for")
-                nearest = "for"
         if tag in ("nav", "header", "footer", "aside", "form", "menu"):
             nearest = "against"
         elif tag in ("article", "main"):
             nearest = "for"
+        kinds = [hint(w) for w in words]
+        out.update(f"word {w}" for w in words)
+        out.update(f"hint {k}" for k in kinds if k)
+        if any(kinds):  # a class or id says more than the tag
+            nearest = "against" if "against" in kinds else "for"
     out.add(f"nearest {nearest}")
     if ancestors:
         out.add(f"at {ancestors[-1][0]}")
@@ -244,7 +254,7 @@ def labelled_pages(count: int = 240, seed: int = 29) -> list[tuple[str, str]]:
 
     def mark(*names):
         name = rng.choice(names)
-        return rng.choice([f'class="{name}"', f'id="{name}"', f'class="{word()} {name}"', f'class="{name}-{word()}"', f'class="site-{name}"'])
+        return rng.choice([f'class="{name}"', f'id="{name}"', f'class="{word()} {name}"', f'class="{name}-{word()}"', f'class="site-{name}"', f'class="{name}{rng.choice(["list", "area", "box", "wrap"])}"', f'id="left{name}"'])
 
     def boiler(kind):
         if kind == "nav":
@@ -254,7 +264,7 @@ def labelled_pages(count: int = 240, seed: int = 29) -> list[tuple[str, str]]:
         if kind == "footer":
             return rng.choice([f"<footer>&copy; {word()}.example &middot; {sentence(2, 8)}</footer>", f'<div {mark("footer", "copyright", "legal")}><p>{sentence()}</p><p>© {word()}</p></div>', f"<footer><p>{prose()}</p><ul>{links(3)}</ul></footer>"])
         if kind == "side":
-            return rng.choice([f"<aside><h3>{word()}</h3><p>{prose()}</p></aside>", f'<div {mark("sidebar", "related", "widget", "trending", "recommended")}><h2>{word()}</h2><ul>{links(4)}</ul><p>{sentence()}</p></div>'])
+            return rng.choice([f"<aside><h3>{word()}</h3><p>{prose()}</p></aside>", f'<div {mark("sidebar", "related", "widget", "trending", "recommended", "author", "bio")}><h2>{word()}</h2><ul>{links(4)}</ul><p>{sentence()}</p></div>'])
         if kind == "notice":
             return f'<div {mark("cookie", "notice", "consent", "newsletter", "popup", "alert", "banner")}><p>{prose()}</p><a href="#">{word()}</a></div>'
         if kind == "ad":
@@ -263,7 +273,7 @@ def labelled_pages(count: int = 240, seed: int = 29) -> list[tuple[str, str]]:
             return rng.choice([f'<form action="/{word()}"><label>{word()}</label><input name="q"><p>{sentence(2, 6)}</p></form>', f'<div {mark("search", "login", "signup", "subscribe")}><form><p>{sentence()}</p><input></form></div>'])
         if kind == "share":
             return f'<div {mark("share", "social", "tags", "pagination")}><a href="#">{word()}</a> <a href="#">{word()}</a></div>'
-        talk = "".join(rng.choice([f'<li class="comment"><p>{prose()}</p></li>', f'<div class="comment"><b>{word()}</b><p>{prose()}</p></div>']) for _ in range(rng.randint(1, 4)))
+        talk = "".join(rng.choice([f'<li class="comment"><p>{prose()}</p></li>', f'<div class="comment"><b>{word()}</b><p>{prose()}</p></div>', f'<article class="comment"><p>{prose()}</p></article>', f"<div><p>{prose()}</p></div>"]) for _ in range(rng.randint(1, 4)))
         return rng.choice([f'<div {mark("comments", "discussion", "replies", "respond")}><h3>{word()}</h3>{talk}</div>', f'<section {mark("comments", "comment")}><ul>{talk}</ul></section>'])
 
     pages = []
