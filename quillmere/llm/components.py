@@ -11,8 +11,9 @@ from .common import discard, materialise
 def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, root) of every node that has an edge; root is its component's least node.
 
-    Every round sends each node's label over its edges, takes the minimum with
-    map-side combining and jumps one pointer through the previous labels. Both
+    Every round sends the labels that the last one changed over their nodes' edges,
+    takes the minimum with map-side combining and jumps one pointer through the
+    previous labels. Both
     sides of either join are plain exchanges, so a hub's rows can be split. A
     round is written to the shared folder, which cuts the lineage; rounds go on
     until no label changes. No edges give no rows.
@@ -25,14 +26,15 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
         .distinct(),
         "edges",
     )
-    labels = materialise(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("root")).select("node", "root"), "labels")
+    least = F.least(F.min("v"), F.col("u"))
+    labels = materialise(both.groupBy(F.col("u").alias("node")).agg(least.alias("root")).select("node", "root", (F.col("root") < F.col("node")).alias("fresh")), "labels")
     while True:
-        sent = both.join(labels, both.u == labels.node).select(F.col("v").alias("node"), "root", F.lit(None).cast("long").alias("own"))
+        sent = both.join(labels.where("fresh"), F.col("u") == F.col("node")).select(F.col("v").alias("node"), "root", F.lit(None).cast("long").alias("own"))
         best = sent.unionByName(labels.select("node", "root", F.col("root").alias("own"))).groupBy("node").agg(F.min("root").alias("root"), F.max("own").alias("own"))
         jump = labels.select(F.col("node").alias("at"), F.col("root").alias("further"))
         moved = best.join(jump, best.root == jump["at"], "left").select("node", F.least("root", "further").alias("root"), "own")
-        after = materialise(moved, "labels")
-        changed = after.where("root <> own").limit(1).count()
+        after = materialise(moved.select("node", "root", (F.col("root") < F.col("own")).alias("fresh")), "labels")
+        changed = after.where("fresh").limit(1).count()
         discard(labels)
         labels = after
         if not changed:

@@ -56,6 +56,7 @@ def mix_sources(
     order, so a hot one never lands in one task.
     """
     size, source_size, target, taken = (fresh_name(docs, n) for n in ("size", "source_size", "target", "taken"))
+    of_source, of_part = (fresh_name(docs, f"mix_of_{n}") for n in ("source", "part"))
     part, order, room, times, before = (fresh_name(docs, f"mix_{n}") for n in ("part", "order", "room", "times", "before"))
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
     words = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD + "+")).cast("long")
@@ -67,8 +68,8 @@ def mix_sources(
     ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     rooms = parts.withColumn("ahead", F.coalesce(F.sum("part_size").over(ahead), F.lit(0)))
     of = plan.select(F.col("source").alias("of_source"), "source_size", "target", "times", "rest")
-    rooms = materialise(rooms.join(of, rooms.source.eqNullSafe(of.of_source)).select(F.col("source").alias("of_source"), F.col("part").alias("of_part"), F.col("source_size").alias(source_size), F.col("target").alias(target), F.col("times").alias(times), (F.col("rest") - F.col("ahead")).alias(room)), "rooms")
-    joined = sized.join(rooms, (sized[part] == rooms.of_part) & sized[source_col].eqNullSafe(rooms.of_source)).drop("of_source", "of_part")
+    rooms = materialise(rooms.join(of, rooms.source.eqNullSafe(of.of_source)).select(F.col("source").alias(of_source), F.col("part").alias(of_part), F.col("source_size").alias(source_size), F.col("target").alias(target), F.col("times").alias(times), (F.col("rest") - F.col("ahead")).alias(room)), "rooms")
+    joined = sized.join(rooms, (sized[part] == rooms[of_part]) & sized[source_col].eqNullSafe(rooms[of_source])).drop(of_source, of_part)
     sofar = Window.partitionBy(source_col, part).orderBy(order, F.col(id_col), F.col(size)).rowsBetween(Window.unboundedPreceding, -1)
     run = joined.withColumn(before, F.coalesce(F.sum(size).over(sofar), F.lit(0)))
     extra = F.least(F.col(size), F.greatest(F.lit(0), F.col(room) - F.col(before)))

@@ -221,5 +221,5 @@ def keep_one_of_similar(
     same = (full[row] == stay.stay_row) & (full[key] == stay.stay_node) & full[id_col].eqNullSafe(stay.stay_id)
     kept = full.join(stay, same, "left_semi")
     turn = fresh_name(docs, "row_turn")
-    tie = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    tie = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
     return kept.withColumn(turn, F.row_number().over(Window.partitionBy(row).orderBy(tie))).where(f"{turn} = 1").select(*[f"`{c}`" for c in docs.columns])
