@@ -107,14 +107,16 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b:
     split = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
     terms = docs.select("id", split("text").alias("terms"))
     stats = terms.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("mean_length"))
-    postings = terms.select("id", F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats))  # one row
+    frequency = terms.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats))  # one row
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     idf = frequency.select("term", "mean_length", raw.alias("idf"))
     mean = idf.agg(F.avg("idf").alias("mean_idf"))
     asked = queries.select("query_id", F.explode(split("text")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     weights = asked.join(idf, "term").crossJoin(F.broadcast(mean))  # one row
     weights = weights.select("query_id", "term", "times", "mean_length", F.when(F.col("idf") < 0, floor * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
+    wanted = asked.select("term").distinct()
+    tokens = terms.select("id", F.size("terms").alias("length"), F.explode("terms").alias("term")).join(wanted, "term", "left_semi")
+    postings = tokens.groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
     scored = postings.join(weights, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), digits).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
