@@ -56,11 +56,13 @@ def mix_sources(
     order, so a hot one never lands in one task.
     """
     size, source_size, target, taken = (fresh_name(docs, n) for n in ("size", "source_size", "target", "taken"))
-    of_source, of_part = (fresh_name(docs, f"mix_of_{n}") for n in ("source", "part"))
-    part, order, room, times, before = (fresh_name(docs, f"mix_{n}") for n in ("part", "order", "room", "times", "before"))
+    of_source, of_none, of_part = (fresh_name(docs, f"mix_of_{n}") for n in ("source", "none", "part"))
+    part, order, room, times, before, named, none = (fresh_name(docs, f"mix_{n}") for n in ("part", "order", "room", "times", "before", "named", "none"))
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
     words = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD + "+")).cast("long")
-    sized = docs.withColumns({size: words, order: digest}).withColumn(part, F.substring(order, 1, PART_DIGITS))
+    # A null source as two plain keys, so that the join and the window share one exchange of the documents.
+    keys = {named: F.coalesce(F.col(source_col).cast("string"), F.lit("")), none: F.col(source_col).isNull()}
+    sized = docs.withColumns({size: words, order: digest, **keys}).withColumn(part, F.substring(order, 1, PART_DIGITS))
     parts = materialise(sized.groupBy(F.col(source_col).alias("source"), F.col(part).alias("part")).agg(F.sum(size).alias("part_size")), "parts")
     plan = source_targets(parts.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights, share, max_epochs)
     plan = plan.withColumn("times", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
@@ -68,9 +70,10 @@ def mix_sources(
     ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     rooms = parts.withColumn("ahead", F.coalesce(F.sum("part_size").over(ahead), F.lit(0)))
     of = plan.select(F.col("source").alias("of_source"), "source_size", "target", "times", "rest")
-    rooms = materialise(rooms.join(of, rooms.source.eqNullSafe(of.of_source)).select(F.col("source").alias(of_source), F.col("part").alias(of_part), F.col("source_size").alias(source_size), F.col("target").alias(target), F.col("times").alias(times), (F.col("rest") - F.col("ahead")).alias(room)), "rooms")
-    joined = sized.join(rooms, (sized[part] == rooms[of_part]) & sized[source_col].eqNullSafe(rooms[of_source])).drop(of_source, of_part)
-    sofar = Window.partitionBy(source_col, part).orderBy(order, F.col(id_col), F.col(size)).rowsBetween(Window.unboundedPreceding, -1)
+    rooms = materialise(rooms.join(of, rooms.source.eqNullSafe(of.of_source)).select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias(of_source), F.col("source").isNull().alias(of_none), F.col("part").alias(of_part), F.col("source_size").alias(source_size), F.col("target").alias(target), F.col("times").alias(times), (F.col("rest") - F.col("ahead")).alias(room)), "rooms")
+    same = (sized[part] == rooms[of_part]) & (sized[named] == rooms[of_source]) & (sized[none] == rooms[of_none])
+    joined = sized.join(rooms, same)
+    sofar = Window.partitionBy(part, named, none).orderBy(order, F.col(id_col), F.col(size)).rowsBetween(Window.unboundedPreceding, -1)
     run = joined.withColumn(before, F.coalesce(F.sum(size).over(sofar), F.lit(0)))
     extra = F.least(F.col(size), F.greatest(F.lit(0), F.col(room) - F.col(before)))
     return run.withColumn(taken, (F.col(times) * F.col(size) + extra).cast("long")).select(*[f"`{c}`" for c in docs.columns], size, source_size, target, taken)
