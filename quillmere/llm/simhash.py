@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fresh_name, materialise, type_of
+from .common import arrow_map, discard, fresh_name, materialise, type_of
 from .components import connected_components
 from .textscan import Words, SpanHasher, mix, pieces, window_hashes
 
@@ -104,41 +104,79 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # --- near duplicates by similarity of five-word shingles -------------------------------
 
+_SEQUENCE = np.uint64(31)
 
-def _views(data: np.ndarray, offsets: np.ndarray, shingle_words: int, view_bits: int, views: int, sketch_words: int):
-    """Of each document: short fingerprints of its word set, and a long one of its shingle set."""
+
+def _word_and_shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle_words: int):
+    """Of each document: the sorted hashes of its words and of its shingles (fewer words: of all of them)."""
     words = Words(data, offsets)
     single = SpanHasher(data)(words.start, words.end)
     shingles = window_hashes(single, shingle_words)
     whole = words.doc[: len(shingles)] == words.doc[len(single) - len(shingles) :]
-    keep = (np.uint64(1) << np.uint64(view_bits)) - np.uint64(1)
-    out_views, out_sketch = [], []
     for d in range(len(offsets) - 1):
         low, high = words.first[d], words.first[d + 1]
-        if low == high:
-            out_views.append(np.zeros(views, np.uint64))
-            out_sketch.append(np.zeros(sketch_words, np.uint64))
-            continue
         own = np.unique(single[low:high])
         runs = np.unique(shingles[low : min(high, len(shingles))][whole[low : min(high, len(shingles))]])
-        if not len(runs):
-            seq = own[:1]
+        if len(own) and not len(runs):
+            runs = own[:1]
             for h in single[low:high]:
-                seq = mix(seq * np.uint64(31) + h)
-            runs = seq
+                runs = mix(runs * _SEQUENCE + h)
+        yield own, runs
+
+
+def _views(data: np.ndarray, offsets: np.ndarray, shingle_words: int, view_bits: int, views: int, sketch_words: int):
+    """Of each document: short fingerprints of its word set, and a long one of its shingle set."""
+    keep = (np.uint64(1) << np.uint64(view_bits)) - np.uint64(1)
+    out_views, out_sketch = [], []
+    for own, runs in _word_and_shingle_sets(data, offsets, shingle_words):
+        if not len(own):
+            out_views.append(np.zeros(views, np.uint64))
+            out_sketch.append(np.zeros(sketch_words, np.uint64))
+            continue
         out_views.append(majority_bits(np.stack([mix(own + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)) for k in range(views)], 1)) & keep)
         out_sketch.append(majority_bits(np.stack([mix(runs + np.uint64(0xC2B2AE3D27D4EB4F * (k + 1) & (1 << 64) - 1)) for k in range(sketch_words)], 1)))
     return out_views, out_sketch
 
 
-def sketch_tolerance(similarity: float, bits: int, deviations: float = 1.25) -> int:
-    """Differing sketch bits that a pair of this Jaccard similarity is allowed.
+def sketch_bounds(similarity: float, bits: int, deviations: float = 3.5) -> tuple[int, int]:
+    """(sure, possible): differing sketch bits below which a pair is surely as alike as
+    ``similarity``, and above which it surely is not.
 
-    Equal-sized sets of Jaccard similarity J have cosine 2J/(1+J); a bit then
-    differs with probability angle/pi. Some standard deviations are added.
+    Sets of Jaccard similarity J have a cosine from 2J/(1+J), when of one size, to
+    sqrt(J), when one holds the other; a bit differs with probability angle/pi.
+    Some standard deviations are taken off and added.
     """
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(bits * p + deviations * (bits * p * (1 - p)) ** 0.5)
+
+    def spread(cosine: float, sign: int) -> int:
+        p = float(np.arccos(cosine) / np.pi)
+        return int(bits * p + sign * deviations * (bits * p * (1 - p)) ** 0.5)
+
+    return spread(similarity**0.5, -1), spread(2 * similarity / (1 + similarity), 1)
+
+
+def _any(df: DataFrame) -> bool:
+    return df.limit(1).count() > 0
+
+
+def _shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
+    """(at, grams): the shingle set of one text of each node in ``wanted`` (node, row)."""
+
+    def run(batches):
+        for batch in batches:
+            for low, high, data, offsets in pieces(batch.column(1).cast(pa.string())):
+                lowered = np.frombuffer(data.tobytes().lower(), np.uint8)
+                sets = [runs.view(np.int64) for _, runs in _word_and_shingle_sets(lowered, offsets, shingle_words)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(sets, pa.list_(pa.int64()))], names=["at", "grams"])
+
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.xxhash64(F.col(id_col), text).alias("row"), text.alias("text")).join(wanted, "row")
+    return arrow_map(texts.groupBy("node").agg(F.first("text").alias("text")), run, "at long, grams array<long>")
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, root) after joining the components that ``links`` (ra, rb) connect."""
+    moved = connected_components(links, "ra", "rb").select(F.col("node").alias("was"), F.col("root").alias("now"))
+    return materialise(labels.join(moved, labels.root == moved.was, "left").select("node", F.coalesce("now", "root").alias("root")), "labels")
 
 
 def keep_one_of_similar(
@@ -159,9 +197,14 @@ def keep_one_of_similar(
     each ``view_bits`` long; at a variant every node is paired with the first, the
     last and the one before it in one order of all nodes, so a bucket costs its
     size, not its square, the same few nodes lead all buckets of a large group,
-    and any bucket of up to four nodes is paired wholly. A pair is a link if SimHash sketches of
-    their five-word shingle sets (64 bits per sketch word) agree as a Jaccard
-    similarity of ``similarity`` does. The row with the least id of each linked
+    and any bucket of up to four nodes is paired wholly. Larger buckets that hold
+    several components are paired again, every node with a leader of another
+    component, in rounds of ever new orders until a round finds no link.
+
+    A pair is a link if its five-word shingle sets have a Jaccard similarity of
+    ``similarity``. SimHash sketches of the sets (64 bits per sketch word) settle
+    pairs far from that; the sets themselves settle every other pair that would
+    join two components. The row with the least id of each linked
     group stays. Null and empty texts are equal to one another. Of repeated rows
     one stays (the least by a hash of all columns). All columns are passed on
     unchanged, whatever their names.
@@ -186,32 +229,80 @@ def keep_one_of_similar(
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(low, high - low),
+                        batch.column(2).slice(low, high - low),
                         pa.array(np.array(keys, np.uint64).view(np.int64)),
                         pa.array([x.view(np.int64) for x in v], pa.list_(pa.int64())),
                         pa.array([x.view(np.int64) for x in s], pa.list_(pa.int64())),
                     ],
-                    names=["id", "node", "views", "sketch"],
+                    names=["id", "row", "node", "views", "sketch"],
                 )
 
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = materialise(arrow_map(narrow, sketched, f"id {type_of(docs, id_col)}, node long, views array<long>, sketch array<long>"), "sketches")
-    nodes = materialise(rows.groupBy("node").agg(F.min("id").alias("least_id"), F.first("views").alias("views"), F.first("sketch").alias("sketch")), "nodes")
-    placed = nodes.select("node", F.posexplode("views").alias("view", "short"))
-    met = ball_variants(placed, "short", view_bits, radius).select("node", (F.col("variant") + F.shiftleft(F.col("view").cast("long"), view_bits)).alias("variant"))
+    plain = F.col(text_col).cast("string")
+    narrow = docs.select(F.col(id_col).alias("id"), plain.alias("text"), F.xxhash64(F.col(id_col), plain).alias("row"))
+    rows = materialise(arrow_map(narrow, sketched, f"id {type_of(docs, id_col)}, row long, node long, views array<long>, sketch array<long>"), "sketches")
+    first = [F.first(c).alias(c) for c in ("row", "views", "sketch")]
+    nodes = materialise(rows.groupBy("node").agg(F.min("id").alias("least_id"), *first), "nodes")
+    discard(rows)
+    sure, possible = sketch_bounds(similarity, 64 * sketch_words)
+
+    def balls(placed: DataFrame) -> DataFrame:
+        """One row per node, view and variant; ``placed`` has node, views and what else is kept."""
+        shorts = placed.select("*", F.posexplode("views").alias("view", "short")).drop("views")
+        return ball_variants(shorts, "short", view_bits, radius).withColumn("variant", F.col("variant") + F.shiftleft(F.col("view").cast("long"), view_bits)).drop("view", "short")
+
+    def close(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b, ra, rb) whose sketches allow a link, with how many bits differ."""
+        sketches = nodes.select(F.col("node").alias("at"), "sketch")
+        near = pairs.join(sketches, F.col("a") == F.col("at")).select(*pairs.columns, F.col("sketch").alias("one"))
+        near = near.join(sketches, F.col("b") == F.col("at")).select(*pairs.columns, "one", F.col("sketch").alias("two"))
+        apart = F.aggregate(F.zip_with("one", "two", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+        return materialise(near.select(*pairs.columns, apart.alias("apart")).where(F.col("apart") <= possible), "close")
+
+    def absorb(labels: DataFrame, met: DataFrame) -> tuple[DataFrame, bool]:
+        """The labels after the links among ``met``, and whether there were any."""
+        settled, found = met.where(F.col("apart") <= sure), False
+        if _any(settled):
+            labels, found = _merged(labels, settled), True
+        open_ = met.where(F.col("apart") > sure).select("a", "b")
+        for side, root in (("a", "ra"), ("b", "rb")):
+            own = labels.select(F.col("node").alias("at"), F.col("root").alias(root))
+            open_ = open_.join(own, F.col(side) == F.col("at")).drop("at")
+        open_ = materialise(open_.where("ra <> rb"), "open")
+        if _any(open_):
+            ends = open_.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            sets = materialise(_shingle_sets(docs, nodes.select("node", "row").join(ends, "node"), id_col, text_col, shingle_words), "grams")
+            pairs = open_.join(sets, F.col("a") == F.col("at")).select("b", "ra", "rb", F.col("grams").alias("one"))
+            pairs = pairs.join(sets, F.col("b") == F.col("at")).select("ra", "rb", "one", F.col("grams").alias("two"))
+            pairs = pairs.select("ra", "rb", F.size(F.array_intersect("one", "two")).alias("both"), (F.size("one") + F.size("two")).alias("sizes"))
+            links = materialise(pairs.where(F.col("both") + 1e-9 >= similarity * (F.col("sizes") - F.col("both"))).select("ra", "rb").distinct(), "links")
+            discard(sets)
+            if _any(links):
+                labels, found = _merged(labels, links), True
+        discard(open_)
+        discard(met)
+        return labels, found
+
     order = Window.partitionBy("variant").orderBy(F.xxhash64("node"), "node")
-    paired = (
-        met.withColumns({"first": F.first("node").over(order), "before": F.lag("node").over(order), "last": F.last("node").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
-        .select("node", F.explode(F.array_distinct(F.filter(F.array("first", "before", "last"), lambda o: o != F.col("node")))).alias("other"))
-        .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-        .distinct()
-    )
-    sketches = nodes.select(F.col("node").alias("at"), "sketch")
-    near = paired.join(sketches, F.col("a") == F.col("at")).select("a", "b", F.col("sketch").alias("one"))
-    near = near.join(sketches, F.col("b") == F.col("at")).select("a", "b", "one", F.col("sketch").alias("two"))
-    apart = F.aggregate(F.zip_with("one", "two", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    links = near.where(apart <= sketch_tolerance(similarity, 64 * sketch_words)).select("a", "b")
-    roots = connected_components(links, "a", "b")
-    named = materialise(nodes.join(roots, nodes.node == roots.node, "left").select(nodes.node, "least_id", F.coalesce("root", nodes.node).alias("root")), "named")
+    bucket = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    lined = balls(nodes.select("node", "views")).withColumns({"first": F.first("node").over(order), "before": F.lag("node").over(order), "last": F.last("node").over(bucket), "size": F.count("node").over(bucket)})
+    meetings = materialise(lined.where("size > 1").drop("variant"), "meetings")
+    partners = F.array_distinct(F.filter(F.array("first", "before", "last"), lambda o: o != F.col("node")))
+    paired = meetings.select("node", F.explode(partners).alias("other")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    labels, _ = absorb(nodes.select("node", F.col("node").alias("root")), close(paired.select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb"))))
+    crowd = materialise(nodes.select("node", "views").join(meetings.where("size > 4").select("node").distinct(), "node"), "crowd")
+    discard(meetings)
+    turn, found = 0, _any(crowd)
+    while found:
+        turn += 1
+        inside = Window.partitionBy("variant")
+        me = F.struct(F.xxhash64(F.lit(turn), "node").alias("place"), "node", "root")
+        led = balls(crowd.join(labels, "node")).withColumn("me", me).withColumn("lead", F.min("me").over(inside))
+        led = led.withColumn("rival", F.min(F.when(F.col("root") != F.col("lead.root"), F.col("me"))).over(inside)).where("rival is not null")
+        ends = led.select("me", F.when(F.col("root") != F.col("lead.root"), F.col("lead")).otherwise(F.col("rival")).alias("to"))
+        ends = ends.select(F.when(F.col("me.node") < F.col("to.node"), F.array("me", "to")).otherwise(F.array("to", "me")).alias("two"))
+        pairs = ends.select(*[F.col("two")[i][c].alias(n) for n, i, c in (("a", 0, "node"), ("b", 1, "node"), ("ra", 0, "root"), ("rb", 1, "root"))]).distinct()
+        labels, found = absorb(labels, close(pairs))
+    named = materialise(nodes.join(labels, "node").select("node", "least_id", "root"), "named")
     # The stayer of a component: the least id, then the least node, null ids last.
     best = named.groupBy("root").agg(F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "node")).alias("best")).select("best.*")
     # Rows are matched by text and id together: copies of one text, however many, spread evenly.
