@@ -193,6 +193,29 @@ def test_similar_stage(spark):
     assert simhash.keep_one_of_similar(df.limit(0)).count() == 0
 
 
+def test_similar_stage_keeps_what_is_less_alike(spark):
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(4000)]
+    rows, alike = [], {}
+    for g in range(60):
+        w = [rng.choice(vocabulary) for _ in range(300)]
+        x = list(w)
+        for at in rng.sample(range(300), rng.randint(6, 11)):
+            x[at] = rng.choice(vocabulary)
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(x))]
+        a, b = shingle_set(rows[-2][1]), shingle_set(rows[-1][1])
+        alike[2 * g + 1] = len(a & b) / len(a | b)
+    kept = {r.doc_id for r in simhash.keep_one_of_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept >= {2 * g for g in range(60)} | {i for i, j in alike.items() if j < 0.8}
+    assert len(kept) < len(rows)
+
+
+def test_sketch_bounds_enclose_the_threshold():
+    for similarity in (0.5, 0.8, 0.95):
+        sure, possible = simhash.sketch_bounds(similarity, 1024)
+        assert 0 <= sure < possible < 1024
+
+
 def test_mixing(spark, sf_dir, docs):
     out = q.op5_mixing(spark, sf_dir).collect()
     sizes = defaultdict(int)
