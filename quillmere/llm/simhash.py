@@ -154,6 +154,10 @@ def sketch_bounds(similarity: float, bits: int, deviations: float = 3.5) -> tupl
     return spread(similarity**0.5, -1), spread(2 * similarity / (1 + similarity), 1)
 
 
+def _any(df: DataFrame) -> bool:
+    return df.limit(1).count() > 0
+
+
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
     """(at, grams): the shingle set of one text of each node in ``wanted`` (node, row)."""
 
@@ -169,6 +173,55 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str
     return arrow_map(texts.groupBy("node").agg(F.first("text").alias("text")), run, "at long, grams array<long>")
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, root) after joining the components that ``links`` (ra, rb) connect."""
+    moved = connected_components(links, "ra", "rb").select(F.col("node").alias("was"), F.col("root").alias("now"))
+    return materialise(labels.join(moved, labels.root == moved.was, "left").select("node", F.coalesce("now", "root").alias("root")), "labels")
+
+
+def _mixed(crowd: DataFrame, labels: DataFrame) -> DataFrame:
+    """(variant, node, root): the members of those buckets of ``crowd`` that hold several components."""
+    inside = Window.partitionBy("variant")
+    named = crowd.select("variant", "node").join(labels, "node").withColumns({"low": F.min("root").over(inside), "high": F.max("root").over(inside)})
+    left = materialise(named.where("low <> high").select("variant", "node", "root"), "crowd")
+    discard(crowd)
+    return left
+
+
+def _across(crowd: DataFrame, sketches: DataFrame, possible: int, block: int = 512) -> DataFrame:
+    """(a, b, ra, rb, apart): all pairs of a bucket's members (variant, node, root) that are in
+    different components and differ in at most ``possible`` bits of their ``sketches`` (at, sketch).
+
+    A bucket is cut into blocks, and every two blocks are compared by one matrix product.
+    """
+    inside = Window.partitionBy("variant")
+    placed = crowd.withColumns(
+        {
+            "own": F.floor((F.row_number().over(inside.orderBy("node")) - 1) / block).cast("int"),
+            "blocks": F.ceil(F.count("node").over(inside) / block).cast("int"),
+        }
+    )
+    dealt = placed.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("variant", F.least("own", "met").alias("low"), F.greatest("own", "met").alias("high"), "own", "node", "root")
+    dealt = dealt.join(sketches, F.col("node") == F.col("at")).drop("at")
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, root, own, low, high = (table.column(c).to_numpy() for c in ("node", "root", "own", "low", "high"))
+        flat = table.column("sketch").combine_chunks().flatten().to_numpy()
+        signs = np.unpackbits(flat.view(np.uint8).reshape(len(node), -1), axis=1).astype(np.float32) * 2 - 1
+        one, two = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        apart = (signs.shape[1] - signs[one] @ signs[two].T) / 2
+        wanted = (apart <= possible) & (root[one][:, None] != root[two][None, :])
+        if low[0] == high[0]:
+            wanted = np.triu(wanted)
+        x, y = np.nonzero(wanted)
+        i, j = one[x], two[y]
+        i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+        return pa.table({"a": node[i], "b": node[j], "ra": root[i], "rb": root[j], "apart": apart[x, y].astype(np.int32)})
+
+    return dealt.groupBy("variant", "low", "high").applyInArrow(compare, "a long, b long, ra long, rb long, apart int").distinct()
+
+
 def keep_one_of_similar(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -187,7 +240,10 @@ def keep_one_of_similar(
     each ``view_bits`` long; at a variant every node is paired with the first, the
     last and the one before it in one order of all nodes, so a bucket costs its
     size, not its square, the same few nodes lead all buckets of a large group,
-    and any bucket of up to four nodes is paired wholly.
+    and any bucket of up to four nodes is paired wholly. Larger buckets that still
+    hold several components are paired again, every node with a leader of another
+    component, in rounds of new orders until a round finds no link; then all pairs
+    of different components that are left in a bucket are compared.
 
     A pair is a link if its five-word shingle sets have a Jaccard similarity of
     ``similarity``. SimHash sketches of the sets (64 bits per sketch word) settle
@@ -233,34 +289,67 @@ def keep_one_of_similar(
     discard(rows)
     sure, possible = sketch_bounds(similarity, 64 * sketch_words)
 
+    sketches = nodes.select(F.col("node").alias("at"), "sketch")
+
+    def close(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b, ra, rb) whose sketches allow a link, with how many bits differ."""
+        near = pairs.join(sketches, F.col("a") == F.col("at")).select(*pairs.columns, F.col("sketch").alias("one"))
+        near = near.join(sketches, F.col("b") == F.col("at")).select(*pairs.columns, "one", F.col("sketch").alias("two"))
+        apart = F.aggregate(F.zip_with("one", "two", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+        return near.select(*pairs.columns, apart.alias("apart")).where(F.col("apart") <= possible)
+
+    def absorb(labels: DataFrame, near: DataFrame) -> tuple[DataFrame, bool]:
+        """The labels after the links among ``near`` (a, b, ra, rb, apart), and whether there were any."""
+        near, found = materialise(near, "close"), False
+        settled = near.where(F.col("apart") <= sure)
+        if _any(settled):
+            labels, found = _merged(labels, settled), True
+        doubtful = near.where(F.col("apart") > sure).select("a", "b")
+        for side, root in (("a", "ra"), ("b", "rb")):
+            own = labels.select(F.col("node").alias("at"), F.col("root").alias(root))
+            doubtful = doubtful.join(own, F.col(side) == F.col("at")).drop("at")
+        doubtful = materialise(doubtful.where("ra <> rb"), "doubtful")
+        if _any(doubtful):
+            ends = doubtful.select("a").union(doubtful.select("b")).distinct().withColumnRenamed("a", "node")
+            sets = materialise(_shingle_sets(docs, nodes.select("node", "row").join(ends, "node"), id_col, text_col, shingle_words), "grams")
+            alike = doubtful.join(sets, F.col("a") == F.col("at")).select("b", "ra", "rb", F.col("grams").alias("one"))
+            alike = alike.join(sets, F.col("b") == F.col("at")).select("ra", "rb", "one", F.col("grams").alias("two"))
+            alike = alike.select("ra", "rb", F.size(F.array_intersect("one", "two")).alias("both"), (F.size("one") + F.size("two")).alias("sizes"))
+            links = materialise(alike.where(F.col("both") + 1e-9 >= similarity * (F.col("sizes") - F.col("both"))).select("ra", "rb").distinct(), "links")
+            discard(sets)
+            if _any(links):
+                labels, found = _merged(labels, links), True
+        discard(doubtful)
+        discard(near)
+        return labels, found
+
     placed = nodes.select("node", F.posexplode("views").alias("view", "short"))
     met = ball_variants(placed, "short", view_bits, radius).select("node", (F.col("variant") + F.shiftleft(F.col("view").cast("long"), view_bits)).alias("variant"))
     order = Window.partitionBy("variant").orderBy(F.xxhash64("node"), "node")
-    paired = (
-        met.withColumns({"first": F.first("node").over(order), "before": F.lag("node").over(order), "last": F.last("node").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
-        .select("node", F.explode(F.array_distinct(F.filter(F.array("first", "before", "last"), lambda o: o != F.col("node")))).alias("other"))
-        .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-        .distinct()
-    )
-    sketches = nodes.select(F.col("node").alias("at"), "sketch")
-    near = paired.join(sketches, F.col("a") == F.col("at")).select("a", "b", F.col("sketch").alias("one"))
-    near = near.join(sketches, F.col("b") == F.col("at")).select("a", "b", "one", F.col("sketch").alias("two"))
-    apart = F.aggregate(F.zip_with("one", "two", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    close = materialise(near.select("a", "b", apart.alias("apart")).where(F.col("apart") <= possible), "close")
-    settled = connected_components(close.where(F.col("apart") <= sure), "a", "b").select(F.col("node").alias("was"), F.col("root").alias("now"))
-    doubtful = close.where(F.col("apart") > sure).select("a", "b")
-    for side, root in (("a", "ra"), ("b", "rb")):
-        doubtful = doubtful.join(settled, F.col(side) == F.col("was"), "left").withColumn(root, F.coalesce("now", side)).drop("was", "now")
-    doubtful = materialise(doubtful.where("ra <> rb"), "doubtful")
-    ends = doubtful.select("a").union(doubtful.select("b")).distinct().withColumnRenamed("a", "node")
-    sets = materialise(_shingle_sets(docs, nodes.select("node", "row").join(ends, "node"), id_col, text_col, shingle_words), "grams")
-    alike = doubtful.join(sets, F.col("a") == F.col("at")).select("b", "ra", "rb", F.col("grams").alias("one"))
-    alike = alike.join(sets, F.col("b") == F.col("at")).select("ra", "rb", "one", F.col("grams").alias("two"))
-    alike = alike.select("ra", "rb", F.size(F.array_intersect("one", "two")).alias("both"), (F.size("one") + F.size("two")).alias("sizes"))
-    links = alike.where(F.col("both") + 1e-9 >= similarity * (F.col("sizes") - F.col("both"))).select("ra", "rb")
-    joined = connected_components(links, "ra", "rb").select(F.col("node").alias("before"), F.col("root").alias("after"))
-    roots = nodes.join(settled, nodes.node == settled.was, "left").select("node", "least_id", F.coalesce("now", "node").alias("middle"))
-    named = materialise(roots.join(joined, roots.middle == joined.before, "left").select("node", "least_id", F.coalesce("after", "middle").alias("root")), "named")
+    bucket = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    lined = met.withColumns({"first": F.first("node").over(order), "before": F.lag("node").over(order), "last": F.last("node").over(bucket), "size": F.count("node").over(bucket)})
+    meetings = materialise(lined.where("size > 1"), "meetings")
+    partners = F.array_distinct(F.filter(F.array("first", "before", "last"), lambda o: o != F.col("node")))
+    paired = meetings.select("node", F.explode(partners).alias("other")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    labels, _ = absorb(nodes.select("node", F.col("node").alias("root")), close(paired.select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb"))))
+    crowd = _mixed(meetings.where("size > 4"), labels)
+    discard(meetings)
+    turn, found = 0, _any(crowd)
+    while found:
+        turn += 1
+        inside = Window.partitionBy("variant")
+        led = crowd.withColumn("me", F.struct(F.xxhash64(F.lit(turn), "node").alias("place"), "node", "root")).withColumn("lead", F.min("me").over(inside))
+        led = led.withColumn("rival", F.min(F.when(F.col("root") != F.col("lead.root"), F.col("me"))).over(inside))
+        ends = led.select("me", F.when(F.col("root") != F.col("lead.root"), F.col("lead")).otherwise(F.col("rival")).alias("to"))
+        ends = ends.select(F.when(F.col("me.node") < F.col("to.node"), F.array("me", "to")).otherwise(F.array("to", "me")).alias("two"))
+        pairs = ends.select(*[F.col("two")[i][c].alias(n) for n, i, c in (("a", 0, "node"), ("b", 1, "node"), ("ra", 0, "root"), ("rb", 1, "root"))]).distinct()
+        labels, found = absorb(labels, close(pairs))
+        if found:
+            crowd = _mixed(crowd, labels)
+            found = _any(crowd)
+    if _any(crowd):
+        labels, _ = absorb(labels, _across(crowd, sketches, possible))
+    named = materialise(nodes.join(labels, "node").select("node", "least_id", "root"), "named")
     # The stayer of a component: the least id, then the least node, null ids last.
     best = named.groupBy("root").agg(F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "node")).alias("best")).select("best.*")
     # Rows are matched by text and id together: copies of one text, however many, spread evenly.

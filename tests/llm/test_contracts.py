@@ -210,6 +210,18 @@ def test_similar_stage_keeps_what_is_less_alike(spark):
     assert len(kept) < len(rows)
 
 
+def test_similar_stage_pairs_crowded_buckets_wholly(spark):
+    """One set of words in many orders: all fingerprints of the word set are equal, two orders at a time are alike."""
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(80)]
+    rows = []
+    for g in range(30):
+        w = rng.sample(vocabulary, len(vocabulary))
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join([*w[:-2], w[-1], w[-2]]))]
+    kept = {r.doc_id for r in simhash.keep_one_of_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {2 * g for g in range(30)}
+
+
 def test_sketch_bounds_enclose_the_threshold():
     for similarity in (0.5, 0.8, 0.95):
         sure, possible = simhash.sketch_bounds(similarity, 1024)
