@@ -5,6 +5,9 @@ radius of both. So every distinct fingerprint emits its ball of variants, one
 shuffle brings equal variants together, and what meets is verified. A variant's
 bucket holds distinct fingerprints only, of which at most a ball's worth exist,
 so copies however many never make a large group.
+
+The near-duplicate stage of the pipeline compares shingle sets instead; its
+candidates meet by min-hash bands.
 """
 
 from __future__ import annotations
@@ -107,35 +110,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 _SEQUENCE = np.uint64(31)
 
 
-def _word_and_shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle_words: int):
-    """Of each document: the sorted hashes of its words and of its shingles (fewer words: of all of them)."""
+def _shingles(data: np.ndarray, offsets: np.ndarray, shingle_words: int):
+    """Of each document: the sorted hashes of its shingles (fewer words: of all of them)."""
     words = Words(data, offsets)
     single = SpanHasher(data)(words.start, words.end)
     shingles = window_hashes(single, shingle_words)
     whole = words.doc[: len(shingles)] == words.doc[len(single) - len(shingles) :]
     for d in range(len(offsets) - 1):
         low, high = words.first[d], words.first[d + 1]
-        own = np.unique(single[low:high])
         runs = np.unique(shingles[low : min(high, len(shingles))][whole[low : min(high, len(shingles))]])
-        if len(own) and not len(runs):
-            runs = own[:1]
+        if high > low and not len(runs):
+            runs = np.zeros(1, np.uint64)
             for h in single[low:high]:
                 runs = mix(runs * _SEQUENCE + h)
-        yield own, runs
-
-
-def _views(data: np.ndarray, offsets: np.ndarray, shingle_words: int, view_bits: int, views: int, sketch_words: int):
-    """Of each document: short fingerprints of its word set, and a long one of its shingle set."""
-    keep = (np.uint64(1) << np.uint64(view_bits)) - np.uint64(1)
-    out_views, out_sketch = [], []
-    for own, runs in _word_and_shingle_sets(data, offsets, shingle_words):
-        if not len(own):
-            out_views.append(np.zeros(views, np.uint64))
-            out_sketch.append(np.zeros(sketch_words, np.uint64))
-            continue
-        out_views.append(majority_bits(np.stack([mix(own + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)) for k in range(views)], 1)) & keep)
-        out_sketch.append(majority_bits(np.stack([mix(runs + np.uint64(0xC2B2AE3D27D4EB4F * (k + 1) & (1 << 64) - 1)) for k in range(sketch_words)], 1)))
-    return out_views, out_sketch
+        yield runs
+
+
+def min_hash_bands(sets: list[np.ndarray], bands: int, band_rows: int) -> np.ndarray:
+    """(sets, bands): hashes that two sets of Jaccard similarity J share with probability J ** band_rows each; none is empty."""
+    together, starts = np.concatenate(sets), np.cumsum([0, *[len(x) for x in sets[:-1]]])
+    odd = mix(np.arange(1, bands * band_rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    out = np.empty((len(sets), bands), np.uint64)
+    for k in range(bands):
+        band = np.full(len(sets), k + 1, np.uint64)
+        for factor in odd[k * band_rows : (k + 1) * band_rows]:
+            band = mix(band * _SEQUENCE + np.minimum.reduceat(together * factor, starts))
+        out[:, k] = band
+    return out
+
+
+def _views(data: np.ndarray, offsets: np.ndarray, shingle_words: int, bands: int, band_rows: int, sketch_words: int):
+    """Of each document: min-hash bands and a SimHash sketch of its shingle set."""
+    sets = list(_shingles(data, offsets, shingle_words))
+    out_bands, out_sketch = np.zeros((len(sets), bands), np.uint64), np.zeros((len(sets), sketch_words), np.uint64)
+    filled = [d for d, runs in enumerate(sets) if len(runs)]
+    if filled:
+        out_bands[filled] = min_hash_bands([sets[d] for d in filled], bands, band_rows)
+    for d in filled:
+        out_sketch[d] = majority_bits(np.stack([mix(sets[d] + np.uint64(0xC2B2AE3D27D4EB4F * (k + 1) & (1 << 64) - 1)) for k in range(sketch_words)], 1))
+    return out_bands, out_sketch
 
 
 def sketch_bounds(similarity: float, bits: int, deviations: float = 3.5) -> tuple[int, int]:
@@ -165,7 +178,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str
         for batch in batches:
             for low, high, data, offsets in pieces(batch.column(1).cast(pa.string())):
                 lowered = np.frombuffer(data.tobytes().lower(), np.uint8)
-                sets = [runs.view(np.int64) for _, runs in _word_and_shingle_sets(lowered, offsets, shingle_words)]
+                sets = [runs.view(np.int64) for runs in _shingles(lowered, offsets, shingle_words)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(sets, pa.list_(pa.int64()))], names=["at", "grams"])
 
     text = F.col(text_col).cast("string")
@@ -180,21 +193,21 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _mixed(crowd: DataFrame, labels: DataFrame) -> DataFrame:
-    """(variant, node, root): the members of those buckets of ``crowd`` that hold several components."""
-    inside = Window.partitionBy("variant")
-    named = crowd.select("variant", "node").join(labels, "node").withColumns({"low": F.min("root").over(inside), "high": F.max("root").over(inside)})
-    left = materialise(named.where("low <> high").select("variant", "node", "root"), "crowd")
+    """(band, node, root): the members of those buckets of ``crowd`` that hold several components."""
+    inside = Window.partitionBy("band")
+    named = crowd.select("band", "node").join(labels, "node").withColumns({"low": F.min("root").over(inside), "high": F.max("root").over(inside)})
+    left = materialise(named.where("low <> high").select("band", "node", "root"), "crowd")
     discard(crowd)
     return left
 
 
 def _across(crowd: DataFrame, sketches: DataFrame, possible: int, block: int = 512) -> DataFrame:
-    """(a, b, ra, rb, apart): all pairs of a bucket's members (variant, node, root) that are in
+    """(a, b, ra, rb, apart): all pairs of a bucket's members (band, node, root) that are in
     different components and differ in at most ``possible`` bits of their ``sketches`` (at, sketch).
 
     A bucket is cut into blocks, and every two blocks are compared by one matrix product.
     """
-    inside = Window.partitionBy("variant")
+    inside = Window.partitionBy("band")
     placed = crowd.withColumns(
         {
             "own": F.floor((F.row_number().over(inside.orderBy("node")) - 1) / block).cast("int"),
@@ -202,7 +215,7 @@ def _across(crowd: DataFrame, sketches: DataFrame, possible: int, block: int = 5
         }
     )
     dealt = placed.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("variant", F.least("own", "met").alias("low"), F.greatest("own", "met").alias("high"), "own", "node", "root")
+    dealt = dealt.select("band", F.least("own", "met").alias("low"), F.greatest("own", "met").alias("high"), "own", "node", "root")
     dealt = dealt.join(sketches, F.col("node") == F.col("at")).drop("at")
 
     def compare(table: pa.Table) -> pa.Table:
@@ -219,7 +232,7 @@ def _across(crowd: DataFrame, sketches: DataFrame, possible: int, block: int = 5
         i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
         return pa.table({"a": node[i], "b": node[j], "ra": root[i], "rb": root[j], "apart": apart[x, y].astype(np.int32)})
 
-    return dealt.groupBy("variant", "low", "high").applyInArrow(compare, "a long, b long, ra long, rb long, apart int").distinct()
+    return dealt.groupBy("band", "low", "high").applyInArrow(compare, "a long, b long, ra long, rb long, apart int").distinct()
 
 
 def keep_one_of_similar(
@@ -228,19 +241,19 @@ def keep_one_of_similar(
     text_col: str = "text",
     shingle_words: int = 5,
     similarity: float = 0.8,
-    view_bits: int = 40,
-    views: int = 5,
-    radius: int = 2,
+    bands: int = 40,
+    band_rows: int = 7,
     sketch_words: int = 16,
 ) -> DataFrame:
     """``docs`` without all but one document of each group of near copies.
 
-    Texts with equal lower-cased word sequences are one node. Candidates meet by
-    ball hashing of ``views`` short SimHash fingerprints of the set of words,
-    each ``view_bits`` long; at a variant every node is paired with the first, the
-    last and the one before it in one order of all nodes, so a bucket costs its
-    size, not its square, the same few nodes lead all buckets of a large group,
-    and any bucket of up to four nodes is paired wholly. Larger buckets that still
+    Texts with equal lower-cased word sequences are one node. Candidates share
+    one of ``bands`` hashes of ``band_rows`` min-hashes each of the shingle set, so
+    a pair of similarity J is missed with probability (1 - J ** band_rows) ** bands,
+    however it differs and however short it is: at 0.8 one of 12,000. In a band's
+    bucket every node is paired with the first, the last and the one before it in
+    one order of all nodes, so a bucket costs its size, not its square, the same
+    few nodes lead all buckets of a large group, and any bucket of up to four nodes is paired wholly. Larger buckets that still
     hold several components are paired again, every node with a leader of another
     component, in rounds of new orders until a round finds no link; then all pairs
     of different components that are left in a bucket are compared.
@@ -269,22 +282,22 @@ def keep_one_of_similar(
                 raw = data.tobytes()
                 keys = [xxhash.xxh3_64_intdigest(b" ".join(raw[offsets[i] : offsets[i + 1]].lower().split())) for i in range(high - low)]
                 lowered = np.frombuffer(raw.lower(), np.uint8)
-                v, s = _views(lowered, offsets, shingle_words, view_bits, views, sketch_words)
+                v, s = _views(lowered, offsets, shingle_words, bands, band_rows, sketch_words)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(low, high - low),
                         batch.column(2).slice(low, high - low),
                         pa.array(np.array(keys, np.uint64).view(np.int64)),
-                        pa.array([x.view(np.int64) for x in v], pa.list_(pa.int64())),
-                        pa.array([x.view(np.int64) for x in s], pa.list_(pa.int64())),
+                        pa.array(list(v.view(np.int64)), pa.list_(pa.int64())),
+                        pa.array(list(s.view(np.int64)), pa.list_(pa.int64())),
                     ],
-                    names=["id", "row", "node", "views", "sketch"],
+                    names=["id", "row", "node", "bands", "sketch"],
                 )
 
     plain = F.col(text_col).cast("string")
     narrow = docs.select(F.col(id_col).alias("id"), plain.alias("text"), F.xxhash64(F.col(id_col), plain).alias("row"))
-    rows = materialise(arrow_map(narrow, sketched, f"id {type_of(docs, id_col)}, row long, node long, views array<long>, sketch array<long>"), "sketches")
-    first = [F.first(c).alias(c) for c in ("row", "views", "sketch")]
+    rows = materialise(arrow_map(narrow, sketched, f"id {type_of(docs, id_col)}, row long, node long, bands array<long>, sketch array<long>"), "sketches")
+    first = [F.first(c).alias(c) for c in ("row", "bands", "sketch")]
     nodes = materialise(rows.groupBy("node").agg(F.min("id").alias("least_id"), *first), "nodes")
     discard(rows)
     sure, possible = sketch_bounds(similarity, 64 * sketch_words)
@@ -323,9 +336,8 @@ def keep_one_of_similar(
         discard(near)
         return labels, found
 
-    placed = nodes.select("node", F.posexplode("views").alias("view", "short"))
-    met = ball_variants(placed, "short", view_bits, radius).select("node", (F.col("variant") + F.shiftleft(F.col("view").cast("long"), view_bits)).alias("variant"))
-    order = Window.partitionBy("variant").orderBy(F.xxhash64("node"), "node")
+    met = nodes.select("node", F.explode("bands").alias("band"))
+    order = Window.partitionBy("band").orderBy(F.xxhash64("node"), "node")
     bucket = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     lined = met.withColumns({"first": F.first("node").over(order), "before": F.lag("node").over(order), "last": F.last("node").over(bucket), "size": F.count("node").over(bucket)})
     meetings = materialise(lined.where("size > 1"), "meetings")
@@ -337,7 +349,7 @@ def keep_one_of_similar(
     turn, found = 0, _any(crowd)
     while found:
         turn += 1
-        inside = Window.partitionBy("variant")
+        inside = Window.partitionBy("band")
         led = crowd.withColumn("me", F.struct(F.xxhash64(F.lit(turn), "node").alias("place"), "node", "root")).withColumn("lead", F.min("me").over(inside))
         led = led.withColumn("rival", F.min(F.when(F.col("root") != F.col("lead.root"), F.col("me"))).over(inside))
         ends = led.select("me", F.when(F.col("root") != F.col("lead.root"), F.col("lead")).otherwise(F.col("rival")).alias("to"))

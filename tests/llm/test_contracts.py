@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from brute import base_scores, base_spans, best_edits, chat, components, quality, remove_repeats, shingle_set, targets, words
 from pyspark.sql import functions as F
@@ -222,6 +223,44 @@ def test_similar_stage_pairs_crowded_buckets_wholly(spark):
     assert kept == {2 * g for g in range(30)}
 
 
+def test_similar_stage_finds_added_text_and_short_texts(spark):
+    rng = random.Random(13)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(4000)]
+    rows = []
+    for g in range(300):
+        n = rng.randint(10, 20) if g % 2 else rng.randint(30, 500)
+        w = [rng.choice(vocabulary) for _ in range(n)]
+        x = [*w, *(rng.choice(vocabulary) for _ in range(1 + int(rng.random() * 0.25 * (n - 4))))]
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(x))]
+    kept = {r.doc_id for r in simhash.keep_one_of_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [shingle_set(t) for _, t in rows]
+    alike = {i for i, _ in rows[1::2] if len(sets[i - 1] & sets[i]) >= 0.8 * len(sets[i - 1] | sets[i])}
+    assert len(alike) > 200 and kept == {i for i, _ in rows} - alike
+
+
+def test_similar_stage_compares_what_shares_much_but_too_little(spark):
+    """A crowd of one frame, 0.7 alike, in which two at a time are near copies."""
+    rng = random.Random(14)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(4000)]
+    frame, rows = [rng.choice(vocabulary) for _ in range(150)], []
+    for g in range(40):
+        w = [*frame, *(rng.choice(vocabulary) for _ in range(30))]
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join([*w, rng.choice(vocabulary)]))]
+    kept = {r.doc_id for r in simhash.keep_one_of_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {2 * g for g in range(40)}
+
+
+def test_min_hash_bands_collide_as_often_as_sets_are_alike():
+    rng = np.random.default_rng(15)
+    hits = []
+    for n in (10, 100):
+        for _ in range(150):
+            x = rng.integers(0, 1 << 63, n + n // 5, dtype=np.uint64)
+            one, two = simhash.min_hash_bands([x[:n], x[n // 5 :]], 40, 1)
+            hits.append((one == two).mean())
+    assert abs(np.mean(hits) - 2 / 3) < 0.02
+
+
 def test_sketch_bounds_enclose_the_threshold():
     for similarity in (0.5, 0.8, 0.95):
         sure, possible = simhash.sketch_bounds(similarity, 1024)
