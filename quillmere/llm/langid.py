@@ -227,18 +227,23 @@ class Models:
         return names, score, entropy, rejected
 
 
-def fit(labelled: DataFrame, text_col: str, lang_col: str, sample_chars: int = SAMPLE_CHARS, seed: int = 5) -> Models:
+def fit(labelled: DataFrame, text_col: str, lang_col: str, sample_chars: int = SAMPLE_CHARS, seed: int = 5, id_col: str | None = None) -> Models:
     """Models of every language in ``labelled``, from at most ``sample_chars`` of each.
 
-    Documents are drawn by a seeded hash of their text so that a language's share
-    comes to the bound, and the driver stops gathering a language there.
+    Documents are drawn by a seeded hash of their text and id so that a language's share
+    comes to the bound, and the driver stops gathering a language there. The text
+    of least hash of each language is always drawn, so that few texts, however long
+    or often copied, never leave a language without a model; it is gathered once.
     """
-    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
-    totals = {r.lang: r.chars for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).collect()}
+    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"), (F.col(id_col) if id_col else F.lit(None)).cast("string").alias("id")).where("lang is not null and text is not null")
+    place = F.xxhash64(F.lit(seed), "text", "id")
+    first = F.min(F.when(F.length("text") > 0, place)).alias("first")
+    sums = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), first).collect()
+    totals, firsts = {r.lang: r.chars for r in sums}, {r.lang: r.first for r in sums}
     share = {k: min(1.0, 1.2 * sample_chars / v) if v else 1.0 for k, v in totals.items()}
     if not share:
         return Models({})
-    chance = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    chance = F.pmod(place, F.lit(1 << 20)) / F.lit(float(1 << 20))
     wanted = F.create_map(*[F.lit(x) for k, v in sorted(share.items()) for x in (k, float(v))])
     train: dict[str, list[str]] = {k: [] for k in share}
     held: list[tuple[str, str]] = []
@@ -253,6 +258,10 @@ def fit(labelled: DataFrame, text_col: str, lang_col: str, sample_chars: int = S
             held.append((r.lang, r.text))
         else:
             train[r.lang].append(r.text)
+    # A language of which nothing was drawn learns from its text of least hash.
+    for lang in [k for k, v in train.items() if not v and firsts[k] is not None]:
+        r = rows.where((F.col("lang") == lang) & (place == firsts[lang])).select(F.substring("text", 1, sample_chars).alias("text")).first()
+        train[lang].append(r.text)
     models = Models({k: v for k, v in train.items() if v})
     models.calibrate(held)
     return models
@@ -268,7 +277,7 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: s
     ``rejected`` says that the text is unlike the predicted language's held-out
     texts. Repeated rows are predicted alike; an empty table gives no rows.
     """
-    models = fit(docs.where(learn), text_col, lang_col, sample_chars)
+    models = fit(docs.where(learn), text_col, lang_col, sample_chars, id_col=id_col)
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches):

@@ -267,6 +267,14 @@ def test_sketch_bounds_enclose_the_threshold():
         assert 0 <= sure < possible < 1024
 
 
+def test_language_of_one_copied_text_has_a_model(spark):
+    rows = [(lang, text) for i in range(12) for lang, text in [(f"l{i}", f"only text of language {chr(97 + i)} and nothing else " * 20)] for _ in range(50)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, text string")
+    for id_col in (None, "doc_id"):
+        models = langid.fit(df, "text", "lang", sample_chars=900, id_col=id_col)
+        assert models.languages == sorted({lang for lang, _ in rows})
+
+
 def test_mixing(spark, sf_dir, docs):
     out = q.op5_mixing(spark, sf_dir).collect()
     sizes = defaultdict(int)
