@@ -32,7 +32,11 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the words that the mix takes of each."""
+    """All documents, once and whole, with the words that the mix takes of each.
+
+    ``taken`` is the decision: 0 leaves a document out of the mix, more than its
+    size repeats it, and what reads the table draws that many words of it.
+    """
     return mixing.mix_sources(docs)
 
 
