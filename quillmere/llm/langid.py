@@ -231,9 +231,9 @@ def fit(labelled: DataFrame, text_col: str, lang_col: str, sample_chars: int = S
     """Models of every language in ``labelled``, from at most ``sample_chars`` of each.
 
     Documents are drawn by a seeded hash of their text and id so that a language's share
-    comes to the bound, and the driver stops gathering a language there. The text
-    of least hash of each language is always drawn, so that few texts, however long
-    or often copied, never leave a language without a model; it is gathered once.
+    comes to the bound, and the driver stops gathering a language there. A language
+    of which nothing is drawn (few texts, very long or all of one id) learns from its
+    text of least hash, so every language with text has a model.
     """
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"), (F.col(id_col) if id_col else F.lit(None)).cast("string").alias("id")).where("lang is not null and text is not null")
     place = F.xxhash64(F.lit(seed), "text", "id")
