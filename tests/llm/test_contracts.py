@@ -10,7 +10,7 @@ import pytest
 from brute import base_scores, base_spans, best_edits, chat, components, quality, remove_repeats, shingle_set, targets, words
 from pyspark.sql import functions as F
 
-from quillmere.llm import decontaminate, html_text, langid, lm, mixing, pii, simhash, substring
+from quillmere.llm import decontaminate, html_text, langid, lm, mixing, pii, similar, simhash, substring
 from quillmere.llm import queries as q
 
 
@@ -181,7 +181,7 @@ def test_similar_stage(spark):
         groups.append(own)
     rows += [(7, None), (8, None), (9, ""), (None, "lonely text"), (0, rows[0][1])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, sketch string")
-    kept = simhash.keep_one_of_similar(df)
+    kept = similar.keep_one_of_similar(df)
     assert kept.columns == df.columns
     ids = Counter(r.doc_id for r in kept.collect())
     for own in groups:
@@ -191,7 +191,7 @@ def test_similar_stage(spark):
             if len(a & b) / len(a | b) >= 0.82:
                 assert i not in ids
     assert ids[7] == 1 and ids[8] == ids[9] == 0 and ids[None] == 1
-    assert simhash.keep_one_of_similar(df.limit(0)).count() == 0
+    assert similar.keep_one_of_similar(df.limit(0)).count() == 0
 
 
 def test_similar_stage_keeps_what_is_less_alike(spark):
@@ -206,7 +206,7 @@ def test_similar_stage_keeps_what_is_less_alike(spark):
         rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(x))]
         a, b = shingle_set(rows[-2][1]), shingle_set(rows[-1][1])
         alike[2 * g + 1] = len(a & b) / len(a | b)
-    kept = {r.doc_id for r in simhash.keep_one_of_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept = {r.doc_id for r in similar.keep_one_of_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept >= {2 * g for g in range(60)} | {i for i, j in alike.items() if j < 0.8}
     assert len(kept) < len(rows)
 
@@ -219,7 +219,7 @@ def test_similar_stage_pairs_crowded_buckets_wholly(spark):
     for g in range(30):
         w = rng.sample(vocabulary, len(vocabulary))
         rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join([*w[:-2], w[-1], w[-2]]))]
-    kept = {r.doc_id for r in simhash.keep_one_of_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept = {r.doc_id for r in similar.keep_one_of_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == {2 * g for g in range(30)}
 
 
@@ -232,7 +232,7 @@ def test_similar_stage_finds_added_text_and_short_texts(spark):
         w = [rng.choice(vocabulary) for _ in range(n)]
         x = [*w, *(rng.choice(vocabulary) for _ in range(1 + int(rng.random() * 0.25 * (n - 4))))]
         rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(x))]
-    kept = {r.doc_id for r in simhash.keep_one_of_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept = {r.doc_id for r in similar.keep_one_of_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     sets = [shingle_set(t) for _, t in rows]
     alike = {i for i, _ in rows[1::2] if len(sets[i - 1] & sets[i]) >= 0.8 * len(sets[i - 1] | sets[i])}
     assert len(alike) > 200 and kept == {i for i, _ in rows} - alike
@@ -246,24 +246,61 @@ def test_similar_stage_compares_what_shares_much_but_too_little(spark):
     for g in range(40):
         w = [*frame, *(rng.choice(vocabulary) for _ in range(30))]
         rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join([*w, rng.choice(vocabulary)]))]
-    kept = {r.doc_id for r in simhash.keep_one_of_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept = {r.doc_id for r in similar.keep_one_of_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == {2 * g for g in range(40)}
 
 
+def test_similar_stage_settles_one_large_group(spark):
+    """Thousands of copies of one text, edited more and less, against all pairs."""
+    rng = random.Random(16)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(4000)]
+    base = [rng.choice(vocabulary) for _ in range(120)]
+    rows = []
+    for i in range(2000):
+        w = list(base)
+        for _ in range(rng.choice([1, 1, 1, 2, 2, 3, 5])):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        rows.append((i, " ".join(w)))
+    sets = [shingle_set(t) for _, t in rows]
+    number = {g: k for k, g in enumerate(sorted(set().union(*sets)))}
+    holds = np.zeros((len(rows), len(number)), np.float32)
+    for i, own in enumerate(sets):
+        holds[i, [number[g] for g in own]] = 1
+    both, size = holds @ holds.T, holds.sum(1)
+    linked = both + 1e-6 >= 0.8 * (size[:, None] + size[None, :] - both)
+    root = np.arange(len(rows))
+    while True:
+        least = np.where(linked, root[None, :], len(rows)).min(1)
+        if (least == root).all():
+            break
+        root = least
+    kept = {r.doc_id for r in similar.keep_one_of_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = set(root.tolist())
+    assert 1 < len(want) < 1500 and want <= kept
+    assert len(kept - want) <= 0.01 * (len(rows) - len(want))
+
+
+def test_similar_stage_ties(spark):
+    rows = [(1, "one text of nine words that stands quite alone"), (1, "one text of nine words that stands quite alone"), (1, "One text of nine words that stands quite alone"), (1, "another text under the very same id as the first"), (None, None), (None, ""), (2, "one  text of nine words that stands quite alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = Counter((r.doc_id, " ".join((r.text or "").lower().split())) for r in similar.keep_one_of_similar(df).collect())
+    assert kept == Counter([(1, rows[0][1]), (1, rows[3][1]), (None, "")])
+
+
 def test_min_hash_bands_collide_as_often_as_sets_are_alike():
     rng = np.random.default_rng(15)
     hits = []
     for n in (10, 100):
         for _ in range(150):
             x = rng.integers(0, 1 << 63, n + n // 5, dtype=np.uint64)
-            one, two = simhash.min_hash_bands([x[:n], x[n // 5 :]], 40, 1)
+            one, two = similar.min_hash_bands([x[:n], x[n // 5 :]], 40, 1)
             hits.append((one == two).mean())
     assert abs(np.mean(hits) - 2 / 3) < 0.02
 
 
 def test_sketch_bounds_enclose_the_threshold():
     for similarity in (0.5, 0.8, 0.95):
-        sure, possible = simhash.sketch_bounds(similarity, 1024)
+        sure, possible = similar.sketch_bounds(similarity, 1024)
         assert 0 <= sure < possible < 1024
 
 
