@@ -6,8 +6,7 @@ shuffle brings equal variants together, and what meets is verified. A variant's
 bucket holds distinct fingerprints only, of which at most a ball's worth exist,
 so copies however many never make a large group.
 
-The near-duplicate stage of the pipeline compares shingle sets instead; its
-candidates meet by min-hash bands.
+``keep_one_of_similar`` is the near-duplicate filter on shingle sets (``similar``).
 """
 
 from __future__ import annotations
@@ -20,9 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, discard, fresh_name, materialise, type_of
+from .common import arrow_map, materialise, type_of
 from .components import connected_components
-from .textscan import Words, SpanHasher, mix, pieces, window_hashes
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float32)
 
@@ -103,273 +101,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = materialise(named.groupBy("root").agg(F.min("least_id").alias("component_id")), "least")
     classes = materialise(named.join(least, "root").select(F.col("fp").alias("known"), "component_id"), "classes")
     return found.join(classes, found.fp == classes.known).select("id", "fp", "component_id")
-
-
-# --- near duplicates by similarity of five-word shingles -------------------------------
-
-_SEQUENCE = np.uint64(31)
-
-
-def _shingles(data: np.ndarray, offsets: np.ndarray, shingle_words: int):
-    """Of each document: the sorted hashes of its shingles (fewer words: of all of them)."""
-    words = Words(data, offsets)
-    single = SpanHasher(data)(words.start, words.end)
-    shingles = window_hashes(single, shingle_words)
-    whole = words.doc[: len(shingles)] == words.doc[len(single) - len(shingles) :]
-    for d in range(len(offsets) - 1):
-        low, high = words.first[d], words.first[d + 1]
-        runs = np.unique(shingles[low : min(high, len(shingles))][whole[low : min(high, len(shingles))]])
-        if high > low and not len(runs):
-            runs = np.zeros(1, np.uint64)
-            for h in single[low:high]:
-                runs = mix(runs * _SEQUENCE + h)
-        yield runs
-
-
-def min_hash_bands(sets: list[np.ndarray], bands: int, band_rows: int) -> np.ndarray:
-    """(sets, bands): hashes that two sets of Jaccard similarity J share with probability J ** band_rows each; none is empty."""
-    together, starts = np.concatenate(sets), np.cumsum([0, *[len(x) for x in sets[:-1]]])
-    odd = mix(np.arange(1, bands * band_rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    out = np.empty((len(sets), bands), np.uint64)
-    for k in range(bands):
-        band = np.full(len(sets), k + 1, np.uint64)
-        for factor in odd[k * band_rows : (k + 1) * band_rows]:
-            band = mix(band * _SEQUENCE + np.minimum.reduceat(together * factor, starts))
-        out[:, k] = band
-    return out
-
-
-def _views(data: np.ndarray, offsets: np.ndarray, shingle_words: int, bands: int, band_rows: int, sketch_words: int):
-    """Of each document: min-hash bands and a SimHash sketch of its shingle set."""
-    sets = list(_shingles(data, offsets, shingle_words))
-    out_bands, out_sketch = np.zeros((len(sets), bands), np.uint64), np.zeros((len(sets), sketch_words), np.uint64)
-    filled = [d for d, runs in enumerate(sets) if len(runs)]
-    if filled:
-        out_bands[filled] = min_hash_bands([sets[d] for d in filled], bands, band_rows)
-    for d in filled:
-        out_sketch[d] = majority_bits(np.stack([mix(sets[d] + np.uint64(0xC2B2AE3D27D4EB4F * (k + 1) & (1 << 64) - 1)) for k in range(sketch_words)], 1))
-    return out_bands, out_sketch
-
-
-def sketch_bounds(similarity: float, bits: int, deviations: float = 3.5) -> tuple[int, int]:
-    """(sure, possible): differing sketch bits below which a pair is surely as alike as
-    ``similarity``, and above which it surely is not.
-
-    Sets of Jaccard similarity J have a cosine from 2J/(1+J), when of one size, to
-    sqrt(J), when one holds the other; a bit differs with probability angle/pi.
-    Some standard deviations are taken off and added.
-    """
-
-    def spread(cosine: float, sign: int) -> int:
-        p = float(np.arccos(cosine) / np.pi)
-        return int(bits * p + sign * deviations * (bits * p * (1 - p)) ** 0.5)
-
-    return spread(similarity**0.5, -1), spread(2 * similarity / (1 + similarity), 1)
-
-
-def _any(df: DataFrame) -> bool:
-    return df.limit(1).count() > 0
-
-
-def _shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
-    """(at, grams): the shingle set of one text of each node in ``wanted`` (node, row)."""
-
-    def run(batches):
-        for batch in batches:
-            for low, high, data, offsets in pieces(batch.column(1).cast(pa.string())):
-                lowered = np.frombuffer(data.tobytes().lower(), np.uint8)
-                sets = [runs.view(np.int64) for runs in _shingles(lowered, offsets, shingle_words)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(sets, pa.list_(pa.int64()))], names=["at", "grams"])
-
-    text = F.col(text_col).cast("string")
-    texts = docs.select(F.xxhash64(F.col(id_col), text).alias("row"), text.alias("text")).join(wanted, "row")
-    return arrow_map(texts.groupBy("node").agg(F.first("text").alias("text")), run, "at long, grams array<long>")
-
-
-def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels`` (node, root) after joining the components that ``links`` (ra, rb) connect."""
-    moved = connected_components(links, "ra", "rb").select(F.col("node").alias("was"), F.col("root").alias("now"))
-    return materialise(labels.join(moved, labels.root == moved.was, "left").select("node", F.coalesce("now", "root").alias("root")), "labels")
-
-
-def _mixed(crowd: DataFrame, labels: DataFrame) -> DataFrame:
-    """(band, node, root): the members of those buckets of ``crowd`` that hold several components."""
-    inside = Window.partitionBy("band")
-    named = crowd.select("band", "node").join(labels, "node").withColumns({"low": F.min("root").over(inside), "high": F.max("root").over(inside)})
-    left = materialise(named.where("low <> high").select("band", "node", "root"), "crowd")
-    discard(crowd)
-    return left
-
-
-def _across(crowd: DataFrame, sketches: DataFrame, possible: int, block: int = 512) -> DataFrame:
-    """(a, b, ra, rb, apart): all pairs of a bucket's members (band, node, root) that are in
-    different components and differ in at most ``possible`` bits of their ``sketches`` (at, sketch).
-
-    A bucket is cut into blocks, and every two blocks are compared by one matrix product.
-    """
-    inside = Window.partitionBy("band")
-    placed = crowd.withColumns(
-        {
-            "own": F.floor((F.row_number().over(inside.orderBy("node")) - 1) / block).cast("int"),
-            "blocks": F.ceil(F.count("node").over(inside) / block).cast("int"),
-        }
-    )
-    dealt = placed.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("band", F.least("own", "met").alias("low"), F.greatest("own", "met").alias("high"), "own", "node", "root")
-    dealt = dealt.join(sketches, F.col("node") == F.col("at")).drop("at")
-
-    def compare(table: pa.Table) -> pa.Table:
-        node, root, own, low, high = (table.column(c).to_numpy() for c in ("node", "root", "own", "low", "high"))
-        flat = table.column("sketch").combine_chunks().flatten().to_numpy()
-        signs = np.unpackbits(flat.view(np.uint8).reshape(len(node), -1), axis=1).astype(np.float32) * 2 - 1
-        one, two = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        apart = (signs.shape[1] - signs[one] @ signs[two].T) / 2
-        wanted = (apart <= possible) & (root[one][:, None] != root[two][None, :])
-        if low[0] == high[0]:
-            wanted = np.triu(wanted)
-        x, y = np.nonzero(wanted)
-        i, j = one[x], two[y]
-        i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
-        return pa.table({"a": node[i], "b": node[j], "ra": root[i], "rb": root[j], "apart": apart[x, y].astype(np.int32)})
-
-    return dealt.groupBy("band", "low", "high").applyInArrow(compare, "a long, b long, ra long, rb long, apart int").distinct()
-
-
-def keep_one_of_similar(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    shingle_words: int = 5,
-    similarity: float = 0.8,
-    bands: int = 40,
-    band_rows: int = 7,
-    sketch_words: int = 16,
-) -> DataFrame:
-    """``docs`` without all but one document of each group of near copies.
-
-    Texts with equal lower-cased word sequences are one node. Candidates share
-    one of ``bands`` hashes of ``band_rows`` min-hashes each of the shingle set, so
-    a pair of similarity J is missed with probability (1 - J ** band_rows) ** bands,
-    however it differs and however short it is: at 0.8 one of 12,000. In a band's
-    bucket every node is paired with the first, the last and the one before it in
-    one order of all nodes, so a bucket costs its size, not its square, the same
-    few nodes lead all buckets of a large group, and any bucket of up to four nodes is paired wholly. Larger buckets that still
-    hold several components are paired again, every node with a leader of another
-    component, in rounds of new orders until a round finds no link; then all pairs
-    of different components that are left in a bucket are compared.
-
-    A pair is a link if its five-word shingle sets have a Jaccard similarity of
-    ``similarity``. SimHash sketches of the sets (64 bits per sketch word) settle
-    pairs far from that; the sets themselves settle every other pair that would
-    join two components. The row with the least id of each linked
-    group stays. Null and empty texts are equal to one another. Of repeated rows
-    one stays (the least by a hash of all columns). All columns are passed on
-    unchanged, whatever their names.
-    """
-    key, text = fresh_name(docs, "text_key"), text_col
-
-    def keyed(batches):
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).cast(pa.binary()).to_pylist()
-            values = np.array([xxhash.xxh3_64_intdigest(b" ".join((t or b"").lower().split())) for t in texts], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values.view(np.int64))], names=[*batch.schema.names, key])
-
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-
-    def sketched(batches):
-        for batch in batches:
-            for low, high, data, offsets in pieces(batch.column(1).cast(pa.string())):
-                raw = data.tobytes()
-                keys = [xxhash.xxh3_64_intdigest(b" ".join(raw[offsets[i] : offsets[i + 1]].lower().split())) for i in range(high - low)]
-                lowered = np.frombuffer(raw.lower(), np.uint8)
-                v, s = _views(lowered, offsets, shingle_words, bands, band_rows, sketch_words)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(low, high - low),
-                        batch.column(2).slice(low, high - low),
-                        pa.array(np.array(keys, np.uint64).view(np.int64)),
-                        pa.array(list(v.view(np.int64)), pa.list_(pa.int64())),
-                        pa.array(list(s.view(np.int64)), pa.list_(pa.int64())),
-                    ],
-                    names=["id", "row", "node", "bands", "sketch"],
-                )
-
-    plain = F.col(text_col).cast("string")
-    narrow = docs.select(F.col(id_col).alias("id"), plain.alias("text"), F.xxhash64(F.col(id_col), plain).alias("row"))
-    rows = materialise(arrow_map(narrow, sketched, f"id {type_of(docs, id_col)}, row long, node long, bands array<long>, sketch array<long>"), "sketches")
-    first = [F.first(c).alias(c) for c in ("row", "bands", "sketch")]
-    nodes = materialise(rows.groupBy("node").agg(F.min("id").alias("least_id"), *first), "nodes")
-    discard(rows)
-    sure, possible = sketch_bounds(similarity, 64 * sketch_words)
-
-    sketches = nodes.select(F.col("node").alias("at"), "sketch")
-
-    def close(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b, ra, rb) whose sketches allow a link, with how many bits differ."""
-        near = pairs.join(sketches, F.col("a") == F.col("at")).select(*pairs.columns, F.col("sketch").alias("one"))
-        near = near.join(sketches, F.col("b") == F.col("at")).select(*pairs.columns, "one", F.col("sketch").alias("two"))
-        apart = F.aggregate(F.zip_with("one", "two", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-        return near.select(*pairs.columns, apart.alias("apart")).where(F.col("apart") <= possible)
-
-    def absorb(labels: DataFrame, near: DataFrame) -> tuple[DataFrame, bool]:
-        """The labels after the links among ``near`` (a, b, ra, rb, apart), and whether there were any."""
-        near, found = materialise(near, "close"), False
-        settled = near.where(F.col("apart") <= sure)
-        if _any(settled):
-            labels, found = _merged(labels, settled), True
-        doubtful = near.where(F.col("apart") > sure).select("a", "b")
-        for side, root in (("a", "ra"), ("b", "rb")):
-            own = labels.select(F.col("node").alias("at"), F.col("root").alias(root))
-            doubtful = doubtful.join(own, F.col(side) == F.col("at")).drop("at")
-        doubtful = materialise(doubtful.where("ra <> rb"), "doubtful")
-        if _any(doubtful):
-            ends = doubtful.select("a").union(doubtful.select("b")).distinct().withColumnRenamed("a", "node")
-            sets = materialise(_shingle_sets(docs, nodes.select("node", "row").join(ends, "node"), id_col, text_col, shingle_words), "grams")
-            alike = doubtful.join(sets, F.col("a") == F.col("at")).select("b", "ra", "rb", F.col("grams").alias("one"))
-            alike = alike.join(sets, F.col("b") == F.col("at")).select("ra", "rb", "one", F.col("grams").alias("two"))
-            alike = alike.select("ra", "rb", F.size(F.array_intersect("one", "two")).alias("both"), (F.size("one") + F.size("two")).alias("sizes"))
-            links = materialise(alike.where(F.col("both") + 1e-9 >= similarity * (F.col("sizes") - F.col("both"))).select("ra", "rb").distinct(), "links")
-            discard(sets)
-            if _any(links):
-                labels, found = _merged(labels, links), True
-        discard(doubtful)
-        discard(near)
-        return labels, found
-
-    met = nodes.select("node", F.explode("bands").alias("band"))
-    order = Window.partitionBy("band").orderBy(F.xxhash64("node"), "node")
-    bucket = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    lined = met.withColumns({"first": F.first("node").over(order), "before": F.lag("node").over(order), "last": F.last("node").over(bucket), "size": F.count("node").over(bucket)})
-    meetings = materialise(lined.where("size > 1"), "meetings")
-    partners = F.array_distinct(F.filter(F.array("first", "before", "last"), lambda o: o != F.col("node")))
-    paired = meetings.select("node", F.explode(partners).alias("other")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    labels, _ = absorb(nodes.select("node", F.col("node").alias("root")), close(paired.select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb"))))
-    crowd = _mixed(meetings.where("size > 4"), labels)
-    discard(meetings)
-    turn, found = 0, _any(crowd)
-    while found:
-        turn += 1
-        inside = Window.partitionBy("band")
-        led = crowd.withColumn("me", F.struct(F.xxhash64(F.lit(turn), "node").alias("place"), "node", "root")).withColumn("lead", F.min("me").over(inside))
-        led = led.withColumn("rival", F.min(F.when(F.col("root") != F.col("lead.root"), F.col("me"))).over(inside))
-        ends = led.select("me", F.when(F.col("root") != F.col("lead.root"), F.col("lead")).otherwise(F.col("rival")).alias("to"))
-        ends = ends.select(F.when(F.col("me.node") < F.col("to.node"), F.array("me", "to")).otherwise(F.array("to", "me")).alias("two"))
-        pairs = ends.select(*[F.col("two")[i][c].alias(n) for n, i, c in (("a", 0, "node"), ("b", 1, "node"), ("ra", 0, "root"), ("rb", 1, "root"))]).distinct()
-        labels, found = absorb(labels, close(pairs))
-        if found:
-            crowd = _mixed(crowd, labels)
-            found = _any(crowd)
-    if _any(crowd):
-        labels, _ = absorb(labels, _across(crowd, sketches, possible))
-    named = materialise(nodes.join(labels, "node").select("node", "least_id", "root"), "named")
-    # The stayer of a component: the least id, then the least node, null ids last.
-    best = named.groupBy("root").agg(F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "node")).alias("best")).select("best.*")
-    # Rows are matched by text and id together: copies of one text, however many, spread evenly.
-    stay = materialise(best.select(F.col("least_id").alias("stay_id"), F.col("node").alias("stay_node"), F.xxhash64("node", "least_id").alias("stay_row")), "stay")
-    row = fresh_name(docs, "row_key")
-    full = arrow_map(docs, keyed, f"{fields}, `{key}` long").withColumn(row, F.xxhash64(key, f"`{id_col}`"))
-    same = (full[row] == stay.stay_row) & (full[key] == stay.stay_node) & full[id_col].eqNullSafe(stay.stay_id)
-    kept = full.join(stay, same, "left_semi")
-    turn = fresh_name(docs, "row_turn")
-    tie = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
-    return kept.withColumn(turn, F.row_number().over(Window.partitionBy(row).orderBy(tie))).where(f"{turn} = 1").select(*[f"`{c}`" for c in docs.columns])
