@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +24,12 @@ from .common import arrow_map, type_of
 
 # HTML's element kinds.
 SILENT = frozenset("script style noscript template svg math head title textarea select option button iframe object canvas audio video datalist dialog".split())
+RAW = frozenset("script style".split())
+IN_HEAD = frozenset("html head title meta link base script style noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: An opening tag on the left ends an open element on the right.
-ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 # Words in class, id and role that hint at what a part of a page is.
 HINT_AGAINST = frozenset(
     "nav navbar navigation menu menubar topbar header masthead footer foot bottom sidebar side aside rail ad ads advert advertisement adsense banner promo promotion sponsor sponsored cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login register form search breadcrumb breadcrumbs share sharing social follow related recommended recommendations more trending popular comment comments reply replies discussion disqus respond widget toolbar pagination pager tags tag categories copyright legal disclaimer skip contentinfo complementary byline bio author meta cta".split()
@@ -33,48 +37,84 @@ HINT_AGAINST = frozenset(
 HINT_FOR = frozenset("article content contents post posts entry main story body text page maincontent articlebody blog news".split())
 
 
+class Place(NamedTuple):
+    """What is known of a spot in the tree: features of its ancestors, and what the nearest of them speaks for."""
+
+    features: frozenset = frozenset()
+    nearest: str | None = None
+    in_article: bool = False
+    tag: str = ""
+
+
 @dataclass
 class Block:
     text: str
     linked: int
-    ancestors: tuple
+    place: Place
+    #: The nearest silent element around the text, and whether a block element stands between.
+    silence: tuple
+
+
+@dataclass
+class _Silent:
+    """A silent element and the nearest around it; whether its own end tag has come."""
+
+    around: _Silent | None
+    closed: bool = False
 
 
 class _Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, tuple]] = []
-        self.silent = self.links = self.linked = 0
+        #: (tag, place, silence, where the nearest block element is) of every open element.
+        self.stack: list[tuple[str, Place, tuple, int]] = [("", Place(), (None, False), 0)]
+        self.silent: list[_Silent] = []
+        self.open: Counter = Counter()
+        self.links = self.linked = 0
         self.parts: list[str] = []
         self.blocks: list[Block] = []
 
     def flush(self):
         text = " ".join("".join(self.parts).split())
         if text:
-            self.blocks.append(Block(text, self.linked, tuple(self.stack)))
+            self.blocks.append(Block(text, self.linked, *self.stack[-1][1:3]))
         self.parts, self.linked = [], 0
 
     def _pop(self, count):
-        for tag, _ in self.stack[len(self.stack) - count :]:
-            self.silent -= tag in SILENT
+        for tag, *_ in self.stack[len(self.stack) - count :]:
+            self.open[tag] -= 1
             self.links -= tag == "a"
         del self.stack[len(self.stack) - count :]
 
+    def _close_head(self):
+        """What can't stand in a head ends it, as its end tag may be left out."""
+        for k, (tag, *_) in enumerate(self.stack[1:4], 1):
+            if tag == "head":
+                self._pop(len(self.stack) - k)
+                break
+
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
             self.flush()
         if tag in VOID:
             return
+        if tag not in IN_HEAD:
+            self._close_head()
         ends = ENDS.get(tag, {"p"} if tag in BLOCK else ())
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] in ends:
-                self._pop(len(self.stack) - k)
-                break
-            if self.stack[k][0] in BLOCK:
-                break
+        while self.stack[self.stack[-1][3]][0] in ends:
+            self._pop(len(self.stack) - self.stack[-1][3])
+        if tag == "option" and self.stack[-1][0] == "option":
+            self._pop(1)
         words = tuple(w for n, v in attrs if n in ("class", "id", "role") and v for w in re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", v).lower()))
-        self.stack.append((tag, words))
-        self.silent += tag in SILENT
+        _, place, silence, block = self.stack[-1]
+        if tag in BLOCK:
+            silence = silence[0], True
+        if tag in SILENT:
+            self.flush()
+            silence = _Silent(silence[0]), False
+            self.silent.append(silence[0])
+        self.stack.append((tag, inside(place, tag, words), silence, len(self.stack) if tag in BLOCK else block))
+        self.open[tag] += 1
         self.links += tag == "a"
 
     def handle_startendtag(self, tag, attrs):
@@ -84,27 +124,37 @@ class _Blocks(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCK:
             self.flush()
-        for k in range(len(self.stack) - 1, -1, -1):
+        for k in range(len(self.stack) - 1, 0, -1) if self.open[tag] else ():
             if self.stack[k][0] == tag:
+                if tag in SILENT:
+                    self.flush()
+                    self.stack[k][2][0].closed = True
                 self._pop(len(self.stack) - k)
                 break
 
     def handle_data(self, data):
-        if not self.silent:
+        if self.stack[-1][0] not in RAW:
             self.parts.append(data)
             if self.links:
                 self.linked += len(data.strip())
 
 
 def parse_blocks(html: str) -> list[Block]:
-    """The text blocks of a page, in order; broken markup is read as far as it goes."""
+    """The text blocks of a page, in order; broken markup is read as far as it goes.
+
+    What stands in a silent element is no block. One that its own end tag never
+    closes counts as closed where the first block element inside it begins.
+    """
     parser = _Blocks()
     parser.feed(html)
     parser.close()
     parser.flush()
-    if parser.blocks and html.endswith("<") and parser.blocks[-1].text == "<":  # a page cut off inside a tag
-        parser.blocks.pop()
-    return parser.blocks
+    for s in parser.silent:
+        s.closed = s.closed or s.around is not None and s.around.closed
+    blocks = [b for b in parser.blocks if b.silence[0] is None or b.silence[1] and not b.silence[0].closed]
+    if blocks and html.endswith("<") and blocks[-1].text == "<":  # a page cut off inside a tag
+        blocks.pop()
+    return blocks
 
 
 @lru_cache(maxsize=4096)
@@ -121,31 +171,33 @@ def hint(word: str) -> str | None:
 
 
 @lru_cache(maxsize=4096)
-def _place_features(ancestors: tuple) -> tuple[str, ...]:
-    out = set()
-    nearest = None
-    for tag, words in ancestors:
-        out.add(f"in {tag}")
-        if tag in ("nav", "header", "footer", "aside", "form", "menu"):
-            nearest = "against"
-        elif tag in ("article", "main"):
-            nearest = "for"
-        kinds = [hint(w) for w in words]
-        out.update(f"word {w}" for w in words)
-        out.update(f"hint {k}" for k in kinds if k)
-        if any(kinds):  # a class or id says more than the tag
-            nearest = "against" if "against" in kinds else "for"
-    out.add(f"nearest {nearest}")
-    if ancestors:
-        out.add(f"at {ancestors[-1][0]}")
-    return tuple(out)
+def _own_features(tag: str, words: tuple) -> tuple[frozenset, str | None]:
+    """Features of one element, and what its class, id and role speak for."""
+    kinds = [hint(w) for w in words]
+    out = {f"in {tag}", *(f"word {w}" for w in words), *(f"hint {k}" for k in kinds if k)}
+    return frozenset(out), ("against" if "against" in kinds else "for") if any(kinds) else None
+
+
+def inside(place: Place, tag: str, words: tuple) -> Place:
+    """The place of an element that is opened at ``place``. A header of an article is a part of it."""
+    own, hinted = _own_features("article header" if tag == "header" and place.in_article else tag, words)
+    nearest = place.nearest
+    if tag in ("nav", "footer", "aside", "form", "menu") or tag == "header" and not place.in_article:
+        nearest = "against"
+    elif tag in ("article", "main"):
+        nearest = "for"
+    # A class or id says more than the tag.
+    known = place.features if own <= place.features else place.features | own
+    return Place(known, hinted or nearest, place.in_article or tag in ("article", "main"), tag)
 
 
 def features(block: Block) -> list[str]:
     n = len(block.text)
     words = block.text.count(" ") + 1
     return [
-        *_place_features(block.ancestors),
+        *block.place.features,
+        f"nearest {block.place.nearest}",
+        f"at {block.place.tag}",
         f"words {min(7, words.bit_length())}",
         f"linked {min(3, 4 * block.linked // max(n, 1))}",
         f"ends {block.text[-1] in '.!?…:;'}",
@@ -284,8 +336,12 @@ def labelled_pages(count: int = 240, seed: int = 29) -> list[tuple[str, str]]:
             gold.append(text)
             inner.append(f"<{tag}>{text}</{tag}>" if rng.random() < 0.85 or tag != "p" else f"<p>{text}")
 
-        if rng.random() < 0.8:
+        own_header = rng.random() < 0.2
+        if own_header or rng.random() < 0.8:
             say(rng.choice(["h1", "h1", "h2"]), sentence(2, 9).rstrip(".?!"))
+        if own_header:
+            byline = f'<p {mark("byline", "author", "meta")}>{word()} {word()}</p>' if rng.random() < 0.5 else ""
+            inner[:] = [f"<header>{inner[0]}{byline}</header>"]
         for _ in range(rng.randint(1, 9)):
             roll = rng.random()
             if roll < 0.72:
@@ -307,7 +363,7 @@ def labelled_pages(count: int = 240, seed: int = 29) -> list[tuple[str, str]]:
         body = "".join(inner)
         late = boiler("comments") if rng.random() < 0.35 else ""
         wrap = rng.random()
-        if wrap < 0.4:
+        if wrap < 0.4 or own_header:
             main = f"<article>{body}{late if rng.random() < 0.5 else ''}</article>{late}" if late and rng.random() < 0.3 else f"<article>{body}</article>{late}"
         elif wrap < 0.6:
             main = f"<main>{body}{late}</main>"
@@ -321,7 +377,7 @@ def labelled_pages(count: int = 240, seed: int = 29) -> list[tuple[str, str]]:
         after = [boiler(k) for k in ("side", "share", "ad", "nav", "footer") if rng.random() < 0.5]
         if rng.random() < 0.3:
             main = f'<div {mark("container", "wrapper", "page", "row")}>{main}{after.pop() if after else ""}</div>'
-        pages.append((f"<!DOCTYPE html><html><head><title>{word()}</title><style>p{{margin:0}}</style></head><body><script>var a=1;</script>{''.join(before)}{main}{''.join(after)}</body></html>", " ".join(gold)))
+        pages.append((f"<!DOCTYPE html><html><head><title>{word()}</title><style>p{{margin:0}}</style>{rng.choice(["</head>", "</head>", ""])}<body><script>var a=1;</script>{''.join(before)}{main}{''.join(after)}</body></html>", " ".join(gold)))
     return pages
 
 
@@ -356,8 +412,11 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     Null and empty pages, and pages without main text, have empty text. Character
     references are decoded once, white space inside a block becomes one space,
-    blocks are joined by one space in page order. Repeated rows are treated alike;
-    an empty table gives no rows; other columns are ignored.
+    blocks are joined by one space in page order. An article's own header, with its
+    title, belongs to the article; a page's does not. A page is read whole, however
+    long; end tags may be missing (``parse_blocks``). Repeated rows are treated
+    alike; an empty table gives no rows; other columns are ignored, whatever their
+    names.
     """
     shared = pages.sparkSession.sparkContext.broadcast(field or trained_field())
 

@@ -428,6 +428,38 @@ def test_html_pages(spark, sf_dir):
         assert r.text == want and r.n_chars == len(want)
 
 
+PROSE = "The body of it, which is long enough to be prose."
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<head><title>T</title><meta charset=utf-8><body><article><h1>Some title here</h1><p>{PROSE}</p></article>", f"Some title here {PROSE}"),
+        (f"<!doctype html><title>T</title><article><p>{PROSE}</p></article>", PROSE),
+        (f"<head><title>T</title><style>p{{}}</style><article><p>{PROSE}</p></article>", PROSE),
+        (f"<body><nav><ul><li><a href=x>a</a></ul></nav><select><option>q<option>r<article><p>{PROSE}</p></article></body>", PROSE),
+        (f"<body><button>Menu<article><p>{PROSE}</p><button>Go</button></article></body>", PROSE),
+        (f"<body><article><svg><text>x</text></svg><noscript><p>none</p></noscript><p>{PROSE}</p></article>", PROSE),
+        (f"<body><article><header><h1>Some title here</h1><p class=byline>by me</p></header><p>{PROSE}</p></article><footer>x</footer>", f"Some title here {PROSE}"),
+        (f"<body><header><h1>Site</h1></header><article><p>{PROSE}</p></article>", PROSE),
+        (f"<article><p>{PROSE}</p></article><script>var a = '<p>{PROSE}</p>'", PROSE),
+    ],
+)
+def test_html_missing_end_tags(page, want):
+    assert html_text.main_text(page, html_text.trained_field()) == want
+
+
+@pytest.mark.parametrize("unit", [f"<font><p>{PROSE}</p>", f"</b><p>{PROSE}", f"<div class=a><p>{PROSE}</p>", f"<svg><p>{PROSE}</p>"])
+def test_html_very_long_pages(unit):
+    page = f"<article>{unit * (5_000_000 // len(unit))}</article>"
+    assert html_text.main_text(page, html_text.trained_field()).count(PROSE) == page.count(PROSE)
+
+
+def test_html_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "u", f"<article><p>{PROSE}</p></article>", "x", 5), (1, "u", f"<article><p>{PROSE}</p></article>", None, 5)], "page_id long, url string, html string, text string, id int")
+    assert [tuple(r) for r in html_text.extract_main_text(df).collect()] == [(1, "u", PROSE)] * 2
+
+
 def test_html_edges(spark):
     df = spark.createDataFrame([(1, None, None), (2, "u", ""), (3, "u", "<p>"), (4, "u", "<article><p>a&amp;b <i>c</i>d<br>e</p><script>x</script></article><p><"), (4, "u", "plain")], "page_id long, url string, html string")
     out = [(r.id, r.text) for r in html_text.extract_main_text(df).collect()]
