@@ -12,10 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, type_of
+from .common import arrow_map, discard, materialise, type_of
 from .textscan import mix
 
 ORDER = 4
@@ -231,8 +231,9 @@ def fit(labelled: DataFrame, text_col: str, lang_col: str, sample_chars: int = S
     """Models of every language in ``labelled``, from at most ``sample_chars`` of each.
 
     Documents are drawn by a seeded hash of their text and id so that a language's share
-    comes to the bound, and the driver stops gathering a language there. A language
-    of which nothing is drawn (few texts, very long or all of one id) learns from its
+    comes to a little over the bound; of these the first by the hash go to the driver,
+    until the bound is reached. All partitions are read side by side. A language of
+    which nothing is drawn (few texts, very long or all of one id) learns from its
     text of least hash, so every language with text has a model.
     """
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"), (F.col(id_col) if id_col else F.lit(None)).cast("string").alias("id")).where("lang is not null and text is not null")
@@ -247,17 +248,17 @@ def fit(labelled: DataFrame, text_col: str, lang_col: str, sample_chars: int = S
     wanted = F.create_map(*[F.lit(x) for k, v in sorted(share.items()) for x in (k, float(v))])
     train: dict[str, list[str]] = {k: [] for k in share}
     held: list[tuple[str, str]] = []
-    taken: dict[str, int] = dict.fromkeys(share, 0)
+    drawn = materialise(rows.where(chance < F.element_at(wanted, F.col("lang"))).select("lang", "text", place.alias("place")), "sample")
+    before = F.coalesce(F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bounded = drawn.withColumn("before", before).where(F.col("before") < sample_chars)
     seen = dict.fromkeys(share, 0)
-    for r in rows.where(chance < F.element_at(wanted, F.col("lang"))).toLocalIterator():
-        if taken[r.lang] >= sample_chars:
-            continue
+    for r in bounded.orderBy("lang", "place").collect():
         seen[r.lang] += 1
-        taken[r.lang] += len(r.text)
         if seen[r.lang] % CALIBRATE_EVERY == 0:
             held.append((r.lang, r.text))
         else:
             train[r.lang].append(r.text)
+    discard(drawn)
     # A language of which nothing was drawn learns from its text of least hash.
     for lang in [k for k, v in train.items() if not v and firsts[k] is not None]:
         r = rows.where((F.col("lang") == lang) & (place == firsts[lang])).select(F.substring("text", 1, sample_chars).alias("text")).first()
