@@ -1,38 +1,85 @@
-"""Mixing sources to target weights by capped water-filling, in Spark SQL alone."""
+"""Mixing sources to target weights by capped water-filling, in Spark SQL alone.
+
+Sources may be many (hosts) and one may hold most of the rows, so nothing here
+puts all sources, or all documents of one, into one task: sources are numbered by
+ranges, the fill is found by aggregates, and where a source's last, partial
+repetition ends is searched for digit by digit of the seeded order.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh_name, materialise
+from .common import WORD, discard, fresh_name, materialise
+
+#: The seeded order of documents has this many bits; a step of the search looks at so many of them.
+ORDER_BITS, STEP_BITS = 60, 10
+
 
-#: Hexadecimal digits of the seeded order by which a source is cut into parts.
-PART_DIGITS = 3
+def _in_order(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with ``turn``, the number of the source in code-point order, null last, from 0."""
+    by = F.col("source").asc_nulls_last()
+    ranged = materialise(sizes.repartitionByRange(by).withColumn("range", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("range").alias("of_range"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy(by)) - 1
+    return ranged.join(starts, F.col("range") == F.col("of_range")).select("source", "source_size", (F.col("start") + place).alias("turn"))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, max_epochs: float) -> DataFrame:
     """(source, source_size, target) from (source, source_size), one row per source.
 
     Sources in code-point order, null last, take ``weights`` in turn. All targets
-    together are ``share`` of all sizes. In order of cap per weight each source is
-    clamped at ``max_epochs`` times its size if an equal fill per weight of what is
-    left would exceed that; its excess raises the fill of those after it. Once one
-    is not clamped none after it is, and the fill reached there holds for all.
+    together are ``share`` of all sizes, dealt by weight. Sources that this would
+    fill beyond ``max_epochs`` times their size are clamped there, and what they
+    leave is dealt to the others by weight, until none is above.
+    """
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("turn") % len(weights) + 1).cast("int"))
+    weighed = materialise(_in_order(sizes).select("source", "source_size", weight.alias("w"), (F.col("source_size") * F.lit(float(max_epochs))).alias("cap")), "weighed")
+    everything = weighed.agg(F.sum("source_size"), F.sum("w")).first()
+    to_deal, fill, before = float(everything[0] or 0) * share, 0.0, -1
+    if everything[1]:
+        fill = to_deal / everything[1]
+    while everything[1]:
+        clamped = F.col("cap") <= F.col("w") * F.lit(fill)
+        count, caps, open_weight = weighed.agg(F.count_if(clamped), F.sum(F.when(clamped, F.col("cap"))), F.sum(F.when(~clamped, F.col("w")))).first()
+        if count == before or not open_weight:
+            break
+        before, fill = count, (to_deal - (caps or 0.0)) / open_weight
+    return weighed.select("source", "source_size", F.least("cap", F.col("w") * F.lit(fill)).alias("target"))
+
+
+def _keys(source: Column) -> tuple[Column, Column]:
+    """A source, null or not, as two keys that plain equality can join."""
+    return F.coalesce(source.cast("string"), F.lit("")), source.isNull()
+
+
+def _cuts(rows: DataFrame, rests: DataFrame) -> DataFrame:
+    """(named, none, cut, at): where the taken part of each source ends in the order.
+
+    ``rows`` (named, none, order, size) are all documents, ``rests`` (named, none,
+    room) the words to take of each source. Documents before ``cut`` are taken
+    wholly, those at it with ``at`` words each, later ones not. Sources that are
+    taken wholly have no row. Each step sums the words by the next bits of the
+    order and goes on inside the part that holds the end.
     """
-    named = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = F.row_number().over(named) - 1
-    weighed = sizes.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn % len(weights) + 1).cast("int"))).withColumn("cap", F.col("source_size") * F.lit(float(max_epochs)))
-    level = Window.orderBy((F.col("cap") / F.col("w")).asc(), F.col("source").asc_nulls_last())
-    before = level.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    filled = weighed.withColumn(
-        "fill",
-        (F.sum("source_size").over(everything) * F.lit(float(share)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0))),
-    ).withColumn("clamped", F.col("cap") <= F.col("w") * F.col("fill"))
-    final = filled.withColumn("open_fill", F.first(F.when(~F.col("clamped"), F.col("fill")), ignorenulls=True).over(level.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    target = F.when(F.col("clamped") | F.col("open_fill").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("w") * F.col("open_fill")))
-    return final.select("source", "source_size", target.alias("target"))
+    keys, cuts = ["named", "none"], materialise(rests.withColumn("prefix", F.lit(0).cast("long")), "cuts")
+    shift = ORDER_BITS
+    while shift > 0:
+        inner = cuts.withColumnsRenamed({"named": "cut_named", "none": "cut_none"})
+        here = (F.col("named") == F.col("cut_named")) & (F.col("none") == F.col("cut_none")) & (F.shiftright("order", shift) == F.col("prefix"))
+        shift -= STEP_BITS
+        inside = rows.join(inner, here).select(*keys, "room", "size", "order")
+        parts = inside.groupBy(*keys, "room", F.shiftright("order", shift).alias("prefix")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"), F.min("order").alias("low"), F.max("order").alias("high"))
+        ahead = F.coalesce(F.sum("words").over(Window.partitionBy(*keys).orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        ends = parts.withColumn("ahead", ahead).where("ahead <= room and room < ahead + words")
+        before, cuts = cuts, materialise(ends.select(*keys, (F.col("room") - F.col("ahead")).alias("room"), "prefix", "n", "low", "high"), "cuts")
+        discard(before)
+        if not cuts.where("low <> high").limit(1).count():
+            break
+    return cuts.select(*keys, F.col("low").alias("cut"), F.floor(F.col("room") / F.col("n")).alias("at"))
 
 
 def mix_sources(
@@ -51,29 +98,28 @@ def mix_sources(
     taken wholly as often as its source's target holds the source; what remains
     is taken in a seeded order of documents, the last of them in part, so that a
     source's taken words differ from its target by less than one word. A null
-    source is a source of its own, last. Repeated rows are separate documents; an
-    empty table gives no rows. A source is dealt out over the parts of the seeded
-    order, so a hot one never lands in one task.
+    source is a source of its own, last. Rows of equal id and text share one place
+    in the order; if the end falls on such rows, each gets the same words, and up to
+    one word fewer than there are such rows is left over. An empty table gives no
+    rows.
     """
     size, source_size, target, taken = (fresh_name(docs, n) for n in ("size", "source_size", "target", "taken"))
-    of_source, of_none, of_part = (fresh_name(docs, f"mix_of_{n}") for n in ("source", "none", "part"))
-    part, order, room, times, before, named, none = (fresh_name(docs, f"mix_{n}") for n in ("part", "order", "room", "times", "before", "named", "none"))
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    words = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD + "+")).cast("long")
-    # A null source as two plain keys, so that the join and the window share one exchange of the documents.
-    keys = {named: F.coalesce(F.col(source_col).cast("string"), F.lit("")), none: F.col(source_col).isNull()}
-    sized = docs.withColumns({size: words, order: digest, **keys}).withColumn(part, F.substring(order, 1, PART_DIGITS))
-    parts = materialise(sized.groupBy(F.col(source_col).alias("source"), F.col(part).alias("part")).agg(F.sum(size).alias("part_size")), "parts")
-    plan = source_targets(parts.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights, share, max_epochs)
+    order, named, none = (fresh_name(docs, f"mix_{n}") for n in ("order", "named", "none"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.xxhash64(text).cast("string")).cast("binary"))
+    is_named, is_none = _keys(F.col(source_col))
+    words = F.regexp_count(text, F.lit(WORD + "+")).cast("long")
+    sized = docs.withColumns({size: words, order: F.conv(F.substring(digest, 1, ORDER_BITS // 4), 16, 10).cast("long"), named: is_named, none: is_none})
+    rows = materialise(sized.select(F.col(source_col).alias("source"), F.col(named).alias("named"), F.col(none).alias("none"), F.col(order).alias("order"), F.col(size).alias("size")), "sizes")
+    plan = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_epochs)
     plan = plan.withColumn("times", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
-    plan = materialise(plan.withColumn("rest", F.floor(F.col("target") + F.lit(0.5)).cast("long") - F.col("times") * F.col("source_size")), "plan")
-    ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    rooms = parts.withColumn("ahead", F.coalesce(F.sum("part_size").over(ahead), F.lit(0)))
-    of = plan.select(F.col("source").alias("of_source"), "source_size", "target", "times", "rest")
-    rooms = materialise(rooms.join(of, rooms.source.eqNullSafe(of.of_source)).select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias(of_source), F.col("source").isNull().alias(of_none), F.col("part").alias(of_part), F.col("source_size").alias(source_size), F.col("target").alias(target), F.col("times").alias(times), (F.col("rest") - F.col("ahead")).alias(room)), "rooms")
-    same = (sized[part] == rooms[of_part]) & (sized[named] == rooms[of_source]) & (sized[none] == rooms[of_none])
-    joined = sized.join(rooms, same)
-    sofar = Window.partitionBy(part, named, none).orderBy(order, F.col(id_col), F.col(size)).rowsBetween(Window.unboundedPreceding, -1)
-    run = joined.withColumn(before, F.coalesce(F.sum(size).over(sofar), F.lit(0)))
-    extra = F.least(F.col(size), F.greatest(F.lit(0), F.col(room) - F.col(before)))
-    return run.withColumn(taken, (F.col(times) * F.col(size) + extra).cast("long")).select(*[f"`{c}`" for c in docs.columns], size, source_size, target, taken)
+    key, is_null = _keys(F.col("source"))
+    plan = materialise(plan.select(key.alias("named"), is_null.alias("none"), "source_size", "target", "times", (F.floor(F.col("target") + F.lit(0.5)).cast("long") - F.col("times") * F.col("source_size")).alias("room")), "plan")
+    cuts = _cuts(rows, plan.select("named", "none", "room"))
+    known = materialise(plan.join(cuts, ["named", "none"], "left").select(F.col("named").alias("of_named"), F.col("none").alias("of_none"), F.struct("source_size", "target", "times", "cut", "at").alias("of")), "known")
+    discard(rows)
+    joined = sized.join(known, (sized[named] == known.of_named) & (sized[none] == known.of_none))
+    of = lambda name: known["of"][name]
+    extra = F.when(of("cut").isNull() | (sized[order] < of("cut")), sized[size]).when(sized[order] == of("cut"), F.least(sized[size], of("at"))).otherwise(F.lit(0))
+    result = (of("times") * sized[size] + extra).cast("long")
+    return joined.select(*[sized[f"`{c}`"] for c in docs.columns], sized[size], of("source_size").alias(source_size), of("target").alias(target), result.alias(taken))
