@@ -5,8 +5,9 @@ before it: frequent words are classes of their own, all other words share
 classes by their ending. A word's probability is its class's, times its smoothed
 share of the class. Training covers the whole corpus: the counts of all class
 trigrams are gathered, dealt to shards, and every round trains the shards side
-by side in numpy and averages them. Scores are exactly normalised: batched
-matrix products give every class's logit after every context.
+by side in numpy and averages them. Scores are exactly normalised: the logits of
+the two context positions add up, so one matrix product of their exponentials
+gives the normaliser of every context.
 """
 
 from __future__ import annotations
@@ -25,21 +26,25 @@ from .common import arrow_map, discard, free_shuffles, materialise, type_of
 
 #: The end of a text. No word equals it, as words have no white space.
 END = b"\n"
+#: Words that are no class of their own share one by their last bytes.
+ENDING_BYTES = 2
+#: Parameters in one row of a shard's result.
+_CHUNK = 1 << 14
 
 
 @dataclass(frozen=True)
 class Settings:
     """Bounds of the model: it never grows with the corpus; the counts behind it do."""
 
-    own_classes: int = 256
-    ending_classes: int = 64
+    own_classes: int = 2048
+    ending_classes: int = 1024
     dimensions: int = 32
     rounds: int = 4
-    shards: int = 12
-    #: Distinct trigrams in one shard, on average; more of them make more shards.
-    shard_trigrams: int = 500_000
-    noise: int = 50
-    minibatch: int = 4096
+    #: Distinct trigrams in one shard, on average; more of them make more shards (``shards`` at least).
+    shard_trigrams: int = 1_000_000
+    shards: int = 4
+    noise: int = 64
+    minibatch: int = 512
     rate: float = 0.15
     #: Words whose counts every task holds; the rest are looked up by a join.
     held_words: int = 200_000
@@ -47,7 +52,7 @@ class Settings:
 
 
 def ending_class(word: bytes, classes: int) -> int:
-    return crc32(word[-3:]) % classes
+    return crc32(word[-ENDING_BYTES:]) % classes
 
 
 class _Lookup(dict):
@@ -154,7 +159,8 @@ class LogBilinear:
     def fresh(cls, unigram: np.ndarray, dimensions: int, seed: int) -> LogBilinear:
         rng = np.random.default_rng(seed)
         outputs = len(unigram)
-        return cls(rng.normal(0, 0.1, (outputs + 1, dimensions)).astype(np.float32), np.ones((2, dimensions), np.float32), rng.normal(0, 0.1, (outputs, dimensions)).astype(np.float32), np.log(unigram).astype(np.float32))
+        same = np.stack([np.eye(dimensions, dtype=np.float32)] * 2)
+        return cls(rng.normal(0, 0.1, (outputs + 1, dimensions)).astype(np.float32), same, rng.normal(0, 0.1, (outputs, dimensions)).astype(np.float32), np.log(unigram).astype(np.float32))
 
     def parts(self) -> list[np.ndarray]:
         return [self.context, self.weights, self.output, self.bias]
@@ -171,24 +177,16 @@ class LogBilinear:
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Logits by either context position, and the log normaliser of every context."""
-        one = (self.context * self.weights[0]) @ self.output.T
-        two = (self.context * self.weights[1]) @ self.output.T + self.bias
-        norm = np.empty((len(one), len(one)), np.float32)
-        for a in range(len(one)):
-            logits = one[a] + two
-            top = logits.max(1)
-            norm[a] = top + np.log(np.exp(logits - top[:, None]).sum(1))
+        one = self.context @ self.weights[0] @ self.output.T
+        two = self.context @ self.weights[1] @ self.output.T + self.bias
+        top_one, top_two = one.max(1), two.max(1)
+        norm = np.exp(one - top_one[:, None]) @ np.exp(two - top_two[:, None]).T
+        np.log(norm, out=norm)
+        norm += top_one[:, None]
+        norm += top_two
         return one, two, norm
 
 
-def _scatter(target: np.ndarray, index: np.ndarray, values: np.ndarray) -> None:
-    """target[index] += values, rows of equal index summed first."""
-    order = np.argsort(index, kind="stable")
-    index = index[order]
-    first = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
-    target[index[first]] += np.add.reduceat(values[order], first, axis=0)
-
-
 def train_shard(model: LogBilinear, codes: np.ndarray, n: np.ndarray, unigram: np.ndarray, settings: Settings, seed: int) -> LogBilinear:
     """One pass of noise-contrastive estimation over counted trigrams (Adagrad).
 
@@ -208,31 +206,38 @@ def train_shard(model: LogBilinear, codes: np.ndarray, n: np.ndarray, unigram: n
     steps = np.cumsum(unigram)
     parts = model.parts()
     squares = [np.full(p.shape, 1e-3, np.float32) for p in parts]
+    context, weights, output, bias = parts
+
+    def descend(part: int, index: np.ndarray, values: np.ndarray) -> None:
+        """Step down the gradient of some rows, those of equal index summed first."""
+        order = np.argsort(index, kind="stable")
+        index = index[order]
+        first = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
+        at, g = index[first], np.add.reduceat(values[order], first, axis=0)
+        square = squares[part][at] + g * g
+        squares[part][at] = square
+        parts[part][at] -= settings.rate * g / np.sqrt(square)
+
     for low in range(0, len(rows), settings.minibatch):
         at = rows[low : low + settings.minibatch]
-        code, w = codes[at], weight[at]
+        code, w = codes[at], weight[at] / len(at)
         target, last, second = code % base, code // base % base, code // base // base
-        c1, c2 = model.context[second], model.context[last]
-        predicted = c1 * model.weights[0] + c2 * model.weights[1]
+        c1, c2 = context[second], context[last]
+        predicted = c1 @ weights[0] + c2 @ weights[1]
         noise = np.minimum(np.searchsorted(steps, rng.random(k) * steps[-1]), len(unigram) - 1)
-        out, noise_out = model.output[target], model.output[noise]
-        real = np.einsum("ij,ij->i", predicted, out) + model.bias[target] - log_kp[target]
-        fake = predicted @ noise_out.T + (model.bias[noise] - log_kp[noise])
+        out, noise_out = output[target], output[noise]
+        real = np.einsum("ij,ij->i", predicted, out) + bias[target] - log_kp[target]
+        fake = predicted @ noise_out.T + (bias[noise] - log_kp[noise])
         g_real = -w / (1 + np.exp(np.clip(real, -30, 30)))
         g_fake = w[:, None] / (1 + np.exp(np.clip(-fake, -30, 30)))
         g_pred = g_real[:, None] * out + g_fake @ noise_out
-        grads = [np.zeros_like(p) for p in parts]
-        _scatter(grads[0], second, g_pred * model.weights[0])
-        _scatter(grads[0], last, g_pred * model.weights[1])
-        grads[1][0], grads[1][1] = (g_pred * c1).sum(0), (g_pred * c2).sum(0)
-        _scatter(grads[2], target, g_real[:, None] * predicted)
-        _scatter(grads[2], noise, g_fake.T @ predicted)
-        _scatter(grads[3], target, g_real)
-        _scatter(grads[3], noise, g_fake.sum(0))
-        for p, g, s in zip(parts, grads, squares, strict=True):
-            g /= len(at)
-            s += g * g
-            p -= settings.rate * g / np.sqrt(s)
+        g_weights = np.stack([c1.T @ g_pred, c2.T @ g_pred])
+        descend(0, np.concatenate([second, last]), np.concatenate([g_pred @ weights[0].T, g_pred @ weights[1].T]))
+        seen = np.concatenate([target, noise])
+        descend(2, seen, np.concatenate([g_real[:, None] * predicted, g_fake.T @ predicted]))
+        descend(3, seen, np.concatenate([g_real, g_fake.sum(0)]))
+        squares[1] += g_weights * g_weights
+        weights -= settings.rate * g_weights / np.sqrt(squares[1])
     return model
 
 
@@ -249,18 +254,41 @@ def train(trigrams: DataFrame, unigram: np.ndarray, settings: Settings) -> LogBi
                 return
             codes, n = np.concatenate([c for c, _ in got]), np.concatenate([n for _, n in got])
             order = np.argsort(codes)
-            trained = train_shard(shape.unpacked(packed), codes[order], n[order], unigram, settings, settings.seed * 1000 + turn)
-            yield pa.RecordBatch.from_arrays([pa.array([trained.packed()], pa.binary()), pa.array([float(n.sum())])], names=["model", "weight"])
-
-        shards = arrow_map(trigrams.repartition(count, "code"), run, "model binary, weight double").toArrow()
-        if not shards.num_rows:
+            trained = np.frombuffer(train_shard(shape.unpacked(packed), codes[order], n[order], unigram, settings, settings.seed * 1000 + turn).packed(), "<f4")
+            own = float(n.sum())
+            chunks = [(trained[low : low + _CHUNK] * own).astype("<f8").tobytes() for low in range(0, len(trained), _CHUNK)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array([own] * len(chunks)), pa.array(chunks, pa.binary())], names=["chunk", "weight", "summed"])
+
+        def add(batches):
+            sums: dict = {}
+            for b in batches:
+                for chunk, own, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    before = sums.get(chunk, (0.0, 0.0))
+                    sums[chunk] = before[0] + own, before[1] + np.frombuffer(raw, "<f8")
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([w for w, _ in sums.values()], pa.float64()), pa.array([x.tobytes() for _, x in sums.values()], pa.binary())], names=["chunk", "weight", "summed"])
+
+        # The shards' models are averaged chunk by chunk, so the driver gets one model, however many there are.
+        rows = "chunk int, weight double, summed binary"
+        shards = arrow_map(trigrams.repartition(count, "code"), run, rows)
+        mean = sorted(arrow_map(shards.repartition("chunk"), add, rows).toArrow().to_pylist(), key=lambda r: r["chunk"])
+        if not mean:
             break
-        weights = np.array(shards["weight"].to_pylist())
-        stacked = np.stack([np.frombuffer(m, "<f4") for m in shards["model"].to_pylist()])
-        model = model.unpacked((weights / weights.sum() @ stacked).astype("<f4").tobytes())
+        model = model.unpacked(np.concatenate([np.frombuffer(r["summed"], "<f8") / r["weight"] for r in mean]).astype("<f4").tobytes())
     return model
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The words of the highest counts, ``most`` of them at most; cut between sixteenths of a doubling."""
+    step = F.floor(F.log2("c") * 16)
+    total, least = 0, None
+    for low, n in sorted(counts.groupBy(step).agg(F.count(F.lit(1))).collect(), reverse=True):
+        total += n
+        if total > most:
+            break
+        least = low
+    return counts.where(F.lit(False) if least is None else step >= least)
+
+
 @dataclass
 class Trained:
     """All that scoring needs; every part is bounded by the settings."""
@@ -273,14 +301,22 @@ class Trained:
     held_log: np.ndarray
     own: int
     class_log: np.ndarray
-    tables: tuple = field(repr=False, default=())
+    model: LogBilinear
+    _tables: tuple = field(repr=False, default=())
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The model's tables, made once per process: the vectors alone are sent to it."""
+        if not self._tables:
+            self._tables = self.model.tables()
+        return self._tables
 
 
 def fit(texts: DataFrame, counts: DataFrame, settings: Settings) -> Trained:
     """Train on the column ``text`` of all rows; ``counts`` is its materialised word table."""
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = counts.orderBy(F.col("c").desc(), "word").limit(settings.held_words).select("word", "c").toArrow()
-    words, c = top["word"].to_pylist(), np.array(top["c"].to_pylist(), np.int64)
+    top = most_frequent(counts, settings.held_words).select("word", "c").toArrow()
+    by_count = sorted(zip(top["c"].to_pylist(), top["word"].to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
+    words, c = [w for _, w in by_count], np.array([n for n, _ in by_count], np.int64)
     own_words = words[: settings.own_classes]
     if END not in own_words:
         own_words = [*own_words[: settings.own_classes - 1], END]
@@ -307,7 +343,7 @@ def fit(texts: DataFrame, counts: DataFrame, settings: Settings) -> Trained:
     if END not in held:
         held[END] = len(held_class)
         held_class, c = np.append(held_class, np.int32(own[END])), np.append(c, 0)
-    return Trained(settings, int(totals.n), int(totals.v), held, held_class, np.log10(c + 1.0), len(own), np.log10(mass[len(own) :] + kinds + 1), model.tables())
+    return Trained(settings, int(totals.n), int(totals.v), held, held_class, np.log10(c + 1.0), len(own), np.log10(mass[len(own) :] + kinds + 1), model)
 
 
 def score_texts(docs: DataFrame, train_on, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None) -> DataFrame:
@@ -333,7 +369,7 @@ def score_texts(docs: DataFrame, train_on, id_col: str = "doc_id", text_col: str
         t = shared.value
         classes_n = t.settings.ending_classes
         lookup = _Lookup(t.held, -1, -1, classes_n)
-        one, two, norm = t.tables
+        one, two, norm = t.tables()
         start = one.shape[0] - 1
         for batch in batches:
             if not batch.num_rows:

@@ -57,8 +57,6 @@ def test_lm_base_and_gain(spark, sf_dir, docs):
 
 
 def test_lm_probabilities_add_up():
-    import numpy as np
-
     model = lm.LogBilinear.fresh(np.array([0.5, 0.3, 0.2]), 4, 1)
     one, two, norm = model.tables()
     for a in range(4):
@@ -66,6 +64,46 @@ def test_lm_probabilities_add_up():
             assert np.exp(one[a] + two[b] - norm[a, b]).sum() == pytest.approx(1, rel=1e-5)
 
 
+def test_lm_scores_by_brute_force(spark):
+    """Every word's probability after a context, written out, adds up to one and makes up the scores."""
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 4))) for _ in range(60)]
+    rows = [(i, " ".join(rng.choice(vocabulary[: 10 + i % 50]) for _ in range(rng.randint(0, 40)))) for i in range(80)]
+    small = lm.Settings(own_classes=12, ending_classes=5, dimensions=4, rounds=2, shards=2, held_words=20)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    learn = F.col("doc_id") < 60
+    counts = lm.count_words(df.where(learn).select("text"), small.ending_classes).cache()
+    trained = lm.fit(df.where(learn).select("text"), counts, small)
+    c = {bytes(r.word): r.c for r in counts.collect()}
+    own = {w: k for w, k in zip(trained.held, trained.held_class.tolist()) if k < trained.own}
+    of = lambda w: own.get(w, trained.own + lm.ending_class(w, small.ending_classes))
+    members = defaultdict(list)
+    for w in c:
+        members[of(w)].append(w)
+    model = trained.model
+    start = len(model.context) - 1
+
+    def chance(second, last):
+        logits = model.context[second] @ model.weights[0] @ model.output.T + model.context[last] @ model.weights[1] @ model.output.T + model.bias
+        p = np.exp(logits - logits.max())
+        return p / p.sum()
+
+    whole = lambda k: sum(c[m] + 1 for m in members[k]) + 1
+    share = lambda w: 1.0 if of(w) < trained.own else (c.get(w, 0) + 1) / whole(of(w))
+    for second, last in ((start, start), (0, 3), (start, 13)):
+        p = chance(second, last)
+        # The words seen in training, and one more of each shared class for all that were not.
+        total = sum(p[of(w)] * share(w) for w in {*c, *own}) + sum(p[k] / whole(k) for k in range(trained.own, len(p)))
+        assert total == pytest.approx(1, rel=1e-4)
+    got = {r.id: r.score for r in lm.score_texts(df, learn, settings=small).collect()}
+    for i, t in rows:
+        tokens, want, second, last = [*t.lower().encode().split(), lm.END], 0.0, start, start
+        for w in tokens:
+            want += np.log10(chance(second, last)[of(w)] * share(w))
+            second, last = last, of(w)
+        assert got[i] == pytest.approx(want, rel=1e-4, abs=1e-3)
+
+
 def test_lm_edges(spark):
     small = lm.Settings(own_classes=8, ending_classes=4, dimensions=4, rounds=1, shards=2, held_words=5)
     from quillmere.llm.common import id_remainder
