@@ -15,6 +15,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import bind, cut, running
+
 BEGIN, START, TURN, END = "<|begin|>", "<|im_start|>", "<|turn|>", "<|im_end|>"
 #: Strings that no text may contain unescaped, this template's and other common ones.
 CONTROLS = (BEGIN, START, TURN, END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|endoftext|>")
@@ -77,16 +79,13 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         )
     )
     chats = chats.select("conv_id", formatted.alias("formatted"), pieces.alias("pieces"))
-    nothing = F.expr("named_struct('at', %d, 'spans', cast(array() as array<struct<start:int,end:int>>))" % len(BEGIN))
-    walked = F.aggregate(
-        "pieces",
-        nothing,
-        lambda a, p: F.struct(
-            (a["at"] + p["size"]).alias("at"),
-            F.when(p["learn"], F.concat(a["spans"], F.array(F.struct(a["at"].alias("start"), (a["at"] + p["size"]).alias("end"))))).otherwise(a["spans"]).alias("spans"),
-        ),
-    )
-    return chats.select("conv_id", "formatted", walked["spans"].alias("loss_spans"))
+
+    def spans(parts: Column) -> Column:
+        before = running(F.transform(parts, lambda p: p["size"]), lambda x, y: x + y, F.lit(0))
+        placed = F.zip_with(parts, before, lambda p, at: F.struct(p["learn"].alias("learn"), (at + len(BEGIN)).alias("start"), (at + len(BEGIN) + p["size"]).alias("end")))
+        return F.transform(F.filter(placed, lambda p: p["learn"]), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end")))
+
+    return chats.select("conv_id", "formatted", bind(F.col("pieces"), spans).alias("loss_spans"))
 
 
 def read_back(chats: DataFrame) -> DataFrame:
@@ -101,7 +100,7 @@ def read_back(chats: DataFrame) -> DataFrame:
             ),
         )
     )
-    learned = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"]))), "")
+    learned = F.array_join(F.transform(cut(F.col("formatted"), F.col("loss_spans")), unescape), "")
     return chats.select("conv_id", "formatted", turns.alias("turns"), learned.alias("loss_text"))
 
 

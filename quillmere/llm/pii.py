@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
+from .arrays import bind, cut, fold, running
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
@@ -258,13 +258,13 @@ def _with_spans(df: DataFrame, text: str, classifier: SpanClassifier) -> DataFra
     least = float(np.log(ACCEPT / (1 - ACCEPT)))
     good = F.filter("proposed", lambda c: ~c["base"] & (classifier.odds(c) >= least) & ~F.exists("all_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     by_start = F.array_sort(F.transform(good, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))))
-    begin = F.expr(f"named_struct('at', 0, 'spans', cast(array() as array<{_SPAN}>))")
 
-    def step(a: Column, s: Column) -> Column:
+    def step(at: Column, s: Column) -> Column:
         span = F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
-        return F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["spans"], F.array(span)).alias("spans"))).otherwise(a)
+        free = s["start"] >= at
+        return F.struct(F.when(free, s["end"]).otherwise(at).alias("state"), F.when(free, F.array(span)).otherwise(_empty(_SPAN)).alias("out"))
 
-    return df.withColumn("added", F.when(F.size("proposed") > F.size("all_base"), F.array_sort(F.aggregate(by_start, begin, step)["spans"])).otherwise(_empty(_SPAN)))
+    return df.withColumn("added", F.when(F.size("proposed") > F.size("all_base"), F.array_sort(bind(by_start, lambda spans: fold(spans, F.lit(0), step, _SPAN)))).otherwise(_empty(_SPAN)))
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -285,33 +285,35 @@ def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_c
     """``docs`` with every span of the text replaced by its kind, as ``[EMAIL]``.
 
     Overlapping base spans are replaced from the left, the rest of a later one
-    separately. Texts without spans, and null texts, stay as they are. Where the
-    table has an integer column ``chars_col`` it is set to the new length. All
-    other columns are passed on unchanged.
+    separately. Texts without spans, and null and empty texts, stay as they are.
+    Where the table has an integer column ``chars_col`` it is set to the new length.
+    Repeated rows are redacted alike, an empty table gives no rows, and all other
+    columns are passed on unchanged, whatever their names.
     """
     classifier = fit(docs, text_col)
     kept = [c for c in docs.columns if c != text_col]
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     df = _with_spans(inner, "text", classifier)
     every = F.array_sort(F.transform(F.concat("all_base", "added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    masks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    begin = F.expr("named_struct('at', 0, 'out', '')")
-
-    def step(a: Column, s: Column) -> Column:
-        start = F.greatest(s["start"], a["at"])
-        text = F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, start - a["at"]), F.element_at(masks, s["kind"] + 1))
-        return F.when(s["end"] > a["at"], F.struct(s["end"].alias("at"), text.alias("out"))).otherwise(a)
-
-    walked = F.aggregate(every, begin, step)
-    df = df.withColumn("walked", F.when(F.size("all_base") + F.size("added") > 0, walked))
-    new_text = F.when(F.col("walked").isNotNull(), F.concat(F.col("walked.out"), F.substring(F.col("text"), F.col("walked.at") + 1, F.length("text")))).otherwise(F.col(f"row.`{text_col}`"))
+    masks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS], F.lit(""))
+
+    def masked(spans: Column) -> Column:
+        reached = running(F.transform(spans, lambda s: s["end"]), F.greatest, F.lit(0))
+        kept = F.zip_with(spans, reached, lambda s, at: F.struct(at.alias("start"), F.greatest(s["start"], at).alias("end"), (s["end"] > at).alias("masks"), s["kind"].alias("kind")))
+        last = F.struct(F.array_max(F.transform(spans, lambda s: s["end"])).alias("start"), F.length("text").alias("end"), F.lit(True).alias("masks"), F.lit(len(KINDS)).alias("kind"))
+        pieces = F.concat(F.filter(kept, lambda s: s["masks"]), F.array(last))
+        plain = bind(pieces, lambda p: F.zip_with(cut(F.col("text"), p), p, lambda t, s: F.concat(t, F.element_at(masks, s["kind"] + 1))))
+        return F.array_join(plain, "")
+
+    df = df.withColumn("masked", F.when(F.size("all_base") + F.size("added") > 0, bind(every, masked)))
+    new_text = F.coalesce("masked", F.col(f"row.`{text_col}`"))
     df = df.withColumn("new_text", new_text)
     out = []
     for f in docs.schema.fields:
         if f.name == text_col:
             out.append(F.col("new_text").alias(f.name))
         elif f.name == chars_col and chars_col in kept and f.dataType.simpleString() in ("bigint", "int"):
-            out.append(F.when(F.col("walked").isNotNull(), F.length("new_text")).otherwise(F.col(f"row.`{f.name}`")).cast(f.dataType).alias(f.name))
+            out.append(F.when(F.col("masked").isNotNull(), F.length("new_text")).otherwise(F.col(f"row.`{f.name}`")).cast(f.dataType).alias(f.name))
         else:
             out.append(F.col(f"row.`{f.name}`").alias(f.name))
     return df.select(*out)

@@ -434,6 +434,38 @@ def test_pii(spark, sf_dir, docs):
         assert {f"{k}:{s}:{e}" for k, s, e in want} <= set(got)
 
 
+def test_long_arrays(spark):
+    from quillmere.llm.arrays import cut, fold, running
+
+    rng = random.Random(3)
+    lists = [[], [5], *[[rng.randrange(100) for _ in range(n)] for n in (255, 256, 257, 1000)]]
+    texts = ["", "ab", "é😀x" * 70_000]
+    spans = [(a, rng.randrange(a, 210_001)) for a in (rng.randrange(210_000) for _ in range(30))] + [(0, 210_000), (65_536, 131_072), (7, 7), (210_000, 210_000)]
+    add = lambda x, y: x + y
+    out = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, x array<int>").select(
+        "i",
+        running(F.col("x"), add, F.lit(0)).alias("sums"),
+        running(F.col("x"), F.greatest, F.lit(0)).alias("tops"),
+        fold(F.col("x"), F.lit(0), lambda at, x: F.struct(F.greatest(at, x).alias("state"), F.when(x > at, F.array(x)).otherwise(F.array_repeat(x, 0)).alias("out")), "int").alias("rises"),
+    )
+    for r in out.collect():
+        x = lists[r.i]
+        assert r.sums == [sum(x[:k]) for k in range(len(x))] and r.tops == [max(x[:k], default=0) for k in range(len(x))]
+        assert r.rises == [v for k, v in enumerate(x) if v > max(x[:k], default=0)]
+    cuts = spark.createDataFrame([(i, t, [s for s in spans if s[1] <= len(t)]) for i, t in enumerate(texts)], "i int, t string, s array<struct<start:int,end:int>>")
+    for r in cuts.select("i", "s", cut(F.col("t"), F.col("s")).alias("c")).collect():
+        assert r.c == [texts[r.i][s.start : s.end] for s in r.s]
+
+
+def test_pii_of_a_long_text(spark):
+    text = " ".join(f"a{i}@b{i}.example.org and 10.0.{i % 250}.7" for i in range(1_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    (r,) = pii.find_spans(df).collect()
+    assert [(pii.KINDS[s.kind], s.start, s.end) for s in r.base] == base_spans(text)
+    (r,) = pii.redact(df).collect()
+    assert r.text == " ".join(["[EMAIL] and [IP]"] * 1_000)
+
+
 def test_pii_edges(spark):
     rows = {(r.id, len(r.base)): [(pii.KINDS[s.kind], s.start, s.end) for s in r.base] for r in pii.find_spans(nasty(spark)).collect()}
     for i, t in NASTY:
@@ -547,3 +579,12 @@ def test_chat_edges(spark):
         assert len(r.turns) == n and hashlib.sha256("".join(f"{t.role}\n{t.text}\n" for t in r.turns).encode()).hexdigest() == sha
         assert len(r.loss_text) == chars and hashlib.sha256(r.loss_text.encode()).hexdigest() == loss
     assert format_chats(df.limit(0)).collect() == []
+
+
+def test_chat_of_a_long_conversation(spark):
+    from quillmere.llm.chat import format_chats, read_back
+
+    rows = [(1, k, ["user", "assistant", "assistant"][k % 3], f"turn {k} [INST] " * 5) for k in range(3_000)]
+    (r,) = read_back(format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    assert [(t.role, t.text) for t in r.turns] == [(x[2], x[3]) for x in rows]
+    assert r.loss_text == "".join(x[3] for x in rows if x[2] == "assistant")
