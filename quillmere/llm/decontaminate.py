@@ -24,6 +24,8 @@ EDIT_RATE = 0.08
 GRAM = 8
 #: Benchmark characters that tasks hold at once; a larger benchmark is worked off in blocks.
 BLOCK_CHARS = 4_000_000
+#: Postings expanded at once, and candidates aligned side by side.
+_POSTINGS, _ALIGNED = 4_000_000, 4096
 _TABLE_BITS = 22
 _PIECE_CHARS = 1 << 20
 
@@ -91,6 +93,12 @@ class Items:
         self.item = np.concatenate(item)[order] if hashes else np.empty(0, np.int64)
         self.place = np.concatenate(place)[order] if hashes else np.empty(0, np.int64)
         self.hashes, self.first, self.times = np.unique(flat[order], return_index=True, return_counts=True)
+        # Alignment begins at the end whose grams fewer items share, where a false candidate fails soonest.
+        self.codes = [_codes(t).astype(np.int64) for t in self.texts]
+        shared = np.repeat(self.times, self.times) if hashes else np.empty(0, np.int64)
+        late = np.zeros(len(self.texts))
+        np.add.at(late, self.item, shared * np.where(self.place * 2 < np.maximum(self.length - gram, 1)[self.item], 1.0, -1.0))
+        self.backward = late > 0
         self.kind_of = np.array([self.kind_number.get(int(k), -1) for k in kinds], np.int64)
 
     def search(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
@@ -124,6 +132,22 @@ class Items:
         found = np.minimum(np.searchsorted(self.hashes, grams[at]), len(self.hashes) - 1)
         real = self.hashes[found] == grams[at]
         at, found = at[real], found[real]
+        sizes = np.cumsum(self.times[found])
+        mine = self.kind_of == number
+        reach = int((self.length + 2 * self.budget)[mine].max())
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        low = 0
+        while low < len(at):
+            # A run of positions with few postings, and after it as much as an occurrence may reach.
+            before = sizes[low - 1] if low else 0
+            high = max(low + 1, int(np.searchsorted(sizes, before + _POSTINGS, "right")))
+            stop = int(np.searchsorted(at, at[high - 1] + reach, "right")) if high < len(at) else len(at)
+            self._block(number, texts, starts, at[low:stop], found[low:stop], best)
+            low = high
+        for (d, i), (edits, start, end) in best.items():
+            yield d, i, start, end, edits
+
+    def _block(self, number, texts, starts, at, found, best):
         times = self.times[found]
         post = np.repeat(self.first[found] - np.cumsum(times) + times, times) + np.arange(times.sum())
         at = np.repeat(at, times)
@@ -141,17 +165,80 @@ class Items:
         doc, item, band = doc[order], item[order], band[order]
         first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1])]))
         count = np.diff(np.append(first, len(doc)))
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for k in first[count >= self.need[item[first]]]:
-            d, i = int(doc[k]), int(item[k])
+        first = first[count >= self.need[item[first]]]
+        lows = band[first] * (self.budget[item[first]] + 1) - self.length[item[first]]
+        for k in self._plausible(texts, doc[first], item[first], lows):
+            d, i, low = int(doc[first[k]]), int(item[first[k]]), int(lows[k])
             if best.get((d, i), (1,))[0] == 0:
                 continue
-            low = int(band[k]) * (int(self.budget[i]) + 1) - int(self.length[i])
             seen = align_in_band(texts[d], self.texts[i], low, low + 2 * (int(self.budget[i]) + 1), int(self.budget[i]))
             if seen and (d, i) not in best or seen and seen[0] < best[d, i][0]:
                 best[d, i] = seen
-        for (d, i), (edits, start, end) in best.items():
-            yield d, i, start, end, edits
+
+    def _plausible(self, texts, doc, item, low):
+        """Indices of the candidates whose alignment, from the end that fewer items share, stays within the budget.
+
+        Many are aligned side by side, a row of the band per character of the items;
+        one that exceeds its budget drops out, so a shared stem costs next to nothing.
+        """
+        if len(doc) <= 8:
+            return range(len(doc))
+        order, good = np.lexsort((self.budget[item], self.length[item])), []
+        for at in range(0, len(order), _ALIGNED):
+            good.append(self._within(texts, doc, item, low, order[at : at + _ALIGNED]))
+        return np.sort(np.concatenate(good)).tolist()
+
+    def _within(self, texts, doc, item, low, alive):
+        budget, length = self.budget[item], self.length[item]
+        # The band of align_in_band, widened to the widest here: a wider band only lets more through.
+        widest = int(budget[alive].max())
+        band = np.arange(4 * widest + 3)
+        names = np.unique(doc[alive])
+        parts, begins, size = [], {}, 0
+        for d in names.tolist():
+            parts.append(_codes(texts[d]).astype(np.int64))
+            begins[d] = size
+            size += len(parts[-1])
+        text, ends = np.concatenate(parts), {d: begins[d] + len(p) for d, p in zip(names.tolist(), parts, strict=True)}
+        begin = np.array([begins[d] for d in doc[alive].tolist()], np.int64)
+        end = np.array([ends[d] for d in doc[alive].tolist()], np.int64)
+        goals = np.full((len(alive), int(length[alive].max())), -2, np.int64)
+        for row, k in enumerate(alive.tolist()):
+            own = self.codes[item[k]]
+            goals[row, : len(own)] = own[::-1] if self.backward[item[k]] else own
+        back = self.backward[item[alive]]
+        # Text position before the item's first character, or after its last one going backward.
+        first = begin + low[alive] - budget[alive]
+        origin = np.where(back, first + length[alive] + 4 * budget[alive] + 2, first)
+        sign = np.where(back, -1, 1)
+        most, done = budget[alive], []
+        where = origin[:, None] + sign[:, None] * band
+        far = 1 << 30
+        row = np.where((where >= begin[:, None]) & (where <= end[:, None]), 0, far)
+        rows = np.arange(len(alive))
+        for step in range(goals.shape[1]):
+            # Of a position between characters, the character that the step passes.
+            where = origin[rows, None] + sign[rows, None] * (band + step)
+            char = np.where(sign[rows, None] > 0, where, where - 1)
+            inside = (char >= begin[rows, None]) & (char < end[rows, None])
+            same = inside & (text[np.clip(char, 0, len(text) - 1)] == goals[rows, step, None])
+            new = row + ~same
+            new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + 1)
+            after = where + sign[rows, None]
+            valid = (after >= begin[rows, None]) & (after <= end[rows, None])
+            new = np.where(valid, new, far)
+            row = np.minimum.accumulate(new - band, 1) + band
+            row = np.where(valid, row, far)
+            least = row.min(1)
+            ended = length[alive[rows]] == step + 1
+            fits = least <= most[rows]
+            done.append(alive[rows[ended & fits]])
+            stay = fits & ~ended
+            if not stay.all():
+                rows, row = rows[stay], row[stay]
+            if not len(rows):
+                break
+        return np.concatenate(done) if done else np.empty(0, np.int64)
 
 
 def _band_rows(text: np.ndarray, item: np.ndarray, low: int, width: int, free_start: bool) -> np.ndarray:
@@ -260,7 +347,12 @@ def _arrow_type(df: DataFrame, column: str) -> pa.DataType:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = EDIT_RATE, gram: int = GRAM) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item; columns unchanged, in any names."""
+    """``docs`` without the rows that hold a benchmark item, as ``find_items`` has it.
+
+    Null and empty texts hold nothing and stay, repeated rows go or stay alike, an
+    empty benchmark drops nothing, empty tables give no rows, and columns are
+    unchanged, whatever their names.
+    """
     spark = docs.sparkSession
     at = docs.columns.index(text_col)
     for block in _blocks(benchmark, item_col, item_text_col):

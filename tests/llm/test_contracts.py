@@ -181,6 +181,31 @@ def test_decontamination_by_edits(spark):
     assert clean == {i for i, _ in rows} - {i for i, _ in want}
 
 
+def test_decontamination_with_shared_stems():
+    rng = random.Random(21)
+    letters = "abcdefghij klmnop"
+    some = lambda n: "".join(rng.choice(letters) for _ in range(n)).strip() or "a"
+    for front in (True, False):
+        stem = some(77)
+        tails = [some(38) for _ in range(1300)]
+        items = decontaminate.Items([(i, f"{stem} {t}" if front else f"{t} {stem}") for i, t in enumerate(tails)])
+        parts = [stem if n % 3 else some(60) for n in range(210)]
+        held = {7: items.texts[7], 1234: items.texts[1234][:50] + "zz" + items.texts[1234][53:]}
+        parts[100], parts[200] = held.values()
+        found = {(i, e) for _, i, _, _, e in items.search([decontaminate.normalised(" ".join(parts)), "nothing here"])}
+        assert {i for i, _ in found} == set(held) and (7, 0) in found
+
+
+def test_decontamination_edges(spark):
+    rows = [(1, None, "x", 1), (2, "", "x", 1), (3, "the very text of the item, word by word", "x", 1), (3, "the very text of the item, word by word", "x", 1), (4, "padding " * 200_000 + "the very text of the item, word by word", None, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, item_id string, start int")
+    bench = spark.createDataFrame([(9, "The very text of the item,  word by word", 1), (10, None, 1), (11, "", 1)], "item_id long, text string, doc_id int")
+    assert sorted((r.id, r.item, r.edits) for r in decontaminate.find_items(df, bench).collect()) == [(3, 9, 0), (3, 9, 0), (4, 9, 0)]
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()) == [1, 2]
+    assert decontaminate.find_items(df, bench.limit(0)).count() == 0 and decontaminate.drop_contaminated(df, bench.limit(0)).count() == 5
+    assert decontaminate.drop_contaminated(df.limit(0), bench).collect() == []
+
+
 def test_simhash(spark, sf_dir, docs):
     got = sorted((r.doc_id, r.fingerprint, r.component_id) for r in q.op4_simhash(spark, sf_dir).collect())
     assert got == sorted(components([d[:2] for d in docs]))
