@@ -29,6 +29,8 @@ MIME_TYPES = {
 }
 UNSUPPORTED = "unsupported"
 # --- fixed values: rule tables of the question classifiers, first hit wins ------------
+# Parts of a text/* MIME type that mean code.
+CODE_MIME_PARTS = ["x-python", "javascript", "typescript", "x-java", "x-c", "x-c++", "x-go", "x-rust", "x-ruby", "x-php", "x-shellscript", "x-sh", "x-sql"]
 QUESTION_CLASSES = [
     (["compare", "versus", "vs", "difference", "contrast"], "comparison", 0.8),
     (["common", "themes", "patterns", "across", "relate"], "relationship", 0.7),
@@ -100,10 +102,9 @@ def first_rule(text: Column, rules: list[tuple], default, pick: int = 1) -> Colu
 def file_category(name: Column, mime: Column) -> Column:
     """Processing category: exact MIME type, then MIME prefix, then extension."""
     m = F.lower(F.trim(mime))
-    code_words = ["python", "javascript", "typescript", "java", "x-c", "ruby", "php", "shell", "yaml", "sql", "go", "rust"]
     prefix = (
         F.when(m.startswith("audio/"), F.lit("audio"))
-        .when(m.startswith("text/"), F.when(has_any(m, code_words), F.lit("code")).otherwise(F.lit("unstructured_native")))
+        .when(m.startswith("text/"), F.when(has_any(m, CODE_MIME_PARTS), F.lit("code")).otherwise(F.lit("unstructured_native")))
         .when(m.startswith("image/"), F.lit("unstructured_native"))
     )
     return F.coalesce(by_members(m, MIME_TYPES), prefix, by_members(suffix(name), EXTENSIONS), F.lit(UNSUPPORTED))

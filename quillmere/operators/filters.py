@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Keys that the retrieval filter understands; others are ignored.
-DIRECT_KEYS = ("folder_id", "file_id", "file_name", "file_type", "source_file_id", "chunk_type", "element_type")
+DIRECT_KEYS = ("folder_id", "file_id", "file_name", "file_type", "source_file_id", "mime_type", "element_type")
 _COMPARE = {
     "$eq": lambda c, v: c == v,
     "$ne": lambda c, v: c.isNull() | (c != v),
@@ -41,21 +41,28 @@ def where_clause(spec: Mapping[str, Any]) -> Column:
     return all_of(parts)
 
 
+def _bounds(span: Mapping[str, Any]) -> dict[str, Any]:
+    """A range in ``start`` and ``end`` (dates or numbers, both included) as comparisons."""
+    iso = lambda v: v.isoformat() if hasattr(v, "isoformat") else v
+    return {{"start": "$gte", "end": "$lte"}.get(k, k): iso(v) for k, v in span.items()}
+
+
 def retrieval_filter(spec: Mapping[str, Any]) -> Column:
     """The filter of a search: direct keys, page_number, date_range, timestamp_range, element types.
 
-    Dates are ISO text and compare as such. Unknown keys are dropped.
+    A list of pages or element types means any of them. Ranges take ``start`` and
+    ``end``, or operators; dates compare as ISO text. Unknown keys are dropped.
     """
     clauses: dict[str, Any] = {}
     extra = []
     for key, value in spec.items():
-        if key == "element_type" and isinstance(value, (list, tuple)):
+        if key in ("element_type", "page_number") and isinstance(value, (list, tuple)):
             clauses[key] = {"$in": value}
         elif key in DIRECT_KEYS or key == "page_number":
             clauses[key] = value
         elif key in ("date_range", "timestamp_range"):
             column = "created_at" if key == "date_range" else "timestamp_start"
-            extra.append(where_clause({column: dict(value)}))
+            extra.append(where_clause({column: _bounds(value)}))
     return all_of([where_clause(clauses), *extra])
 
 
@@ -63,7 +70,7 @@ def post_filter(spec: Mapping[str, Any]) -> Column:
     """The filter behind keyword search: a missing date passes a date range."""
     dates = spec.get("date_range")
     rest = retrieval_filter({k: v for k, v in spec.items() if k != "date_range"})
-    return rest & (F.col("created_at").isNull() | where_clause({"created_at": dict(dates)})) if dates else rest
+    return rest & (F.col("created_at").isNull() | where_clause({"created_at": _bounds(dates)})) if dates else rest
 
 
 def restricts_content(spec: Mapping[str, Any]) -> bool:

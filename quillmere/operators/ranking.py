@@ -78,9 +78,9 @@ def rebalance_unscored(hits: DataFrame, per_file: int) -> DataFrame:
 
 
 def diversity_rerank(hits: DataFrame, weight: float = 0.3, digits: int = 9) -> DataFrame:
-    """Scores lowered for later rows of often-hit files."""
+    """Scores lowered for later rows of often-hit files; the first row of a file counts as place 1."""
     count = F.count(F.lit(1)).over(_by("file_key"))
-    place = F.row_number().over(_by("file_key").orderBy("rank")) - 1
+    place = F.row_number().over(_by("file_key").orderBy("rank"))
     h = hits.withColumn("n", count).withColumn("place", place)
     penalty = (F.col("n") / F.max("n").over(_by())) * (F.col("place") / F.col("n")) * weight
     return renumber(h.withColumn("score", F.round(F.col("score") * (1 - penalty), digits)).drop("n", "place"), F.col("score").desc(), "id")
@@ -108,12 +108,12 @@ def threshold_top(hits: DataFrame, least: float, k: int) -> DataFrame:
 
 
 def keyword_score(question: Column, text: Column, phrase_bonus: float = 0.3) -> Column:
-    """Share of the question's words that occur in the text, plus a bonus for the whole phrase."""
+    """Share of the question's distinct words that occur in the text, plus a bonus for the whole phrase (so up to 1.3)."""
     q, t = F.lower(question), F.lower(text)
-    words = F.filter(F.split(q, r"\s+"), lambda w: w != "")
+    words = F.array_distinct(F.filter(F.split(q, r"\s+"), lambda w: w != ""))
     found = F.size(F.filter(words, lambda w: F.contains(t, w)))
     share = F.when(F.size(words) > 0, found / F.size(words)).otherwise(F.lit(0.0))
-    return F.least(share + F.when(F.contains(t, q), phrase_bonus).otherwise(0.0), F.lit(1.0))
+    return share + F.when(F.contains(t, q), phrase_bonus).otherwise(0.0)
 
 
 def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

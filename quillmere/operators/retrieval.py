@@ -70,30 +70,31 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, digits: int = 6) -> DataFrame:
-    """(a, b, score) of all pairs a < b with cosine above ``threshold``, by blocked products."""
-    spark, out = vectors.sparkSession, None
-    kind = vectors.schema["id"].dataType.simpleString()
-    for ids, block in _query_blocks(vectors.select(F.col("id").alias("query_id"), "vector")):
-        shared = spark.sparkContext.broadcast((ids, block))
+    """(a, b, score) of all pairs a < b with cosine above ``threshold``, by blocked products.
 
-        def near(batches, shared=shared):
-            ids, block = shared.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own = batch.column(0).to_pylist()
-                scores = _unit(_matrix(batch.column(1))) @ block.T
-                i, j = np.nonzero(scores > threshold)
-                keep = [(own[x], ids[y], float(scores[x, y])) for x, y in zip(i.tolist(), j.tolist(), strict=True) if own[x] < ids[y]]
-                if keep:
-                    a, b, s = zip(*keep, strict=True)
-                    same = batch.column(0).type
-                    yield pa.RecordBatch.from_arrays([pa.array(a, same), pa.array(b, same), pa.array(s)], names=["a", "b", "score"])
-
-        part = vectors.select("id", "vector").mapInArrow(near, f"a {kind}, b {kind}, score double")
-        out = part if out is None else out.unionByName(part)
-    empty = spark.createDataFrame([], f"a {kind}, b {kind}, score double")
-    return (empty if out is None else out).withColumn("score", F.round("score", digits))
+    Vectors are dealt into blocks by a hash of their id, about ``QUERY_BLOCK`` in
+    each; every two blocks meet in one task. Nothing passes through the driver but
+    the number of vectors.
+    """
+    kind = vectors.schema["id"].dataType.simpleString()
+    blocks = max(1, -(-vectors.count() // QUERY_BLOCK))
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    dealt = vectors.select("id", "vector", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("met"))
+    dealt = dealt.select("id", "vector", "own", F.least("own", "met").alias("low"), F.greatest("own", "met").alias("high"))
+
+    def near(table: pa.Table) -> pa.Table:
+        ids, own = table.column("id").combine_chunks(), table.column("own").to_numpy()
+        rows = _unit(_matrix(table.column("vector").combine_chunks()))
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        one, two = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        scores = rows[one] @ rows[two].T
+        i, j = np.nonzero(scores > threshold)
+        names = ids.to_pylist()
+        keep = [(names[one[x]], names[two[y]], float(scores[x, y])) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+        keep = [(a, b, s) if a < b else (b, a, s) for a, b, s in keep if a < b or low != high and a != b]
+        return pa.table({"a": pa.array([a for a, _, _ in keep], ids.type), "b": pa.array([b for _, b, _ in keep], ids.type), "score": pa.array([s for _, _, s in keep], pa.float64())})
+
+    return dealt.groupBy("low", "high").applyInArrow(near, f"a {kind}, b {kind}, score double").withColumn("score", F.round("score", digits))
 
 
 def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, floor: float = 0.25, digits: int = 6) -> DataFrame:
@@ -104,10 +105,13 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b:
     time. Document frequencies and lengths cover the whole corpus; only postings of
     asked terms are joined. Ties go to the lower id.
     """
-    split = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    split = lambda c: F.array_remove(F.split(c, r"\s+"), "")
     terms = docs.select("id", split("text").alias("terms"))
-    stats = terms.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("mean_length"))
-    frequency = terms.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats))  # one row
+    # An empty term in every document, which no text has, carries the number of documents and their lengths.
+    held = terms.select(F.size("terms").alias("length"), F.explode(F.array_append(F.array_distinct("terms"), "")).alias("term"))
+    counted = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.avg("length").alias("mean_length"))
+    stats = counted.where("term = ''").select(F.col("df").alias("n"), "mean_length")
+    frequency = counted.where("term <> ''").select("term", "df").crossJoin(F.broadcast(stats))  # one row
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     idf = frequency.select("term", "mean_length", raw.alias("idf"))
     mean = idf.agg(F.avg("idf").alias("mean_idf"))

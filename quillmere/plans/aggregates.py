@@ -47,11 +47,15 @@ def entity_counts(spark, sf_dir):
     return c.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy(F.col("n").desc(), "entity"))).where("place <= 10")
 
 
-@query("a06_key_terms", "with e as (select doc_id, unnest(l) as term, generate_subscripts(l, 1) as pos from (select doc_id, regexp_extract_all(text, '[A-Z][a-z]{2,}') as l from documents)), c as (select doc_id, term, count(*) as n, min(pos) as first from e where term not in ('The', 'And', 'This') group by all) select doc_id, term, n from (select *, row_number() over (partition by doc_id order by n desc, first) as r from c) where r <= 5")
+# Capitalised words that are no key terms.
+COMMON_TERMS = "The This That These Those There They From With Have Has Had Will Would Should Could Can May Might Must".split()
+
+
+@query("a06_key_terms", "with e as (select doc_id, unnest(l) as term, generate_subscripts(l, 1) as pos from (select doc_id, list_filter(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]{2,}|[A-Z]{2,}')) as l from documents)), c as (select doc_id, term, count(*) as n, min(pos) as first from e where term not in " + repr(tuple(COMMON_TERMS)) + " group by all) select doc_id, term, n from (select *, row_number() over (partition by doc_id order by n desc, first) as r from c) where r <= 5")
 def key_terms(spark, sf_dir):
     """Most frequent capitalised terms, ties by first appearance."""
-    e = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{2,}"), F.lit(0))).alias("pos", "term"))
-    c = e.where(~F.col("term").isin("The", "And", "This")).groupBy("doc_id", "term").agg(_n().alias("n"), F.min("pos").alias("first"))
+    e = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.filter(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: w.rlike("^(?:[A-Z][a-z]{2,}|[A-Z]{2,})$"))).alias("pos", "term"))
+    c = e.where(~F.col("term").isin(COMMON_TERMS)).groupBy("doc_id", "term").agg(_n().alias("n"), F.min("pos").alias("first"))
     return c.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("n").desc(), "first"))).where("r <= 5").select("doc_id", "term", "n")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from ..operators.filters import post_filter, restricts_content, retrieval_filter, search_filter, where_clause
@@ -22,16 +24,17 @@ def _notes(spark, sf_dir):
         F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("file_id"),
         F.concat(F.lit("Note_"), (F.col("doc_id") % 40).cast("string"), F.lit(".txt")).alias("file_name"),
         F.when(F.col("doc_id") % 3 == 0, "PDF").when(F.col("doc_id") % 3 == 1, "text").otherwise("Audio").alias("file_type"),
+        F.when(F.col("doc_id") % 2 == 0, "text/plain").otherwise("application/pdf").alias("mime_type"),
     )
 
 
 _NOTES = """notes as (select doc_id, source as folder_id, lang as element_type, n_chars % 10 as page_number,
   case when doc_id % 7 <> 0 then strftime(date '2024-01-01' + cast(doc_id % 365 as int), '%Y-%m-%d') end as created_at, n_chars % 600 as timestamp_start,
-  'f' || doc_id as file_id, 'Note_' || (doc_id % 40) || '.txt' as file_name, case doc_id % 3 when 0 then 'PDF' when 1 then 'text' else 'Audio' end as file_type from documents)"""
-_SPEC = {"folder_id": {"$eq": "src3"}, "page_number": {"$in": [0, 1, 2, 3, 4]}, "date_range": {"$gte": "2024-02-01", "$lte": "2024-11-30"}, "timestamp_range": {"$gte": 50}, "element_type": ["en", "fr"], "no_such_key": 1}
+  'f' || doc_id as file_id, 'Note_' || (doc_id % 40) || '.txt' as file_name, case doc_id % 3 when 0 then 'PDF' when 1 then 'text' else 'Audio' end as file_type, case doc_id % 2 when 0 then 'text/plain' else 'application/pdf' end as mime_type from documents)"""
+_SPEC = {"folder_id": {"$eq": "src3"}, "page_number": [0, 1, 2, 3, 4], "date_range": {"start": date(2024, 2, 1), "end": date(2024, 11, 30)}, "timestamp_range": {"start": 50}, "mime_type": "text/plain", "element_type": ["en", "fr"], "no_such_key": 1}
 
 
-@query("f01_retrieval_filter", f"with {_NOTES} select doc_id from notes where folder_id = 'src3' and page_number < 5 and created_at between '2024-02-01' and '2024-11-30' and timestamp_start >= 50 and element_type in ('en', 'fr')")
+@query("f01_retrieval_filter", f"with {_NOTES} select doc_id from notes where folder_id = 'src3' and page_number < 5 and created_at between '2024-02-01' and '2024-11-30' and timestamp_start >= 50 and element_type in ('en', 'fr') and mime_type = 'text/plain'")
 def retrieval(spark, sf_dir):
     return _notes(spark, sf_dir).where(retrieval_filter(_SPEC)).select("doc_id")
 

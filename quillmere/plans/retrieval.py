@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import routing as R
+from ..operators import adaptive as A
 from ..operators import ranking as K
 from ..operators.mmr import rerank as mmr_rerank
 from ..operators.retrieval import bm25_top_k, vector_top_k
 from ..registry import query
 from ..sources.tables import read
+from .routing import _case_sql
 
 TOP = 20
 #: "Now" for recency, just after the last event.
@@ -86,34 +88,45 @@ def bm25_retriever(spark, sf_dir):
     return bm25(spark, sf_dir).select("query_id", "id", "rank")
 
 
-_PAIR = "(select query_id, id, row_number() over (partition by query_id order by score, id) as rank from hits)"
+#: The question behind a query vector: a benchmark text, by turns plain, a comparison and an exact one.
+_ASKED_SQL = f"""asked as (select item_id * 50 as query_id, case item_id % 3 when 1 then 'compare ' when 2 then 'function ' else '' end || text as question from benchmark where item_id * 50 in (select vec_id from embeddings)),
+routed as (select *, {_case_sql('lower(question)', R.STRATEGIES, 'conceptual')} as strategy from asked)"""
+_KEYWORD_SQL = f"""{_BM25_SQL}, kw as (select query_id * 50 as query_id, id, coalesce(label::bigint, id % 10) as file_key, rank, score from bm25 left join embeddings on vec_id = id where query_id * 50 in (select vec_id from embeddings))"""
 
 
-def _second(h):
-    """A second list over the same rows: worst first."""
-    return K.renumber(h, "score", "id")
+def questions_of_vectors(spark, sf_dir):
+    """(query_id, question, strategy, text): the questions whose vectors ``asked`` has."""
+    b = read(spark, sf_dir, "benchmark").select((F.col("item_id") * 50).alias("query_id"), "text", F.when(F.col("item_id") % 3 == 1, "compare ").when(F.col("item_id") % 3 == 2, "function ").otherwise("").alias("head"))
+    q = b.join(vectors(spark, sf_dir).select(F.col("id").alias("query_id")), "query_id", "left_semi").withColumn("question", F.concat("head", "text"))
+    return q.withColumn("strategy", R.first_rule(F.lower("question"), R.STRATEGIES, "conceptual"))
+
+
+def keyword_hits(spark, sf_dir, k=10):
+    """The keyword leg: BM25 over all documents for the same questions, in the vector list's columns."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    found = bm25_top_k(docs, questions_of_vectors(spark, sf_dir).select("query_id", "text"), k)
+    files = vectors(spark, sf_dir).select("id", "file_key")
+    return _out(found.join(files, "id", "left").withColumn("file_key", F.coalesce("file_key", F.col("id") % 10)))
 
 
 @query(
     "k09_rank_fusion",
-    f"""with {_hits_sql()}, u as (select query_id, id, 0 as l, rank from hits union all select query_id, id, 1, rank from {_PAIR} where rank <= 12),
-f as (select query_id, id, round(sum(1.0::double / (60 + rank - 1)), 9) as score, min(l * 1000 + rank) as first from u group by all)
-select query_id, id, row_number() over (partition by query_id order by score desc, first) as rank, score from f""",
+    f"""with {_hits_sql()}, {_KEYWORD_SQL}, u as (select query_id, id, 0 as l, rank from hits union all select query_id, id, 1, rank from kw),
+fu as (select query_id, id, round(sum(1.0::double / (60 + rank - 1)), 9) as score, min(l * 1000 + rank) as first from u group by all)
+select query_id, id, row_number() over (partition by query_id order by score desc, first) as rank, score from fu""",
 )
 def rank_fusion(spark, sf_dir):
-    h = hits(spark, sf_dir)
-    return K.reciprocal_rank_fusion([h, _second(h).where("rank <= 12")])
+    return K.reciprocal_rank_fusion([hits(spark, sf_dir), keyword_hits(spark, sf_dir)])
 
 
 @query(
     "k10_weighted_ensemble",
-    f"""with {_hits_sql()}, u as (select query_id, id, 0 as l, rank, 0.7::double as w from hits union all select query_id, id, 1, rank, 0.3::double from {_PAIR}),
-f as (select query_id, id, round(sum(w / (60 + rank)), 9) as score, min(l * 1000 + rank) as first from u group by all)
-select query_id, id, row_number() over (partition by query_id order by score desc, first) as rank, score from f""",
+    f"""with {_hits_sql()}, {_KEYWORD_SQL}, u as (select query_id, id, 0 as l, rank, 0.7::double as w from hits union all select query_id, id, 1, rank, 0.3::double from kw),
+fu as (select query_id, id, round(sum(w / (60 + rank)), 9) as score, min(l * 1000 + rank) as first from u group by all)
+select query_id, id, row_number() over (partition by query_id order by score desc, first) as rank, score from fu""",
 )
 def weighted_ensemble(spark, sf_dir):
-    h = hits(spark, sf_dir)
-    return K.reciprocal_rank_fusion([h, _second(h)], [0.7, 0.3], first_rank=1)
+    return K.reciprocal_rank_fusion([hits(spark, sf_dir), keyword_hits(spark, sf_dir)], [0.7, 0.3], first_rank=1)
 
 
 @query("a19_min_max", f"with {_hits_sql()}, m as (select *, min(score) over (partition by query_id) as lo, max(score) over (partition by query_id) as hi from hits) select query_id, id, round((score - lo) / case when hi = lo then 1 else hi - lo end, 5) as score from m")
@@ -166,7 +179,7 @@ def rebalance_unscored(spark, sf_dir):
 
 
 def _diverse_sql(weight):
-    return f"""c as (select *, count(*) over (partition by query_id, file_key) as n, row_number() over (partition by query_id, file_key order by rank) - 1 as place from hits),
+    return f"""c as (select *, count(*) over (partition by query_id, file_key) as n, row_number() over (partition by query_id, file_key order by rank) as place from hits),
 p as (select query_id, id, file_key, round(score * (1 - (n / max(n) over (partition by query_id)) * (place / n) * {weight}), 9) as score from c),
 diverse as (select query_id, id, file_key, row_number() over (partition by query_id order by score desc, id) as rank, score from p)"""
 
@@ -192,9 +205,9 @@ def relevance_threshold(spark, sf_dir):
     return K.threshold_top(hits(spark, sf_dir), 0.3, 10).select("query_id", "id", "rank")
 
 
-_KEY_SQL = """k as (select item_id as query_id, doc_id as id, lower(b.text) as q, lower(d.text) as t, list_filter(regexp_split_to_array(lower(b.text), '\\s+'), lambda w: w <> '') as ws
+_KEY_SQL = """k as (select item_id as query_id, doc_id as id, lower(b.text) as q, lower(d.text) as t, list_distinct(list_filter(regexp_split_to_array(lower(b.text), '\\s+'), lambda w: w <> '')) as ws
   from bm25 x join benchmark b on x.query_id = item_id join documents d on x.id = doc_id),
-keyed as (select query_id, id, round(least(len(list_filter(ws, lambda w: contains(t, w))) / len(ws) + case when contains(t, q) then 0.3 else 0 end, 1), 6)::double as score from k)"""
+keyed as (select query_id, id, round(len(list_filter(ws, lambda w: contains(t, w))) / len(ws) + case when contains(t, q) then 0.3 else 0 end, 6)::double as score from k)"""
 
 
 def _keyword_scored(spark, sf_dir):
@@ -214,35 +227,57 @@ def rerank_threshold(spark, sf_dir):
     return K.threshold_top(K.renumber(_keyword_scored(spark, sf_dir), F.col("score").desc(), "id"), 0.3, 4).select("query_id", "id", "rank", "score")
 
 
-@query("k13_hybrid_weights", f"with {_hits_sql()} select query_id, id, rank from hits where rank <= 10")
-def hybrid_weights(spark, sf_dir):
-    """A weight of zero removes the keyword leg before anything is planned."""
-    weight, h = 0.0, hits(spark, sf_dir, 10)
-    fused = h if not weight else K.reciprocal_rank_fusion([h, _second(h)], [1 - weight, weight], first_rank=1)
-    return fused.select("query_id", "id", "rank")
-
-
 @query(
-    "k14_adaptive_retrieval",
-    f"""with {_hits_sql(10)}, u as (select query_id, id, 0 as l, rank from hits union all select query_id, id, 1, rank from {_PAIR}),
-f as (select query_id, id, round(sum(1.0::double / (60 + rank - 1)), 9) as score, min(l * 1000 + rank) as first from u group by all),
-r as (select f.query_id, f.id, file_key, f.score, row_number() over (partition by f.query_id order by f.score desc, first) as rank from f join hits h on f.query_id = h.query_id and f.id = h.id),
-c as (select *, count(*) over (partition by query_id, file_key) as n from r), s as (select query_id, id, file_key, rank as r0, round(case when n > 1 then score / sqrt(n) else score end, 9) as score from c),
-t as (select *, row_number() over (partition by query_id, file_key order by score desc, r0) as turn from s),
-b as (select query_id, id, row_number() over (partition by query_id order by score desc, id) as rank from t where turn <= 5)
-select query_id, id, rank from b where rank <= 5""",
+    "k13_hybrid_weights",
+    f"""with {_hits_sql(10)}, {_KEYWORD_SQL}, u as (select query_id, id, 0 as l, rank, 0.6::double as w from hits union all select query_id, id, 1, rank, 0.4::double from kw),
+fu as (select query_id, id, round(sum(w / (60 + rank)), 9) as score, min(l * 1000 + rank) as first from u group by all),
+e as (select query_id, id, row_number() over (partition by query_id order by score desc, first) as rank from fu)
+select 0.0::double as weight, query_id, id, rank from hits union all select 0.4::double, query_id, id, rank from e where rank <= 10""",
 )
+def hybrid_weights(spark, sf_dir):
+    """A weight of zero removes the keyword leg before anything is planned; otherwise both legs are fused."""
+    h, kw = hits(spark, sf_dir, 10), keyword_hits(spark, sf_dir)
+    one = lambda w: A.hybrid(h, kw, w).where("rank <= 10").select(F.lit(w).alias("weight"), "query_id", "id", "rank")
+    return one(0.0).unionByName(one(0.4))
+
+
+def _adaptive_sql(k, rebalanced):
+    balanced = f"""c as (select *, count(*) over (partition by query_id, file_key) as n from wk), bs as (select query_id, id, file_key, rank as r0, round(case when n > 1 then score / sqrt(n) else score end, 9) as score from c),
+y as (select *, row_number() over (partition by query_id, file_key order by score desc, r0) as turn from bs),
+ba as (select * from (select query_id, id, file_key, row_number() over (partition by query_id order by score desc, id) as rank from y where turn <= 5) where rank <= {2 * k})"""
+    return f"""with {_hits_sql(3 * k)}, {_KEYWORD_SQL}, {_ASKED_SQL},
+v2 as (select * from hits where rank <= {2 * k} and query_id in (select query_id from routed where strategy = 'complex')), k2 as (select * from kw where query_id in (select query_id from routed where strategy = 'complex')),
+u as (select query_id, id, file_key, 0 as l, rank from v2 union all select query_id, id, file_key, 1, rank from k2),
+g as (select query_id, id, min(file_key) as file_key, round(sum(1.0::double / (60 + rank - 1)), 9) as score, min(l * 1000 + rank) as first from u group by query_id, id),
+m as (select * from (select query_id, id, file_key, row_number() over (partition by query_id order by score desc, first) as rank from g) where rank <= {3 * k}),
+x as (select m.query_id, m.id, file_key, m.rank, lower(question) as q, lower(text) as t, list_distinct(list_filter(regexp_split_to_array(lower(question), '\\s+'), lambda w: w <> '')) as ws from m join routed r on m.query_id = r.query_id join documents on doc_id = m.id),
+z as (select query_id, id, file_key, rank as r0, round(len(list_filter(ws, lambda w: contains(t, w))) / len(ws) + case when contains(t, q) then 0.3 else 0 end, 6)::double as score from x),
+wk as (select * from (select query_id, id, file_key, score, row_number() over (partition by query_id order by score desc, r0) as rank from z where score >= {0.1 if rebalanced else 0.0}) where rank <= {2 * k}),
+{balanced if rebalanced else 'ba as (select * from wk)'},
+nf as (select query_id, count(distinct file_key) as files from ba group by query_id),
+sl as (select ba.*, case when files * 2 <= {k} then 2 else greatest(1, {k} // files) end as slots, row_number() over (partition by ba.query_id, file_key order by rank) as turn from ba join nf on ba.query_id = nf.query_id),
+pl as (select *, row_number() over (partition by query_id order by (turn <= slots) desc, case when turn <= slots then file_key end nulls first, rank) as place from sl)
+select query_id, id, row_number() over (partition by query_id order by rank) as rank from pl where place <= {k}
+union all select query_id, id, rank from kw where rank <= {k} and query_id in (select query_id from routed where strategy = 'exact_match')
+union all select query_id, id, rank from hits where rank <= {k} and query_id in (select query_id from routed where strategy = 'conceptual')"""
+
+
+def _adaptive(spark, sf_dir, k, rebalanced):
+    texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    asked_ = questions_of_vectors(spark, sf_dir).select("query_id", "question", "strategy")
+    return A.adaptive(asked_, hits(spark, sf_dir, 3 * k), keyword_hits(spark, sf_dir), texts, k, rebalanced=rebalanced)
+
+
+@query("k14_adaptive_retrieval", _adaptive_sql(5, True))
 def adaptive_retrieval(spark, sf_dir):
-    """Complex questions: both legs, fusion, rebalancing over files, the best five."""
-    h = hits(spark, sf_dir, 10)
-    fused = K.reciprocal_rank_fusion([h, _second(h)]).join(h.select("query_id", "id", "file_key"), ["query_id", "id"])
-    return K.rebalance(fused).where("rank <= 5").select("query_id", "id", "rank")
+    """The legs by the question's kind; complex ones fused, reranked, rebalanced and spread over files."""
+    return _adaptive(spark, sf_dir, 5, True)
 
 
-@query("k15_serving_retrieval", f"with {_hits_sql(10)}, u as (select query_id, id, 0 as l, rank from hits union all select query_id, id, 1, rank from {_PAIR}), f as (select query_id, id, round(sum(1.0::double / (60 + rank - 1)), 9) as score, min(l * 1000 + rank) as first from u group by all) select * from (select query_id, id, row_number() over (partition by query_id order by score desc, first) as rank from f) where rank <= 4")
+@query("k15_serving_retrieval", _adaptive_sql(4, False))
 def serving_retrieval(spark, sf_dir):
-    h = hits(spark, sf_dir, 10)
-    return K.reciprocal_rank_fusion([h, _second(h)]).where("rank <= 4").select("query_id", "id", "rank")
+    """The serving path: no rebalancing, no threshold."""
+    return _adaptive(spark, sf_dir, 4, False)
 
 
 @query("k16_mmr")
@@ -321,11 +356,10 @@ def hit_at_5(spark, sf_dir):
     return h.agg(F.count(F.lit(1)).alias("queries"), F.sum("hit").alias("hits"), F.round(F.avg("hit"), 6).alias("hit_rate"))
 
 
-@query("u01_union_of_lists", f"with {_hits_sql()} select query_id, id, 'vector' as leg from hits union all select query_id, id, 'other' from {_PAIR} where rank <= 5")
+@query("u01_union_of_lists", f"with {_hits_sql()}, {_KEYWORD_SQL} select query_id, id, 'vector' as leg from hits union all select query_id, id, 'keyword' from kw where rank <= 5")
 def union_of_lists(spark, sf_dir):
-    h = hits(spark, sf_dir)
-    one = h.select("query_id", "id", F.lit("vector").alias("leg"))
-    return one.unionByName(_second(h).where("rank <= 5").select("query_id", "id", F.lit("other").alias("leg")))
+    one = hits(spark, sf_dir).select("query_id", "id", F.lit("vector").alias("leg"))
+    return one.unionByName(keyword_hits(spark, sf_dir, 5).select("query_id", "id", F.lit("keyword").alias("leg")))
 
 
 @query("j19_remaining", f"with {_hits_sql()} select query_id, id from hits where (query_id, id) not in (select query_id, id from hits where rank <= 5)")

@@ -27,7 +27,7 @@ def _in_sql(value: str, table) -> str:
 _SUFFIX = r"lower(regexp_extract(file_name, '[^/](\.[^./]+)$', 1))"
 _CATEGORY = (
     f"coalesce({_in_sql('lower(trim(mime_type))', R.MIME_TYPES)}, case when mime_type like 'audio/%' then 'audio' "
-    f"when mime_type like 'text/%' then case when regexp_matches(mime_type, 'python|javascript|typescript|java|x-c|ruby|php|shell|yaml|sql|go|rust') then 'code' else 'unstructured_native' end "
+    f"when mime_type like 'text/%' then case when regexp_matches(mime_type, 'x-python|javascript|typescript|x-java|x-c|x-go|x-rust|x-ruby|x-php|x-sh|x-sql') then 'code' else 'unstructured_native' end "
     f"when mime_type like 'image/%' then 'unstructured_native' end, {_in_sql(_SUFFIX, R.EXTENSIONS)}, 'unsupported')"
 )
 
@@ -183,10 +183,22 @@ def exclusion(spark, sf_dir):
     return hit.groupBy("qid").agg(F.array_join(F.array_sort(F.collect_list("file_name")), ",").alias("excluded"), F.when(F.count(F.lit(1)) == 1, "ne").otherwise("nin").alias("op"), F.lit(0.95).alias("confidence"))
 
 
-@query("p14_question_class", f"with {QUESTIONS_SQL} select qid, {_case_sql(_q, R.QUESTION_CLASSES, 'factual_general')} as query_type, {_case_sql(_q, R.QUESTION_CLASSES, 0.5, 2)} as confidence from questions")
+_SPECIFIC = [r for r in R.QUESTION_CLASSES if r[1] != "factual_general"]
+_NAMES_SQL = "n as (select qid, list_distinct(list_filter(regexp_extract_all(lower(question), '[\\p{L}\\p{N}_]+'), lambda w: length(w) >= 2)) as ws from questions), named as (select distinct qid from n join (select distinct regexp_extract_all(regexp_replace(lower(file_name), '\\.[^.]*$', ''), '[\\p{L}\\p{N}_]+') as ws from files) f on list_has_any(n.ws, f.ws))"
+
+
+def _class_sql(pick, default, specific):
+    return f"case when {_any_sql(_q, sum((r[0] for r in _SPECIFIC), []))} then {_case_sql(_q, _SPECIFIC, default, pick)} when q.qid in (select qid from named) then {specific} else {_case_sql(_q, R.QUESTION_CLASSES, default, pick)} end"
+
+
+@query("p14_question_class", f"with {QUESTIONS_SQL}, {FILES_SQL}, {_NAMES_SQL} select q.qid, {_class_sql(1, 'factual_general', repr('factual_specific'))} as query_type, {_class_sql(2, 0.5, '0.8::double')} as confidence from questions q")
 def question_class(spark, sf_dir):
+    """The ordered keyword rules; a question that names a file is a specific one."""
     low = F.lower("question")
-    return questions(spark).select("qid", R.first_rule(low, R.QUESTION_CLASSES, "factual_general").alias("query_type"), R.first_rule(low, R.QUESTION_CLASSES, 0.5, 2).alias("confidence"))
+    named = file_references(spark, sf_dir).select(F.col("qid").alias("named_qid"))
+    specific = R.has_any(low, sum((r[0] for r in _SPECIFIC), []))
+    of = lambda pick, default, value: F.when(~specific & F.col("named_qid").isNotNull(), F.lit(value)).otherwise(R.first_rule(low, R.QUESTION_CLASSES, default, pick))
+    return questions(spark).join(named, F.col("qid") == F.col("named_qid"), "left").select("qid", of(1, "factual_general", "factual_specific").alias("query_type"), of(2, 0.5, 0.8).alias("confidence"))
 
 
 _REPLIES = [
