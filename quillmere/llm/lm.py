@@ -36,15 +36,15 @@ _CHUNK = 1 << 14
 class Settings:
     """Bounds of the model: it never grows with the corpus; the counts behind it do."""
 
-    own_classes: int = 2048
-    ending_classes: int = 1024
+    own_classes: int = 1024
+    ending_classes: int = 512
     dimensions: int = 32
-    rounds: int = 4
+    rounds: int = 2
     #: Distinct trigrams in one shard, on average; more of them make more shards (``shards`` at least).
     shard_trigrams: int = 1_000_000
     shards: int = 4
-    noise: int = 64
-    minibatch: int = 512
+    noise: int = 48
+    minibatch: int = 1024
     rate: float = 0.15
     #: Words whose counts every task holds; the rest are looked up by a join.
     held_words: int = 200_000
