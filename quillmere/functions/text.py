@@ -122,7 +122,7 @@ def similarity(one: Column, two: Column) -> Column:
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([sequence_similarity(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    return F.pandas_udf(run, "double", F.PandasUDFType.SCALAR)(one, two)
+    return F.pandas_udf(run, "double")(one, two)
 
 
 def best_quote(claim: str, content: str, least: float = 0.4) -> str:

@@ -14,6 +14,8 @@ def _written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='quillmere-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/quillmere/graph-{uuid.uuid4().hex}"
@@ -60,27 +62,32 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(seed, id) of everything a seed reaches, by frontiers until none is new."""
-    seen = _written(seeds.select(F.col("id").alias("seed"), "id").distinct())
-    frontier = seen
+    """(seed, id) of everything a seed reaches, by frontiers until none is new; each is written once."""
+    seen = frontier = _written(seeds.select(F.col("id").alias("seed"), "id").distinct())
     while True:
         step = frontier.join(edges, frontier.id == edges.src).select("seed", F.col("dst").alias("id")).distinct()
         frontier = _written(step.join(seen, ["seed", "id"], "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = _written(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
 
 
 def paths(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(seed, id, hops, relations) over simple directed paths, the least path of fewest hops each."""
-    walk = seeds.select(F.col("id").alias("seed"), "id", F.array("id").alias("visited"), F.expr("cast(array() as array<string>)").alias("relations"))
-    found = None
-    for _ in range(depth):
-        step = walk.join(edges, walk.id == edges.src).where(~F.array_contains("visited", F.col("dst")))
-        walk = step.select("seed", F.col("dst").alias("id"), F.concat("visited", F.array("dst")).alias("visited"), F.concat("relations", F.array("relation")).alias("relations"))
-        found = walk if found is None else found.unionByName(walk)
-    best = F.min(F.struct(F.size("relations").alias("hops"), F.array_join("relations", ">").alias("path")))
-    return found.groupBy("seed", "id").agg(best.alias("b")).select("seed", "id", F.col("b.hops").alias("hops"), F.col("b.path").alias("relations"))
+    """(seed, id, hops, relations) over directed paths, the least path of fewest hops each.
+
+    A frontier holds one row for every pair it reaches first, so what is kept grows
+    with the pairs, not with the paths.
+    """
+    frontier = seeds.select(F.col("id").alias("seed"), "id", F.lit("").alias("relations")).distinct()
+    seen, found = frontier.select("seed", "id"), None
+    for hops in range(1, depth + 1):
+        step = frontier.join(edges, frontier.id == edges.src)
+        path = F.when(F.col("relations") == "", F.col("relation")).otherwise(F.concat_ws(">", "relations", "relation"))
+        reached = step.select("seed", F.col("dst").alias("id"), path.alias("relations")).groupBy("seed", "id").agg(F.min("relations").alias("relations"))
+        frontier = _written(reached.join(seen, ["seed", "id"], "left_anti"))
+        level = frontier.select("seed", "id", F.lit(hops).alias("hops"), "relations")
+        seen, found = seen.unionByName(frontier.select("seed", "id")), level if found is None else found.unionByName(level)
+    return found
 
 
 def conflicts(edges: DataFrame) -> DataFrame:

@@ -99,7 +99,7 @@ def weighted_overlap(spark, sf_dir):
 @query("j10_precedes", "select a.user_id, count(*) as pairs, cast(sum(date_diff('second', date_trunc('second', a.ts), date_trunc('second', b.ts))) as bigint) as seconds from events a join events b on a.user_id = b.user_id and a.ts < b.ts group by a.user_id")
 def precedes(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("user_id", "ts", "event_id")
-    return J.precedes(e, "user_id", "ts", "event_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("pairs"), F.sum("seconds").alias("seconds"))
+    return J.precedes_totals(e, "user_id", "ts")
 
 
 @query("j11_reference_phrase", f"with {_TEXTS}, m as (select distinct id, unnest(regexp_extract_all(lower(text), '(?:see|refer to|mentioned in|according to) (doc_[0-9]+)', 1)) as name from texts) select id, doc_id as target, 0.8::double as confidence from m join documents on name = 'doc_' || doc_id where id <> doc_id")
