@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import routing as R
-from ..registry import query
+from ..registry import ORACLES, query
 from ..sources.tables import FILE_KINDS, FILES_SQL, QUESTIONS_SQL, files, questions, read, values_sql
 
 _q = "lower(question)"
@@ -115,13 +115,13 @@ def document_kind(spark, sf_dir):
 _WORDS = [(i, t, k, w) for i, (t, ws) in enumerate(R.CONTENT_KEYWORDS.items()) for k, w in ws.items()]
 
 
-@query(
-    "p09_content_type",
-    f"""with {QUESTIONS_SQL}, s as (select qid, t, i, max(w) as w from questions join {values_sql(_WORDS, 'k(i, t, k, w)')} on contains({_q}, k.k) group by all),
+_KEYWORD_TYPE_SQL = f"""with {QUESTIONS_SQL}, s as (select qid, t, i, max(w) as w from questions join {values_sql(_WORDS, 'k(i, t, k, w)')} on contains({_q}, k.k) group by all),
 r as (select *, row_number() over (partition by qid order by w desc, i) as rn from s)
-select q.qid, coalesce(r.t, 'any') as content_type, coalesce(r.w, 0)::double as confidence from questions q left join r on q.qid = r.qid and rn = 1""",
-)
-def content_type(spark, sf_dir):
+select q.qid, coalesce(r.t, 'any') as content_type, coalesce(r.w, 0)::double as confidence from questions q left join r on q.qid = r.qid and rn = 1"""
+
+
+def keyword_type(spark):
+    """(qid, content_type, confidence): the type of the weightiest keyword, the earlier type on a tie."""
     scores = R.content_scores(F.lower("question"))
     best = F.array_max(F.array(*[F.struct(s.alias("w"), F.lit(-i).alias("i"), F.lit(t).alias("t")) for i, (t, s) in enumerate(scores.items())]))
     return questions(spark).select("qid", best.alias("b")).select("qid", F.when(F.col("b.w") > 0, F.col("b.t")).otherwise("any").alias("content_type"), F.col("b.w").alias("confidence"))
@@ -183,6 +183,38 @@ def exclusion(spark, sf_dir):
     return hit.groupBy("qid").agg(F.array_join(F.array_sort(F.collect_list("file_name")), ",").alias("excluded"), F.when(F.count(F.lit(1)) == 1, "ne").otherwise("nin").alias("op"), F.lit(0.95).alias("confidence"))
 
 
+@query(
+    "p09_content_type",
+    f"""with x1 as ({ORACLES['p13_exclusion']}), x2 as ({ORACLES['p10_explicit_file']}), x3 as ({ORACLES['p11_extension_token']}), x4 as ({ORACLES['p12_multi_type']}), x5 as ({_KEYWORD_TYPE_SQL})
+select x5.qid, case when excluded is not null then 'exclude' when first_file is not null then 'file_id' when extension is not null then 'file_type' when types is not null then 'multi_type' when x5.confidence > 0 then 'file_type' else 'none' end as filter_type,
+  case when excluded is not null then excluded when first_file is not null then first_file when extension is not null then x3.content_type when types is not null then types when x5.confidence > 0 then x5.content_type end as filter_value,
+  case when excluded is not null then x1.confidence when first_file is not null then x2.confidence when extension is not null then 1.0 when types is not null then x4.confidence else x5.confidence end::double as confidence
+from x5 left join x1 on x5.qid = x1.qid left join x2 on x5.qid = x2.qid left join x3 on x5.qid = x3.qid left join x4 on x5.qid = x4.qid""",
+)
+def content_type(spark, sf_dir):
+    """The detector's cascade: exclusion, named file, extension, several types, weightiest keyword, nothing."""
+    found = keyword_type(spark).select("qid", F.struct("content_type", "confidence").alias("x5"))
+    steps = [("x1", exclusion), ("x2", explicit_file), ("x3", extension_token), ("x4", multi_type)]
+    for name, step in steps:
+        rows = step(spark, sf_dir)
+        found = found.join(rows.select(F.col("qid").alias(f"{name}_qid"), F.struct(*[c for c in rows.columns if c != "qid"]).alias(name)), F.col("qid") == F.col(f"{name}_qid"), "left")
+
+    def first(*values, otherwise):
+        out = None
+        for name, value in zip(("x1", "x2", "x3", "x4"), values, strict=True):
+            known = F.col(name).isNotNull()
+            out = F.when(known, value) if out is None else out.when(known, value)
+        return out.otherwise(otherwise)
+
+    keyword = F.col("x5.confidence") > 0
+    return found.select(
+        "qid",
+        first(F.lit("exclude"), F.lit("file_id"), F.lit("file_type"), F.lit("multi_type"), otherwise=F.when(keyword, "file_type").otherwise("none")).alias("filter_type"),
+        first(F.col("x1.excluded"), F.col("x2.first_file"), F.col("x3.content_type"), F.col("x4.types"), otherwise=F.when(keyword, F.col("x5.content_type"))).alias("filter_value"),
+        first(F.col("x1.confidence"), F.col("x2.confidence"), F.lit(1.0), F.col("x4.confidence"), otherwise=F.col("x5.confidence")).alias("confidence"),
+    )
+
+
 _SPECIFIC = [r for r in R.QUESTION_CLASSES if r[1] != "factual_general"]
 _NAMES_SQL = "n as (select qid, list_distinct(list_filter(regexp_extract_all(lower(question), '[\\p{L}\\p{N}_]+'), lambda w: length(w) >= 2)) as ws from questions), named as (select distinct qid from n join (select distinct regexp_extract_all(regexp_replace(lower(file_name), '\\.[^.]*$', ''), '[\\p{L}\\p{N}_]+') as ws from files) f on list_has_any(n.ws, f.ws))"
 
