@@ -20,11 +20,13 @@ BATCH_ROWS = 512
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests, a laptop) a local
-    temporary folder is chosen, once per application.
+    Where ``spark.checkpoint.dir`` is unset, a local temporary folder is chosen, once
+    per application, if the master is local (tests, a laptop); a cluster must name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='quillmere-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
