@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections import Counter, deque
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -103,9 +105,90 @@ def response_clean(text: Column) -> Column:
     return F.trim(out)
 
 
+# What a model says of its context instead of from it.
+META_PHRASES = [
+    r"(?:based on|according to|from) the (?:context|document|file|provided information|information provided)",
+    r"the (?:context|document|file) (?:states|mentions|says|indicates|shows|reveals)",
+    r"in (?:the )?(?:context|document|file|provided information)",
+    r"as (?:mentioned|stated|indicated|shown) in the (?:context|document|file)",
+    r"looking at the (?:context|document|file|information)",
+    r"according to this (?:context|document|file)",
+]
+
+
+def without_meta(text: Column) -> Column:
+    """A reply without phrases about its context, stray think tags and runs of white space."""
+    out = F.regexp_replace(text, r"(?i)</?think[^>]*>", "")
+    for phrase in META_PHRASES:
+        out = F.regexp_replace(out, rf"(?i){phrase}[,:]?\s*", "")
+    out = F.regexp_replace(out, r"[ \t]+", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(out, r" ?\n ?", "\n"), r"\n{3,}", "\n\n"))
+
+
+def without_repeats(text: Column) -> Column:
+    """``settled`` of a column, Arrow batches at a time."""
+
+    def run(rows: pd.Series) -> pd.Series:
+        return pd.Series([settled(x) if x else x for x in rows], dtype="object")
+
+    return F.pandas_udf(run, "string")(text)
+
+
 # --- plain Python behind Arrow -----------------------------------------------------------
 
 
+def without_query_json(reply: str) -> str:
+    """A reply without the JSON objects at its start that describe a query; other JSON stays."""
+    rest = reply.strip()
+    while rest.startswith("{"):
+        try:
+            found, end = json.JSONDecoder().raw_decode(rest)
+        except ValueError:
+            break
+        if not {"query_type", "confidence"} <= found.keys():
+            break
+        rest, reply = rest[end:].strip(), rest[end:].strip()
+    return reply
+
+
+def _alike(one: set[str], two: set[str]) -> bool:
+    return len(one & two) > 0.8 * max(len(one), len(two)) and abs(len(one) - len(two)) < 5
+
+
+def _garbled(sentence: str) -> bool:
+    """Whether a sentence of under ten words looks like broken output: odd punctuation, one very long or often repeated word."""
+    words = sentence.lower().split()
+    odd = re.search(r"\w[(),]\w|[(),]{2}|\w{10}", sentence) or len(re.findall(r"[^\w\s]", sentence)) > 0.15 * len(sentence)
+    repeated = len(words) > 5 and max(Counter(words).values()) > 0.3 * len(words)
+    return len(words) < 10 and bool(odd or repeated)
+
+
+def settled(reply: str) -> str:
+    """A reply without query JSON, without sentences that repeat one of the last fifty
+    (over 0.8 of the words), runs of three to five words that the last thirty hold,
+    words said three times, and garbled sentences. Sentences of under ten
+    characters are dropped, line breaks become spaces.
+    """
+    told: deque[set[str]] = deque(maxlen=50)
+    kept = []
+    for sentence in (s.strip() for s in re.split(r"[.!?\n]+", without_query_json(reply))):
+        own = set(sentence.lower().split())
+        if len(sentence) >= 10 and not any(_alike(own, t) for t in told):
+            told.append(own)
+            kept.append(sentence)
+    text = re.sub(r"\b(\w+)(?:\s+\1){2,}\b", r"\1", ". ".join(kept), flags=re.IGNORECASE)
+    words, out, i = text.split(), [], 0
+    while i < len(words):
+        recent = " ".join(words[max(0, i - 30) : i]).lower()
+        size = next((n for n in (5, 4, 3) if i >= 5 and i + n <= len(words) and " ".join(words[i : i + n]).lower() in recent), 0)
+        if not size:
+            out.append(words[i])
+        i += size or 1
+    parts = [p.strip() for p in re.split(r"[.!?]+(?:\s+|$)", re.sub(r"\*{2,}", "", " ".join(out)))]
+    good = [p for p in parts if p and not _garbled(p)]
+    return ". ".join(good) if good else text
+
+
 def sequence_similarity(one: str, two: str) -> float:
     """0.9 if either holds the other, else the better of the match ratio and 0.8 of the word overlap."""
     a, b = one.lower().strip(), two.lower().strip()

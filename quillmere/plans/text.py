@@ -313,6 +313,13 @@ def response_clean(spark, sf_dir):
     return spark.createDataFrame(_REPLIES, "rid int, t string").select("rid", T.response_clean(F.col("t")).alias("cleaned"))
 
 
+@query("t18_response_settled")
+def response_settled(spark, sf_dir):
+    """The whole cleaner over all conversation turns: patterns as Columns, repeats and garble behind Arrow."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    return turns.select("conv_id", "turn", T.without_repeats(T.without_meta(F.col("text"))).alias("cleaned"))
+
+
 _SUMMARIES = [(1, "# Title\nOverall, it grew  fast ."), (2, "In conclusion, fine , yes"), (3, "clean")]
 
 

@@ -204,3 +204,30 @@ def test_binary_listing(spark, tmp_path):
     deep = binary.list_files(spark, str(tmp_path), recursive=True)
     assert flat.count() == 1 and deep.count() == 2
     assert {r.t for r in deep.select(binary.decoded(F.col("content")).alias("t")).collect()} == {"ä", "ok"}
+
+
+def test_replies_are_settled():
+    from quillmere.functions.text import settled, without_query_json
+
+    assert without_query_json('{"query_type": "x", "confidence": 1, "more": {"a": 1}} The sum is ten.') == "The sum is ten."
+    assert without_query_json('{"a": {"b": 1}} stays') == '{"a": {"b": 1}} stays'
+    assert settled("A river rises in green hills nearby. A river rises in green hills nearby! It ends far away at sea.") == "A river rises in green hills nearby. It ends far away at sea"
+    assert settled("The old river rises high up in the hills of home. The old river rises high up in the hills at home.") == "The old river rises high up in the hills of home"
+    assert settled("It was very very very cold that day in town.") == "It was very cold that day in town"
+    assert settled("The bridge was built in spring and the bridge was built in stone.") == "The bridge was built in spring and stone"
+    assert settled("Fine words stay as they are. foo(bar baz,qux broken") == "Fine words stay as they are"
+    assert settled("") == ""
+
+
+def test_ranges_and_lists_of_filters(spark):
+    from datetime import date
+
+    from quillmere.operators.filters import retrieval_filter
+
+    rows = [(1, "2024-01-05", 10, "text/plain"), (2, "2024-02-05", 11, "text/plain"), (3, "2024-02-06", 10, "application/pdf")]
+    df = spark.createDataFrame(rows, "id int, created_at string, page_number int, mime_type string")
+    ids = lambda spec: [r.id for r in df.where(retrieval_filter(spec)).orderBy("id").collect()]
+    assert ids({"mime_type": "text/plain"}) == [1, 2]
+    assert ids({"page_number": [10, 12]}) == [1, 3]
+    assert ids({"date_range": {"start": date(2024, 2, 1), "end": date(2024, 2, 5)}}) == [2]
+    assert ids({"date_range": {"start": date(2024, 2, 1)}, "unknown": 1}) == [2, 3]
