@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import routing as R
 from ..registry import query
 from ..sources.tables import CHUNKS_SQL, FILES_SQL, chunks, files, read
+from ..streaming.windows import sessions, windowed
 from .relations import _items_sql, items
 from .retrieval import _hits_sql, hits
 
@@ -279,3 +280,26 @@ def state_reducers(spark, sf_dir):
 def tumbling_windows(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     return e.groupBy("event_type", F.window("ts", "1 day").alias("w")).agg(_n().alias("n"), F.round(F.sum("value"), 4).alias("total")).select("event_type", F.col("w.start").cast("timestamp_ntz").alias("day"), "n", "total")
+
+
+@query(
+    "x14_sliding_windows",
+    """with e as (select event_type, ts, value, unnest([0, 6, 12, 18]) as back from events), w as (select event_type, value, time_bucket(interval 6 hours, ts, timestamp '1970-01-01') - to_hours(back) as start from e)
+select event_type, start as window_start, count(*) as n, round(sum(value), 4) as total from w group by all""",
+)
+def sliding_windows(spark, sf_dir):
+    """A day wide, every six hours; the watermark takes effect on a stream."""
+    e = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    w = windowed(e, ["event_type"], "ts", [_n().alias("n"), F.round(F.sum("value"), 4).alias("total")], "1 day", "6 hours", "1 hour")
+    return w.select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", "total")
+
+
+@query(
+    "x14_sessions",
+    """with l as (select user_id, ts, lag(ts) over (partition by user_id order by ts) as before from events), s as (select *, sum(case when before is null or ts >= before + interval 2 hours then 1 else 0 end) over (partition by user_id order by ts rows unbounded preceding) as s from l)
+select user_id, min(ts) as session_start, count(*) as n from s group by user_id, s""",
+)
+def user_sessions(spark, sf_dir):
+    """Runs of a user's events less than two hours apart."""
+    e = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return sessions(e, ["user_id"], "ts", "2 hours").select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n")

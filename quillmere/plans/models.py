@@ -81,18 +81,27 @@ def context_packing(spark, sf_dir):
 
 @query(
     "w15_informative_chunks",
-    f"""with {CHUNKS_SQL}, m as (select chunk_id, doc_id, chunk_index, content, len(regexp_extract_all(content, '[A-Z][a-z]{{2,}}')) as caps, regexp_split_to_array(trim(lower(content)), '\\s+') as ws,
-  length(regexp_replace(content, '[^A-Za-z]', '', 'g')) as alpha, length(trim(content)) as n from chunks),
-s as (select *, floor(caps * 0.3) + case when n > 0 then floor(len(list_distinct(ws)) / len(ws) * 10) + case when alpha / n > 0.6 then floor((alpha / n - 0.6) * 20) else 0 end else 0 end as score from m)
-select chunk_id, cast(score as bigint) as score, row_number() over (partition by doc_id order by score desc, chunk_index) as place from s""",
+    f"""with {CHUNKS_SQL}, m as (select chunk_id, doc_id, chunk_index, content, len(list_filter(regexp_extract_all(content, '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]{{2,}}|[A-Z]{{2,}}'))) as caps, regexp_split_to_array(trim(lower(content)), '\\s+') as ws,
+  length(regexp_replace(content, '[^\\p{{L}}]', '', 'g')) as alpha, length(trim(content)) as n from chunks),
+s as (select *, floor(caps * 0.3) + case when n > 0 then floor(len(list_distinct(ws)) / len(ws) * 10) + case when alpha / n > 0.6 then floor((alpha / n - 0.6) * 20) else 0 end else 0 end as score from m),
+p as (select *, row_number() over o as place, sum(length(content)) over (o rows unbounded preceding) as upto from s window o as (partition by doc_id order by score desc, chunk_index))
+select chunk_id, cast(score as bigint) as score, place, upto <= 4000 or upto - length(content) < 2800 as packed from p""",
 )
 def informative_chunks(spark, sf_dir):
-    """Chunks scored by capitalised words, variety and letters, best first within a file."""
+    """Chunks scored by capitalised words, variety and letters, best first within a file.
+
+    The best are packed into 4,000 characters, one more while under 2,800; as the
+    first that does not fit ends it, what is packed is a prefix of the order.
+    """
     words, n = F.split(F.trim(F.lower("content")), r"\s+"), F.length(F.trim("content"))
-    alpha = F.length(F.regexp_replace("content", "[^A-Za-z]", "")) / n
-    score = F.floor(F.regexp_count("content", F.lit("[A-Z][a-z]{2,}")) * 0.3) + F.when(n > 0, F.floor(F.size(F.array_distinct(words)) / F.size(words) * 10) + F.when(alpha > 0.6, F.floor((alpha - 0.6) * 20)).otherwise(0)).otherwise(0)
+    alpha = F.length(F.regexp_replace("content", r"[^\p{L}]", "")) / n
+    names = F.filter(F.regexp_extract_all("content", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: w.rlike("^(?:[A-Z][a-z]{2,}|[A-Z]{2,})$"))
+    score = F.floor(F.size(names) * 0.3) + F.when(n > 0, F.floor(F.size(F.array_distinct(words)) / F.size(words) * 10) + F.when(alpha > 0.6, F.floor((alpha - 0.6) * 20)).otherwise(0)).otherwise(0)
     s = chunks(spark, sf_dir).withColumn("score", score.cast("long"))
-    return s.select("chunk_id", "score", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("score").desc(), "chunk_index")).alias("place"))
+    order = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), "chunk_index")
+    upto = F.sum(F.length("content")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    packed = (upto <= 4000) | (upto - F.length("content") < 2800)
+    return s.select("chunk_id", "score", F.row_number().over(order).alias("place"), packed.alias("packed"))
 
 
 _PAGES = [(1, "            Centred Title Of It\nbody line that is long enough to count."), (2, "A Title Case Line Here\nsmall rest"), (3, "an ordinary first line of thirty or more letters\nx"), (4, "")]

@@ -231,3 +231,23 @@ def test_ranges_and_lists_of_filters(spark):
     assert ids({"page_number": [10, 12]}) == [1, 3]
     assert ids({"date_range": {"start": date(2024, 2, 1), "end": date(2024, 2, 5)}}) == [2]
     assert ids({"date_range": {"start": date(2024, 2, 1)}, "unknown": 1}) == [2, 3]
+
+
+def test_late_events_of_a_stream(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from quillmere.streaming.windows import windowed
+
+    def batch(number, *times):
+        spark.createDataFrame([("k", f"2024-01-01 {t}:00") for t in times], "key string, at string").coalesce(1).write.parquet(str(tmp_path / "in" / f"{number}"))
+
+    batch(0, "10:01", "10:07", "10:12")
+    batch(1, "10:40")
+    batch(2, "10:41")
+    batch(3, "10:05", "10:38")  # the first is later than its window's end by more than the lateness
+    stream = spark.readStream.schema("key string, at string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    counted = windowed(stream.withColumn("at", F.to_timestamp("at")), ["key"], "at", [F.count(F.lit(1)).alias("n")], "10 minutes", lateness="5 minutes")
+    run = counted.writeStream.format("memory").queryName("late_events").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    run.awaitTermination(100)
+    out = {r.window_start.strftime("%H:%M"): r.n for r in spark.table("late_events").collect()}
+    assert out == {"10:00": 2, "10:10": 1}
