@@ -309,13 +309,29 @@ def comparison_strategy(spark, sf_dir):
     return K.interleave(side(1), side(2)).select("query_id", "id", "rank")
 
 
+#: Hits with whether their document's text holds the first capitalised word of the question.
+_NAMED_SQL = """ent as (select query_id, lower(regexp_extract(question, '[A-Z][a-z]{3,}')) as entity from asked),
+held as (select h.*, coalesce(entity <> '' and contains(lower(d.text), entity), false) as named from hits h left join ent on h.query_id = ent.query_id left join documents d on d.doc_id = h.id),
+boosted as (select query_id, id, file_key, row_number() over (partition by query_id order by score desc, id) as rank, score from (select query_id, id, file_key, round(case when named then score * 1.3 else score end, 9) as score from held))"""
+
+
+def _named(spark, sf_dir, h):
+    """``h`` with the columns ``entity``, of its question, and ``named``, whether the text holds it."""
+    entity = F.lower(F.regexp_extract("question", "[A-Z][a-z]{3,}", 0))
+    asked_ = questions_of_vectors(spark, sf_dir).select("query_id", entity.alias("entity"))
+    texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    joined = h.join(asked_, "query_id", "left").join(texts, "id", "left")
+    return joined.withColumn("named", F.coalesce((F.col("entity") != "") & F.contains(F.lower("text"), F.col("entity")), F.lit(False))).drop("text")
+
+
 @query(
     "k20_entity_strategy",
-    f"""with {_hits_sql()}, s as (select query_id, id, file_key, round(case when id % 3 = 0 then score * 1.3 else score end, 9) as score from hits), r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from s),
-t as (select *, row_number() over (partition by query_id, file_key order by rank) as turn from r) select * from (select query_id, id, row_number() over (partition by query_id order by rank) as rank from t where turn <= 1) where rank <= 4""",
+    f"""with {_hits_sql()}, {_ASKED_SQL}, {_NAMED_SQL},
+t as (select *, row_number() over (partition by query_id, file_key order by rank) as turn from boosted) select * from (select query_id, id, row_number() over (partition by query_id order by rank) as rank from t where turn <= 1) where rank <= 4""",
 )
 def entity_strategy(spark, sf_dir):
-    return K.cap_per_file(K.boost(hits(spark, sf_dir), F.col("id") % 3 == 0), 1, 4).select("query_id", "id", "rank")
+    """Hits whose text holds the question's entity are raised; one of every file."""
+    return K.cap_per_file(K.boost(_named(spark, sf_dir, hits(spark, sf_dir)), F.col("named")), 1, 4).select("query_id", "id", "rank")
 
 
 @query("k21_general_strategy", f"with {_hits_sql(8)}, {_diverse_sql(0.21)}, t as (select *, row_number() over (partition by query_id, file_key order by rank) as turn from diverse) select * from (select query_id, id, row_number() over (partition by query_id order by rank) as rank from t where turn <= 2) where rank <= 4")
@@ -323,6 +339,12 @@ def general_strategy(spark, sf_dir):
     return K.cap_per_file(K.diversity_rerank(hits(spark, sf_dir, 8), 0.3 * 0.7), 2, 4).select("query_id", "id", "rank")
 
 
+def _age():
+    """Days since a hit was written; null where its date can't be read."""
+    written = F.when(F.col("id") % 4 == 0, "junk").otherwise(F.concat(F.lit("2024-01-"), F.lpad((F.col("id") % 28 + 1).cast("string"), 2, "0")))
+    return F.datediff(F.lit(NOW).cast("date"), F.try_to_timestamp(written, F.lit("yyyy-MM-dd")))
+
+
 @query(
     "k22_recency_rerank",
     f"""with {_hits_sql()}, s as (select query_id, id, round(score * coalesce(1 + 0.2 / (date_diff('day', try_cast(case id % 4 when 0 then 'junk' else '2024-01-' || lpad(cast(id % 28 + 1 as varchar), 2, '0') end as date), date '{NOW}') + 1), 1), 9) as score from hits)
@@ -330,22 +352,39 @@ select query_id, id, row_number() over (partition by query_id order by score des
 )
 def recency_rerank(spark, sf_dir):
     """The first readable date counts; a row without one keeps its score."""
-    written = F.when(F.col("id") % 4 == 0, "junk").otherwise(F.concat(F.lit("2024-01-"), F.lpad((F.col("id") % 28 + 1).cast("string"), 2, "0")))
-    age = F.datediff(F.lit(NOW).cast("date"), F.try_to_timestamp(written, F.lit("yyyy-MM-dd")))
-    return K.recency_rerank(hits(spark, sf_dir), age).select("query_id", "id", "rank", "score")
+    return K.recency_rerank(hits(spark, sf_dir), _age()).select("query_id", "id", "rank", "score")
 
 
-@query("k23_entity_boost", f"with {_hits_sql()}, s as (select query_id, id, round(case when file_key = 4 then score * 1.3 else score end, 9) as score from hits) select query_id, id, row_number() over (partition by query_id order by score desc, id) as rank, score from s")
+@query("k23_entity_boost", f"with {_hits_sql()}, {_ASKED_SQL}, {_NAMED_SQL} select query_id, id, rank, score from boosted")
 def entity_boost(spark, sf_dir):
-    return K.boost(hits(spark, sf_dir), F.col("file_key") == 4).select("query_id", "id", "rank", "score")
+    return K.boost(_named(spark, sf_dir, hits(spark, sf_dir)), F.col("named")).select("query_id", "id", "rank", "score")
+
 
+_AGE_SQL = f"coalesce(1 + 0.2 / (date_diff('day', try_cast(case id % 4 when 0 then 'junk' else '2024-01-' || lpad(cast(id % 28 + 1 as varchar), 2, '0') end as date), date '{NOW}') + 1), 1)"
+_BY_CLASS = lambda rows, classes: f"select query_id, id, rank from {rows} where query_id in (select query_id from cls where class in ({', '.join(repr(c) for c in classes)}))"
+_SPREAD = ("comparison", "relationship", "factual_general")
 
-@query("k24_rerank_by_type", f"with {_hits_sql()}, {_diverse_sql(0.15)} select query_id, id, rank from hits where query_id % 100 = 0 union all select query_id, id, rank from diverse where query_id % 100 <> 0")
+
+@query(
+    "k24_rerank_by_type",
+    f"""with {_hits_sql()}, {_ASKED_SQL}, {_NAMED_SQL},
+cls as (select h.query_id, coalesce(max({_case_sql('lower(question)', R.QUESTION_CLASSES, 'factual_general')}), 'factual_general') as class from hits h left join asked on h.query_id = asked.query_id group by h.query_id),
+{_diverse_sql("(select case class when 'comparison' then 0.15 when 'factual_general' then 0.21 else 0.3 end::double from cls where cls.query_id = c.query_id)")},
+recent as (select query_id, id, row_number() over (partition by query_id order by round(score * {_AGE_SQL}, 9) desc, id) as rank from hits)
+{_BY_CLASS('hits', ['factual_specific'])} union all {_BY_CLASS('diverse', _SPREAD)} union all {_BY_CLASS('recent', ['temporal'])} union all {_BY_CLASS('boosted', ['entity_search'])}""",
+)
 def rerank_by_type(spark, sf_dir):
-    """Specific questions stay as they are; comparisons get half the diversity weight."""
+    """Specific questions stay as they are; the others are spread (comparisons by half the weight, general ones by 0.7), freshened or boosted."""
     h = hits(spark, sf_dir)
-    same, other = h.where("query_id % 100 = 0"), h.where("query_id % 100 <> 0")
-    return same.select("query_id", "id", "rank").unionByName(K.diversity_rerank(other, 0.3 * 0.5).select("query_id", "id", "rank"))
+    kind = questions_of_vectors(spark, sf_dir).select("query_id", R.first_rule(F.lower("question"), R.QUESTION_CLASSES, "factual_general").alias("class"))
+    of = h.join(kind, "query_id", "left").withColumn("class", F.coalesce("class", F.lit("factual_general")))
+    some = lambda *classes: of.where(F.col("class").isin(*classes))
+    weight = F.when(F.col("class") == "comparison", 0.3 * 0.5).when(F.col("class") == "factual_general", 0.3 * 0.7).otherwise(0.3)
+    parts = [some("factual_specific"), K.diversity_rerank(some(*_SPREAD), weight), K.recency_rerank(some("temporal"), _age()), K.boost(_named(spark, sf_dir, some("entity_search")), F.col("named"))]
+    out = parts[0].select("query_id", "id", "rank")
+    for p in parts[1:]:
+        out = out.unionByName(p.select("query_id", "id", "rank"))
+    return out
 
 
 @query("k31_hit_at_5", f"with {_BM25_SQL}, h as (select query_id, max(case when contains(d.text, b.text) then 1 else 0 end) as hit from bm25 join documents d on id = doc_id join benchmark b on query_id = item_id where bm25.rank <= 5 group by query_id) select count(*) as queries, cast(sum(hit) as bigint) as hits, round(avg(hit), 6)::double as hit_rate from h")
