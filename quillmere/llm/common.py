@@ -79,3 +79,39 @@ def fresh_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted += "_"
     return wanted
+
+
+#: A key is hot if it has more than this share of a shuffle partition's fair share of rows.
+HOT_SHARE = 0.25
+
+
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def hot_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys with more than a quarter of a shuffle partition's fair share of ``rows``.
+
+    There are fewer than four times as many of them as shuffle partitions, so the
+    table, and what has one row for each of them, may be broadcast at any size.
+    """
+    most = rows.count() * HOT_SHARE / partitions(rows.sparkSession)
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("held")).where((F.col("held") > F.lit(most)) & (F.col("held") > 1)).select(*keys)
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], hot: DataFrame, values: str) -> DataFrame:
+    """``rows`` with ``values`` of their key's row in ``table`` (null if it has none), whatever share of them a key has.
+
+    ``table`` has one row for each key (no nulls), ``hot`` the hot keys of ``rows``.
+    Hot keys' values are broadcast; all other rows are joined by key, the hot ones
+    being spread over keys that match nothing.
+    """
+    spread, early, late = (fresh_name(rows, n) for n in ("spread", "early", "late"))
+    of_hot = table.join(F.broadcast(hot), keys, "left_semi").select(*[F.col(k).alias(f"{k}_hot") for k in keys], F.struct(F.col(values)).alias(early))
+    of_all = table.select(*[F.col(k).alias(f"{k}_all") for k in keys], F.lit(0).cast("long").alias(f"{spread}_all"), F.col(values).alias(late))
+    found = rows.join(F.broadcast(of_hot), [F.col(k) == F.col(f"{k}_hot") for k in keys], "left").drop(*[f"{k}_hot" for k in keys])
+    away = F.when(F.col(early).isNull(), F.lit(0)).otherwise(F.monotonically_increasing_id() + 1).cast("long")
+    found = found.withColumn(spread, away)
+    joined = found.join(of_all, [*[F.col(k) == F.col(f"{k}_all") for k in keys], F.col(spread) == F.col(f"{spread}_all")], "left")
+    value = F.when(F.col(early).isNotNull(), F.col(early)[values]).otherwise(F.col(late))
+    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], value.alias(values))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, discard, fresh_name, materialise
+from .common import WORD, discard, fresh_name, hot_keys, materialise, spread_join
 
 #: The seeded order of documents has this many bits; a step of the search looks at so many of them.
 ORDER_BITS, STEP_BITS = 60, 10
@@ -56,11 +56,11 @@ def _keys(source: Column) -> tuple[Column, Column]:
     return F.coalesce(source.cast("string"), F.lit("")), source.isNull()
 
 
-def _cuts(rows: DataFrame, rests: DataFrame) -> DataFrame:
+def _cuts(rows: DataFrame, rests: DataFrame, hot: DataFrame) -> DataFrame:
     """(named, none, cut, at): where the taken part of each source ends in the order.
 
     ``rows`` (named, none, order, size) are all documents, ``rests`` (named, none,
-    room) the words to take of each source. Documents before ``cut`` are taken
+    room) the words to take of each source, ``hot`` the sources that hold much. Documents before ``cut`` are taken
     wholly, those at it with ``at`` words each, later ones not. Sources that are
     taken wholly have no row. Each step sums the words by the next bits of the
     order and goes on inside the part that holds the end.
@@ -68,10 +68,9 @@ def _cuts(rows: DataFrame, rests: DataFrame) -> DataFrame:
     keys, cuts = ["named", "none"], materialise(rests.withColumn("prefix", F.lit(0).cast("long")), "cuts")
     shift = ORDER_BITS
     while shift > 0:
-        inner = cuts.withColumnsRenamed({"named": "cut_named", "none": "cut_none"})
-        here = (F.col("named") == F.col("cut_named")) & (F.col("none") == F.col("cut_none")) & (F.shiftright("order", shift) == F.col("prefix"))
+        ends = cuts.select(*keys, F.struct("room", "prefix").alias("end"))
+        inside = spread_join(rows, ends, keys, hot, "end").where(F.shiftright("order", shift) == F.col("end.prefix")).select(*keys, "end.room", "size", "order")
         shift -= STEP_BITS
-        inside = rows.join(inner, here).select(*keys, "room", "size", "order")
         parts = inside.groupBy(*keys, "room", F.shiftright("order", shift).alias("prefix")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"), F.min("order").alias("low"), F.max("order").alias("high"))
         ahead = F.coalesce(F.sum("words").over(Window.partitionBy(*keys).orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         ends = parts.withColumn("ahead", ahead).where("ahead <= room and room < ahead + words")
@@ -104,9 +103,9 @@ def mix_sources(
     rows.
     """
     size, source_size, target, taken = (fresh_name(docs, n) for n in ("size", "source_size", "target", "taken"))
-    order, named, none = (fresh_name(docs, f"mix_{n}") for n in ("order", "named", "none"))
+    order, named, none, of_source = (fresh_name(docs, f"mix_{n}") for n in ("order", "named", "none", "of"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.xxhash64(text).cast("string")).cast("binary"))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(text.cast("binary"))).cast("binary"))
     is_named, is_none = _keys(F.col(source_col))
     words = F.regexp_count(text, F.lit(WORD + "+")).cast("long")
     sized = docs.withColumns({size: words, order: F.conv(F.substring(digest, 1, ORDER_BITS // 4), 16, 10).cast("long"), named: is_named, none: is_none})
@@ -115,11 +114,13 @@ def mix_sources(
     plan = plan.withColumn("times", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     key, is_null = _keys(F.col("source"))
     plan = materialise(plan.select(key.alias("named"), is_null.alias("none"), "source_size", "target", "times", (F.floor(F.col("target") + F.lit(0.5)).cast("long") - F.col("times") * F.col("source_size")).alias("room")), "plan")
-    cuts = _cuts(rows, plan.select("named", "none", "room"))
-    known = materialise(plan.join(cuts, ["named", "none"], "left").select(F.col("named").alias("of_named"), F.col("none").alias("of_none"), F.struct("source_size", "target", "times", "cut", "at").alias("of")), "known")
+    hot = materialise(hot_keys(rows, ["named", "none"]), "hot")
+    cuts = _cuts(rows, plan.select("named", "none", "room"), hot)
+    known = plan.join(cuts, ["named", "none"], "left").select(F.col("named").alias(named), F.col("none").alias(none), F.struct("source_size", "target", "times", "cut", "at").alias(of_source))
+    known = materialise(known, "known")
     discard(rows)
-    joined = sized.join(known, (sized[named] == known.of_named) & (sized[none] == known.of_none))
-    of = lambda name: known["of"][name]
-    extra = F.when(of("cut").isNull() | (sized[order] < of("cut")), sized[size]).when(sized[order] == of("cut"), F.least(sized[size], of("at"))).otherwise(F.lit(0))
-    result = (of("times") * sized[size] + extra).cast("long")
-    return joined.select(*[sized[f"`{c}`"] for c in docs.columns], sized[size], of("source_size").alias(source_size), of("target").alias(target), result.alias(taken))
+    joined = spread_join(sized, known, [named, none], hot.withColumnsRenamed({"named": named, "none": none}), of_source)
+    of = lambda name: F.col(of_source)[name]
+    extra = F.when(of("cut").isNull() | (F.col(order) < of("cut")), F.col(size)).when(F.col(order) == of("cut"), F.least(F.col(size), of("at"))).otherwise(F.lit(0))
+    result = (of("times") * F.col(size) + extra).cast("long")
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(size), of("source_size").alias(source_size), of("target").alias(target), result.alias(taken))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, html_text, langid, lm, mixing, pii, quality, simhash, substring
+from . import alignment, chat, common, decontaminate, exact, html_text, langid, lm, merkle, mixing, pii, quality, simhash, substring
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -81,8 +81,29 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = alignment.align_texts(_read(spark, sf_dir, "documents"), digest=True)
+    return out.withColumnsRenamed({"id": "doc_id", "groups": "groups_sha256"})
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    capitals = "".join(map(chr, range(ord("A"), ord("Z") + 1)))
+    out = merkle.audit(
+        _read(spark, sf_dir, "documents"),
+        columns=("doc_id", "source", "lang", "n_chars", "text"),
+        tampered={"text": F.translate("text", capitals, capitals.lower())},
+        where=common.id_remainder("doc_id", 3) == 0,
+    )
+    folded = F.coalesce(F.try_element_at("nodes", F.lit(-1)), F.col("version_leaf"))
+    return out.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), folded.alias("folded_root"), "verified")
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.mark_copies(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_substring_dedup, op3_decontamination, op4_simhash, op5_mixing, op6_language_id, op7_pii, op8_html_text, op9_quality_rules, op10_chat_format)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_substring_dedup, op3_decontamination, op4_simhash, op5_mixing, op6_language_id, op7_pii, op8_html_text, op9_quality_rules, op10_chat_format, op11_token_alignment, op12_merkle_manifest, op13_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

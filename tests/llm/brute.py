@@ -160,3 +160,112 @@ def best_edits(item, text):
 def shingle_set(text, k=5):
     w = words(low(text))
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or {tuple(w)}
+
+
+def letters_of_bytes():
+    """GPT-style byte letters, said once more."""
+    shown = [b for b in range(256) if chr(b).isprintable() and not chr(b).isspace() and b != 0xAD]
+    out, extra = {}, 256
+    for b in range(256):
+        if b in shown:
+            out[chr(b)] = b
+        else:
+            out[chr(extra)] = b
+            extra += 1
+    return out
+
+
+def aligned(texts, folder="/opt/tokenizers"):
+    """One (n_a, n_b, n_groups, n_links, n_best, count_sum, groups) for each text, by sets of ends and all pairs."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a_model = Tokenizer.from_file(f"{folder}/byte_bpe_50k.json")
+    a_model.encode_special_tokens = True
+    b_model = sentencepiece.SentencePieceProcessor(model_file=f"{folder}/piece_bpe_32k.model")
+    letters = letters_of_bytes()
+    spelled = {i: bytes(letters[c] for c in t) for t, i in a_model.get_vocab().items() if t != "<|endoftext|>"}
+    out, total = [], Counter()
+    for t in texts:
+        if not t:
+            out.append(None)
+            continue
+        a = a_model.encode(" " + t, add_special_tokens=False).ids
+        b = b_model.encode(t)
+        a_bytes = [spelled[i] for i in a]
+        b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in map(b_model.id_to_piece, b)]
+        if b"".join(a_bytes) != (" " + t).encode() or b"".join(b_bytes) != (" " + t).encode():
+            out.append(None)
+            continue
+
+        def spans(parts):
+            at, out = 0, []
+            for p in parts:
+                out.append((at, at + len(p)))
+                at += len(p)
+            return out
+
+        sa, sb = spans(a_bytes), spans(b_bytes)
+        cuts = sorted({e for _, e in sa} & {e for _, e in sb})
+        groups, low = [], 0
+        for c in cuts:
+            inside = lambda ids, ss: ",".join(str(i) for i, (s, e) in zip(ids, ss) if low <= s and e <= c)  # noqa: B023, E731
+            groups.append(f"{inside(a, sa)}|{inside(b, sb)}")
+            low = c
+        links = Counter((i, j) for i, (s, e) in zip(a, sa) for j, (u, v) in zip(b, sb) if s < v and u < e)
+        total.update(links)
+        out.append((len(a), len(b), groups, links))
+    best = defaultdict(int)
+    for (_, j), n in total.items():
+        best[j] = max(best[j], n)
+    empty = (0, 0, 0, 0, 0, 0, "")
+    return [empty if o is None else (o[0], o[1], len(o[2]), sum(o[3].values()), sum(n for p, n in o[3].items() if total[p] == best[p[1]]), sum(n * total[p] for p, n in o[3].items()), ";".join(o[2])) for o in out]
+
+
+def manifest(rows, tampered):
+    """One (id, leaf, subroot, root, proof, folded, verified) for each (id, group, values, changed values)."""
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    leaf_of = lambda values: sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values))
+
+    def climb(level):
+        levels = [level]
+        while len(level) > 1:
+            level = [sha("".join(level[i : i + 8])) for i in range(0, len(level), 8)]
+            levels.append(level)
+        return levels
+
+    def path(levels, at):
+        for level in levels[:-1]:
+            low = at - at % 8
+            yield level[low:at], level[at + 1 : low + 8]
+            at //= 8
+
+    groups = defaultdict(list)
+    for (i, g, values), other in zip(rows, tampered):
+        groups[g].append((i is not None, i or 0, leaf_of(values), i, None if other is None else leaf_of(other)))
+    names = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    trees = {g: climb([x[2] for x in sorted(groups[g], key=lambda x: x[:3])]) for g in names}
+    top = climb([trees[g][-1][0] for g in names])
+    out = []
+    for k, g in enumerate(names):
+        for at, (_, _, leaf, i, other) in enumerate(sorted(groups[g], key=lambda x: x[:3])):
+            steps = [*path(trees[g], at), *path(top, k)]
+            now = other or leaf
+            for left, right in steps:
+                now = sha("".join([*left, now, *right]))
+            out.append((i, leaf, trees[g][-1][0], top[-1][0], sha("".join("".join(a + b) for a, b in steps)), now, now == top[-1][0]))
+    return out
+
+
+def exact_copies(rows):
+    """One (id, keep, size, kept, sha) for each (id, text)."""
+    groups = defaultdict(list)
+    bare = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+    for i, t in rows:
+        groups[bare(t)].append((-len(t or ""), i is None, i or 0, i))
+    out = []
+    for i, t in rows:
+        g = groups[bare(t)]
+        less, _, _, keep = min(g, key=lambda x: x[:3])
+        out.append((i, keep, len(g), i == keep and len(t or "") == -less, hashlib.sha256(bare(t).encode()).hexdigest()))
+    return out
