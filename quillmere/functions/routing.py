@@ -264,3 +264,18 @@ def citation_label(name: Column, page: Column, start: Column, end: Column, first
         .when(first_line.isNotNull(), F.concat(F.lit("Source: "), name, F.lit(", Lines "), first_line.cast("string"), F.lit("-"), last_line.cast("string")))
         .otherwise(F.concat(F.lit("Source: "), name))
     )
+
+
+# The extensions of the families that a question may speak of, and of the kinds that a reference may.
+FAMILY_EXTENSIONS = {
+    "csv": [".csv", ".tsv"],
+    "pdf": [".pdf"],
+    "txt": [".txt"],
+    "docx": [".docx", ".doc"],
+    "png": [".png"],
+    "jpg": [".jpg", ".jpeg"],
+    "wav": [".wav"],
+    "mp3": [".mp3"],
+    "html": [".html", ".htm"],
+}
+REFERENCE_EXTENSIONS = [".csv", ".tsv", ".pdf", ".txt", ".docx", ".png", ".jpg", ".wav", ".mp3"]

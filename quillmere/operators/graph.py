@@ -5,22 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """Cut the lineage through a table in the folder that all executors share."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local master may choose a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='quillmere-')}"
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/quillmere/graph-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage through a table in the folder that all executors share."""
+    path = f"{shared_folder(df.sparkSession)}/quillmere/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def latest(rows: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
@@ -63,10 +67,10 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, id) of everything a seed reaches, by frontiers until none is new; each is written once."""
-    seen = frontier = _written(seeds.select(F.col("id").alias("seed"), "id").distinct())
+    seen = frontier = written(seeds.select(F.col("id").alias("seed"), "id").distinct())
     while True:
         step = frontier.join(edges, frontier.id == edges.src).select("seed", F.col("dst").alias("id")).distinct()
-        frontier = _written(step.join(seen, ["seed", "id"], "left_anti"))
+        frontier = written(step.join(seen, ["seed", "id"], "left_anti"))
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
@@ -84,12 +88,40 @@ def paths(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
         step = frontier.join(edges, frontier.id == edges.src)
         path = F.when(F.col("relations") == "", F.col("relation")).otherwise(F.concat_ws(">", "relations", "relation"))
         reached = step.select("seed", F.col("dst").alias("id"), path.alias("relations")).groupBy("seed", "id").agg(F.min("relations").alias("relations"))
-        frontier = _written(reached.join(seen, ["seed", "id"], "left_anti"))
+        frontier = written(reached.join(seen, ["seed", "id"], "left_anti"))
         level = frontier.select("seed", "id", F.lit(hops).alias("hops"), "relations")
         seen, found = seen.unionByName(frontier.select("seed", "id")), level if found is None else found.unionByName(level)
     return found
 
 
+def two_least_sources(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, way, source), at most two rows a node and way: the two least of ``sources`` (id) that paths along ``edges`` join to it.
+
+    ``way`` 1 are paths from the source to the node, 0 paths from the node to it.
+    A source reaches itself. Both ways go on together. Every round passes on only what is new, and a node
+    keeps two sources, so the tables grow with the nodes, not with the pairs of the
+    transitive closure; a task drops what is beyond its own two least before the
+    shuffle. Ends when a round brings nothing new.
+    """
+    ways = F.explode(F.array(F.struct(F.lit(1).alias("way"), F.col("src").alias("id"), F.col("dst").alias("next")), F.struct(F.lit(0).alias("way"), F.col("dst").alias("id"), F.col("src").alias("next"))))
+    steps = written(edges.select(ways.alias("w")).select("w.*").distinct())
+    kept = written(sources.select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("way"), F.col("id").alias("source"), F.lit(True).alias("new")).distinct())
+    order = Window.partitionBy("id", "way").orderBy("source")
+    while not kept.where("new").isEmpty():
+        passed = kept.where("new").join(steps, ["id", "way"]).select(F.col("next").alias("id"), "way", "source", F.lit(True).alias("new"))
+        best = kept.withColumn("new", F.lit(False)).unionByName(passed).withColumn("place", F.dense_rank().over(order)).where("place <= 2")
+        kept = written(best.groupBy("id", "way", "source").agg(F.every("new").alias("new")))
+    return kept.drop("new")
+
+
+def common_nodes(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, first, second) of nodes that a path joins to two sources at least, whichever way it runs; the two least ones."""
+    met = two_least_sources(edges, sources).select("id", "source").distinct().join(sources.select("id"), "id", "left_anti")
+    place = met.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("source"))).where("place <= 2")
+    ends = place.groupBy("id").agg(F.min("source").alias("first"), F.max("source").alias("second"))
+    return ends.where("first <> second")
+
+
 def conflicts(edges: DataFrame) -> DataFrame:
     """(src, dst, kind): pairs with several relations, and relations that run both ways."""
     several = edges.groupBy("src", "dst").agg(F.count_distinct("relation").alias("n")).where("n > 1").select("src", "dst", F.lit("several_relations").alias("kind"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import graph as G
 from ..operators import store as S
 from ..registry import query
+from ..sources.binary import decoded
 from ..sources.tables import CHUNKS_SQL, FILES_SQL, chunks, files, read, values_sql
 from ..streaming import limits as L
 from ..streaming.think import filter_batch
@@ -178,9 +179,27 @@ def cascade_delete(spark, sf_dir):
     return kept.join(children, kept.o_orderkey == children.l_orderkey, "left").groupBy("o_orderkey").agg(F.count("l_orderkey").alias("lines"))
 
 
-@query("a18_common_entities", f"with {_EDGES} select dst as entity, count(distinct src) as documents from edges group by dst having count(distinct src) > 1")
+@query(
+    "a18_common_entities",
+    """with recursive e as (select 'd' || doc_id as src, 'e' || (doc_id // 3) as dst from documents where doc_id % 3 <> 0
+  union select 'e' || (doc_id // 3), 'e' || (doc_id // 5 + 7) from documents where doc_id % 2 = 0 union select 'e' || (doc_id // 4), 'd' || doc_id from documents where doc_id % 11 = 0),
+reach as (select distinct src as doc, dst as node from e where src like 'd%' union select doc, dst from reach join e on node = src),
+led as (select distinct dst as doc, src as node from e where dst like 'd%' union select doc, src from led join e on node = dst),
+met as (select doc, node from reach union select doc, node from led)
+select node as entity, min(doc) as first_document, min(doc) filter (where doc > least_doc) as second_document
+from (select *, min(doc) over (partition by node) as least_doc from met where node like 'e%') group by node having count(distinct doc) > 1""",
+)
 def common_entities(spark, sf_dir):
-    return edges(spark, sf_dir).groupBy(F.col("dst").alias("entity")).agg(F.count_distinct("src").alias("documents")).where("documents > 1")
+    """Entities that paths of any length join to two documents; documents cite entities, entities others and documents."""
+    d = F.col("doc_id")
+    name = lambda kind, number: F.concat(F.lit(kind), number.cast("long").cast("string"))
+    docs = read(spark, sf_dir, "documents")
+    cites = docs.where("doc_id % 3 <> 0").select(name("d", d).alias("src"), name("e", F.floor(d / 3)).alias("dst"))
+    leads = docs.where("doc_id % 2 = 0").select(name("e", F.floor(d / 3)).alias("src"), name("e", F.floor(d / 5) + 7).alias("dst"))
+    names = docs.where("doc_id % 11 = 0").select(name("e", F.floor(d / 4)).alias("src"), name("d", d).alias("dst"))
+    e = cites.unionByName(leads).unionByName(names).distinct()
+    sources = e.select(F.explode(F.array("src", "dst")).alias("id")).where("id like 'd%'").distinct()
+    return G.common_nodes(e, sources).select(F.col("id").alias("entity"), F.col("first").alias("first_document"), F.col("second").alias("second_document"))
 
 
 @query(
@@ -231,21 +250,22 @@ def folder_url(spark, sf_dir):
 
 
 _EXPORTS = {"application/vnd.google-apps.document": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "application/vnd.google-apps.spreadsheet": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "application/vnd.google-apps.presentation": "application/vnd.openxmlformats-officedocument.presentationml.presentation"}
-_MIMES = [(i, m) for i, m in enumerate([*_EXPORTS, "application/vnd.google-apps.drawing", "text/plain"])]
+_MIMES = [*_EXPORTS, "application/vnd.google-apps.drawing", "text/plain"]
 
 
-@query("s07_export_mime", f"select mid, coalesce(e.t, 'application/pdf') as export_mime from {values_sql(_MIMES, 'm(mid, m)')} left join {values_sql(list(_EXPORTS.items()), 'e(m, t)')} on m.m = e.m")
+@query("s07_export_mime", f"select doc_id, coalesce(e.t, 'application/pdf') as export_mime from (select doc_id, list_extract({_MIMES!r}, cast(doc_id % 5 + 1 as int)) as m from documents) m left join {values_sql(list(_EXPORTS.items()), 'e(m, t)')} on m.m = e.m")
 def export_mime(spark, sf_dir):
     table = F.create_map(*[F.lit(x) for kv in _EXPORTS.items() for x in kv])
-    return spark.createDataFrame(_MIMES, "mid int, m string").select("mid", F.coalesce(F.try_element_at(table, F.col("m")), F.lit("application/pdf")).alias("export_mime"))
+    mime = F.element_at(F.array(*[F.lit(m) for m in _MIMES]), (F.col("doc_id") % 5 + 1).cast("int"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.try_element_at(table, mime), F.lit("application/pdf")).alias("export_mime"))
 
 
-@query("s08_decoded_text")
+@query("s08_decoded_text", "select doc_id, md5(case doc_id % 4 when 2 then regexp_replace(text, '[^\\x00-\\x{FF}]', '?', 'g') when 3 then '' else text end) as decoded from documents")
 def decoded_text(spark, sf_dir):
-    from ..sources.binary import decoded
-
-    rows = [(1, "plain ä".encode()), (2, b"\xef\xbb\xbfmark"), (3, "latin ä".encode("latin-1")), (4, b"")]
-    return spark.createDataFrame(rows, "fid int, content binary").select("fid", decoded(F.col("content")).alias("text"))
+    """Whole texts back from bytes: UTF-8, with a byte-order mark, Latin-1, none."""
+    k = F.col("doc_id") % 4
+    content = F.when(k == 1, F.concat(F.lit(b"\xef\xbb\xbf"), F.encode("text", "UTF-8"))).when(k == 2, F.encode(F.regexp_replace("text", r"[^\x{0}-\x{FF}]", "?"), "ISO-8859-1")).when(k == 3, F.lit(b"")).otherwise(F.encode("text", "UTF-8"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(decoded(content).cast("binary")).alias("decoded"))
 
 
 @query("s12_dispatch", f"with {FILES_SQL} select case when size > 20000 then 'too_large' when mime_type like 'audio/%' or mime_type like 'video/%' then 'audio' when mime_type = 'application/pdf' then 'pdf' when mime_type like 'text/%' then 'text' when mime_type = 'application/octet-stream' then 'none' else 'universal' end as route, count(*) as n from files group by 1")

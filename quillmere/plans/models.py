@@ -11,7 +11,8 @@ from ..operators import models as M
 from ..operators import ranking as K
 from ..operators.retrieval import vector_top_k
 from ..registry import query
-from ..sources.tables import CHUNKS_SQL, FILES_SQL, chunks, files, read, values_sql
+from ..functions.replies import repaired_json
+from ..sources.tables import CHUNKS_SQL, FILES_SQL, chunks, dressed, dressed_sql, files, read
 from .retrieval import _BM25_SQL, bm25
 
 
@@ -104,12 +105,12 @@ def informative_chunks(spark, sf_dir):
     return s.select("chunk_id", "score", F.row_number().over(order).alias("place"), packed.alias("packed"))
 
 
-_PAGES = [(1, "            Centred Title Of It\nbody line that is long enough to count."), (2, "A Title Case Line Here\nsmall rest"), (3, "an ordinary first line of thirty or more letters\nx"), (4, "")]
+_PAGES = ["            Centred Title Of It\nbody line that is long enough to count.", "A Title Case Line Here\nsmall rest", "an ordinary first line of thirty or more letters\nx", ""]
 
 
 @query(
     "t03_page_title",
-    f"""with p as (select pid, list_filter(string_split(t, chr(10)), lambda s: trim(s) <> '') as ls from {values_sql(_PAGES, 'p(pid, t)')})
+    f"""with p as (select pid, list_filter(string_split(t, chr(10)), lambda s: trim(s) <> '') as ls from {dressed_sql('pid', _PAGES)})
 select pid, coalesce(trim(list_filter(ls, lambda s: regexp_matches(s, '^ {{10,}}\\S'))[1]), trim(list_filter(ls, lambda s: regexp_matches(trim(s), '^(\\p{{Lu}}\\S*\\s+){{2,}}\\p{{Lu}}\\S*$'))[1]), trim(list_filter(ls, lambda s: length(trim(s)) between 20 and 150)[1])) as title from p""",
 )
 def page_title(spark, sf_dir):
@@ -117,18 +118,19 @@ def page_title(spark, sf_dir):
     ls = F.filter(F.split("t", "\n"), lambda s: F.trim(s) != "")
     pick = lambda rule: F.trim(F.get(F.filter(ls, rule), 0))
     title = F.coalesce(pick(lambda s: s.rlike(r"^ {10,}\S")), pick(lambda s: F.trim(s).rlike(r"^(\p{Lu}\S*\s+){2,}\p{Lu}\S*$")), pick(lambda s: F.length(F.trim(s)).between(20, 150)))
-    return spark.createDataFrame(_PAGES, "pid int, t string").select("pid", title.alias("title"))
+    return dressed(spark, sf_dir, "pid", _PAGES).select("pid", title.alias("title"))
 
 
-_JSONS = [(1, 'ok ```json\n{"entities": ["a", "b"]}\n``` done'), (2, 'noise {"entities": ["c"]} noise'), (3, "{broken"), (4, '{"entities": []}')]
+_JSONS = ['ok ```json\n{"entities": ["a", "b"]}\n``` done', 'noise {"entities": ["c"]} noise', "{broken", '{"entities": []}', '{"entities": ["a", "b", "c", "cut', '{"of": {"x": 1}, "entities": ["a", {"b": 1}, "d"']
+#: How many entities these hold once repaired, worked out by hand.
+_ENTITIES = [2, 1, 0, 0, 3, 3]
 
 
-@query("t23_json_repair", f"select jid, coalesce(len(json_extract(try_cast(nullif(regexp_extract(regexp_replace(t, '```(?:json)?', '', 'g'), '(?s)\\{{.*\\}}', 0), '') as json), '$.entities')::varchar[]), 0) as n from {values_sql(_JSONS, 'j(jid, t)')}")
+@query("t23_json_repair", f"select jid, list_extract({_ENTITIES!r}, variant + 1)::bigint as n from {dressed_sql('jid', _JSONS)}")
 def json_repair(spark, sf_dir):
-    """Entities of a reply's outermost braces, fences stripped; none if it does not parse."""
-    body = F.regexp_extract(F.regexp_replace("t", "```(?:json)?", ""), r"(?s)\{.*\}", 0)
-    parsed = F.from_json(body, "entities array<string>")
-    return spark.createDataFrame(_JSONS, "jid int, t string").select("jid", F.coalesce(F.size(parsed["entities"]), F.lit(0)).cast("long").alias("n")).withColumn("n", F.greatest("n", F.lit(0)))
+    """Entities of a reply's JSON, whether fenced, cut off or nested; none if it does not parse."""
+    entities = F.from_json(repaired_json("t"), "entities array<string>")["entities"]
+    return dressed(spark, sf_dir, "jid", _JSONS).select("jid", F.coalesce(F.size(entities), F.lit(0)).cast("long").alias("n")).withColumn("n", F.greatest("n", F.lit(0).cast("long")))
 
 
 @query("s13_vector_store", "select label, count(*) as n, cast(min(len(embedding)) as bigint) as narrowest, cast(max(len(embedding)) as bigint) as widest from embeddings group by label")

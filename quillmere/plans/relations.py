@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import relations as J
+from ..operators.names import covered, names_within
 from ..operators.retrieval import similar_pairs
 from ..registry import query
-from ..sources.tables import CHUNKS_SQL, FILES_SQL, chunks, files, read, values_sql
+from ..sources.tables import CHUNKS_SQL, FILES_SQL, TITLES_SQL, chunks, dressed, dressed_sql, files, read, titles
 from .retrieval import _hits_sql, hits, vectors
 
 
@@ -82,12 +83,12 @@ def similar_vectors(spark, sf_dir):
     return similar_pairs(vectors(spark, sf_dir), 0.75)
 
 
-@query("j08_spec_gap", f"with {_items_sql()} select distinct s.id as spec, c.id as code, 0.5::double as confidence from items s join items c on s.folder = c.folder and s.item = c.item where s.id % 5 = 1 and c.id % 5 = 0")
+@query("j08_spec_gap", f"with {_items_sql()} select distinct s.id as spec, c.id as code, 0.5::double as confidence from items s join items c on s.folder = c.folder and s.item = c.item where s.id // 20 % 5 = 1 and c.id // 20 % 5 = 0")
 def spec_gap(spark, sf_dir):
     """Specifications that mention a name which code defines."""
     it = items(spark, sf_dir)
-    spec = it.where("id % 5 = 1").withColumnRenamed("id", "spec")
-    code = it.where("id % 5 = 0").withColumnRenamed("id", "code")
+    spec = it.where("id div 20 % 5 = 1").withColumnRenamed("id", "spec")
+    code = it.where("id div 20 % 5 = 0").withColumnRenamed("id", "code")
     return spec.join(code, ["folder", "item"]).select("spec", "code").distinct().withColumn("confidence", F.lit(0.5))
 
 
@@ -102,10 +103,36 @@ def precedes(spark, sf_dir):
     return J.precedes_totals(e, "user_id", "ts")
 
 
-@query("j11_reference_phrase", f"with {_TEXTS}, m as (select distinct id, unnest(regexp_extract_all(lower(text), '(?:see|refer to|mentioned in|according to) (doc_[0-9]+)', 1)) as name from texts) select id, doc_id as target, 0.8::double as confidence from m join documents on name = 'doc_' || doc_id where id <> doc_id")
+#: The phrases that point at another document, by the word before its name.
+_PHRASES = [r"see\s+(?:document|file|section)\s+", r"refer(?:s|ring)?\s+to\s+(?:document|file)\s+", r"mentioned\s+in\s+", r"according\s+to\s+"]
+_POINTED = (
+    "pointed as (select doc_id as id, lower(coalesce(text, '') || ' As mentioned in doc_' || ((doc_id * 7 + 3) % 900) || ', see file doc_' || ((doc_id * 11 + 5) % 900) || '.pdf and refer to document Doc_' || (doc_id % 900) || '.md') as text from documents)"
+)
+
+
+def _pointed(spark, sf_dir):
+    """(id, text): whole texts, each with phrases that point at others, in lower case."""
+    d = F.col("doc_id")
+    name = lambda c: (c % 900).cast("string")
+    said = F.concat(F.coalesce("text", F.lit("")), F.lit(" As mentioned in doc_"), name(d * 7 + 3), F.lit(", see file doc_"), name(d * 11 + 5), F.lit(".pdf and refer to document Doc_"), name(d), F.lit(".md"))
+    return read(spark, sf_dir, "documents").select(d.alias("id"), F.lower(said).alias("text"))
+
+
+@query(
+    "j11_reference_phrase",
+    f"""with {_POINTED}, {FILES_SQL}, m as (select distinct id, unnest({' || '.join(f"regexp_extract_all(text, '{p}([a-z0-9_-]+)', 1)" for p in _PHRASES)}) as ref from pointed)
+select distinct id, f.doc_id as target, 0.8::double as confidence from m join files f on (contains(lower(file_name), ref) or contains(ref, lower(file_name))) where id <> f.doc_id""",
+)
 def reference_phrase(spark, sf_dir):
-    pointed = _texts(spark, sf_dir).withColumn("text", F.array_join(F.regexp_extract_all(F.lower("text"), F.lit("(?:see|refer to|mentioned in|according to) (doc_[0-9]+)"), F.lit(1)), " "))
-    return J.mentions(pointed, _names(spark, sf_dir), "doc_[0-9]+").withColumn("confidence", F.lit(0.8))
+    """Documents that a phrase points at: the name it gives is part of a file's name, or holds it."""
+    found = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(f"{p}([a-z0-9_-]+)"), F.lit(1)) for p in _PHRASES])))
+    said = _pointed(spark, sf_dir).select("id", F.explode(found).alias("ref"))
+    refs = said.select("ref").distinct()
+    named = files(spark, sf_dir).select(F.col("doc_id").alias("target"), F.lower("file_name").alias("file"))
+    part = names_within(named.select(F.col("target").alias("id"), F.col("file").alias("text")), refs.select(F.col("ref").alias("name"))).select(F.col("name").alias("ref"), F.col("id").alias("target"))
+    holds = names_within(refs.select(F.col("ref").alias("id"), F.col("ref").alias("text")), named.select(F.col("file").alias("name"))).select(F.col("id").alias("ref"), F.col("name").alias("file"))
+    either = part.unionByName(holds.join(named, "file").select("ref", "target"))
+    return said.join(either, "ref").where("id <> target").select("id", "target").distinct().withColumn("confidence", F.lit(0.8))
 
 
 @query("j12_token_similarity", f"with {_items_sql('[a-z]{6,}')}, {_PAIRS}, {_SIZES} select a, b, round(shared / (x.n + y.n - shared), 6)::double as score from pairs p join sizes x on p.folder = x.folder and p.a = x.id join sizes y on p.folder = y.folder and p.b = y.id where shared / (x.n + y.n - shared) > 0.3")
@@ -113,20 +140,30 @@ def token_similarity(spark, sf_dir):
     return J.jaccard_pairs(items(spark, sf_dir, "[a-z]{6,}"), 0.3).select("a", "b", F.round("score", 6).alias("score"))
 
 
+_NAMES_OF_CODE = "code as (select distinct source as folder, doc_id as code, unnest(regexp_extract_all(lower(text), '[a-z]{12,}')) as name from documents where doc_id // 20 % 5 = 0), spec as (select source as folder, doc_id as spec, lower(text) as text from documents where doc_id // 20 % 5 = 1)"
+
+
 @query(
     "j13_missing_names",
-    f"""with {_items_sql()}, {_SIZES}, c as (select * from sizes where id % 5 = 0), s as (select source as folder, doc_id as id from documents where doc_id % 5 = 1),
-m as (select c.folder, c.id as code, s.id as spec, c.n, (select count(*) from items x join items y on x.item = y.item where x.id = c.id and y.id = s.id) as found from c join s on c.folder = s.folder)
-select code, spec, n - found as missing, 0.7::double as confidence from m where found < 0.5 * n""",
+    f"""with {_NAMES_OF_CODE}, n as (select folder, code, count(*) as n from code group by all), s as (select folder, count(*) as specs from spec group by all),
+h as (select c.folder, code, spec, count(*) as found from code c join spec s on c.folder = s.folder and contains(s.text, c.name) group by all),
+ok as (select h.folder, h.code, count(*) as covered from h join n on h.code = n.code and h.folder = n.folder where found >= 0.5 * n group by all)
+select n.code, n as n_names, specs - coalesce(covered, 0) as gaps, coalesce(covered, 0) as covered, 0.7::double as confidence from n join s on n.folder = s.folder left join ok on n.code = ok.code and n.folder = ok.folder where specs > coalesce(covered, 0)""",
 )
 def missing_names(spark, sf_dir):
-    """Code of a folder whose names mostly do not appear in a specification of that folder."""
-    it = items(spark, sf_dir)
-    code = it.where("id % 5 = 0").groupBy("folder", F.col("id").alias("code")).agg(F.count(F.lit(1)).alias("n"))
-    spec = read(spark, sf_dir, "documents").where("doc_id % 5 = 1").select(F.col("source").alias("folder"), F.col("doc_id").alias("spec"))
-    found = it.where("id % 5 = 0").withColumnRenamed("id", "code").join(it.where("id % 5 = 1").withColumnRenamed("id", "spec"), ["folder", "item"]).groupBy("code", "spec").agg(F.count(F.lit(1)).alias("found"))
-    pairs = code.join(spec, "folder").join(found, ["code", "spec"], "left").withColumn("found", F.coalesce("found", F.lit(0)))
-    return pairs.where("found < 0.5 * n").select("code", "spec", (F.col("n") - F.col("found")).alias("missing"), F.lit(0.7).alias("confidence"))
+    """Code whose names mostly stand in few specifications of its folder: how many cover it, and how many leave a gap.
+
+    Gaps are all specifications but those that hold half of the names, so only the
+    pairs with enough names are ever made, and the rest is counted.
+    """
+    docs = read(spark, sf_dir, "documents").select(F.col("source").alias("folder"), F.col("doc_id").alias("id"), F.lower("text").alias("text"))
+    names = docs.where("id div 20 % 5 = 0").select("folder", F.col("id").alias("target"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]{12,}"), F.lit(0)))).alias("name"))
+    specs = docs.where("id div 20 % 5 = 1")
+    ok = covered(specs, names, 0.5).groupBy("folder", "target").agg(F.count(F.lit(1)).alias("covered"))
+    n = names.groupBy("folder", "target").agg(F.count(F.lit(1)).alias("n_names"))
+    in_folder = specs.groupBy("folder").agg(F.count(F.lit(1)).alias("specs"))
+    out = n.join(in_folder, "folder").join(ok, ["folder", "target"], "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
+    return out.where("specs > covered").select(F.col("target").alias("code"), "n_names", (F.col("specs") - F.col("covered")).alias("gaps"), "covered", F.lit(0.7).alias("confidence"))
 
 
 _TOP_WORDS = """words as (select source as folder, doc_id as id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) as item from documents),
@@ -150,10 +187,13 @@ def content_similarity(spark, sf_dir):
     return pairs.withColumn("place", place).where("place <= 10").select("folder", "a", "b", "shared", F.round(F.least(2 * F.col("ratio"), F.lit(1.0)), 6).alias("confidence"))
 
 
-@query("j15_name_mention", f"with {_TEXTS}, m as (select distinct id, unnest(regexp_extract_all(lower(text), 'doc_[0-9]+\\.[a-z]+')) as name from texts), {FILES_SQL} select id, doc_id as target from m join files on name = lower(file_name) where id <> doc_id")
+@query("j15_name_mention", f"with {TITLES_SQL} select d.doc_id as id, t.doc_id as target from documents d join titles t on t.title <> '' and contains(d.text, t.title) where d.doc_id <> t.doc_id")
 def name_mention(spark, sf_dir):
-    names = files(spark, sf_dir).select(F.col("doc_id").alias("target"), F.lower("file_name").alias("name"))
-    return J.mentions(_texts(spark, sf_dir), names, r"doc_[0-9]+\.[a-z]+")
+    """Documents whose text holds another file's name, with or without its extension."""
+    t = titles(spark, sf_dir)
+    names = t.select(F.col("doc_id").alias("target"), F.explode(F.array("title", "file_name")).alias("name"))
+    texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return names_within(texts, names).join(names, "name").where("id <> target").select("id", "target").distinct()
 
 
 @query(
@@ -180,20 +220,34 @@ def graph_expansion(spark, sf_dir):
     return hits(spark, sf_dir, 5).select("query_id", F.col("id").alias("src")).join(best, "src").select("query_id", F.col("dst").alias("id")).distinct().join(v.select("id", "file_key"), "id").select("query_id", "id", "file_key")
 
 
-_ANSWERS = [(1, "Storage grew [1]. Costs fell [2][9]. See [cid:c1] and [cid:zz]."), (2, "Nothing cited."), (3, "Twice [2] and twice [2], then [cid:c3][cid:c1].")]
-_SOURCES = [(1, "c1", "a.pdf"), (2, "c2", "b.txt"), (3, "c3", "c.md")]
+_ANSWERS = ["Storage grew [1]. Costs fell [2][90]. See [cid:c1] and [cid:zz].", "Nothing cited.", "Twice [2] and twice [2], then [cid:c3][cid:c1]."]
+
+
+_CITED_SQL = f"a as (select aid, t, (aid // 100000) % 4 as folder from {dressed_sql('aid', _ANSWERS)}), {FILES_SQL}, s as (select folder_id, row_number() over (partition by folder_id order by doc_id) as n, file_name as name from files)"
+
+
+def _answers(spark, sf_dir):
+    """(aid, t, folder): replies that cite the files of one of four folders."""
+    return dressed(spark, sf_dir, "aid", _ANSWERS).select("aid", "t", F.concat(F.lit("src"), (F.floor(F.col("aid") / 100000) % 4).cast("string")).alias("folder"))
+
+
+def _numbered_sources(spark, sf_dir):
+    """(folder, n, name): a folder's files in order, as an answer numbers them."""
+    n = F.row_number().over(Window.partitionBy("folder_id").orderBy("doc_id"))
+    return files(spark, sf_dir).select(F.col("folder_id").alias("folder"), n.alias("n"), F.col("file_name").alias("name"))
 
 
-@query("j17_citation_numbers", f"with m as (select aid, cast(n as int) as n from (select aid, unnest(regexp_extract_all(answer, '\\[(\\d+)\\]', 1)) as n from {values_sql(_ANSWERS, 'a(aid, answer)')})) select distinct aid, m.n, name from m join {values_sql(_SOURCES, 's(n, cid, name)')} on m.n = s.n")
+@query("j17_citation_numbers", f"with {_CITED_SQL}, m as (select distinct aid, folder, cast(unnest(regexp_extract_all(t, '\\[(\\d+)\\]', 1)) as int) as n from a) select aid, m.n, name from m join s on m.n = s.n and s.folder_id = 'src' || folder")
 def citation_numbers(spark, sf_dir):
-    found = spark.createDataFrame(_ANSWERS, "aid int, answer string").select("aid", F.explode(F.regexp_extract_all("answer", F.lit(r"\[(\d+)\]"), F.lit(1))).alias("n")).withColumn("n", F.col("n").cast("int"))
-    return found.join(spark.createDataFrame(_SOURCES, "n int, cid string, name string"), "n").select("aid", "n", "name").distinct()
+    found = _answers(spark, sf_dir).select("aid", "folder", F.explode(F.regexp_extract_all("t", F.lit(r"\[(\d+)\]"), F.lit(1))).alias("n")).withColumn("n", F.col("n").cast("int")).distinct()
+    return found.join(_numbered_sources(spark, sf_dir), ["folder", "n"]).select("aid", "n", "name")
 
 
-@query("j18_citation_ids", f"with m as (select distinct aid, unnest(regexp_extract_all(answer, '\\[cid:([^\\]]+)\\]', 1)) as cid from {values_sql(_ANSWERS, 'a(aid, answer)')}) select aid, m.cid, coalesce(name, '[?]') as shown from m left join {values_sql(_SOURCES, 's(n, cid, name)')} on m.cid = s.cid")
+@query("j18_citation_ids", f"with {_CITED_SQL}, m as (select distinct aid, folder, unnest(regexp_extract_all(t, '\\[cid:([^\\]]+)\\]', 1)) as cid from a) select aid, m.cid, coalesce(name, '[?]') as shown from m left join s on m.cid = 'c' || s.n and s.folder_id = 'src' || folder")
 def citation_ids(spark, sf_dir):
-    found = spark.createDataFrame(_ANSWERS, "aid int, answer string").select("aid", F.explode(F.array_distinct(F.regexp_extract_all("answer", F.lit(r"\[cid:([^\]]+)\]"), F.lit(1)))).alias("cid"))
-    return found.join(spark.createDataFrame(_SOURCES, "n int, cid string, name string"), "cid", "left").select("aid", "cid", F.coalesce("name", F.lit("[?]")).alias("shown"))
+    found = _answers(spark, sf_dir).select("aid", "folder", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"\[cid:([^\]]+)\]"), F.lit(1)))).alias("cid"))
+    sources = _numbered_sources(spark, sf_dir).select("folder", F.concat(F.lit("c"), F.col("n").cast("string")).alias("cid"), "name")
+    return found.join(sources, ["folder", "cid"], "left").select("aid", "cid", F.coalesce("name", F.lit("[?]")).alias("shown"))
 
 
 _EDGE = "case when doc_id % 2 = 0 then 'overlap' else 'gap' end"

@@ -8,7 +8,8 @@ from ..functions import routing as R
 from ..operators import adaptive as A
 from ..operators import ranking as K
 from ..operators.mmr import rerank as mmr_rerank
-from ..operators.retrieval import bm25_top_k, vector_top_k
+from ..operators.keyword_index import index_of
+from ..operators.retrieval import vector_top_k
 from ..registry import query
 from ..sources.tables import read
 from .routing import _case_sql
@@ -71,7 +72,7 @@ bm25 as (select * from (select query_id, id, row_number() over (partition by que
 
 def bm25(spark, sf_dir, k=10):
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return bm25_top_k(docs, read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), k)
+    return index_of(docs).top_k(read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), k)
 
 
 @query("k04_bm25_topk", f"with {_BM25_SQL} select query_id, id, bm25.rank, bm25.score, 'Source: doc_' || id || ' (' || source || ')' as citation from bm25 join documents on id = doc_id where bm25.rank <= 5")
@@ -104,7 +105,7 @@ def questions_of_vectors(spark, sf_dir):
 def keyword_hits(spark, sf_dir, k=10):
     """The keyword leg: BM25 over all documents for the same questions, in the vector list's columns."""
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    found = bm25_top_k(docs, questions_of_vectors(spark, sf_dir).select("query_id", "text"), k)
+    found = index_of(docs).top_k(questions_of_vectors(spark, sf_dir).select("query_id", "text"), k)
     files = vectors(spark, sf_dir).select("id", "file_key")
     return _out(found.join(files, "id", "left").withColumn("file_key", F.coalesce("file_key", F.col("id") % 10)))
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import routing as R
+from ..functions.replies import repaired_json
+from ..operators.names import names_within
 from ..registry import ORACLES, query
-from ..sources.tables import FILE_KINDS, FILES_SQL, QUESTIONS_SQL, files, questions, read, values_sql
+from ..sources.tables import FILES_SQL, QUESTIONS_SQL, dressed, dressed_sql, files, questions, read, values_sql
 
 _q = "lower(question)"
 
@@ -120,26 +122,55 @@ r as (select *, row_number() over (partition by qid order by w desc, i) as rn fr
 select q.qid, coalesce(r.t, 'any') as content_type, coalesce(r.w, 0)::double as confidence from questions q left join r on q.qid = r.qid and rn = 1"""
 
 
-def keyword_type(spark):
+def keyword_type(spark, sf_dir):
     """(qid, content_type, confidence): the type of the weightiest keyword, the earlier type on a tie."""
     scores = R.content_scores(F.lower("question"))
     best = F.array_max(F.array(*[F.struct(s.alias("w"), F.lit(-i).alias("i"), F.lit(t).alias("t")) for i, (t, s) in enumerate(scores.items())]))
-    return questions(spark).select("qid", best.alias("b")).select("qid", F.when(F.col("b.w") > 0, F.col("b.t")).otherwise("any").alias("content_type"), F.col("b.w").alias("confidence"))
+    return questions(spark, sf_dir).select("qid", best.alias("b")).select("qid", F.when(F.col("b.w") > 0, F.col("b.t")).otherwise("any").alias("content_type"), F.col("b.w").alias("confidence"))
+
+
+_FAMILIES = [(i, f, e) for i, (f, es) in enumerate(R.FAMILY_EXTENSIONS.items()) for e in es]
+_FAMILY_SQL = f"fam(i, family, ext) as (select * from {values_sql(_FAMILIES, 'v(i, family, ext)')})"
+_NAMED_SQL = "nm as (select file_id, doc_id, file_name, lower(file_name) as n, regexp_replace(lower(file_name), '\\.[^.]*$', '') as b from files)"
+
+
+def families(spark, sf_dir):
+    """(family, n_files, first_doc, first_file) of the extension families that have files: nine rows at most."""
+    low = F.lower("file_name")
+    of = F.coalesce(*[F.when(F.array_contains(F.array(*[F.lit(e) for e in es]), R.suffix(low)), f) for f, es in R.FAMILY_EXTENSIONS.items()])
+    known = files(spark, sf_dir).select(of.alias("family"), "doc_id", "file_name").where("family is not null")
+    return known.groupBy("family").agg(F.count(F.lit(1)).alias("n_files"), F.min("doc_id").alias("first_doc"), F.min_by("file_name", "doc_id").alias("first_file"))
+
+
+def named_files(spark, sf_dir, asked):
+    """(id, doc_id, file_id, file_name) of files whose name, with or without extension, stands in a text of ``asked`` (id, text), case aside."""
+    low = F.lower("file_name")
+    names = files(spark, sf_dir).select("doc_id", "file_id", "file_name", F.explode(F.array_distinct(F.array(low, F.regexp_replace(low, r"\.[^.]*$", "")))).alias("name"))
+    found = names_within(asked.select("id", F.lower("text").alias("text")), names)
+    return found.join(names, "name").select("id", "doc_id", "file_id", "file_name").distinct()
 
 
 @query(
     "p10_explicit_file",
-    f"""with {QUESTIONS_SQL}, {FILES_SQL}, f as (select file_id, file_name, lower(file_name) as n, regexp_replace(lower(file_name), '\\.[^.]*$', '') as b from files)
-select qid, count(*) as n_files, min(file_name) as first_file, case when count(*) > 1 then 0.9::double else 1.0::double end as confidence
-from questions join f on list_contains(regexp_extract_all({_q}, '[a-z0-9_]+(?:\\.[a-z0-9]+)?'), f.n) or list_contains(regexp_extract_all({_q}, '[a-z0-9_]+(?:\\.[a-z0-9]+)?'), f.b) group by qid""",
+    f"""with {QUESTIONS_SQL}, {FILES_SQL}, {_NAMED_SQL}, {_FAMILY_SQL},
+has as (select i, family, count(*) as n, arg_min(file_name, doc_id) as first from fam join nm on right(n, length(ext)) = ext group by i, family),
+byfam as (select qid, n, first, row_number() over (partition by qid order by i) as r from questions join has on contains({_q}, family || ' file') or contains({_q}, 'the ' || family) or contains({_q}, 'this ' || family)),
+byname as (select qid, arg_min(file_name, doc_id) as first from questions join nm on contains({_q}, nm.n) or contains({_q}, nm.b) group by qid)
+select q.qid, case when f.qid is not null then 'family' else 'name' end as named_by, coalesce(f.n, 1) as n_files, coalesce(f.first, m.first) as first_file, case when f.n > 1 then 0.9::double else 1.0::double end as confidence
+from questions q left join byfam f on q.qid = f.qid and f.r = 1 left join byname m on q.qid = m.qid where f.qid is not null or m.qid is not null""",
 )
 def explicit_file(spark, sf_dir):
-    """Files named in a question, with or without extension: an equi-join on name tokens."""
-    asked = questions(spark).select("qid", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("question"), F.lit(r"[a-z0-9_]+(?:\.[a-z0-9]+)?"), F.lit(0)))).alias("name"))
-    low = F.lower("file_name")
-    named = files(spark, sf_dir).select("file_id", "file_name", F.explode(F.array_distinct(F.array(low, F.regexp_replace(low, r"\.[^.]*$", "")))).alias("name"))
-    hit = named.join(asked, "name").select("qid", "file_id", "file_name").distinct()
-    return hit.groupBy("qid").agg(F.count(F.lit(1)).alias("n_files"), F.min("file_name").alias("first_file")).withColumn("confidence", F.when(F.col("n_files") > 1, 0.9).otherwise(1.0))
+    """A question's files: those of the first extension family it speaks of ("the csv", "pdf files") that has any, else the first file whose name it holds."""
+    low = F.lower("question")
+    asks = lambda f: R.has_any(low, [f"{f} file", f"the {f}", f"this {f}"])
+    spoken = F.array_compact(F.array(*[F.when(asks(f), F.struct(F.lit(i).alias("i"), F.lit(f).alias("family"))) for i, f in enumerate(R.FAMILY_EXTENSIONS)]))
+    q = questions(spark, sf_dir)
+    meant = q.select("qid", F.explode(spoken).alias("s")).select("qid", "s.*").join(F.broadcast(families(spark, sf_dir)), "family")  # nine rows
+    by_family = meant.groupBy("qid").agg(F.min_by(F.struct("n_files", "first_file"), "i").alias("f"))
+    by_family = by_family.select("qid", F.lit("family").alias("named_by"), "f.n_files", "f.first_file", F.when(F.col("f.n_files") > 1, 0.9).otherwise(1.0).alias("confidence"))
+    rest = q.join(by_family.select("qid"), "qid", "left_anti").select(F.col("qid").alias("id"), F.col("question").alias("text"))
+    by_name = named_files(spark, sf_dir, rest).groupBy(F.col("id").alias("qid")).agg(F.min_by("file_name", "doc_id").alias("first_file"))
+    return by_family.unionByName(by_name.select("qid", F.lit("name").alias("named_by"), F.lit(1).cast("long").alias("n_files"), "first_file", F.lit(1.0).alias("confidence")))
 
 
 _EXT_ORDER = [(i, t, e[1:]) for i, (t, es) in enumerate(R.CONTENT_EXTENSIONS.items()) for e in es]
@@ -153,7 +184,7 @@ select qid, '.' || e as extension, t as content_type from h where rn = 1""",
 )
 def extension_token(spark, sf_dir):
     order = F.broadcast(spark.createDataFrame(_EXT_ORDER, "i int, t string, e string"))  # a fixed table of 44 rows
-    asked = questions(spark).select("qid", F.posexplode(F.regexp_extract_all(F.lower("question"), F.lit(r"\.([a-z0-9]{2,5})\b"), F.lit(1))).alias("p", "e"))
+    asked = questions(spark, sf_dir).select("qid", F.posexplode(F.regexp_extract_all(F.lower("question"), F.lit(r"\.([a-z0-9]{2,5})\b"), F.lit(1))).alias("p", "e"))
     return asked.join(order, "e").groupBy("qid").agg(F.min_by(F.struct("e", "t"), F.struct("p", "i")).alias("b")).select("qid", F.concat(F.lit("."), F.col("b.e")).alias("extension"), F.col("b.t").alias("content_type"))
 
 
@@ -166,7 +197,7 @@ select qid, string_agg(t, ',' order by t) as types, 0.9::double as confidence fr
 def multi_type(spark, sf_dir):
     low = F.lower("question")
     strong = F.array_compact(F.array(*[F.when(s >= 0.8, F.lit(t)) for t, s in R.content_scores(low).items()]))
-    return questions(spark).where(low.rlike(r"\b(and|versus|vs|compare|between)\b")).select("qid", strong.alias("l")).where(F.size("l") >= 2).select("qid", F.array_join(F.array_sort("l"), ",").alias("types"), F.lit(0.9).alias("confidence"))
+    return questions(spark, sf_dir).where(low.rlike(r"\b(and|versus|vs|compare|between)\b")).select("qid", strong.alias("l")).where(F.size("l") >= 2).select("qid", F.array_join(F.array_sort("l"), ",").alias("types"), F.lit(0.9).alias("confidence"))
 
 
 @query(
@@ -176,7 +207,7 @@ h as (select distinct qid, file_name from x join files on lower(file_name) = r o
 select qid, string_agg(file_name, ',' order by file_name) as excluded, case when count(*) = 1 then 'ne' else 'nin' end as op, 0.95::double as confidence from h group by qid""",
 )
 def exclusion(spark, sf_dir):
-    asked = questions(spark).select("qid", F.explode(F.regexp_extract_all(F.lower("question"), F.lit(r"(?:except|excluding|exclude|not\s+in)\s+(\w+(?:\.\w+)?)"), F.lit(1))).alias("name"))
+    asked = questions(spark, sf_dir).select("qid", F.explode(F.regexp_extract_all(F.lower("question"), F.lit(r"(?:except|excluding|exclude|not\s+in)\s+(\w+(?:\.\w+)?)"), F.lit(1))).alias("name"))
     low = F.lower("file_name")
     named = files(spark, sf_dir).select("file_name", F.explode(F.array_distinct(F.array(low, F.regexp_replace(low, r"\.[^.]*$", "")))).alias("name"))
     hit = named.join(asked, "name").select("qid", "file_name").distinct()
@@ -193,7 +224,7 @@ from x5 left join x1 on x5.qid = x1.qid left join x2 on x5.qid = x2.qid left joi
 )
 def content_type(spark, sf_dir):
     """The detector's cascade: exclusion, named file, extension, several types, weightiest keyword, nothing."""
-    found = keyword_type(spark).select("qid", F.struct("content_type", "confidence").alias("x5"))
+    found = keyword_type(spark, sf_dir).select("qid", F.struct("content_type", "confidence").alias("x5"))
     steps = [("x1", exclusion), ("x2", explicit_file), ("x3", extension_token), ("x4", multi_type)]
     for name, step in steps:
         rows = step(spark, sf_dir)
@@ -215,8 +246,38 @@ def content_type(spark, sf_dir):
     )
 
 
+_REFERENCES = [(e,) for e in R.REFERENCE_EXTENSIONS]
+
+
+@query(
+    "p18_file_references",
+    f"""with {QUESTIONS_SQL}, {FILES_SQL}, {_NAMED_SQL}, x(ext) as (select * from {values_sql(_REFERENCES, 'v(ext)')}),
+has as (select ext, count(*) as n, min(file_id) as first from x join nm on right(n, length(ext)) = ext group by ext),
+bykind as (select qid, cast(sum(n) as bigint) as n, min(first) as first from questions join has on contains({_q}, substr(ext, 2) || ' file') group by qid),
+w as (select qid, {_q} as q, list_distinct(list_filter(regexp_extract_all({_q}, '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) >= 2)) as ws from questions),
+f as (select *, regexp_extract_all(b, '[\\p{{L}}\\p{{N}}_]+') as ws from nm),
+byname as (select qid, count(*) as n, min(file_id) as first from w join f on contains(w.q, f.n) or contains(w.q, f.b) or list_has_any(w.ws, f.ws) group by qid)
+select q.qid, coalesce(k.n, m.n) as n_files, coalesce(k.first, m.first) as first_file from questions q left join bykind k on q.qid = k.qid left join byname m on q.qid = m.qid where k.qid is not null or m.qid is not null""",
+)
+def file_references(spark, sf_dir):
+    """Files that a question means: all of the kinds it speaks of ("csv files"), else those whose name it holds or shares a word with."""
+    low = F.lower("question")
+    q = questions(spark, sf_dir)
+    spoken = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(f"{e[1:]} file")), F.lit(e)) for e in R.REFERENCE_EXTENSIONS]))
+    kinds = files(spark, sf_dir).select(R.suffix(F.lower("file_name")).alias("ext"), "file_id").where(F.col("ext").isin(R.REFERENCE_EXTENSIONS)).groupBy("ext").agg(F.count(F.lit(1)).alias("n"), F.min("file_id").alias("first"))
+    by_kind = q.select("qid", F.explode(spoken).alias("ext")).join(F.broadcast(kinds), "ext").groupBy("qid").agg(F.sum("n").alias("n_files"), F.min("first").alias("first_file"))  # nine rows
+    rest = q.join(by_kind.select("qid"), "qid", "left_anti")
+    word = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?U)\w+"), F.lit(0)))
+    asked = rest.select("qid", F.explode(F.filter(word(low), lambda w: F.length(w) >= 2)).alias("w"))
+    named = files(spark, sf_dir).select("file_id", F.explode(word(F.regexp_replace(F.lower("file_name"), r"\.[^.]*$", ""))).alias("w"))
+    by_word = named.join(asked, "w").select("qid", "file_id")
+    held = named_files(spark, sf_dir, rest.select(F.col("qid").alias("id"), F.col("question").alias("text"))).select(F.col("id").alias("qid"), "file_id")
+    by_name = by_word.unionByName(held).distinct().groupBy("qid").agg(F.count(F.lit(1)).alias("n_files"), F.min("file_id").alias("first_file"))
+    return by_kind.unionByName(by_name)
+
+
 _SPECIFIC = [r for r in R.QUESTION_CLASSES if r[1] != "factual_general"]
-_NAMES_SQL = "n as (select qid, list_distinct(list_filter(regexp_extract_all(lower(question), '[\\p{L}\\p{N}_]+'), lambda w: length(w) >= 2)) as ws from questions), named as (select distinct qid from n join (select distinct regexp_extract_all(regexp_replace(lower(file_name), '\\.[^.]*$', ''), '[\\p{L}\\p{N}_]+') as ws from files) f on list_has_any(n.ws, f.ws))"
+_NAMES_SQL = f"named as (select distinct qid from ({ORACLES['p18_file_references']}))"
 
 
 def _class_sql(pick, default, specific):
@@ -230,68 +291,53 @@ def question_class(spark, sf_dir):
     named = file_references(spark, sf_dir).select(F.col("qid").alias("named_qid"))
     specific = R.has_any(low, sum((r[0] for r in _SPECIFIC), []))
     of = lambda pick, default, value: F.when(~specific & F.col("named_qid").isNotNull(), F.lit(value)).otherwise(R.first_rule(low, R.QUESTION_CLASSES, default, pick))
-    return questions(spark).join(named, F.col("qid") == F.col("named_qid"), "left").select("qid", of(1, "factual_general", "factual_specific").alias("query_type"), of(2, 0.5, 0.8).alias("confidence"))
+    return questions(spark, sf_dir).join(named, F.col("qid") == F.col("named_qid"), "left").select("qid", of(1, "factual_general", "factual_specific").alias("query_type"), of(2, 0.5, 0.8).alias("confidence"))
 
 
 _REPLIES = [
-    (1, 'Sure:\n```json\n{"query_type": "comparison", "confidence": 0.75}\n```\nDone.'),
-    (2, 'Answer {"query_type": "temporal", "confidence": 1.5} ok'),
-    (3, "no json at all"),
-    (4, '{"query_type": "relationship", "confidence": -1}'),
+    'Sure:\n```json\n{"query_type": "comparison", "confidence": 0.75}\n```\nDone.',
+    'Answer {"query_type": "temporal", "confidence": 1.5} ok',
+    "no json at all",
+    '{"query_type": "relationship", "confidence": -1}',
+    'Cut off: {"query_type": "comparison", "confidence": 0.5, "reasons": ["a", "b',
+    'Nested: {"query_type": "factual_specific", "extra": {"deep": [1, {"x": "}"}]}, "confidence": 0.25',
 ]
+#: What the six replies hold, worked out by hand.
+_MEANT = [("comparison", 0.75), ("temporal", 1.0), (None, None), ("relationship", 0.0), ("comparison", 0.5), ("factual_specific", 0.25)]
 
 
 @query(
     "p16_json_from_reply",
-    f"""with r as (select * from {values_sql(_REPLIES, 'r(rid, reply)')}),
-j as (select rid, coalesce(nullif(regexp_extract(reply, '(?s)```json\\s*(.*?)\\s*```', 1), ''), nullif(regexp_extract(reply, '(?s)\\{{.*\\}}', 0), '')) as j from r)
-select rid, j->>'query_type' as query_type, case when j is not null then greatest(0, least(1, cast(j->>'confidence' as double))) end::double as confidence from j""",
+    f"select rid, m.query_type, m.confidence::double as confidence from {dressed_sql('rid', _REPLIES)} d join {values_sql([(i, *m) for i, m in enumerate(_MEANT)], 'm(i, query_type, confidence)')} on d.variant = m.i",
 )
 def json_from_reply(spark, sf_dir):
-    """The JSON object of a model's reply: a fenced block, else the outermost braces."""
-    r = spark.createDataFrame(_REPLIES, "rid int, reply string")
-    some = lambda c: F.when(c != "", c)
-    j = F.coalesce(some(F.regexp_extract("reply", r"(?s)```json\s*(.*?)\s*```", 1)), some(F.regexp_extract("reply", r"(?s)\{.*\}", 0)))
-    parsed = F.from_json(j, "query_type string, confidence double")
-    return r.select("rid", parsed["query_type"].alias("query_type"), F.when(parsed["confidence"].isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), parsed["confidence"]))).alias("confidence"))
+    """The JSON object of a model's reply, cut and nested ones repaired; the confidence is clamped."""
+    parsed = F.from_json(repaired_json("t"), "query_type string, confidence double")
+    return dressed(spark, sf_dir, "rid", _REPLIES).select("rid", parsed["query_type"].alias("query_type"), F.when(parsed["confidence"].isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), parsed["confidence"]))).alias("confidence"))
 
 
 @query(
     "p17_question_entities",
-    f"""with {QUESTIONS_SQL}, l as (select qid, list_concat(list_concat(regexp_extract_all(question, '"([^"]+)"', 1), regexp_extract_all(question, '''([^'']+)''', 1)), regexp_extract_all(question, '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)\\b', 1)) as l from questions)
+    f"""with {QUESTIONS_SQL}, l as (select qid, list_concat(list_concat(regexp_extract_all(question, '"([^"]+)"', 1), regexp_extract_all(question, '''([^'']+)''', 1)), regexp_extract_all(regexp_replace(question, '[^\\x00-\\x7F]', '0', 'g'), '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)\\b', 1)) as l from questions)
 select qid, array_to_string(list_sort(list_distinct(list_filter(l, lambda e: length(e) > 2 and e not in ('The','This','That','What','Which','Where','When','How','Why')))), '|') as entities from l""",
 )
 def question_entities(spark, sf_dir):
-    return questions(spark).select("qid", F.array_join(R.question_entities(F.col("question")), "|").alias("entities"))
-
-
-@query(
-    "p18_file_references",
-    f"""with {QUESTIONS_SQL}, {FILES_SQL}, w as (select qid, list_distinct(list_filter(regexp_extract_all({_q}, '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) >= 2)) as ws from questions),
-f as (select file_id, regexp_extract_all(regexp_replace(lower(file_name), '\\.[^.]*$', ''), '[\\p{{L}}\\p{{N}}_]+') as ws from files)
-select qid, count(*) as n_files, min(file_id) as first_file from w join f on list_has_any(w.ws, f.ws) group by qid""",
-)
-def file_references(spark, sf_dir):
-    """Files whose name shares a word with a question, as an equi-join on words."""
-    word = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?U)\w+"), F.lit(0)))
-    asked = questions(spark).select("qid", F.explode(F.filter(word(F.lower("question")), lambda w: F.length(w) >= 2)).alias("w"))
-    named = files(spark, sf_dir).select("file_id", F.explode(word(F.regexp_replace(F.lower("file_name"), r"\.[^.]*$", ""))).alias("w"))
-    return named.join(asked, "w").select("qid", "file_id").distinct().groupBy("qid").agg(F.count(F.lit(1)).alias("n_files"), F.min("file_id").alias("first_file"))
+    return questions(spark, sf_dir).select("qid", F.array_join(R.question_entities(F.col("question")), "|").alias("entities"))
 
 
 @query("p19_strategy", f"with {QUESTIONS_SQL} select qid, {_case_sql(_q, R.STRATEGIES, 'conceptual')} as strategy from questions")
 def strategy(spark, sf_dir):
-    return questions(spark).select("qid", R.first_rule(F.lower("question"), R.STRATEGIES, "conceptual").alias("strategy"))
+    return questions(spark, sf_dir).select("qid", R.first_rule(F.lower("question"), R.STRATEGIES, "conceptual").alias("strategy"))
 
 
 @query("p20_prompt_type", f"with {QUESTIONS_SQL} select qid, {_case_sql(_q, R.PROMPT_TYPES, 'default')} as prompt_type from questions")
 def prompt_type(spark, sf_dir):
-    return questions(spark).select("qid", R.first_rule(F.lower("question"), R.PROMPT_TYPES, "default").alias("prompt_type"))
+    return questions(spark, sf_dir).select("qid", R.first_rule(F.lower("question"), R.PROMPT_TYPES, "default").alias("prompt_type"))
 
 
 @query("p21_intent", f"with {QUESTIONS_SQL} select qid, {_case_sql(_q, R.INTENTS, 'factual')} as intent from questions")
 def intent(spark, sf_dir):
-    return questions(spark).select("qid", R.first_rule(F.lower("question"), R.INTENTS, "factual").alias("intent"))
+    return questions(spark, sf_dir).select("qid", R.first_rule(F.lower("question"), R.INTENTS, "factual").alias("intent"))
 
 
 _COMPLEX_SQL = "case when w < 5 and c < 50 then 'simple' when w < 15 and c < 150 then 'moderate' when w < 30 and c < 300 then 'complex' else 'very_complex' end"
@@ -299,7 +345,7 @@ _COMPLEX_SQL = "case when w < 5 and c < 50 then 'simple' when w < 15 and c < 150
 
 @query("p22_complexity", f"with {QUESTIONS_SQL}, n as (select qid, len(list_filter(regexp_split_to_array(question, '\\s+'), lambda x: x <> '')) as w, length(question) as c from questions) select qid, {_COMPLEX_SQL} as complexity from n")
 def question_complexity(spark, sf_dir):
-    return questions(spark).select("qid", R.complexity(F.col("question")).alias("complexity"))
+    return questions(spark, sf_dir).select("qid", R.complexity(F.col("question")).alias("complexity"))
 
 
 _CHAINS = {"simple": "fast", "moderate": "standard", "complex": "deep", "very_complex": "exhaustive"}
@@ -314,13 +360,13 @@ select qid, case when k = 'moderate' then 'standard' when k = 'complex' then 'de
 def chain(spark, sf_dir):
     """The chain for a question's complexity, else the first one available."""
     wanted = F.element_at(F.create_map(*[F.lit(x) for kv in _CHAINS.items() for x in kv]), R.complexity(F.col("question")))
-    return questions(spark).select("qid", F.coalesce(F.when(wanted.isin(_AVAILABLE), wanted), F.lit(_AVAILABLE[0])).alias("chain"))
+    return questions(spark, sf_dir).select("qid", F.coalesce(F.when(wanted.isin(_AVAILABLE), wanted), F.lit(_AVAILABLE[0])).alias("chain"))
 
 
 @query("p24_strategies", f"with {QUESTIONS_SQL}, i as (select qid, {_case_sql(_q, R.INTENTS, 'factual')} as i from questions) select qid, case i when 'comparison' then 'vector,keyword' when 'relational' then 'vector,graph' else 'vector' end as strategies from i")
 def strategies(spark, sf_dir):
     i = R.first_rule(F.lower("question"), R.INTENTS, "factual")
-    return questions(spark).select("qid", F.array_join(F.array_compact(F.array(F.lit("vector"), F.when(i == "comparison", "keyword"), F.when(i == "relational", "graph"))), ",").alias("strategies"))
+    return questions(spark, sf_dir).select("qid", F.array_join(F.array_compact(F.array(F.lit("vector"), F.when(i == "comparison", "keyword"), F.when(i == "relational", "graph"))), ",").alias("strategies"))
 
 
 @query(
@@ -364,17 +410,18 @@ def citation_label(spark, sf_dir):
     return files(spark, sf_dir).select("file_id", R.citation_label(F.col("file_name"), F.when(mime == "application/pdf", size % 40 + 1), start, start - start % 60 + 59, first, first + 9).alias("label"))
 
 
-_NAMES = [(1, "/tmp/../etc/pass:wd?.txt"), (2, "plain.md"), (3, "a<b>|c*\"d\".csv"), (4, "x" * 300 + ".pdf"), (5, "back\\slash..name")]
+_NAMES = ["/tmp/../etc/pass:wd?.txt", "plain.md", "a<b>|c*\"d\".csv", "x" * 300 + ".pdf", "back\\slash..name"]
 
 
 @query(
     "p30_safe_name",
-    f"""with n as (select nid, regexp_replace(replace(replace(regexp_replace(name, '^.*/', ''), chr(92), '_'), '..', '_'), '[<>:"|?*]', '_', 'g') as c from {values_sql(_NAMES, 'n(nid, name)')}),
+    f"""with n as (select nid, regexp_replace(replace(replace(regexp_replace(name, '^.*/', ''), chr(92), '_'), '..', '_'), '[<>:"|?*]', '_', 'g') as c from (select page_id as nid, url || list_extract([{', '.join("'" + n + "'" for n in _NAMES)}], cast(page_id % 5 + 1 as int)) as name from pages)),
 e as (select nid, c, regexp_extract(c, '[^.](\\.[^.]*)$', 1) as x from n)
 select nid, case when length(c) > 255 then left(left(c, length(c) - length(x)), 250) || x else c end as safe from e""",
 )
 def safe_name(spark, sf_dir):
-    return spark.createDataFrame(_NAMES, "nid int, name string").select("nid", R.safe_file_name(F.col("name")).alias("safe"))
+    name = F.concat("url", F.element_at(F.array(*[F.lit(n) for n in _NAMES]), (F.col("page_id") % 5 + 1).cast("int")))
+    return read(spark, sf_dir, "pages").select(F.col("page_id").alias("nid"), R.safe_file_name(name).alias("safe"))
 
 
 @query("p31_content_hash", "select doc_id, sha256(text) as hash from documents")

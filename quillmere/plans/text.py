@@ -9,7 +9,7 @@ from ..functions import chunking as C
 from ..functions import text as T
 from ..registry import query
 from ..sources.html import read_elements
-from ..sources.tables import CHUNKS_SQL, FILES_SQL, chunks, files, read, values_sql
+from ..sources.tables import CHUNKS_SQL, FILES_SQL, chunks, dressed, dressed_sql, files, read
 
 
 def _docs(spark, sf_dir):
@@ -30,7 +30,8 @@ def recursive_chunks(spark, sf_dir):
     return C.chunk_rows(_docs(spark, sf_dir), C.split_recursive)
 
 
-_SECTIONED = [(1, "intro\n# One\nalpha beta. gamma\n## Two\ndelta " * 3), (2, "no headers at all"), (3, "# Only\n" + "word " * 400)]
+#: Headings that stand-in sections get.
+_SECTIONED = ["intro\n# One\nalpha beta. gamma\n## Two\ndelta", "no headers at all", "# Only\nwords\n# Only again"]
 
 
 @query("c02_section_chunks")
@@ -50,7 +51,7 @@ def header_chunks(spark, sf_dir):
             rows = [(i, *s) for i, t in zip(f["id"], f["text"], strict=True) for s in C.split_sections(t, C.header_sections(t), 200, 20)]
             yield pd.DataFrame(rows, columns=["id", "title", "idx", "total", "content"])
 
-    return spark.createDataFrame(_SECTIONED, "id long, text string").mapInPandas(run, "id long, title string, idx int, total int, content string")
+    return dressed(spark, sf_dir, "id", _SECTIONED).withColumnRenamed("t", "text").mapInPandas(run, "id long, title string, idx int, total int, content string")
 
 
 @query("c04_boundary_chunks")
@@ -131,21 +132,21 @@ def marked_sentences(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", C.sentences_with_marks(F.col("text")).alias("l")).select("doc_id", F.size("l").cast("long").alias("n"), _as_text(F.slice("l", 1, 3)).alias("first"))
 
 
-_CODE = [(1, "import os\nfrom a.b import c\nclass Foo:\n    def bar(self):\n        pass\n"), (2, "const x = 1;\nlet yy = 2;\nfunction go() {}\nsee main.py and app.ts"), (3, "nothing here")]
+_CODE = ["import os\nfrom a.b import c\nclass Foo:\n    def bar(self):\n        pass\n", "const x = 1;\nlet yy = 2;\nfunction go() {}\nsee main.py and app.ts", "nothing here"]
 _CODE_PATTERNS = [("FUNCTION", r"(?:def|function)\s+(\w+)"), ("CLASS", r"class\s+(\w+)"), ("MODULE", r"(?:import|from)\s+([\w.]+)"), ("VARIABLE", r"(?:const|let|var)\s+(\w+)"), ("FILE", r"\b([\w-]+\.(?:py|js|ts|java|go))\b")]
 
 
-@query("c16_code_entities", f"with c as (select * from {values_sql(_CODE, 'c(cid, code)')}) " + " union ".join(f"select cid, '{k}' as kind, unnest(regexp_extract_all(code, '{p}', 1)) as entity from c" for k, p in _CODE_PATTERNS))
+@query("c16_code_entities", f"with c as (select cid, t as code from {dressed_sql('cid', _CODE)}) " + " union ".join(f"select cid, '{k}' as kind, unnest(regexp_extract_all(code, '{p}', 1)) as entity from c" for k, p in _CODE_PATTERNS))
 def code_entities(spark, sf_dir):
     found = F.flatten(F.array(*[F.transform(F.regexp_extract_all("code", F.lit(p), F.lit(1)), _tagged(k)) for k, p in _CODE_PATTERNS]))
-    return spark.createDataFrame(_CODE, "cid int, code string").select("cid", F.explode(F.array_distinct(found)).alias("e")).select("cid", F.col("e.kind").alias("kind"), F.col("e.entity").alias("entity"))
+    return dressed(spark, sf_dir, "cid", _CODE).withColumnRenamed("t", "code").select("cid", F.explode(F.array_distinct(found)).alias("e")).select("cid", F.col("e.kind").alias("kind"), F.col("e.entity").alias("entity"))
 
 
 def _tagged(kind):
     return lambda e: F.struct(F.lit(kind).alias("kind"), e.alias("entity"))
 
 
-_PEOPLE = [(1, "John Smith met Anna Lee of Acme Corp on 12/03/2021 and March 4, 2020."), (2, "Nobody came. Zeta LLC and Zeta LLC again, 1-2-99 report.pdf"), (3, "")]
+_PEOPLE = ["John Smith met Anna Lee of Acme Corp on 12/03/2021 and March 4, 2020.", "Nobody came. Zeta LLC and Zeta LLC again, 1-2-99 report.pdf", ""]
 _PERSON, _DATE, _ORG, _FILE = (
     r"\b[A-Z][a-z]+ [A-Z][a-z]+\b",
     r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b|\b(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s+\d{4}\b",
@@ -154,9 +155,9 @@ _PERSON, _DATE, _ORG, _FILE = (
 )
 
 
-def _pattern_entities(spark, kinds):
+def _pattern_entities(spark, sf_dir, kinds):
     found = F.flatten(F.array(*[F.transform(F.array_distinct(F.regexp_extract_all("t", F.lit(p), F.lit(0))), _weighed(k, c)) for k, p, c in kinds]))
-    return spark.createDataFrame(_PEOPLE, "pid int, t string").select("pid", F.explode(found).alias("e")).select("pid", "e.*")
+    return dressed(spark, sf_dir, "pid", _PEOPLE).select("pid", F.explode(found).alias("e")).select("pid", "e.*")
 
 
 def _weighed(kind, confidence):
@@ -164,7 +165,7 @@ def _weighed(kind, confidence):
 
 
 def _entities_sql(kinds):
-    return f"with c as (select * from {values_sql(_PEOPLE, 'c(pid, t)')}) " + " union ".join(f"select pid, unnest(regexp_extract_all(t, '{p}')) as entity, '{k}' as kind, {c}::double as confidence from c" for k, p, c in kinds)
+    return f"with c as (select * from {dressed_sql('pid', _PEOPLE)}) " + " union ".join(f"select pid, unnest(regexp_extract_all(t, '{p}')) as entity, '{k}' as kind, {c}::double as confidence from c" for k, p, c in kinds)
 
 
 _C18 = [("PERSON", _PERSON, 0.7), ("DATE", _DATE, 0.8), ("ORGANIZATION", _ORG, 0.75)]
@@ -173,12 +174,12 @@ _C19 = [*_C18, ("FILE", _FILE, 0.9)]
 
 @query("c18_pattern_entities", _entities_sql(_C18))
 def pattern_entities(spark, sf_dir):
-    return _pattern_entities(spark, _C18)
+    return _pattern_entities(spark, sf_dir, _C18)
 
 
 @query("c19_question_pattern_entities", _entities_sql(_C19))
 def question_pattern_entities(spark, sf_dir):
-    return _pattern_entities(spark, _C19)
+    return _pattern_entities(spark, sf_dir, _C19)
 
 
 @query("c20_keywords", "select doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: regexp_matches(w, '^[\\p{L}\\p{N}]{4,}$') and w not in ('that', 'this', 'with', 'from', 'have')))), ' ') as keywords from documents")
@@ -192,12 +193,12 @@ def cleaned(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(T.cleaned(F.col("text")).cast("binary")).alias("cleaned"))
 
 
-_HEADED = [(1, "EXECUTIVE SUMMARY\nbody text goes here."), (2, "1.2 Market Analysis\nmore"), (3, "Chapter 3: Results\nx"), (4, "Key Findings:\ny"), (5, "Market Overview\nz"), (6, "## subtitle here\nq"), (7, "plain sentence here.\nanother one."), (8, "")]
+_HEADED = ["EXECUTIVE SUMMARY\nbody text goes here.", "1.2 Market Analysis\nmore", "Chapter 3: Results\nx", "Key Findings:\ny", "Market Overview\nz", "## subtitle here\nq", "plain sentence here.\nanother one.", ""]
 
 
 @query(
     "t02_section_title",
-    f"""with h as (select * from {values_sql(_HEADED, 'h(hid, t)')}), l as (select hid, p, l, len(list_filter(regexp_split_to_array(l, '\\s+'), lambda w: w <> '')) as n,
+    f"""with h as (select * from {dressed_sql('hid', _HEADED)}), l as (select hid, p, l, len(list_filter(regexp_split_to_array(l, '\\s+'), lambda w: w <> '')) as n,
   len(list_filter(regexp_split_to_array(l, '\\s+'), lambda w: regexp_matches(w, '^\\p{{Lu}}'))) as caps, regexp_extract(l, '(?i)^(?:\\d+\\.?\\d*\\s+|(?:chapter|section|part)\\s+\\d+[:\\-\\s]+|[IVXLCDM]+\\.\\s+)(.+)$', 1) as num
   from (select hid, trim(unnest(x)) as l, generate_subscripts(x, 1) as p from (select hid, list_slice(string_split(trim(t), chr(10)), 1, 10) as x from h)) where length(l) >= 3),
 c as (select hid, p, case when upper(l) = l and lower(l) <> l and n <= 6 then array_to_string(list_transform(string_split(lower(l), ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') when num <> '' then trim(num)
@@ -205,27 +206,27 @@ c as (select hid, p, case when upper(l) = l and lower(l) <> l and n <= 6 then ar
 select h.hid, min_by(title, p) filter (where title is not null) as title from h left join c on h.hid = c.hid group by h.hid""",
 )
 def section_title(spark, sf_dir):
-    return spark.createDataFrame(_HEADED, "hid int, t string").select("hid", T.section_title(F.col("t")).alias("title"))
+    return dressed(spark, sf_dir, "hid", _HEADED).select("hid", T.section_title(F.col("t")).alias("title"))
 
 
-_TITLED = [(1, "# Real Title\ntext", "a_b.md"), (2, "Short first line\nmore.", "x.txt"), (3, "A sentence that ends.\nmore", "my-file_name.txt"), (4, "", "empty.txt"), (5, "x\n# Late One\n", "y.md")]
+_TITLED = ["# Real Title\ntext", "Short first line\nmore.", "A sentence that ends.\nmore", "", "x\n# Late One\n"]
 
 
 @query(
     "t04_text_title",
-    f"""with t as (select * from {values_sql(_TITLED, 't(tid, t, name)')}), h as (select tid, t, name, trim(list_filter(list_transform(list_slice(string_split(t, chr(10)), 1, 20), lambda s: regexp_extract(s, '^# (.*)$', 1)), lambda s: s <> '')[1]) as head, trim(string_split(trim(t), chr(10))[1]) as first from t)
+    f"""with t as (select tid, t, 'my-file_' || variant || '.md' as name from {dressed_sql('tid', _TITLED)}), h as (select tid, t, name, trim(list_filter(list_transform(list_slice(string_split(t, chr(10)), 1, 20), lambda s: regexp_extract(s, '^# (.*)$', 1)), lambda s: s <> '')[1]) as head, trim(string_split(trim(t), chr(10))[1]) as first from t)
 select tid, coalesce(head, case when length(first) < 100 and first <> '' and first not like '%.' then first end, translate(regexp_replace(name, '\\.[^.]*$', ''), '_-', '  ')) as title from h""",
 )
 def text_title(spark, sf_dir):
-    return spark.createDataFrame(_TITLED, "tid int, t string, name string").select("tid", T.text_title(F.col("t"), F.col("name")).alias("title"))
+    return dressed(spark, sf_dir, "tid", _TITLED).select("tid", T.text_title(F.col("t"), F.concat(F.lit("my-file_"), F.col("variant").cast("string"), F.lit(".md"))).alias("title"))
 
 
-_BYLINES = [(1, "Authors: Ann Lee, Bob Ray and Cy Dee"), (2, "by Solo"), (3, "Written by Jo Ann Poe; Al Bo & X"), (4, "")]
+_BYLINES = ["Authors: Ann Lee, Bob Ray and Cy Dee", "by Solo", "Written by Jo Ann Poe; Al Bo & X", ""]
 
 
-@query("t05_authors", f"with b as (select bid, regexp_replace(trim(l), '(?i)^(?:authors?|by|written by)\\s*:?\\s+', '') as l from {values_sql(_BYLINES, 'b(bid, l)')}) select bid, array_to_string(list_slice(list_filter(list_transform(regexp_split_to_array(l, '\\s*(?:,|;|&|\\band\\b)\\s*'), lambda s: trim(s)), lambda s: len(list_filter(regexp_split_to_array(s, '\\s+'), lambda w: w <> '')) >= 2 and length(s) < 50), 1, 10), '|') as authors from b")
+@query("t05_authors", f"with b as (select bid, regexp_replace(trim(l), '(?i)^(?:authors?|by|written by)\\s*:?\\s+', '') as l from (select bid, t as l from {dressed_sql('bid', _BYLINES, ', ')})) select bid, array_to_string(list_slice(list_filter(list_transform(regexp_split_to_array(l, '\\s*(?:,|;|&|\\band\\b)\\s*'), lambda s: trim(s)), lambda s: len(list_filter(regexp_split_to_array(s, '\\s+'), lambda w: w <> '')) >= 2 and length(s) < 50), 1, 10), '|') as authors from b")
 def authors(spark, sf_dir):
-    return spark.createDataFrame(_BYLINES, "bid int, l string").select("bid", _as_text(T.authors(F.col("l"))).alias("authors"))
+    return dressed(spark, sf_dir, "bid", _BYLINES, ", ").select("bid", _as_text(T.authors(F.col("t"))).alias("authors"))
 
 
 @query("t07_metadata", f"with {FILES_SQL} select file_id, file_name || case when mime_type = 'application/pdf' then ', page ' || (size % 40 + 1) when mime_type like 'text/%' then ', lines 1-' || (size % 90 + 1) else '' end as searchable_location, '1.0' as schema_version from files")
@@ -272,45 +273,45 @@ def line_range(spark, sf_dir):
     return read(spark, sf_dir, "documents").where("length(text) > 201").select("doc_id", T.line_of(F.col("text"), F.substring("text", 201, 20)).alias("line"))
 
 
-_PARAGRAPHS = [(1, "one\n\ntwo two\n\nthree", 0), (2, "one\n\ntwo two\n\nthree", 6), (3, "one\n\ntwo two\n\nthree", 16), (4, "", 0)]
+_PARAGRAPHS = ["one\n\ntwo two\n\nthree", "one\n\n\n\nthree", ""]
 
 
-@query("t14_paragraph", f"select pid, len(list_filter(range(1, len(l) + 1), lambda i: list_sum(list_transform(list_slice(l, 1, i), lambda x: length(x) + 2)) <= pos)) as paragraph from (select pid, string_split(t, chr(10) || chr(10)) as l, pos from {values_sql(_PARAGRAPHS, 'p(pid, t, pos)')})")
+@query("t14_paragraph", f"select pid, len(list_filter(range(1, len(l) + 1), lambda i: list_sum(list_transform(list_slice(l, 1, i), lambda x: length(x) + 2)) <= pos)) as paragraph from (select pid, string_split(t, chr(10) || chr(10)) as l, pos from (select pid, t, length(t) * (pid % 7) // 7 as pos from {dressed_sql('pid', _PARAGRAPHS, chr(10) + chr(10))}))")
 def paragraph(spark, sf_dir):
-    return spark.createDataFrame(_PARAGRAPHS, "pid int, t string, at int").select("pid", T.paragraph_of(F.col("t"), F.col("at")).cast("long").alias("paragraph"))
+    return dressed(spark, sf_dir, "pid", _PARAGRAPHS, "\n\n").select("pid", T.paragraph_of(F.col("t"), F.floor(F.length("t") * (F.col("pid") % 7) / 7).cast("int")).cast("long").alias("paragraph"))
 
 
-_CITED = [(1, "Storage grew [1]. Costs fell [2][3], see [cid:c1]."), (2, "None."), (3, "[cid:b] then [cid:a] then [cid:b] [4]")]
+_CITED = ["Storage grew [1]. Costs fell [2][3], see [cid:c1].", "None.", "[cid:b] then [cid:a] then [cid:b] [4]"]
 
 
-@query("t15_citation_marks", f"select cid, array_to_string(regexp_extract_all(t, '\\[(\\d+)\\]', 1), ',') as numbers, trim(regexp_replace(regexp_replace(t, '\\[cid:[^\\]]+\\]', '', 'g'), '\\s*\\[\\d+\\]', '', 'g')) as claim from {values_sql(_CITED, 'c(cid, t)')}")
+@query("t15_citation_marks", f"select cid, array_to_string(regexp_extract_all(t, '\\[(\\d+)\\]', 1), ',') as numbers, trim(regexp_replace(regexp_replace(t, '\\[cid:[^\\]]+\\]', '', 'g'), '\\s*\\[\\d+\\]', '', 'g')) as claim from {dressed_sql('cid', _CITED)}")
 def citation_marks(spark, sf_dir):
     t = F.col("t")
-    return spark.createDataFrame(_CITED, "cid int, t string").select("cid", _as_text(F.transform(T.citation_numbers(t), lambda n: n.cast("string")), ",").alias("numbers"), T.without_citations(t).alias("claim"))
+    return dressed(spark, sf_dir, "cid", _CITED).select("cid", _as_text(F.transform(T.citation_numbers(t), lambda n: n.cast("string")), ",").alias("numbers"), T.without_citations(t).alias("claim"))
 
 
-@query("t16_citation_render", f"select cid, array_to_string(list_transform(l, lambda x: x || '=' || list_position(list_distinct_ordered, x)), ',') as numbered from (select cid, l, list_filter(l, lambda x, i: list_position(l, x) = i) as list_distinct_ordered from (select cid, regexp_extract_all(t, '\\[cid:([^\\]]+)\\]', 1) as l from {values_sql(_CITED, 'c(cid, t)')}))")
+@query("t16_citation_render", f"select cid, array_to_string(list_transform(l, lambda x: x || '=' || list_position(list_distinct_ordered, x)), ',') as numbered from (select cid, l, list_filter(l, lambda x, i: list_position(l, x) = i) as list_distinct_ordered from (select cid, regexp_extract_all(t, '\\[cid:([^\\]]+)\\]', 1) as l from {dressed_sql('cid', _CITED)}))")
 def citation_render(spark, sf_dir):
     """Citation ids numbered by first appearance."""
     l = F.regexp_extract_all("t", F.lit(r"\[cid:([^\]]+)\]"), F.lit(1))
-    return spark.createDataFrame(_CITED, "cid int, t string").select("cid", l.alias("l")).select("cid", _as_text(F.transform("l", lambda x: F.concat(x, F.lit("="), F.array_position(F.array_distinct("l"), x).cast("string"))), ",").alias("numbered"))
+    return dressed(spark, sf_dir, "cid", _CITED).select("cid", l.alias("l")).select("cid", _as_text(F.transform("l", lambda x: F.concat(x, F.lit("="), F.array_position(F.array_distinct("l"), x).cast("string"))), ",").alias("numbered"))
 
 
-@query("t17_citation_list", f"select cid, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '\\[cid:([^\\]]+)\\]', 1))), ',') as ids from {values_sql(_CITED, 'c(cid, t)')}")
+@query("t17_citation_list", f"select cid, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '\\[cid:([^\\]]+)\\]', 1))), ',') as ids from {dressed_sql('cid', _CITED)}")
 def citation_list(spark, sf_dir):
-    return spark.createDataFrame(_CITED, "cid int, t string").select("cid", _as_text(F.array_sort(F.array_distinct(F.regexp_extract_all("t", F.lit(r"\[cid:([^\]]+)\]"), F.lit(1)))), ",").alias("ids"))
+    return dressed(spark, sf_dir, "cid", _CITED).select("cid", _as_text(F.array_sort(F.array_distinct(F.regexp_extract_all("t", F.lit(r"\[cid:([^\]]+)\]"), F.lit(1)))), ",").alias("ids"))
 
 
-_REPLIES = [(1, '{"a": 1} Answer: It works. I hope this helps!'), (2, "<think>hmm\nno</think>Response: fine"), (3, "plain. Let me know if more"), (4, "")]
+_REPLIES = ['{"a": 1} Answer: It works. I hope this helps!', "<think>hmm\nno</think>Response: fine", "plain. Let me know if more", ""]
 
 
 @query(
     "t18_response_clean",
-    f"""with r as (select rid, regexp_replace(regexp_replace(t, '(?s)<think(?:ing)?>.*?</think(?:ing)?>', '', 'g'), '(?s)^\\s*\\{{.*?\\}}\\s*', '') as t from {values_sql(_REPLIES, 'r(rid, t)')})
+    f"""with r as (select rid, regexp_replace(regexp_replace(t, '(?s)<think(?:ing)?>.*?</think(?:ing)?>', '', 'g'), '(?s)^\\s*\\{{.*?\\}}\\s*', '') as t from {dressed_sql('rid', _REPLIES)})
 select rid, trim(regexp_replace(regexp_replace(t, '(?i)^\\s*(?:answer|response|assistant)\\s*:\\s*', ''), '(?i)\\s*(?:let me know if|i hope this helps|feel free to).*$', '')) as cleaned from r""",
 )
 def response_clean(spark, sf_dir):
-    return spark.createDataFrame(_REPLIES, "rid int, t string").select("rid", T.response_clean(F.col("t")).alias("cleaned"))
+    return dressed(spark, sf_dir, "rid", _REPLIES).select("rid", T.response_clean(F.col("t")).alias("cleaned"))
 
 
 @query("t18_response_settled")
@@ -320,19 +321,28 @@ def response_settled(spark, sf_dir):
     return turns.select("conv_id", "turn", T.without_repeats(T.without_meta(F.col("text"))).alias("cleaned"))
 
 
-_SUMMARIES = [(1, "# Title\nOverall, it grew  fast ."), (2, "In conclusion, fine , yes"), (3, "clean")]
+_SUMMARIES = ["# Title\nOverall, it grew  fast .", "In conclusion, fine , yes", "clean"]
 
 
-@query("t19_summary_clean", f"select sid, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?m)^#+\\s*.*$', '', 'g'), '(?i)\\b(?:in summary|overall|in conclusion),?\\s*', '', 'g'), '\\s+([.,;:!?])', '\\1', 'g'), '[ \\t]{{2,}}', ' ', 'g')) as cleaned from {values_sql(_SUMMARIES, 's(sid, t)')}")
+@query("t19_summary_clean", f"select sid, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?m)^#+\\s*.*$', '', 'g'), '(?i)\\b(?:in summary|overall|in conclusion),?\\s*', '', 'g'), '\\s+([.,;:!?])', '\\1', 'g'), '[ \\t]{{2,}}', ' ', 'g')) as cleaned from {dressed_sql('sid', _SUMMARIES)}")
 def summary_clean(spark, sf_dir):
-    return spark.createDataFrame(_SUMMARIES, "sid int, t string").select("sid", T.summary_clean(F.col("t")).alias("cleaned"))
+    return dressed(spark, sf_dir, "sid", _SUMMARIES).select("sid", T.summary_clean(F.col("t")).alias("cleaned"))
 
 
-@query("t20_batch_summaries")
+@query(
+    "t20_batch_summaries",
+    f"with {FILES_SQL} select file_name, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as summary from files join documents using (doc_id) where doc_id % 7 <> 0 and trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''",
+)
 def batch_summaries(spark, sf_dir):
-    reply = "FILE: a.pdf\nSUMMARY: first\nmore of it\nFILE: b\nSUMMARY: second\nFILE: none\nSUMMARY: x"
-    parse = F.udf(lambda r: T.parse_batch_summaries(r, ["a.pdf", "b.txt"]), "map<string,string>")
-    return spark.createDataFrame([(1, reply)], "rid int, reply string").select("rid", F.explode(parse("reply")).alias("file_name", "summary"))
+    """Summaries read back from replies on ten files each: some names lack their extension, some files are left out, unknown ones are ignored."""
+    parse = F.udf(lambda reply, names: list(T.parse_batch_summaries(reply, names).items()), "array<struct<file_name:string,summary:string>>", useArrow=True)
+    d = F.col("doc_id")
+    said = F.concat(F.lit("FILE: "), F.when(d % 2 == 1, F.regexp_replace("file_name", r"\.[^.]*$", "")).otherwise(F.col("file_name")), F.lit("\nSUMMARY: "), F.trim(F.regexp_replace("text", r"\s+", " ")))
+    rows = files(spark, sf_dir).join(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select(F.floor(d / 10).alias("batch"), d, "file_name", F.when(d % 7 != 0, said).alias("said"))
+    batches = rows.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("doc_id", "file_name", "said"))).alias("l"))  # ten rows
+    reply = F.concat(F.array_join(F.filter(F.transform("l", lambda x: x["said"]), lambda x: x.isNotNull()), "\n"), F.lit("\nFILE: nowhere.zip\nSUMMARY: none"))
+    found = batches.select(F.explode(parse(reply, F.transform("l", lambda x: x["file_name"]))).alias("f"))
+    return found.where("f.summary <> ''").select("f.file_name", F.md5(F.col("f.summary").cast("binary")).alias("summary"))
 
 
 @query("t21_folder_summary", f"with {FILES_SQL}, n as (select folder_id, count(*) as n, list(file_name order by doc_id) as l from files group by folder_id) select folder_id, 'Folder holds ' || n || ' files: ' || array_to_string(list_slice(l, 1, 10), ', ') as summary from n")

@@ -112,8 +112,53 @@ CHUNKS_SQL = (
 ) % (CHUNK_STRIDE, CHUNK_CHARS, CHUNK_STRIDE)
 
 
-def questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(QUESTIONS, "qid int, question string")
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(qid, question): every user turn of the conversations asks one of the phrasings, by turns of nothing more, of a file, or of its whole text."""
+    c, t = F.col("conv_id"), F.col("turn")
+    phrase = F.element_at(F.array(*[F.lit(q) for _, q in QUESTIONS]), ((c * 7 + t) % len(QUESTIONS) + 1).cast("int"))
+    suffix = F.element_at(F.array(*[F.lit(x) for x, _ in FILE_KINDS]), (c * 5 % len(FILE_KINDS) + 1).cast("int"))
+    named = F.concat(F.lit(" in Doc_"), (c * 5 % 1200).cast("string"), F.when(t % 4 == 0, suffix).otherwise(""))
+    more = F.when((c + t) % 3 == 0, "").when((c + t) % 3 == 1, named).otherwise(F.concat(F.lit(" "), F.coalesce("text", F.lit(""))))
+    return read(spark, sf_dir, "conversations").where("role = 'user'").select((c * 100000 + t).alias("qid"), F.concat(phrase, more).alias("question"))
+
+
+QUESTIONS_SQL = (
+    "questions as (select conv_id * 100000 + turn as qid, p.phrase || case (conv_id + turn) % 3 when 0 then '' when 1 then ' in Doc_' || (conv_id * 5 % 1200) || case when turn % 4 = 0 then s.suffix else '' end "
+    "else ' ' || coalesce(text, '') end as question from conversations join "
+    + values_sql([(i, q) for i, (_, q) in enumerate(QUESTIONS)], "p(i, phrase)")
+    + f" on (conv_id * 7 + turn) % {len(QUESTIONS)} = p.i join "
+    + values_sql([(i, x) for i, (x, _) in enumerate(FILE_KINDS)], "s(i, suffix)")
+    + f" on conv_id * 5 % {len(FILE_KINDS)} = s.i where role = 'user')"
+)
+
+
+def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, folder_id, title, file_name): files named after the first three words of their text."""
+    title = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[^ \n]+"), F.lit(0)), 1, 3), " ")
+    return read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("folder_id"), title.alias("title"), F.concat(title, F.lit(".txt")).alias("file_name"))
+
+
+TITLES_SQL = "titles as (select doc_id, source as folder_id, array_to_string(list_slice(regexp_extract_all(text, '[^ \\n]+'), 1, 3), ' ') as title, array_to_string(list_slice(regexp_extract_all(text, '[^ \\n]+'), 1, 3), ' ') || '.txt' as file_name from documents)"
+
 
+def _shown(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
 
-QUESTIONS_SQL = "questions as (select * from " + values_sql(QUESTIONS, "q(qid, question)") + ")"
+
+def dressed(spark: SparkSession, sf_dir: str, key: str, phrases: list[str], between: str = "\n") -> DataFrame:
+    """(key, variant, t): every conversation turn with one of ``phrases``, by turns before and behind its whole text."""
+    c, t = F.col("conv_id"), F.col("turn")
+    variant = ((c * 3 + t) % len(phrases)).cast("int")
+    phrase, text = F.element_at(F.array(*[F.lit(p) for p in phrases]), variant + 1), F.coalesce("text", F.lit(""))
+    whole = F.when((c + t) % 5 == 0, phrase).when((c + t) % 2 == 0, F.concat(phrase, F.lit(between), text)).otherwise(F.concat(text, F.lit(between), phrase))
+    return read(spark, sf_dir, "conversations").select((c * 100000 + t).alias(key), variant.alias("variant"), whole.alias("t"))
+
+
+def dressed_sql(key: str, phrases: list[str], between: str = "\n") -> str:
+    """The same as a SQL subquery, to be given an alias."""
+    listed = ", ".join(_shown(p) for p in phrases)
+    of = f"list_extract([{listed}], cast((conv_id * 3 + turn) % {len(phrases)} + 1 as int))"
+    return (
+        f"(select conv_id * 100000 + turn as {key}, cast((conv_id * 3 + turn) % {len(phrases)} as int) as variant, case when (conv_id + turn) % 5 = 0 then {of} "
+        f"when (conv_id + turn) % 2 = 0 then {of} || {_shown(between)} || coalesce(text, '') else coalesce(text, '') || {_shown(between)} || {of} end as t from conversations)"
+    )
