@@ -28,13 +28,31 @@ RAW = frozenset("script style".split())
 IN_HEAD = frozenset("html head title meta link base script style noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Elements that hold paragraphs together.
+REGIONS = frozenset("article aside body div footer form header main nav section table td".split())
 #: An opening tag on the left ends an open element on the right.
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-# Words in class, id and role that hint at what a part of a page is.
-HINT_AGAINST = frozenset(
-    "nav navbar navigation menu menubar topbar header masthead footer foot bottom sidebar side aside rail ad ads advert advertisement adsense banner promo promotion sponsor sponsored cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login register form search breadcrumb breadcrumbs share sharing social follow related recommended recommendations more trending popular comment comments reply replies discussion disqus respond widget toolbar pagination pager tags tag categories copyright legal disclaimer skip contentinfo complementary byline bio author meta cta".split()
+# Words in class, id and role, by what they say of a part of a page. Words of
+# the first list say it wherever they stand in a name, those of the second only if the rest of
+# the name is in a list too: "related-posts" is a side box, "related-science" may be a topic.
+AGAINST = frozenset(
+    "nav navbar navbars navigation menu menus menubar submenu topbar masthead footer sidebar sidebars aside ads advert adverts advertisement advertising adsense adslot banner promo promotion sponsor sponsored cookie cookies consent gdpr popup modal overlay newsletter login signup signin breadcrumb breadcrumbs widget widgets toolbar pagination pager copyright contentinfo complementary navbox infobar colophon lightbox offcanvas tagcloud".split()
 )
-HINT_FOR = frozenset("article content contents post posts entry main story body text page maincontent articlebody blog news".split())
+AGAINST_ALONE = frozenset(
+    "ad head header foot bottom top side rail notice notices alert alerts subscribe subscription register form forms search share sharing social follow related recommended recommendations recommendation more trending popular tag tags categories category legal disclaimer skip byline bio author authors meta cta sponsors teaser teasers promoted also".split()
+)
+COMMENTS = frozenset("comment comments commenter commenters commentary disqus respond reply replies discussion discussions commentlist commentform".split())
+FOR = frozenset("article articles content contents post posts entry main story stories body text maincontent articlebody blog news prose copy".split())
+#: Words that only say what kind of box a name is of.
+PLAIN = frozenset(
+    "list lists area areas box boxes wrap wrapper container block blocks section sections item items bar bars left right inner outer panel panels col column columns row rows links link buttons button icons icon page site global primary secondary group cell title titles label labels field fields input inputs unit units card cards feed small large mobile desktop desk info details data the at by of us in is my pre".split()
+)
+#: First and last words of names that say which state or layout a page or part has.
+STATES = frozenset("has no not with without is are hide hides show shows enable enabled disable disabled allow allows supports js layout template theme".split())
+STATE_ENDS = frozenset("open opened closed enabled disabled on off active visible hidden layout template theme ready loaded present absent none".split())
+#: First words of names whose next words are the title of a tag, category or the like.
+TITLED = frozenset("tag tags category categories cat topic topics type status format term author section channel series".split())
+COMPOUNDS = ((AGAINST, "against"), (COMMENTS, "comments"), (AGAINST_ALONE, "alone"), (FOR, "for"))
 
 
 class Place(NamedTuple):
@@ -44,6 +62,10 @@ class Place(NamedTuple):
     nearest: str | None = None
     in_article: bool = False
     tag: str = ""
+    #: Inside comments, a menu, an aside or a footer: an article in there is a part of it.
+    apart: bool = False
+    #: The element, by number, that holds the paragraphs around.
+    region: int = 0
 
 
 @dataclass
@@ -70,7 +92,7 @@ class _Blocks(HTMLParser):
         self.stack: list[tuple[str, Place, tuple, int]] = [("", Place(), (None, False), 0)]
         self.silent: list[_Silent] = []
         self.open: Counter = Counter()
-        self.links = self.linked = 0
+        self.links = self.linked = self.regions = 0
         self.parts: list[str] = []
         self.blocks: list[Block] = []
 
@@ -105,7 +127,7 @@ class _Blocks(HTMLParser):
             self._pop(len(self.stack) - self.stack[-1][3])
         if tag == "option" and self.stack[-1][0] == "option":
             self._pop(1)
-        words = tuple(w for n, v in attrs if n in ("class", "id", "role") and v for w in re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", v).lower()))
+        names = tuple(dict.fromkeys(w for n, v in attrs if n in ("class", "id", "role") and v for w in v.split()))
         _, place, silence, block = self.stack[-1]
         if tag in BLOCK:
             silence = silence[0], True
@@ -113,7 +135,11 @@ class _Blocks(HTMLParser):
             self.flush()
             silence = _Silent(silence[0]), False
             self.silent.append(silence[0])
-        self.stack.append((tag, inside(place, tag, words), silence, len(self.stack) if tag in BLOCK else block))
+        place = inside(place, tag, names)
+        if tag in REGIONS:
+            self.regions += 1
+            place = place._replace(region=self.regions)
+        self.stack.append((tag, place, silence, len(self.stack) if tag in BLOCK else block))
         self.open[tag] += 1
         self.links += tag == "a"
 
@@ -158,40 +184,83 @@ def parse_blocks(html: str) -> list[Block]:
 
 
 @lru_cache(maxsize=4096)
-def hint(word: str) -> str | None:
-    """What a class word speaks for; compounds as 'commentlist' count by their first or last part."""
-    if word in HINT_AGAINST:
-        return "against"
-    if word in HINT_FOR:
-        return "for"
-    for hints, kind in ((HINT_AGAINST, "against"), (HINT_FOR, "for")):
-        if any(len(h) >= 4 and (word.startswith(h) or word.endswith(h)) for h in hints):
+def word_kind(word: str) -> str | None:
+    """The list a word is in; one of two listed words written together, as 'leftmenu' or 'commentlist', counts as both."""
+    if word in PLAIN:
+        return "plain"
+    for words, kind in COMPOUNDS:
+        if word in words:
             return kind
+    for k in range(2, len(word) - 1):
+        kinds = []
+        for half in (word[:k], word[k:]):
+            kinds += [kind for words, kind in ((PLAIN, "plain"), *COMPOUNDS) if half in words][:1]
+        if len(kinds) == 2:
+            return next((kind for _, kind in COMPOUNDS if kind in kinds), "plain")
     return None
 
 
 @lru_cache(maxsize=4096)
-def _own_features(tag: str, words: tuple) -> tuple[frozenset, str | None]:
-    """Features of one element, and what its class, id and role speak for."""
-    kinds = [hint(w) for w in words]
-    out = {f"in {tag}", *(f"word {w}" for w in words), *(f"hint {k}" for k in kinds if k)}
-    return frozenset(out), ("against" if "against" in kinds else "for") if any(kinds) else None
+def hint(name: str) -> str | None:
+    """What a class, id or role speaks for: 'against', 'comments', 'for' or nothing. States and titles say nothing."""
+    parts = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+    if not parts or len(parts) > 1 and (parts[0] in STATES or parts[-1] in STATE_ENDS or {"with", "has"} & set(parts[1:-1])):
+        return None
+    kinds = [word_kind(w) for w in parts]
+    if len(parts) > 1 and parts[0] in TITLED and "plain" not in kinds[1:]:
+        return None
+    if "comments" in kinds:
+        return "comments"
+    if "against" in kinds:
+        return "against"
+    if "alone" in kinds and None not in kinds:
+        return "against"
+    return "for" if "for" in kinds else None
 
 
-def inside(place: Place, tag: str, words: tuple) -> Place:
-    """The place of an element that is opened at ``place``. A header of an article is a part of it."""
-    own, hinted = _own_features("article header" if tag == "header" and place.in_article else tag, words)
+@lru_cache(maxsize=4096)
+def _own_features(tag: str, names: tuple) -> tuple[frozenset, str | None]:
+    """Features of one element, and what its class, id and role speak for. A page's body and main element say nothing against it."""
+    kinds = [hint(n) for n in names]
+    if tag in ("html", "body"):
+        kinds = []
+    elif tag == "main":
+        kinds = [k if k == "for" else None for k in kinds]
+    elif tag == "article" and "for" in kinds:
+        kinds = [k for k in kinds if k != "against"]
+    out = {f"in {tag}", *(f"name {n}" for n, k in zip(names, kinds) if k), *(f"hint {k}" for k in kinds if k)}
+    return frozenset(out), next((k for k in ("comments", "against", "for") if k in kinds), None)
+
+
+def inside(place: Place, tag: str, names: tuple) -> Place:
+    """The place of an element that is opened at ``place``. A header of an article is a part of it; an article in comments, an aside or the like too."""
+    own, hinted = _own_features("article header" if tag == "header" and place.in_article else tag, names)
     nearest = place.nearest
     if tag in ("nav", "footer", "aside", "form", "menu") or tag == "header" and not place.in_article:
         nearest = "against"
-    elif tag in ("article", "main"):
+    elif tag in ("article", "main") and not place.apart:
         nearest = "for"
-    # A class or id says more than the tag.
+    apart = place.apart or hinted == "comments" or tag in ("nav", "aside", "menu") or tag == "footer" and not place.in_article
+    # A class or id says more than the tag, but nothing inside comments speaks for them.
+    nearest = (hinted if hinted != "for" or not place.apart else None) or nearest
     known = place.features if own <= place.features else place.features | own
-    return Place(known, hinted or nearest, place.in_article or tag in ("article", "main"), tag)
+    if apart and "apart" not in known:
+        known = known | {"apart"}
+    return Place(known, nearest, place.in_article or tag in ("article", "main"), tag, apart, place.region)
 
 
-def features(block: Block) -> list[str]:
+class _Page:
+    """What a page's blocks are measured by: the longest, the text of each region, the whole."""
+
+    def __init__(self, blocks: list[Block]):
+        self.longest = max((len(b.text) for b in blocks), default=1)
+        self.regions: Counter = Counter()
+        for b in blocks:
+            self.regions[b.place.region] += len(b.text) - b.linked
+        self.most = max(self.regions.values(), default=1) or 1
+
+
+def features(block: Block, page: _Page) -> list[str]:
     n = len(block.text)
     words = block.text.count(" ") + 1
     return [
@@ -202,6 +271,8 @@ def features(block: Block) -> list[str]:
         f"linked {min(3, 4 * block.linked // max(n, 1))}",
         f"ends {block.text[-1] in '.!?…:;'}",
         f"mark {bool(re.search('[©|»›]', block.text))}",
+        f"of longest {min(3, (page.longest // n).bit_length())}",
+        f"of region {min(4, (page.most // max(page.regions[block.place.region], 1)).bit_length())} {block.place.nearest}",
     ]
 
 
@@ -214,7 +285,8 @@ class Field:
 
     def scores(self, blocks: list[Block]) -> list[float]:
         get = self.weights.get
-        return [get("bias", 0.0) + sum(get(f, 0.0) for f in features(b)) for b in blocks]
+        page = _Page(blocks)
+        return [get("bias", 0.0) + sum(get(f, 0.0) for f in features(b, page)) for b in blocks]
 
     def decode(self, blocks: list[Block]) -> list[bool]:
         """The best sequence of labels (Viterbi)."""
@@ -236,12 +308,13 @@ class Field:
             out.append(label)
         return out[::-1]
 
-    def train(self, pages: list[tuple[list[Block], list[bool]]], epochs: int = 12, rate: float = 0.3, shrink: float = 1e-4, seed: int = 3) -> Field:
+    def train(self, pages: list[tuple[list[Block], list[bool]]], epochs: int = 8, rate: float = 0.3, shrink: float = 1e-4, seed: int = 3) -> Field:
         """Maximum likelihood by Adagrad, one page at a time."""
         index: dict[str, int] = {"bias": 0}
         coded = []
         for blocks, labels in pages:
-            rows = [[0] + [index.setdefault(f, len(index)) for f in features(b)] for b in blocks]
+            page = _Page(blocks)
+            rows = [[0] + [index.setdefault(f, len(index)) for f in features(b, page)] for b in blocks]
             if rows:
                 coded.append((rows, np.array(labels, int)))
         w, p = np.zeros(len(index)), np.zeros((2, 2))
@@ -282,14 +355,20 @@ class Field:
 # --- labelled pages -------------------------------------------------------------------
 
 
-def labelled_pages(count: int = 240, seed: int = 29) -> list[tuple[str, str]]:
+#: Class names that say nothing of a part, though some look as if they did.
+NOISE = "post-17 type-post hentry category-news tag-flood comments-open has-sidebar no-sidebar with-sidebar has-menu no-comments is-sticky layout-sidebar-right formatted transform platform information social-studies popular-music readmore-container col-md-8 u-clearfix css-x1y2 topic-advertising category-footer status-publish".split()
+
+
+def labelled_pages(count: int = 400, seed: int = 29, noise: list[str] | None = None) -> list[tuple[str, str]]:
     """(html, main text) of invented pages in many layouts, made by rule from a seed.
 
     Main text stands in articles, mains, sections, tables and plain divisions;
     around and inside it are menus, headers, footers, sidebars, notices, adverts,
-    forms, scripts and comments, marked by tag, by class, by id or by role.
+    forms, scripts and comments, marked by tag, by class, by id or by role. Articles,
+    bodies, mains and paragraphs often have classes of ``noise`` that mark nothing.
     """
     rng = random.Random(seed)
+    noise = NOISE if noise is None else noise
     letters = "etaoinshrdlucmfwypvbgkéèüöñ"
 
     def word():
@@ -304,9 +383,14 @@ def labelled_pages(count: int = 240, seed: int = 29) -> list[tuple[str, str]]:
     def links(n):
         return "".join(f'<li><a href="/{word()}">{word()}</a></li>' for _ in range(n))
 
+    def noisy(share=0.5):
+        few = rng.sample(noise, rng.randint(1, min(5, len(noise)))) + [f"{word()}-{word()}"] * rng.randint(0, 1)
+        return f' class="{" ".join(few)}"' if rng.random() < share else ""
+
     def mark(*names):
         name = rng.choice(names)
-        return rng.choice([f'class="{name}"', f'id="{name}"', f'class="{word()} {name}"', f'class="{name}-{word()}"', f'class="site-{name}"', f'class="{name}{rng.choice(["list", "area", "box", "wrap"])}"', f'id="left{name}"'])
+        with_noise = f'class="{" ".join([rng.choice(noise), name])}"'
+        return rng.choice([f'class="{name}"', f'id="{name}"', f'class="{word()} {name}"', with_noise, f'class="site-{name}"', f'class="{name}-{rng.choice(["list", "area", "box", "wrap"])}"', f'class="{name}{rng.choice(["list", "area", "box", "wrap"])}"', f'id="left{name}"'])
 
     def boiler(kind):
         if kind == "nav":
@@ -325,7 +409,7 @@ def labelled_pages(count: int = 240, seed: int = 29) -> list[tuple[str, str]]:
             return rng.choice([f'<form action="/{word()}"><label>{word()}</label><input name="q"><p>{sentence(2, 6)}</p></form>', f'<div {mark("search", "login", "signup", "subscribe")}><form><p>{sentence()}</p><input></form></div>'])
         if kind == "share":
             return f'<div {mark("share", "social", "tags", "pagination")}><a href="#">{word()}</a> <a href="#">{word()}</a></div>'
-        talk = "".join(rng.choice([f'<li class="comment"><p>{prose()}</p></li>', f'<div class="comment"><b>{word()}</b><p>{prose()}</p></div>', f'<article class="comment"><p>{prose()}</p></article>', f"<div><p>{prose()}</p></div>"]) for _ in range(rng.randint(1, 4)))
+        talk = "".join(rng.choice([f'<li class="comment"><p>{prose()}</p></li>', f'<div class="comment"><b>{word()}</b><p>{prose()}</p></div>', f'<article class="comment"><p>{prose()}</p></article>', f"<article><p>{prose()}</p></article>", f"<article{noisy()}><header><b>{word()}</b></header><p>{prose()}</p><p>{prose()}</p></article>", f"<div><p>{prose()}</p></div>"]) for _ in range(rng.randint(1, 4)))
         return rng.choice([f'<div {mark("comments", "discussion", "replies", "respond")}><h3>{word()}</h3>{talk}</div>', f'<section {mark("comments", "comment")}><ul>{talk}</ul></section>'])
 
     pages = []
@@ -334,7 +418,8 @@ def labelled_pages(count: int = 240, seed: int = 29) -> list[tuple[str, str]]:
 
         def say(tag, text, inner=inner, gold=gold):
             gold.append(text)
-            inner.append(f"<{tag}>{text}</{tag}>" if rng.random() < 0.85 or tag != "p" else f"<p>{text}")
+            own = noisy(0.15)
+            inner.append(f"<{tag}{own}>{text}</{tag}>" if rng.random() < 0.85 or tag != "p" else f"<p{own}>{text}")
 
         own_header = rng.random() < 0.2
         if own_header or rng.random() < 0.8:
@@ -364,20 +449,20 @@ def labelled_pages(count: int = 240, seed: int = 29) -> list[tuple[str, str]]:
         late = boiler("comments") if rng.random() < 0.35 else ""
         wrap = rng.random()
         if wrap < 0.4 or own_header:
-            main = f"<article>{body}{late if rng.random() < 0.5 else ''}</article>{late}" if late and rng.random() < 0.3 else f"<article>{body}</article>{late}"
+            main = f"<article{noisy()}>{body}{late if rng.random() < 0.5 else ''}</article>{late}" if late and rng.random() < 0.3 else f"<article{noisy()}>{body}</article>{late}"
         elif wrap < 0.6:
-            main = f"<main>{body}{late}</main>"
+            main = f"<main{noisy()}>{body}{late}</main>"
         elif wrap < 0.85:
             main = f'<div {mark("content", "post", "entry", "story", "article", "main")}>{body}</div>{late}'
         elif wrap < 0.93:
-            main = f"<section><div>{body}</div></section>{late}"
+            main = f"<section{noisy()}><div{noisy()}>{body}</div></section>{late}"
         else:
-            main = f"<div><div>{body}</div></div>{late}"
+            main = f"<div{noisy()}><div>{body}</div></div>{late}"
         before = [boiler(k) for k in ("notice", "header", "nav", "ad", "form") if rng.random() < 0.5]
         after = [boiler(k) for k in ("side", "share", "ad", "nav", "footer") if rng.random() < 0.5]
         if rng.random() < 0.3:
             main = f'<div {mark("container", "wrapper", "page", "row")}>{main}{after.pop() if after else ""}</div>'
-        pages.append((f"<!DOCTYPE html><html><head><title>{word()}</title><style>p{{margin:0}}</style>{rng.choice(["</head>", "</head>", ""])}<body><script>var a=1;</script>{''.join(before)}{main}{''.join(after)}</body></html>", " ".join(gold)))
+        pages.append((f"<!DOCTYPE html><html><head><title>{word()}</title><style>p{{margin:0}}</style>{rng.choice(["</head>", "</head>", ""])}<body{noisy(0.4)}><script>var a=1;</script>{''.join(before)}{main}{''.join(after)}</body></html>", " ".join(gold)))
     return pages
 
 
