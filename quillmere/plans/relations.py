@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import relations as J
 from ..operators.names import covered, names_within
 from ..operators.retrieval import similar_pairs
+from ..operators.timejoins import as_of, points_in_intervals, previous_rows
 from ..registry import query
 from ..sources.tables import CHUNKS_SQL, FILES_SQL, TITLES_SQL, chunks, dressed, dressed_sql, files, read, titles
 from .retrieval import _hits_sql, hits, vectors
@@ -72,10 +73,52 @@ def cross_reference(spark, sf_dir):
     return J.mentions(_texts(spark, sf_dir), _names(spark, sf_dir), "doc_[0-9]+").withColumn("confidence", F.lit(0.9))
 
 
-@query("j06_adjacent_in_time", "with l as (select *, lag(event_id) over o as a, lag(event_type) over o as t0, lag(ts) over o as s0 from events window o as (partition by user_id order by ts, event_id)) select a, event_id as b, 0.7::double as confidence from l where a is not null and event_type = t0 and ts < s0 + interval 24 hours")
+_FILE_OF_EVENT = "case event_id % 3 when 0 then event_type else event_type || '_' || (user_id % 4) end"
+
+
+@query(
+    "j06_adjacent_in_time",
+    f"""with e as (select event_id, ts, {_FILE_OF_EVENT} as name from events), l as (select event_id, ts, name, lag(event_id) over o as a, lag(name) over o as name0, lag(ts) over o as ts0 from e window o as (order by ts, event_id))
+select a, event_id as b, 0.7::double as confidence from l where a is not null and (contains(name, name0) or contains(name0, name)) and ts < ts0 + interval 24 hours""",
+)
 def adjacent_in_time(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
-    return J.neighbours_in_time(e, "user_id", "ts", "event_id", F.col("event_type") == F.col("before.event_type"), "24 hours").withColumn("confidence", F.lit(0.7))
+    """Neighbours in the whole table's order of time whose files' names are equal or hold one another, less than a day apart."""
+    name = F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise(F.concat("event_type", F.lit("_"), (F.col("user_id") % 4).cast("string")))
+    e = read(spark, sf_dir, "events").select("event_id", "ts", name.alias("name"))
+    h = previous_rows(e, [], ["ts", "event_id"])
+    related = F.contains("name", F.col("before.name")) | F.contains(F.col("before.name"), F.col("name"))
+    return h.where(F.col("before").isNotNull() & related & (F.col("ts") < F.col("before.ts") + F.expr("interval 24 hours"))).select(F.col("before.event_id").alias("a"), F.col("event_id").alias("b"), F.lit(0.7).alias("confidence"))
+
+
+#: Half of all events are one user's; orders stand at a time of January by their date.
+_EVENTS_OF = "ev as (select event_id, case when event_id % 2 = 0 then 1 else user_id % 40 end as who, epoch(ts)::bigint as sec, value from events)"
+_ORDERS_AT = "od as (select o_orderkey, case when o_orderkey % 3 = 0 then 1 else o_custkey % 50 end as who, 1704067200 + (epoch(o_orderdate)::bigint // 86400 * 7919) % 2592000 as sec from orders)"
+
+
+def _events_of(spark, sf_dir):
+    e = F.col("event_id")
+    return read(spark, sf_dir, "events").select("event_id", F.when(e % 2 == 0, F.lit(1)).otherwise(F.col("user_id") % 40).cast("long").alias("who"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), "value")
+
+
+def _orders_at(spark, sf_dir):
+    day = F.floor(F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) / 86400)
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.lit(1)).otherwise(F.col("o_custkey") % 50).cast("long").alias("who"), (1704067200 + day * 7919 % 2592000).cast("long").alias("at"))
+
+
+@query("j20_as_of", f"with {_EVENTS_OF}, {_ORDERS_AT}, e as (select who, sec, max(event_id) as event_id from ev group by all) select o_orderkey, e.event_id from od asof left join e on od.who = e.who and od.sec >= e.sec")
+def as_of_orders(spark, sf_dir):
+    """The last event of an order's user before the order, one user having half of all events."""
+    events = _events_of(spark, sf_dir).select("who", "at", "event_id")
+    orders = _orders_at(spark, sf_dir).withColumn("event_id", F.lit(0).cast("long"))
+    return as_of(orders, events, "who", "at", "event_id").select("o_orderkey", F.col("matched.event_id").alias("event_id"))
+
+
+@query("j20_interval", f"with {_EVENTS_OF}, {_ORDERS_AT} select o_orderkey, count(*) as n_events, max(event_id) as last_event from od join ev on od.who = ev.who and ev.sec between od.sec and od.sec + 3600 group by o_orderkey")
+def events_in_intervals(spark, sf_dir):
+    """The events of an order's user in the hour after it."""
+    orders = _orders_at(spark, sf_dir).withColumn("until", F.col("at") + 3600)
+    found = points_in_intervals(orders, _events_of(spark, sf_dir), "who", "at", "until", "at", 3600.0)
+    return found.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n_events"), F.max("point.event_id").alias("last_event"))
 
 
 @query("j07_similar_vectors", "select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as score from embeddings a join embeddings b on a.vec_id < b.vec_id and list_cosine_similarity(a.embedding::double[], b.embedding::double[]) > 0.75")
