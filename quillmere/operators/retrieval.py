@@ -1,4 +1,4 @@
-"""Search: exact vector top-k in blocks, and BM25 over postings."""
+"""Vector search: exact top-k and pairs, in blocks."""
 
 from __future__ import annotations
 
@@ -95,33 +95,3 @@ def similar_pairs(vectors: DataFrame, threshold: float, digits: int = 6) -> Data
         return pa.table({"a": pa.array([a for a, _, _ in keep], ids.type), "b": pa.array([b for _, b, _ in keep], ids.type), "score": pa.array([s for _, _, s in keep], pa.float64())})
 
     return dealt.groupBy("low", "high").applyInArrow(near, f"a {kind}, b {kind}, score double").withColumn("score", F.round("score", digits))
-
-
-def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, floor: float = 0.25, digits: int = 6) -> DataFrame:
-    """(query_id, id, rank, score): Okapi BM25 over white-space terms.
-
-    ``docs`` has (id, text), ``queries`` (query_id, text). A negative idf becomes
-    ``floor`` times the mean idf of all terms; repeated query terms count each
-    time. Document frequencies and lengths cover the whole corpus; only postings of
-    asked terms are joined. Ties go to the lower id.
-    """
-    split = lambda c: F.array_remove(F.split(c, r"\s+"), "")
-    terms = docs.select("id", split("text").alias("terms"))
-    # An empty term in every document, which no text has, carries the number of documents and their lengths.
-    held = terms.select(F.size("terms").alias("length"), F.explode(F.array_append(F.array_distinct("terms"), "")).alias("term"))
-    counted = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.avg("length").alias("mean_length"))
-    stats = counted.where("term = ''").select(F.col("df").alias("n"), "mean_length")
-    frequency = counted.where("term <> ''").select("term", "df").crossJoin(F.broadcast(stats))  # one row
-    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    idf = frequency.select("term", "mean_length", raw.alias("idf"))
-    mean = idf.agg(F.avg("idf").alias("mean_idf"))
-    asked = queries.select("query_id", F.explode(split("text")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    weights = asked.join(idf, "term").crossJoin(F.broadcast(mean))  # one row
-    weights = weights.select("query_id", "term", "times", "mean_length", F.when(F.col("idf") < 0, floor * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
-    wanted = asked.select("term").distinct()
-    tokens = terms.select("id", F.size("terms").alias("length"), F.explode("terms").alias("term")).join(wanted, "term", "left_semi")
-    postings = tokens.groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    scored = postings.join(weights, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), digits).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", "rank", "score")
