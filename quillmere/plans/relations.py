@@ -91,8 +91,8 @@ def adjacent_in_time(spark, sf_dir):
 
 
 #: Half of all events are one user's; orders stand at a time of January by their date.
-_EVENTS_OF = "ev as (select event_id, case when event_id % 2 = 0 then 1 else user_id % 40 end as who, epoch(ts)::bigint as sec, value from events)"
-_ORDERS_AT = "od as (select o_orderkey, case when o_orderkey % 3 = 0 then 1 else o_custkey % 50 end as who, 1704067200 + (epoch(o_orderdate)::bigint // 86400 * 7919) % 2592000 as sec from orders)"
+_EVENTS_OF = "ev as (select event_id, case when event_id % 2 = 0 then 1 else user_id % 40 end as who, floor(epoch(ts))::bigint as sec, value from events)"
+_ORDERS_AT = "od as (select o_orderkey, case when o_orderkey % 3 = 0 then 1 else o_custkey % 50 end as who, 1704067200 + (floor(epoch(o_orderdate))::bigint // 86400 * 7919) % 2592000 as sec from orders)"
 
 
 def _events_of(spark, sf_dir):
