@@ -107,12 +107,14 @@ def response_clean(text: Column) -> Column:
 
 # What a model says of its context instead of from it.
 META_PHRASES = [
-    r"(?:based on|according to|from) the (?:context|document|file|provided information|information provided)",
-    r"the (?:context|document|file) (?:states|mentions|says|indicates|shows|reveals)",
-    r"in (?:the )?(?:context|document|file|provided information)",
-    r"as (?:mentioned|stated|indicated|shown) in the (?:context|document|file)",
-    r"looking at the (?:context|document|file|information)",
-    r"according to this (?:context|document|file)",
+    r"Based on the (?:context|document|file|provided information|information provided)",
+    r"According to the (?:context|document|file|provided information|information provided)",
+    r"The (?:context|document|file) (?:states|mentions|says|indicates|shows|reveals)",
+    r"From the (?:context|document|file|provided information|information provided)",
+    r"In (?:the )?(?:context|document|file|provided information)",
+    r"As (?:mentioned|stated|indicated|shown) in the (?:context|document|file)",
+    r"Looking at the (?:context|document|file|information)",
+    r"According to this (?:context|document|file)",
 ]
 
 

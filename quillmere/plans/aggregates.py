@@ -49,7 +49,7 @@ def entity_counts(spark, sf_dir):
 
 
 # Capitalised words that are no key terms.
-COMMON_TERMS = "The This That These Those There They From With Have Has Had Will Would Should Could Can May Might Must".split()
+COMMON_TERMS = ["The", "This", "That", "These", "Those", "There", "They", "From", "With", "Have", "Has", "Had", "Will", "Would", "Should", "Could", "Can", "May", "Might", "Must"]
 
 
 @query("a06_key_terms", "with e as (select doc_id, unnest(l) as term, generate_subscripts(l, 1) as pos from (select doc_id, list_filter(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]{2,}|[A-Z]{2,}')) as l from documents)), c as (select doc_id, term, count(*) as n, min(pos) as first from e where term not in " + repr(tuple(COMMON_TERMS)) + " group by all) select doc_id, term, n from (select *, row_number() over (partition by doc_id order by n desc, first) as r from c) where r <= 5")
