@@ -17,7 +17,6 @@ import json
 import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +33,8 @@ BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: The most pairs of ids whose counts every task holds: 16 MB.
 HEAD = 1 << 20
 
-#: Distinct pairs that a task counts before it hands them on.
-HELD = 1 << 21
+#: Links that a task counts before it hands the distinct ones on.
+HELD = 1 << 22
 
 
 def byte_letters() -> dict[str, int]:
@@ -70,6 +69,7 @@ class ByteTokens:
         self.bytes = [b""] * (max([*vocabulary.values(), *(t["id"] for t in file.get("added_tokens", ()))]) + 1)
         for token, i in vocabulary.items():
             self.bytes[i] = spelled(token)
+        self.sizes, self.barred = np.array([*map(len, self.bytes)]), [f"{i}|" for i in range(len(self.bytes))]
         self.quick = None
         merges = [m.split(" ") if isinstance(m, str) else m for m in file["model"]["merges"]]
         steps = file.get("pre_tokenizer") or {}
@@ -100,6 +100,7 @@ class PieceTokens:
         for i in range(self.library.get_piece_size()):
             piece = self.library.id_to_piece(i)
             self.bytes.append(bytes([int(piece[3:5], 16)]) if self.library.is_byte(i) else piece.replace("▁", " ").encode())
+        self.sizes, self.closed = np.array([*map(len, self.bytes)]), [f"{i};" for i in range(len(self.bytes))]
 
     def ids(self, text: str) -> list[int]:
         return self.library.encode(text, num_threads=1)
@@ -125,7 +126,7 @@ def align(ends: list[int], others: list[int]) -> Iterator[tuple[bool, int, int,
     i = j = 0
     n = len(ends)
     while i < n:
-        low, there, width = i, j, 1
+        low, there, width = i, j, 4
         while i < n and ends[i : i + width] == others[j : j + width]:
             i += width
             j += width
@@ -168,54 +169,70 @@ def links(ends: list[int], others: list[int], group: tuple[bool, int, int, int,
             j += 1
 
 
-def pack(codes: np.ndarray, times: np.ndarray) -> bytes:
-    """Rising codes and their times, small: differences byte by byte of significance, compressed."""
+def pack(codes: np.ndarray) -> bytes:
+    """Sorted codes, small: differences byte by byte of significance, compressed behind their width."""
     if not len(codes):
         return b""
-    planes = np.concatenate([np.diff(codes, prepend=0), times]).astype("<i8").view(np.uint8).reshape(-1, 8).T
-    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+    width = 4 if codes[-1] < 1 << 32 else 8
+    planes = np.diff(codes, prepend=0).astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unpack(packed: bytes) -> np.ndarray:
     if not packed:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(8, -1)
-    values = np.ascontiguousarray(planes.T).view("<i8").ravel()
-    return np.cumsum(values[: len(values) // 2]), values[len(values) // 2 :]
+        return np.empty(0, np.int64)
+    width = packed[0]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed[1:]), np.uint8).reshape(width, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64))
 
 
 class Aligned:
     """One text: its tokens by both tokenizers, groups and links."""
 
     def __init__(self, text: str | None, one: ByteTokens, other: PieceTokens):
-        self.here, self.there, self.groups, self.codes, self.times = [], [], "", np.empty(0, np.int64), np.empty(0, np.int64)
-        self.n_groups = self.n_links = 0
+        #: Every link as a code, a id times the number of b ids plus b id, sorted.
+        self.groups, self.codes = "", np.empty(0, np.int64)
+        self.n_here = self.n_there = self.n_groups = self.n_links = 0
         if not text:
             return
         whole = " " + text
-        here, there = one.ids(whole), other.ids(text)
-        left, right = [one.bytes[i] for i in here], [other.bytes[i] for i in there]
-        data = whole.encode()
-        if b"".join(left) != data or b"".join(right) != data or not all(left) or not all(right):
+        data, here, there = whole.encode(), one.ids(whole), other.ids(text)
+        if b"".join(map(other.bytes.__getitem__, there)) != data or b"".join(map(one.bytes.__getitem__, here)) != data:
             return
-        self.here, self.there = here, there
-        ends, others = [*accumulate(map(len, left))], [*accumulate(map(len, right))]
-        parts: list[str] = []
-        at: list[int] = []
-        to: list[int] = []
+        a_ids, b_ids = np.array(here, np.int64), np.array(there, np.int64)
+        sizes, other_sizes = one.sizes[a_ids], other.sizes[b_ids]
+        if not (sizes.all() and other_sizes.all()):
+            return
+        self.n_here, self.n_there = len(here), len(there)
+        ends, others = np.cumsum(sizes).tolist(), np.cumsum(other_sizes).tolist()
+        barred, closed = [*map(one.barred.__getitem__, here)], [*map(other.closed.__getitem__, there)]
+        shown: list[str] = []  # of groups, each ending in a semicolon
+        #: Links in runs: first index here and there, whether it moves on, and how many links.
+        runs: list[int] = []
         for group in align(ends, others):
             regular, a, b, c, d = group
             if regular:
-                parts.extend(map("%d|%d".__mod__, zip(here[a:b], there[c:d])))
-                at.extend(here[a:b])
-                to.extend(there[c:d])
+                pairs = barred[a:b] * 2
+                pairs[::2], pairs[1::2] = barred[a:b], closed[c:d]
+                shown += pairs
+                self.n_groups += b - a
+                runs += (a, 1, c, 1, b - a)
+                continue
+            self.n_groups += 1
+            shown.append(f"{','.join(map(str, here[a:b]))}|{','.join(map(str, there[c:d]))};")
+            if b - a == 1:  # one token overlaps all of the others
+                runs += (a, 0, c, 1, d - c)
+            elif d - c == 1:
+                runs += (a, 1, c, 0, b - a)
             else:
-                parts.append(f"{','.join(map(str, here[a:b]))}|{','.join(map(str, there[c:d]))}")
                 for i, j in links(ends, others, group):
-                    at.append(here[i])
-                    to.append(there[j])
-        self.n_groups, self.n_links, self.groups = len(parts), len(at), ";".join(parts)
-        self.codes, self.times = np.unique(np.array(at, np.int64) * len(other.bytes) + np.array(to, np.int64), return_counts=True)
+                    runs += (i, 0, j, 0, 1)
+        a, a_moves, c, c_moves, n = np.array(runs, np.int64).reshape(-1, 5).T
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at, to = np.repeat(a, n) + np.repeat(a_moves, n) * step, np.repeat(c, n) + np.repeat(c_moves, n) * step
+        self.n_links, self.groups = len(at), "".join(shown)[:-1]
+        self.codes = a_ids[at] * len(other.bytes) + b_ids[to]
+        self.codes.sort()
 
 
 def _aligner(folder: str, one: str, other: str, digest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -225,8 +242,8 @@ def _aligner(folder: str, one: str, other: str, digest: bool) -> Callable[[Itera
             columns: list[list] = [[] for _ in range(6)]
             for text in batch.column("text"):
                 found = Aligned(text.as_py(), *both)
-                groups = hashlib.sha256(found.groups.encode()).hexdigest() if digest and found.here else found.groups
-                for column, value in zip(columns, (len(found.here), len(found.there), found.n_groups, found.n_links, groups, pack(found.codes, found.times))):
+                groups = hashlib.sha256(found.groups.encode()).hexdigest() if digest and found.n_here else found.groups
+                for column, value in zip(columns, (found.n_here, found.n_there, found.n_groups, found.n_links, groups, pack(found.codes))):
                     column.append(value)
             arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.large_string(), pa.large_binary()))]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), *arrays], ["row", "id", "n_a", "n_b", "n_groups", "n_links", "groups", "links"])
@@ -235,23 +252,20 @@ def _aligner(folder: str, one: str, other: str, digest: bool) -> Callable[[Itera
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct codes and their times, summed over as many documents as fit."""
-    codes, times, size = [], [], 0
+    """Distinct codes and how often they are there, over as many documents as fit."""
+    codes, size = [], 0
 
     def flushed() -> pa.RecordBatch:
-        every, inverse = np.unique(np.concatenate(codes), return_inverse=True)
-        sums = np.bincount(inverse, np.concatenate(times), len(every)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(every), pa.array(sums)], ["code", "n"])
+        every, times = np.unique(np.concatenate(codes), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(every), pa.array(times)], ["code", "n"])
 
     for batch in batches:
         for packed in batch.column("links"):
-            c, t = unpack(packed.as_py())
-            codes.append(c)
-            times.append(t)
-            size += len(c)
+            codes.append(unpack(packed.as_py()))
+            size += len(codes[-1])
             if size >= HELD:
                 yield flushed()
-                codes, times, size = [], [], 0
+                codes, size = [], 0
     if size:
         yield flushed()
 
@@ -260,18 +274,17 @@ def _scorer(head) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts, best = head.value
         for batch in batches:
-            sums, bests, rest, rest_times = [], [], [], []
+            sums, bests, rest = [], [], []
             for packed in batch.column("links"):
-                codes, times = unpack(packed.as_py())
+                codes = unpack(packed.as_py())
                 at = np.minimum(np.searchsorted(known, codes), max(len(known) - 1, 0))
                 in_head = known[at] == codes if len(known) else np.zeros(len(codes), bool)
-                at, held = at[in_head], times[in_head]
-                sums.append(int((counts[at] * held).sum()) if len(held) else 0)
-                bests.append(int(held[best[at]].sum()) if len(held) else 0)
+                at = at[in_head]
+                sums.append(int(counts[at].sum()) if len(at) else 0)
+                bests.append(int(best[at].sum()) if len(at) else 0)
                 rest.append(codes[~in_head])
-                rest_times.append(times[~in_head])
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in (rest, rest_times)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("row", "id", "n_a", "n_b", "n_groups", "n_links", "groups")], pa.array(bests, pa.int64()), pa.array(sums, pa.int64()), *lists], ["row", "id", "n_a", "n_b", "n_groups", "n_links", "groups", "n_best", "count_sum", "codes", "times"])
+            lists = [pa.array(rest, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("row", "id", "n_a", "n_b", "n_groups", "n_links", "groups")], pa.array(bests, pa.int64()), pa.array(sums, pa.int64()), *lists], ["row", "id", "n_a", "n_b", "n_groups", "n_links", "groups", "n_best", "count_sum", "codes"])
 
     return run
 
@@ -325,11 +338,11 @@ def align_texts(
     top = np.zeros(width, np.int64)
     np.maximum.at(top, codes % width, n)  # a b id with a pair here has its best one here
     held = spark.sparkContext.broadcast((codes, n, n == top[codes % width]))
-    scored = materialise(arrow_map(aligned, _scorer(held), f"{stats}, n_best long, count_sum long, codes array<long>, times array<long>"), "scored")
+    scored = materialise(arrow_map(aligned, _scorer(held), f"{stats}, n_best long, count_sum long, codes array<long>"), "scored")
     discard(aligned)
     tops = F.broadcast(counts.groupBy((F.col("code") % width).alias("b")).agg(F.max("n").alias("top")))  # one row for each id of a vocabulary
-    rest = scored.select("row", F.explode(F.arrays_zip("codes", "times")).alias("link")).select("row", F.col("link.codes").alias("code"), F.col("link.times").alias("times"))
+    rest = scored.select("row", F.explode("codes").alias("code")).groupBy("row", "code").agg(F.count(F.lit(1)).alias("times"))
     rest = rest.join(counts.where(F.col("n") < F.lit(least)), "code").join(tops, F.col("code") % width == F.col("b"))
     rest = rest.groupBy("row").agg(F.sum(F.col("times") * F.col("n")).alias("more"), F.sum(F.when(F.col("n") == F.col("top"), F.col("times"))).alias("more_best"))
     plus = lambda a, b: (F.col(a) + F.coalesce(F.col(b), F.lit(0))).alias(a)
-    return scored.drop("codes", "times").join(rest, "row", "left").select("id", "n_a", "n_b", "n_groups", "n_links", "groups", plus("n_best", "more_best"), plus("count_sum", "more"))
+    return scored.drop("codes").join(rest, "row", "left").select("id", "n_a", "n_b", "n_groups", "n_links", "groups", plus("n_best", "more_best"), plus("count_sum", "more"))
