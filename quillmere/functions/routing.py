@@ -55,6 +55,8 @@ INTENTS = [
     (["summarize", "overview", "main points", "key findings", "summary"], "synthesis"),
     (["compare", "difference", "versus", " vs ", "similar", "different"], "comparison"),
 ]
+#: What a question about a whole folder says.
+OVERVIEW_PHRASES = ["overview", "summary", "summarize", "all files", "folder contents", "generic overview", "what's in this folder", "describe the folder"]
 # --- fixed values: content types with keyword weights ---------------------------------
 CONTENT_KEYWORDS = {
     "audio": {"audio": 1.0, "recording": 1.0, "sound": 0.9, "voice": 0.9, "speech": 0.9, "said": 0.6, "mentioned": 0.6, "spoken": 0.7, "talk": 0.6, "conversation": 0.8, "interview": 0.9, "podcast": 0.95, "call": 0.8, "meeting audio": 0.95, "voice memo": 0.9, "transcription": 0.95, "transcript": 0.95, "listen": 0.7, "heard": 0.6, "speaker": 0.7, "audio file": 1.0},

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.chunking import sentences_with_marks
+
 
 class Retriever(Protocol):
     """Anything that answers queries (query_id, text) with (query_id, id, rank, score)."""
@@ -78,6 +80,17 @@ def compress(pairs: DataFrame, extract: Callable[[str, str], str]) -> DataFrame:
     return pairs.select("query_id", "id", pick("question", "text").alias("passage"))
 
 
+def best_sentence(question: Column, text: Column) -> Column:
+    """The first of the text's sentences that hold the most distinct words of the question (four letters or more); null if none holds one.
+
+    Built of Column expressions: whole texts, no Python worker.
+    """
+    known = F.array_distinct(F.filter(F.split(F.lower(question), "[^a-z]+"), lambda w: F.length(w) > 3))
+    scored = F.transform(sentences_with_marks(text), lambda s, i: F.struct((-F.size(F.array_intersect(known, F.split(F.lower(s), "[^a-z]+")))).alias("n"), i.alias("i"), s.alias("s")))
+    best = F.array_min(scored)
+    return F.when(best["n"] < 0, best["s"])
+
+
 class Processors:
     """File processors by priority: (name, predicate over file columns); the first that fits takes a file."""
 

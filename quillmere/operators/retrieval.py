@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Query vectors that tasks hold at once; more are worked off in blocks.
+#: Query vectors and vectors that one task holds at once.
 QUERY_BLOCK = 1024
+VECTOR_BLOCK = 8192
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -23,48 +22,47 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.array(column.to_pylist(), np.float64).reshape(len(column), -1)
 
 
-def _query_blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
-    ids, rows = [], []
-    for r in queries.select("query_id", "vector").toLocalIterator():
-        ids.append(r.query_id)
-        rows.append(r.vector)
-        if len(ids) == QUERY_BLOCK:
-            yield ids, _unit(np.array(rows, np.float64))
-            ids, rows = [], []
-    if ids:
-        yield ids, _unit(np.array(rows, np.float64))
+def _dealt(df: DataFrame, own: str, own_blocks: int, met: str, met_blocks: int, key: str) -> DataFrame:
+    """``df`` dealt into blocks by a hash of its key, each row once for every block of the other side."""
+    block = F.pmod(F.xxhash64(key), F.lit(own_blocks)).cast("int")
+    return df.select("*", block.alias(own), F.explode(F.sequence(F.lit(0), F.lit(met_blocks - 1))).alias(met))
 
 
-def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
+def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6, within: str | None = None) -> DataFrame:
     """(query_id, id, rank, score): the ``k`` rows of highest cosine for every query.
 
-    ``vectors`` has (id, vector), ``queries`` (query_id, vector). Every block of
-    queries is multiplied with every batch of vectors; a batch passes on its own
-    best k per query, of which a window keeps the best. Zero vectors score 0; ties
-    go to the lower id.
+    ``vectors`` has (id, vector), ``queries`` (query_id, vector). Both are dealt into
+    blocks, ``VECTOR_BLOCK`` and ``QUERY_BLOCK`` rows large; a block of queries and a
+    block of vectors meet in one task, as one matrix product, which passes on its own
+    best k per query, of which a window keeps the best. Only two counts reach the
+    driver. ``within`` names a column of both sides, which must be equal for a row to
+    be found (the search inside one file); a null there finds nothing. Zero vectors
+    score 0; rows without a vector are left out; ties go to the lower id.
     """
-    spark, out = vectors.sparkSession, None
-    query_kind = to_arrow_type(queries.schema["query_id"].dataType)
-    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
-    for ids, block in _query_blocks(queries):
-        shared = spark.sparkContext.broadcast((ids, block))
-
-        def best(batches, shared=shared):
-            ids, block = shared.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own = batch.column(0).to_pylist()
-                scores = np.round(_unit(_matrix(batch.column(1))) @ block.T, digits)
-                order = np.argsort(np.array(own), kind="stable")
-                top = order[np.argsort(-scores[order], axis=0, kind="stable")[:k]]
-                asked = pa.array([q for _ in range(len(top)) for q in ids], query_kind)
-                yield pa.RecordBatch.from_arrays([asked, batch.column(0).take(pa.array(top.ravel())), pa.array(np.take_along_axis(scores, top, 0).ravel())], names=["query_id", "id", "score"])
-
-        part = vectors.select("id", "vector").mapInArrow(best, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], schema).select("query_id", "id", F.lit(0).alias("rank"), "score")
+    columns = ["vector"] if within is None else ["vector", within]
+    vectors, queries = vectors.where("vector is not null").select("id", *columns), queries.where("vector is not null").select("query_id", *columns)
+    sizes = vectors.agg(F.count(F.lit(1))).first()[0], queries.agg(F.count(F.lit(1))).first()[0]
+    vector_blocks, query_blocks = max(1, -(-sizes[0] // VECTOR_BLOCK)), max(1, -(-sizes[1] // QUERY_BLOCK))
+    one = _dealt(vectors, "vb", vector_blocks, "qb", query_blocks, "id").groupBy("vb", "qb")
+    two = _dealt(queries, "qb", query_blocks, "vb", vector_blocks, "query_id").groupBy("vb", "qb")
+    kinds = vectors.schema["id"].dataType, queries.schema["query_id"].dataType
+    id_kind, query_kind = to_arrow_type(kinds[0]), to_arrow_type(kinds[1])
+
+    def best(found: pa.Table, asked: pa.Table) -> pa.Table:
+        if not found.num_rows or not asked.num_rows:
+            return pa.table({"query_id": pa.array([], query_kind), "id": pa.array([], id_kind), "score": pa.array([], pa.float64())})
+        found = found.sort_by("id")
+        rows, cols = found.column("vector").combine_chunks(), asked.column("vector").combine_chunks()
+        scores = np.round(_unit(_matrix(rows)) @ _unit(_matrix(cols)).T, digits)
+        if within is not None:
+            own, wanted = np.array(found.column(within).to_pylist(), object), np.array(asked.column(within).to_pylist(), object)
+            scores[(own[:, None] != wanted[None, :]) | (own == None)[:, None]] = -np.inf  # noqa: E711
+        top = np.argsort(-scores, axis=0, kind="stable")[:k]
+        kept = np.take_along_axis(scores, top, 0).ravel()
+        ids, named = found.column("id").combine_chunks().take(pa.array(top.ravel())), asked.column("query_id").combine_chunks().take(pa.array(np.tile(np.arange(asked.num_rows), len(top))))
+        return pa.table({"query_id": named, "id": ids, "score": pa.array(kept)}).filter(pa.array(np.isfinite(kept)))
+
+    out = one.cogroup(two).applyInArrow(best, f"query_id {kinds[1].simpleString()}, id {kinds[0].simpleString()}, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", "rank", "score")
 

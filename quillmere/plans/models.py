@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..functions.chunking import SENTENCE_END
 from ..operators import models as M
 from ..operators import ranking as K
@@ -32,15 +31,22 @@ def scorer_rerank(spark, sf_dir):
 def multi_query(spark, sf_dir):
     """Paraphrases of every question searched together, each hit once at its best."""
     docs = M.embed(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), M.hashed_embedder())
-    asked = M.expand_queries(read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), lambda t: [t.lower(), " ".join(t.split()[:10])])
+    asked = M.expand_queries(read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), lambda t: [t.lower(), " ".join(w for w in t.split() if len(w) > 4)])
     vectors = M.embed(asked.select((F.col("query_id") * 10 + F.col("variant")).alias("id"), "text"), M.hashed_embedder()).withColumnRenamed("id", "query_id")
     found = vector_top_k(docs, vectors, 5)
     return found.groupBy(F.floor(F.col("query_id") / 10).alias("query_id"), "id").agg(F.max("score").alias("score"))
 
 
-@query("k12_compression")
+@query(
+    "k12_compression",
+    f"""with {_BM25_SQL}, ks as (select query_id, id, list_distinct(list_filter(regexp_split_to_array(lower(b.text), '[^a-z]+'), lambda x: length(x) > 3)) as ws,
+  list_filter(list_transform(string_split(regexp_replace(d.text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '') as ss from bm25 join benchmark b on item_id = query_id join documents d on doc_id = id),
+e as (select query_id, id, i, ss[i] as s, len(list_filter(ws, lambda x: list_contains(regexp_split_to_array(lower(ss[i]), '[^a-z]+'), x))) as n from (select *, unnest(range(1, len(ss) + 1)) as i from ks))
+select query_id, id, first(case when n > 0 then s end order by n desc, i) as passage from e group by query_id, id""",
+)
 def compression(spark, sf_dir):
-    return M.compress(_pairs(spark, sf_dir), lambda q, t: T.best_quote(q[:80], t[:4000]))
+    """The sentence of each whole hit that shares the most of the question's words; none if it shares none."""
+    return _pairs(spark, sf_dir).select("query_id", "id", M.best_sentence(F.col("question"), F.col("text")).alias("passage"))
 
 
 @query("e01_processor_route", f"with {FILES_SQL} select file_id, case when mime_type like 'audio/%' then 'transcriber' when mime_type like 'image/%' then 'reader' when mime_type like 'text/%' or mime_type = 'application/pdf' then 'partitioner' end as processor from files")

@@ -60,14 +60,19 @@ def scored_topk(spark, sf_dir):
     return K.min_max(h.where("rank <= 5")).select("query_id", "id", "rank", F.round("score", 5).alias("score"))
 
 
-_BM25_SQL = """t as (select doc_id as id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') as ts from documents),
+def bm25_sql(asked: str, name: str = "bm25") -> str:
+    """BM25 of the texts of ``asked`` (query_id, text) over all documents, ten hits each."""
+    return f"""t as (select doc_id as id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') as ts from documents),
 p as (select id, len, term, count(*) as tf from (select id, len(ts) as len, unnest(ts) as term from t) group by all),
 s as (select count(*) as n, avg(len(ts)) as mean from t),
 f as (select term, ln(n - df + 0.5) - ln(df + 0.5) as idf from (select term, count(*) as df from p group by term), s),
-a as (select query_id, term, count(*) as times from (select item_id as query_id, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) as term from benchmark) group by all),
+a as (select query_id, term, count(*) as times from (select query_id, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) as term from {asked}) group by all),
 w as (select query_id, a.term, times, case when idf < 0 then 0.25 * (select avg(idf) from f) else idf end as idf from a join f on a.term = f.term),
 b as (select query_id, id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean))), 6) as score from p join w on p.term = w.term, s group by query_id, id),
-bm25 as (select * from (select query_id, id, row_number() over (partition by query_id order by score desc, id) as rank, score from b) where rank <= 10)"""
+{name} as (select * from (select query_id, id, row_number() over (partition by query_id order by score desc, id) as rank, score from b) where rank <= 10)"""
+
+
+_BM25_SQL = bm25_sql("(select item_id as query_id, text from benchmark)")
 
 
 def bm25(spark, sf_dir, k=10):
@@ -181,8 +186,8 @@ def rebalance_unscored(spark, sf_dir):
 
 def _diverse_sql(weight):
     return f"""c as (select *, count(*) over (partition by query_id, file_key) as n, row_number() over (partition by query_id, file_key order by rank) as place from hits),
-p as (select query_id, id, file_key, round(score * (1 - (n / max(n) over (partition by query_id)) * (place / n) * {weight}), 9) as score from c),
-diverse as (select query_id, id, file_key, row_number() over (partition by query_id order by score desc, id) as rank, score from p)"""
+dp as (select query_id, id, file_key, round(score * (1 - (n / max(n) over (partition by query_id)) * (place / n) * {weight}), 9) as score from c),
+diverse as (select query_id, id, file_key, row_number() over (partition by query_id order by score desc, id) as rank, score from dp)"""
 
 
 @query("w09_diversity_rerank", f"with {_hits_sql()}, {_diverse_sql(0.3)} select {_COLS} from diverse")
@@ -242,7 +247,30 @@ def hybrid_weights(spark, sf_dir):
     return one(0.0).unionByName(one(0.4))
 
 
-def _adaptive_sql(k, rebalanced):
+def mmr_sql(listed: str, k: int, trade: float = 0.7) -> str:
+    """``picked`` (query_id, id, rank): maximal marginal relevance over the list ``listed`` (query_id, id, rank), a step a pick."""
+    dot = lambda a, b: f"list_dot_product({a}, {b})"
+    steps = "".join(
+        f""", s{t} as (select c.query_id, c.id, c.place, row_number() over (partition by c.query_id order by round({trade} * coalesce(c.relevance, 0) - {1 - trade} * max(coalesce(l.likeness, 0)), 9) desc, c.place) as o
+  from mmr_c c join p{t - 1} p on p.query_id = c.query_id left join mmr_l l on l.query_id = c.query_id and l.one = c.id and l.two = p.id
+  where c.n > {k} and (c.query_id, c.id) not in (select query_id, id from p{t - 1}) group by c.query_id, c.id, c.place, c.relevance),
+p{t} as (select * from p{t - 1} union all select query_id, id, {t} from s{t} where o = 1)"""
+        for t in range(2, k + 1)
+    )
+    return f"""mmr_v as (select vec_id, embedding::double[] as e, sqrt({dot('embedding::double[]', 'embedding::double[]')}) + 1e-8 as norm from embeddings),
+mmr_c as (select x.query_id, x.id, row_number() over (partition by x.query_id order by x.rank) as place, count(*) over (partition by x.query_id) as n, v.e, v.norm, {dot('v.e', 'q.e')} / (v.norm * q.norm) as relevance from {listed} x join mmr_v q on q.vec_id = x.query_id left join mmr_v v on v.vec_id = x.id),
+mmr_l as (select a.query_id, a.id as one, b.id as two, {dot('a.e', 'b.e')} / (a.norm * b.norm) as likeness from mmr_c a join mmr_c b on a.query_id = b.query_id where a.e is not null and b.e is not null),
+p1 as (select query_id, id, 1 as rank from mmr_c where n > {k} and place = 1){steps},
+picked as (select query_id, id, rank from p{k} union all select query_id, id, place from mmr_c where n <= {k})"""
+
+
+def _adaptive_sql(k, rebalanced, by_likeness=False):
+    spread = mmr_sql("ba", k) + "\nselect query_id, id, rank from picked"
+    if not by_likeness:
+        spread = f"""nf as (select query_id, count(distinct file_key) as files from ba group by query_id),
+sl as (select ba.*, case when files * 2 <= {k} then 2 else greatest(1, {k} // files) end as slots, row_number() over (partition by ba.query_id, file_key order by rank) as turn from ba join nf on ba.query_id = nf.query_id),
+pl as (select *, row_number() over (partition by query_id order by (turn <= slots) desc, case when turn <= slots then file_key end nulls first, rank) as place from sl)
+select query_id, id, row_number() over (partition by query_id order by rank) as rank from pl where place <= {k}"""
     balanced = f"""c as (select *, count(*) over (partition by query_id, file_key) as n from wk), bs as (select query_id, id, file_key, rank as r0, round(case when n > 1 then score / sqrt(n) else score end, 9) as score from c),
 y as (select *, row_number() over (partition by query_id, file_key order by score desc, r0) as turn from bs),
 ba as (select * from (select query_id, id, file_key, row_number() over (partition by query_id order by score desc, id) as rank from y where turn <= 5) where rank <= {2 * k})"""
@@ -255,18 +283,15 @@ x as (select m.query_id, m.id, file_key, m.rank, lower(question) as q, lower(tex
 z as (select query_id, id, file_key, rank as r0, round(len(list_filter(ws, lambda w: contains(t, w))) / len(ws) + case when contains(t, q) then 0.3 else 0 end, 6)::double as score from x),
 wk as (select * from (select query_id, id, file_key, score, row_number() over (partition by query_id order by score desc, r0) as rank from z where score >= {0.1 if rebalanced else 0.0}) where rank <= {2 * k}),
 {balanced if rebalanced else 'ba as (select * from wk)'},
-nf as (select query_id, count(distinct file_key) as files from ba group by query_id),
-sl as (select ba.*, case when files * 2 <= {k} then 2 else greatest(1, {k} // files) end as slots, row_number() over (partition by ba.query_id, file_key order by rank) as turn from ba join nf on ba.query_id = nf.query_id),
-pl as (select *, row_number() over (partition by query_id order by (turn <= slots) desc, case when turn <= slots then file_key end nulls first, rank) as place from sl)
-select query_id, id, row_number() over (partition by query_id order by rank) as rank from pl where place <= {k}
+{spread}
 union all select query_id, id, rank from kw where rank <= {k} and query_id in (select query_id from routed where strategy = 'exact_match')
 union all select query_id, id, rank from hits where rank <= {k} and query_id in (select query_id from routed where strategy = 'conceptual')"""
 
 
-def _adaptive(spark, sf_dir, k, rebalanced):
+def _adaptive(spark, sf_dir, k, rebalanced, by_likeness=False):
     texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     asked_ = questions_of_vectors(spark, sf_dir).select("query_id", "question", "strategy")
-    return A.adaptive(asked_, hits(spark, sf_dir, 3 * k), keyword_hits(spark, sf_dir), texts, k, rebalanced=rebalanced)
+    return A.adaptive(asked_, hits(spark, sf_dir, 3 * k), keyword_hits(spark, sf_dir), texts, k, rebalanced=rebalanced, spread_by=(vectors(spark, sf_dir), asked(spark, sf_dir)) if by_likeness else None)
 
 
 @query("k14_adaptive_retrieval", _adaptive_sql(5, True))
@@ -275,13 +300,19 @@ def adaptive_retrieval(spark, sf_dir):
     return _adaptive(spark, sf_dir, 5, True)
 
 
+@query("k14_adaptive_mmr", _adaptive_sql(5, True, True))
+def adaptive_mmr(spark, sf_dir):
+    """The same, complex questions' candidates picked by maximal marginal relevance."""
+    return _adaptive(spark, sf_dir, 5, True, True)
+
+
 @query("k15_serving_retrieval", _adaptive_sql(4, False))
 def serving_retrieval(spark, sf_dir):
     """The serving path: no rebalancing, no threshold."""
     return _adaptive(spark, sf_dir, 4, False)
 
 
-@query("k16_mmr")
+@query("k16_mmr", f"with {_hits_sql()}, {mmr_sql('hits', 5)} select query_id, id, rank from picked")
 def mmr(spark, sf_dir):
     v = vectors(spark, sf_dir)
     found = hits(spark, sf_dir).join(v.select("id", "vector"), "id").join(asked(spark, sf_dir).withColumnRenamed("vector", "query_vector"), "query_id")

@@ -14,7 +14,7 @@ _q = "lower(question)"
 
 
 def _any_sql(text: str, words) -> str:
-    return "(" + " or ".join(f"contains({text}, '{w}')" for w in words) + ")"
+    return "(" + " or ".join("contains({}, '{}')".format(text, w.replace("'", "''")) for w in words) + ")"
 
 
 def _case_sql(text: str, rules, default, pick: int = 1) -> str:

@@ -59,10 +59,10 @@ def boundary_chunks(spark, sf_dir):
     return C.chunk_rows(_docs(spark, sf_dir), lambda t: C.split_recursive(t, 600, 100, ["\n", ". ", " ", ""]))
 
 
-@query("c05_context_prefix", f"with {CHUNKS_SQL} select chunk_id, '[Document: ' || left(text, 40) || ']' || chr(10) || content as content from chunks join documents using (doc_id)")
+@query("c05_context_prefix", f"with {CHUNKS_SQL}, {FILES_SQL} select chunk_id, '[Document: ' || file_name || ']' || chr(10) || content as content from chunks join files using (doc_id)")
 def context_prefix(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(40)).alias("summary"))
-    return chunks(spark, sf_dir).join(d, "doc_id").select("chunk_id", F.concat(F.lit("[Document: "), F.col("summary"), F.lit("]\n"), F.col("content")).alias("content"))
+    named = files(spark, sf_dir).select("doc_id", "file_name")
+    return chunks(spark, sf_dir).join(named, "doc_id").select("chunk_id", F.concat(F.lit("[Document: "), F.col("file_name"), F.lit("]\n"), F.col("content")).alias("content"))
 
 
 @query("c06_code_chunks")
@@ -122,14 +122,14 @@ def short_content(spark, sf_dir):
     return files(spark, sf_dir).join(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("file_id", C.enriched(F.col("text"), kind, F.col("file_name")).alias("content"))
 
 
-@query("c14_sentences", "select doc_id, len(l) as n, array_to_string(list_slice(l, 1, 3), '|') as first from (select doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+\\s+'), lambda s: trim(s)), lambda s: s <> '') as l from documents)")
+@query("c14_sentences", "select doc_id, len(l) as n, md5(array_to_string(l, '|')) as sentences from (select doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+\\s+'), lambda s: trim(s)), lambda s: s <> '') as l from documents)")
 def sentences(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", C.sentences(F.col("text")).alias("l")).select("doc_id", F.size("l").cast("long").alias("n"), _as_text(F.slice("l", 1, 3)).alias("first"))
+    return read(spark, sf_dir, "documents").select("doc_id", C.sentences(F.col("text")).alias("l")).select("doc_id", F.size("l").cast("long").alias("n"), F.md5(_as_text("l").cast("binary")).alias("sentences"))
 
 
-@query("c15_marked_sentences", "select doc_id, len(l) as n, array_to_string(list_slice(l, 1, 3), '|') as first from (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '') as l from documents)")
+@query("c15_marked_sentences", "select doc_id, len(l) as n, md5(array_to_string(l, '|')) as sentences from (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '') as l from documents)")
 def marked_sentences(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", C.sentences_with_marks(F.col("text")).alias("l")).select("doc_id", F.size("l").cast("long").alias("n"), _as_text(F.slice("l", 1, 3)).alias("first"))
+    return read(spark, sf_dir, "documents").select("doc_id", C.sentences_with_marks(F.col("text")).alias("l")).select("doc_id", F.size("l").cast("long").alias("n"), F.md5(_as_text("l").cast("binary")).alias("sentences"))
 
 
 _CODE = ["import os\nfrom a.b import c\nclass Foo:\n    def bar(self):\n        pass\n", "const x = 1;\nlet yy = 2;\nfunction go() {}\nsee main.py and app.ts", "nothing here"]
@@ -254,7 +254,7 @@ def metadata_flat(spark, sf_dir):
 @query("t10_sequence_similarity")
 def sequence_similarity(spark, sf_dir):
     b = read(spark, sf_dir, "benchmark")
-    return b.select("item_id", F.round(T.similarity(F.col("text"), F.concat(F.lit("x "), F.reverse(F.left("text", F.lit(120))))), 6).alias("similarity"))
+    return b.select("item_id", F.round(T.similarity(F.col("text"), F.concat(F.lit("x "), F.reverse("text"))), 6).alias("similarity"))
 
 
 @query("t11_best_quote")
@@ -268,9 +268,10 @@ def excerpt(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(T.excerpt(F.substring("text", 101, 60), F.col("text")).cast("binary")).alias("excerpt"))
 
 
-@query("t13_line_range", "with e as (select doc_id, text as t, strpos(text, substr(text, 201, 20)) as pos from documents) select doc_id, case when pos > 0 then cast(length(left(t, pos - 1)) - length(replace(left(t, pos - 1), chr(10), '')) + 1 as int) end as line from e where length(t) > 201")
+@query("t13_line_range", "with e as (select doc_id, text as t, strpos(text, substr(text, length(text) // 2 + 1, 20)) as pos from documents) select doc_id, case when pos > 0 then cast(length(left(t, pos - 1)) - length(replace(left(t, pos - 1), chr(10), '')) + 1 as int) end as line from e")
 def line_range(spark, sf_dir):
-    return read(spark, sf_dir, "documents").where("length(text) > 201").select("doc_id", T.line_of(F.col("text"), F.substring("text", 201, 20)).alias("line"))
+    middle = F.substr("text", F.floor(F.length("text") / 2).cast("int") + 1, F.lit(20))
+    return read(spark, sf_dir, "documents").select("doc_id", T.line_of(F.col("text"), middle).alias("line"))
 
 
 _PARAGRAPHS = ["one\n\ntwo two\n\nthree", "one\n\n\n\nthree", ""]
@@ -402,5 +403,5 @@ def distinct_citations(spark, sf_dir):
         rows = list(zip(g["file"], g["turn"].astype(str), g["text"], g["confidence"], strict=True))
         return g.iloc[T.distinct_citations(rows)][["conv_id", "turn"]]
 
-    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.left("text", F.lit(120)).alias("text"), (F.length("text") % 10 / 10).alias("confidence"), (F.col("turn") % 2).cast("string").alias("file"))
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), (F.length("text") % 10 / 10).alias("confidence"), (F.col("turn") % 2).cast("string").alias("file"))
     return c.groupBy("conv_id").applyInPandas(one, "conv_id long, turn long")
