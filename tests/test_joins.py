@@ -152,3 +152,26 @@ def test_replies_cut_anywhere():
         assert isinstance(got, dict) and got.keys() <= whole.keys()
     assert repaired("none") is None and repaired(None) is None and repaired("") is None
     assert json.loads(repaired('{"x": 1, "y": [1, 2')) == {"x": 1, "y": [1, 2]}
+
+
+def test_common_items_in_blocks(spark, monkeypatch):
+    import random
+    from itertools import combinations
+
+    from quillmere.operators import relations as J
+
+    monkeypatch.setattr(J, "HOLDERS", 16)
+    draw = random.Random(3)
+    sets = {i: {"everywhere", *draw.sample([f"w{n}" for n in range(400)], draw.randint(0, 4))} for i in range(240)}
+    rows = [("f" if i % 3 else "g", i, w) for i, s in sets.items() for w in s]
+    items = spark.createDataFrame(rows, "folder string, id long, item string")
+    folder = {i: f for f, i, _ in rows}
+    every = {(a, b): len(sets[a] & sets[b]) for a, b in combinations(sets, 2) if folder[a] == folder[b]}
+    for least in (1, 2, 3):
+        want = {(*p, n) for p, n in every.items() if n >= least}
+        assert {(r.a, r.b, r.shared) for r in J.shared_items(items, least).collect()} == want
+    found = J._meet(J._rarest(J._held(items), F.col("n") - 1)).count()
+    assert found < len(every) / 20
+    alike = {p for p in every if len(sets[p[0]] & sets[p[1]]) / len(sets[p[0]] | sets[p[1]]) > 0.5}
+    assert {(r.a, r.b) for r in J.jaccard_pairs(items, 0.5).collect()} == alike
+    assert J.shared_items(items.limit(0), 2).count() == 0
