@@ -8,7 +8,7 @@ from collections import Counter, deque
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -88,6 +88,27 @@ def without_citations(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"\[cid:[^\]]+\]", ""), r"\s*\[\d+\]", ""))
 
 
+#: A marker of a cited chunk.
+CITED = r"\[cid:([a-zA-Z0-9_-]+)\]"
+
+
+def with_links(texts: DataFrame, key: str, text: str, known: DataFrame) -> DataFrame:
+    """(key, text) with markers as links, numbered by first appearance, ``[?]`` for one that is not ``known``.
+
+    ``known`` is (id, title, url, page), one row an id; a page of null or 0 is not
+    shown, a url of null links nowhere. ``key`` tells the texts apart. A text
+    without markers stays; a null text is null.
+    """
+    parts = texts.select(key, F.regexp_extract_all(text, F.lit(CITED), F.lit(1)).alias("ids"), F.posexplode_outer(F.split(text, CITED)).alias("at", "part"))
+    rows = parts.select(key, "at", "part", F.get("ids", F.col("at")).alias("id"), F.array_position(F.array_distinct("ids"), F.get("ids", F.col("at"))).alias("number"))
+    paged = F.when(F.col("page") > 0, F.concat(F.lit(", p."), F.col("page").cast("string"))).otherwise("")
+    link = F.concat(F.lit('<sup><a href="'), F.coalesce("url", F.lit("#")), F.lit('" target="_blank" rel="noopener noreferrer" class="citation-link" title="'), F.coalesce("title", F.lit("Unknown")), paged, F.lit('">['), F.col("number").cast("string"), F.lit("]</a></sup>"))
+    shown = F.when(F.col("id").isNull(), "").when(F.col("found").isNull(), '<sup class="citation-missing">[?]</sup>').otherwise(link)
+    joined = rows.join(known.withColumn("found", F.lit(True)), "id", "left").select(key, "at", F.concat("part", shown).alias("piece"))
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"])
+    return joined.groupBy(key).agg(F.when(F.count("piece") > 0, F.array_join(pieces, "")).alias(text))
+
+
 def summary_clean(text: Column) -> Column:
     """A model's summary without headers, stock phrases and doubled spaces."""
     out = F.regexp_replace(text, r"(?m)^#+\s*.*$", "")
@@ -118,15 +139,71 @@ META_PHRASES = [
 ]
 
 
+# Openings and closings that say nothing, at a line's start and end.
+UNWANTED_PREFIXES = [
+    r"^I'm (?:happy to help|ready to assist|here to help).*?[.!?]\s*",
+    r"^I don't see (?:a )?(?:specific )?(?:question|context).*?[.!?]\s*",
+    r"^However, I don't see.*?[.!?]\s*",
+    r"^Unfortunately, (?:I don't|there is no).*?[.!?]\s*",
+    r"^I'm ready to help.*?[.!?]\s*",
+    r"^Please provide.*?[.!?]\s*",
+]
+UNWANTED_CLOSINGS = [
+    r"\.?\s*Please let me know if you need (?:any )?(?:more )?(?:additional )?(?:information|help|assistance|clarification)\.?$",
+    r"\.?\s*Feel free to ask if you have (?:any )?(?:more )?(?:additional )?(?:questions|queries)\.?$",
+    r"\.?\s*I hope this helps\.?$",
+    r"\.?\s*Let me know if you need anything else\.?$",
+]
+REGARDING = r"^Regarding [^:]+:\s*"
+_ENDS = r"^\s+|\s+\z"
+
+
+def without_lone_header(text: Column) -> Column:
+    """A text that opens with its only heading, without that line."""
+    bare = F.regexp_replace(text, _ENDS, "")
+    headed = bare.startswith("#") & (F.size(F.filter(F.split(bare, "\n"), lambda line: line.startswith("#"))) == 1)
+    return F.when(headed, F.regexp_replace(F.regexp_replace(bare, r"\A[^\n]*\n?", ""), _ENDS, "")).otherwise(text)
+
+
 def without_meta(text: Column) -> Column:
-    """A reply without phrases about its context, stray think tags and runs of white space."""
+    """A reply without stock openings and closings, a lone heading, phrases about its context, stray think tags and runs of white space."""
     out = F.regexp_replace(text, r"(?i)</?think[^>]*>", "")
+    for prefix in UNWANTED_PREFIXES:
+        out = F.regexp_replace(out, f"(?imd){prefix}", "")
+    out = without_lone_header(out)
     for phrase in META_PHRASES:
         out = F.regexp_replace(out, rf"(?i){phrase}[,:]?\s*", "")
+    for closing in [REGARDING, *UNWANTED_CLOSINGS]:
+        out = F.regexp_replace(out, f"(?imd){closing}", "")
     out = F.regexp_replace(out, r"[ \t]+", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(out, r" ?\n ?", "\n"), r"\n{3,}", "\n\n"))
 
 
+# What a line holds that is no title: in centred lines, and in the longest of the first ten.
+NO_CENTRED_TITLE = ["page", "doi:", "arxiv:", "http", "@", "email"]
+NO_TITLE = ["page", "doi:", "arxiv:", "http", "www.", "@", "email", "tel:", "fax:", "©", "copyright", "all rights reserved", "confidential"]
+
+
+def page_title(text: Column) -> Column:
+    """Title of a first page: a centred line, the longest of the first ten, one in title case, or the first of fair length; null if none.
+
+    The longest (the first of several) counts only below 150 characters; then title
+    case is asked of the first eight lines and length of the first five.
+    """
+    raw = F.split(text, "\n")
+    lines = F.filter(F.transform(raw, lambda x: F.trim(x)), lambda x: x != "")
+    holds = lambda x, words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.lower(x), w))
+    length = lambda x: F.length(F.trim(x))
+    centred = F.filter(F.slice(raw, 1, 15), lambda x: x.rlike(r"^ {11,}\S") & (length(x) > 15) & (length(x) < 150) & ~holds(x, NO_CENTRED_TITLE))
+    fit = F.filter(F.slice(lines, 1, 10), lambda x: (F.length(x) >= 15) & ~holds(x, NO_TITLE) & ~(x.endswith(".") & (F.length(x) > 50)))
+    longest = F.array_max(F.transform(fit, lambda x: F.length(x)))
+    capital = lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w.rlike(r"^\p{Lu}")))
+    cased = F.filter(F.slice(lines, 1, 8), lambda x: (F.length(x) > 15) & (F.length(x) < 150) & (capital(x) >= F.size(F.split(x, r"\s+")) * 0.6) & ~x.rlike("[.!?]$"))
+    fair = F.filter(F.slice(lines, 1, 5), lambda x: (F.length(x) > 20) & (F.length(x) < 150))
+    best = F.when(longest < 150, F.get(F.filter(fit, lambda x: F.length(x) == longest), F.lit(0)))
+    return F.coalesce(F.trim(F.get(centred, F.lit(0))), best, F.get(cased, F.lit(0)), F.get(fair, F.lit(0)))
+
+
 def without_repeats(text: Column) -> Column:
     """``settled`` of a column, Arrow batches at a time."""
 

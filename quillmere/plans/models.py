@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.chunking import SENTENCE_END
 from ..operators import models as M
 from ..operators import ranking as K
@@ -127,6 +128,33 @@ def page_title(spark, sf_dir):
     return dressed(spark, sf_dir, "pid", _PAGES).select("pid", title.alias("title"))
 
 
+_FIRST_PAGES = [
+    "                    A Centred Line Of Words\nbody",
+    "Page 1 of 7\nthe longest line of them all without an end\nA Shorter Title Case Line",
+    "                    page 7 is no title at all\n" + "x" * 160 + "\nSome Title Case Line Here\nmore of it",
+    "tiny\nwww.example.org and more words here\n" + "y" * 170,
+    "A sentence that is long, and that ends with a full stop like all.\nshort",
+]
+
+
+def _title_sql(words: list[str], line: str) -> str:
+    return "(" + " or ".join(f"contains(lower({line}), '{w}')" for w in words) + ")"
+
+
+@query(
+    "t03_first_page_title",
+    f"""with p as (select pid, string_split(t, chr(10)) as raw, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> '') as ls from {dressed_sql('pid', _FIRST_PAGES)}),
+f as (select *, list_filter(raw[1:15], lambda x: regexp_matches(x, '^ {{11,}}\\S') and length(trim(x)) > 15 and length(trim(x)) < 150 and not {_title_sql(T.NO_CENTRED_TITLE, 'x')}) as ce,
+  list_filter(ls[1:10], lambda x: length(x) >= 15 and not {_title_sql(T.NO_TITLE, 'x')} and not (x like '%.' and length(x) > 50)) as fit,
+  list_filter(ls[1:8], lambda x: length(x) > 15 and length(x) < 150 and len(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: regexp_matches(w, '^\\p{{Lu}}'))) >= len(regexp_split_to_array(x, '\\s+')) * 0.6 and not regexp_matches(x, '[.!?]$')) as cased,
+  list_filter(ls[1:5], lambda x: length(x) > 20 and length(x) < 150) as fair from p),
+m as (select *, list_max(list_transform(fit, lambda x: length(x))) as longest from f)
+select pid, coalesce(trim(ce[1]), case when longest < 150 then list_filter(fit, lambda x: length(x) = longest)[1] end, cased[1], fair[1]) as title from m""",
+)
+def first_page_title(spark, sf_dir):
+    return dressed(spark, sf_dir, "pid", _FIRST_PAGES).select("pid", T.page_title(F.col("t")).alias("title"))
+
+
 _JSONS = ['ok ```json\n{"entities": ["a", "b"]}\n``` done', 'noise {"entities": ["c"]} noise', "{broken", '{"entities": []}', '{"entities": ["a", "b", "c", "cut', '{"of": {"x": 1}, "entities": ["a", {"b": 1}, "d"']
 #: How many entities these hold once repaired, worked out by hand.
 _ENTITIES = [2, 1, 0, 0, 3, 3]

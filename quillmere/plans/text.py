@@ -298,6 +298,22 @@ def citation_render(spark, sf_dir):
     return dressed(spark, sf_dir, "cid", _CITED).select("cid", l.alias("l")).select("cid", _as_text(F.transform("l", lambda x: F.concat(x, F.lit("="), F.array_position(F.array_distinct("l"), x).cast("string"))), ",").alias("numbered"))
 
 
+@query(
+    "t16_citation_links",
+    f"""with {FILES_SQL}, r as (select cid, t || ' See [cid:f' || (cid % 1500) || '] and [cid:f' || (cid * 7 % 150) || '].' as t from {dressed_sql('cid', _CITED)}),
+p as (select cid, regexp_extract_all(t, '\\[cid:([a-zA-Z0-9_-]+)\\]', 1) as ids, string_split(regexp_replace(t, '\\[cid:([a-zA-Z0-9_-]+)\\]', chr(1), 'g'), chr(1)) as parts from r),
+u as (select cid, unnest(parts) as part, unnest(range(1, len(parts) + 1)) as pos, ids from p),
+n as (select cid, part, pos, ids[pos] as id, len(list_distinct(list_slice(ids, 1, list_position(ids, ids[pos])))) as number from u)
+select cid, string_agg(part || case when id is null then '' when file_id is null then '<sup class="citation-missing">[?]</sup>' else '<sup><a href="https://files.example/' || file_name || '" target="_blank" rel="noopener noreferrer" class="citation-link" title="' || file_name || case when doc_id % 5 > 0 then ', p.' || (doc_id % 5) else '' end || '">[' || number || ']</a></sup>' end, '' order by pos) as html
+from n left join files on id = file_id group by cid""",
+)
+def citation_links(spark, sf_dir):
+    """Markers as links numbered by first appearance, over a join with the chunks that they name; unknown ones as [?]."""
+    known = files(spark, sf_dir).select(F.col("file_id").alias("id"), F.col("file_name").alias("title"), F.concat(F.lit("https://files.example/"), F.col("file_name")).alias("url"), (F.col("doc_id") % 5).alias("page"))
+    more = F.concat(F.col("t"), F.lit(" See [cid:f"), (F.col("cid") % 1500).cast("string"), F.lit("] and [cid:f"), (F.col("cid") * 7 % 150).cast("string"), F.lit("]."))
+    return T.with_links(dressed(spark, sf_dir, "cid", _CITED).select("cid", more.alias("t")), "cid", "t", known).withColumnRenamed("t", "html")
+
+
 @query("t17_citation_list", f"select cid, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '\\[cid:([^\\]]+)\\]', 1))), ',') as ids from {dressed_sql('cid', _CITED)}")
 def citation_list(spark, sf_dir):
     return dressed(spark, sf_dir, "cid", _CITED).select("cid", _as_text(F.array_sort(F.array_distinct(F.regexp_extract_all("t", F.lit(r"\[cid:([^\]]+)\]"), F.lit(1)))), ",").alias("ids"))
@@ -315,6 +331,39 @@ def response_clean(spark, sf_dir):
     return dressed(spark, sf_dir, "rid", _REPLIES).select("rid", T.response_clean(F.col("t")).alias("cleaned"))
 
 
+#: Replies with openings, closings and headings that a model adds.
+_FRAMED = [
+    "I'm happy to help! The river rises.\nIt ends at sea. I hope this helps.",
+    "# Answer\nBased on the context, it is so.\nRegarding doc_7: more",
+    "# One\ntext\n# Two",
+    "Please provide more. Unfortunately, there is no answer. Fine.\nLet me know if you need anything else",
+    "Plain words.   Please let me know if you need any additional help.",
+]
+
+
+def _framed_sql():
+    out = "regexp_replace(t, '(?i)</?think[^>]*>', '', 'g')"
+    quoted = lambda p: p.replace("'", "''")
+    for p in T.UNWANTED_PREFIXES:
+        out = f"regexp_replace({out}, '(?im){quoted(p)}', '', 'g')"
+    meta = "h"
+    for p in T.META_PHRASES:
+        meta = f"regexp_replace({meta}, '(?i){p}[,:]?\\s*', '', 'g')"
+    for p in [T.REGARDING, *T.UNWANTED_CLOSINGS]:
+        meta = f"regexp_replace({meta}, '(?im){quoted(p)}', '', 'g')"
+    bare = "regexp_replace(o, '^\\s+|\\s+$', '', 'g')"
+    return f"""with a as (select rid, {out} as o from {dressed_sql('rid', _FRAMED)}), b as (select rid, o, {bare} as s from a),
+c as (select rid, case when starts_with(s, '#') and len(list_filter(string_split(s, chr(10)), lambda x: starts_with(x, '#'))) = 1 then regexp_replace(regexp_replace(s, '^[^\\n]*\\n?', ''), '^\\s+|\\s+$', '', 'g') else o end as h from b),
+d as (select rid, regexp_replace({meta}, '[ \\t]+', ' ', 'g') as m from c)
+select rid, trim(regexp_replace(regexp_replace(m, ' ?\\n ?', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')) as cleaned from d"""
+
+
+@query("t18_response_framed", _framed_sql())
+def response_framed(spark, sf_dir):
+    """Openings, closings, lone headings and phrases about the context taken off."""
+    return dressed(spark, sf_dir, "rid", _FRAMED).select("rid", T.without_meta(F.col("t")).alias("cleaned"))
+
+
 @query("t18_response_settled")
 def response_settled(spark, sf_dir):
     """The whole cleaner over all conversation turns: patterns as Columns, repeats and garble behind Arrow."""
