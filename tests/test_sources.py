@@ -105,3 +105,44 @@ def test_mmr_takes_the_unlike():
 
     rows = np.array([[1.0, 0.0], [1.0, 0.0], [0.8, 0.6], [0.0, 0.0]])
     assert select(rows, np.array([1.0, 0.1]), np.array([0.9, 0.9, 0.8, 0.1]), 2, 0.5) == [0, 2]
+
+
+def test_links_titles_and_frames(spark):
+    from quillmere.functions import text as T
+
+    known = spark.createDataFrame([("a", "A.pdf", "https://files.example/A.pdf", 3), ("b", None, None, None)], "id string, title string, url string, page int")
+    texts = spark.createDataFrame([(1, "x [cid:b] y [cid:zz][cid:a] z [cid:b]"), (2, "plain"), (3, None), (4, ""), (5, "[cid:a]")], "k int, t string")
+    link = lambda url, title, n: f'<sup><a href="{url}" target="_blank" rel="noopener noreferrer" class="citation-link" title="{title}">[{n}]</a></sup>'
+    b, a = link("#", "Unknown", 1), link("https://files.example/A.pdf", "A.pdf, p.3", 3)
+    got = {r.k: r.t for r in T.with_links(texts, "k", "t", known).collect()}
+    assert got == {1: f'x {b} y <sup class="citation-missing">[?]</sup>{a} z {b}', 2: "plain", 3: None, 4: "", 5: a.replace("[3]", "[1]")}
+
+    pages = [
+        ("            Centred title here\nbody", "Centred title here"),
+        ("a short one\nthe longest line here wins it\nsecond longest wins", "the longest line here wins it"),
+        ("x" * 200 + "\nTitle Case Words Win", "Title Case Words Win"),
+        ("x" * 200 + "\nno title case but fair in length", "no title case but fair in length"),
+        ("tiny", None), ("", None), (None, None),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(pages)], "k int, t string")
+    assert {r.k: r.title for r in df.select("k", T.page_title(F.col("t")).alias("title")).collect()} == {i: w for i, (_, w) in enumerate(pages)}
+
+    replies = [
+        ("I'm here to help you. Rain falls.", "Rain falls."),
+        ("# Head\nText stays.", "Text stays."),
+        ("# Head\n# Two\nText", "# Head\n# Two\nText"),
+        ("Regarding a.pdf: It rains. I hope this helps!", "It rains. I hope this helps!"),
+        ("It rains. I hope this helps.", "It rains"),
+        ("It rains\nFeel free to ask if you have any questions.\nmore", "It rains\nmore"),
+        (None, None),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(replies)], "k int, t string")
+    assert {r.k: r.c for r in df.select("k", T.without_meta(F.col("t")).alias("c")).collect()} == {i: w for i, (_, w) in enumerate(replies)}
+
+
+def test_best_sentence(spark):
+    from quillmere.operators.models import best_sentence
+
+    rows = [("where does the river rise", "Hills are high. The river does rise there! A river rise.", "The river does rise there!"), ("river", "Nothing here.", None), (None, "Text.", None), ("river", None, None), ("", "", None)]
+    df = spark.createDataFrame([(i, q, t) for i, (q, t, _) in enumerate(rows)], "k int, q string, t string")
+    assert {r.k: r.s for r in df.select("k", best_sentence(F.col("q"), F.col("t")).alias("s")).collect()} == {i: w for i, (_, _, w) in enumerate(rows)}
