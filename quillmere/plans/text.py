@@ -201,9 +201,9 @@ _HEADED = ["EXECUTIVE SUMMARY\nbody text goes here.", "1.2 Market Analysis\nmore
     f"""with h as (select * from {dressed_sql('hid', _HEADED)}), l as (select hid, p, l, len(list_filter(regexp_split_to_array(l, '\\s+'), lambda w: w <> '')) as n,
   len(list_filter(regexp_split_to_array(l, '\\s+'), lambda w: regexp_matches(w, '^\\p{{Lu}}'))) as caps, regexp_extract(l, '(?i)^(?:\\d+\\.?\\d*\\s+|(?:chapter|section|part)\\s+\\d+[:\\-\\s]+|[IVXLCDM]+\\.\\s+)(.+)$', 1) as num
   from (select hid, trim(unnest(x)) as l, generate_subscripts(x, 1) as p from (select hid, list_slice(string_split(trim(t), chr(10)), 1, 10) as x from h)) where length(l) >= 3),
-c as (select hid, p, case when upper(l) = l and lower(l) <> l and n <= 6 then array_to_string(list_transform(string_split(lower(l), ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') when num <> '' then trim(num)
-  when l like '%:' and n <= 6 then trim(rtrim(l, ':')) when n between 2 and 6 and caps >= n * 0.7 and not regexp_matches(l, '[.!?]$') then l when l like '#%' then trim(regexp_replace(l, '^#+\\s*', '')) end as title from l)
-select h.hid, min_by(title, p) filter (where title is not null) as title from h left join c on h.hid = c.hid group by h.hid""",
+c as (select hid, p, case when upper(l) = l and lower(l) <> l and n <= 6 then array_to_string(list_transform(string_split(lower(l), ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') when trim(num) <> '' and length(trim(num)) < 100 then trim(num)
+  when l like '%:' and n <= 6 then trim(left(l, length(l) - 1)) when n between 2 and 6 and caps >= n * 0.7 and not regexp_matches(l, '[.!?]$') then l when l like '#%' then trim(regexp_replace(l, '^#+\\s*', '')) end as title from l)
+select h.hid, min_by(title, p) filter (where title <> '') as title from h left join c on h.hid = c.hid group by h.hid""",
 )
 def section_title(spark, sf_dir):
     return dressed(spark, sf_dir, "hid", _HEADED).select("hid", T.section_title(F.col("t")).alias("title"))
