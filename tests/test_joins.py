@@ -175,3 +175,27 @@ def test_common_items_in_blocks(spark, monkeypatch):
     alike = {p for p in every if len(sets[p[0]] & sets[p[1]]) / len(sets[p[0]] | sets[p[1]]) > 0.5}
     assert {(r.a, r.b) for r in J.jaccard_pairs(items, 0.5).collect()} == alike
     assert J.shared_items(items.limit(0), 2).count() == 0
+
+
+def test_pairs_of_sets_in_blocks(spark, monkeypatch):
+    """What leaves a task are kept pairs only, whatever blocks, tiles and frequent items are."""
+    from itertools import combinations
+
+    from quillmere.operators import relations as J
+
+    for name, value in {"BLOCK_ROWS": 40, "BLOCKS": 2, "MOST_ROWS": 60, "CELLS": 500}.items():
+        monkeypatch.setattr(J, name, value)
+    draw = random.Random(12)
+    words = [f"w{n}" for n in range(60)]
+    sets = {i * 3: set(draw.sample(words, draw.randint(0, 12))) | ({"everywhere"} if i % 9 else set()) for i in range(160)}
+    folder = {i: None if i % 31 == 0 else "f" if i % 4 else "g" for i in sets}
+    df = spark.createDataFrame([(folder[i], i, sorted(s)) for i, s in sets.items()], "folder string, id long, set array<string>")
+    every = {(folder[a], a, b): len(sets[a] & sets[b]) for a, b in combinations(sets, 2) if folder[a] == folder[b] and folder[a] and sets[a] and sets[b]}
+    assert {(r.folder, r.a, r.b, r.shared) for r in J.jaccard_of_sets(df, 0.3).collect()} == {(*p, n) for p, n in every.items() if n / (len(sets[p[1]] | sets[p[2]])) > 0.3}
+    want = set()
+    for f in "fg":
+        ratios = sorted((-n / min(len(sets[a]), len(sets[b])), a, b) for (g, a, b), n in every.items() if g == f and n >= 2)
+        want |= {(f, a, b, -r) for r, a, b in ratios if r < -0.1} & {(f, a, b, -r) for r, a, b in ratios[:10]}
+    got = J.most_alike(df, 10, 2, 0.1)
+    assert {(r.folder, r.a, r.b, r.ratio) for r in got.collect()} == want
+    assert J.jaccard_of_sets(df.limit(0), 0.3).count() == 0
