@@ -199,3 +199,16 @@ def test_pairs_of_sets_in_blocks(spark, monkeypatch):
     got = J.most_alike(df, 10, 2, 0.1)
     assert {(r.folder, r.a, r.b, r.ratio) for r in got.collect()} == want
     assert J.jaccard_of_sets(df.limit(0), 0.3).count() == 0
+
+
+@pytest.mark.parametrize("pairs", [20_000_000, 3])
+def test_pointed_at_once(spark, monkeypatch, pairs):
+    from quillmere.operators import relations as J
+
+    monkeypatch.setattr(J, "PAIRS", pairs)
+    draw = random.Random(13)
+    files = {i: f"doc_{i}.pdf" for i in range(40)}
+    said = {(i, draw.choice(["doc_1", "doc_2", "doc_13", "doc_", "pdf", "see_doc_7.pdf_and_doc_8.pdf", "none"])) for i in range(30) for _ in range(3)}
+    points = {(r, t, f) for _, r in said for t, f in files.items() if r in f or f in r}
+    got = Counter(tuple(r) for r in J.pointed_at(spark.createDataFrame(list(said), "id long, ref string"), spark.createDataFrame(list(points), "ref string, target long, file string")).collect())
+    assert got == Counter({(i, t) for i, r in said for x, t, _ in points if x == r and i != t})
