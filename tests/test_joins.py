@@ -212,3 +212,12 @@ def test_pointed_at_once(spark, monkeypatch, pairs):
     points = {(r, t, f) for _, r in said for t, f in files.items() if r in f or f in r}
     got = Counter(tuple(r) for r in J.pointed_at(spark.createDataFrame(list(said), "id long, ref string"), spark.createDataFrame(list(points), "ref string, target long, file string")).collect())
     assert got == Counter({(i, t) for i, r in said for x, t, _ in points if x == r and i != t})
+
+
+def test_titles_alone_are_looked_for(spark, sf_dir, monkeypatch):
+    from quillmere.plans import relations as plan
+
+    asked = []
+    monkeypatch.setattr(plan, "names_within", lambda texts, names: asked.append(names) or names_within(texts, names))
+    assert plan.name_mention(spark, sf_dir).count() > 0
+    assert asked[0].where("name like '%.txt'").count() == 0
