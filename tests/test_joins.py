@@ -221,3 +221,17 @@ def test_titles_alone_are_looked_for(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(plan, "names_within", lambda texts, names: asked.append(names) or names_within(texts, names))
     assert plan.name_mention(spark, sf_dir).count() > 0
     assert asked[0].where("name like '%.txt'").count() == 0
+
+
+def test_similar_pairs_some_rows_at_a_time(spark, monkeypatch):
+    import numpy as np
+
+    from quillmere.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 60)
+    monkeypatch.setattr(retrieval, "PAIR_ROWS", 7)
+    rows = np.random.default_rng(14).normal(size=(150, 4))
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    want = {(a, b) for a in range(150) for b in range(a + 1, 150) if unit[a] @ unit[b] > 0.8}
+    got = [(r.a, r.b) for r in retrieval.similar_pairs(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "id long, vector array<double>"), 0.8).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
