@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 # The tags.
@@ -67,15 +71,46 @@ class ThinkFilter:
         return text
 
 
-def filter_batch(tokens: DataFrame) -> DataFrame:
-    """(stream_id, shown) from finished streams of (stream_id, seq, token): one group per stream."""
+def _fed(f: ThinkFilter, tokens: pa.Array) -> str:
+    """What ``f`` shows of ``tokens``: one by one while it may still be in a preface, then as one, as tags decide the same."""
+    out, at = [], 0
+    while f.preface and at < len(tokens):
+        out.append(f.feed(tokens[at].as_py()))
+        at += 1
+    rest = tokens.slice(at).drop_null()
+    if len(rest):
+        out.append(f.feed("".join(rest.to_pylist())))
+    return "".join(out)
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        f = ThinkFilter()
-        shown = "".join(f.feed(t) for t in group.sort_values("seq")["token"]) + f.flush()
-        return pd.DataFrame({"stream_id": [group["stream_id"].iloc[0]], "shown": [shown]})
 
-    return tokens.groupBy("stream_id").applyInPandas(one, f"stream_id {tokens.schema['stream_id'].dataType.simpleString()}, shown string")
+def filter_batch(tokens: DataFrame) -> DataFrame:
+    """(stream_id, shown) from finished streams of (stream_id, seq, token), which follow each other in a task in order."""
+    kind = tokens.schema["stream_id"].dataType
+    ids = to_arrow_type(kind)
+
+    def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, f, parts = None, None, []
+        for batch in batches:
+            column, said, done = batch.column("stream_id"), batch.column("token"), []
+            one, two = column.slice(1), column.slice(0, max(len(column) - 1, 0))
+            other = pc.if_else(pc.and_(pc.is_null(one), pc.is_null(two)), False, pc.fill_null(pc.not_equal(one, two), True))
+            ends = np.flatnonzero(other.to_numpy(zero_copy_only=False)) + 1
+            for low, high in zip([0, *ends.tolist()], [*ends.tolist(), len(column)], strict=True):
+                if low == high:
+                    continue
+                if f is None or column[low].as_py() != own:
+                    if f is not None:
+                        done.append((own, "".join(parts) + f.flush()))
+                    own, f, parts = column[low].as_py(), ThinkFilter(), []
+                parts.append(_fed(f, said.slice(low, high - low)))
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], ids), pa.array([t for _, t in done], pa.string())], ["stream_id", "shown"])
+        if f is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([own], ids), pa.array(["".join(parts) + f.flush()], pa.string())], ["stream_id", "shown"])
+
+    tasks = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, as few bytes are much work
+    ordered = tokens.select("stream_id", "seq", "token").repartition(tasks, "stream_id").sortWithinPartitions("stream_id", "seq")
+    return ordered.mapInArrow(shown, f"stream_id {kind.simpleString()}, shown string")
 
 
 class ThinkProcessor(StatefulProcessor):
